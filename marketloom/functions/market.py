@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from marketloom import fixed
-from marketloom.functions.numbers import round_half_up
+from marketloom.functions.numbers import clamp01, round_half_up
 
 
 def limit_pct(ticker: Column, is_st: Column) -> Column:
@@ -27,17 +27,22 @@ def limit_price(prev_close: Column, pct: Column, upper: bool) -> Column:
 
 def limit_distance(close: Column, limit: Column, upper: bool) -> Column:
     gap = limit - close if upper else close - limit
-    return F.when(close != 0, round_half_up(F.greatest(F.lit(0.0), gap / close), 6))
+    return F.when((close != 0) & limit.isNotNull(), round_half_up(F.greatest(F.lit(0.0), gap / close), 6))
 
 
 def abnormality(ret: Column, amount: Column, ratio: Column, up: Column, down: Column, hit: Column) -> Column:
     """Largest of the return, amount-ratio and limit-proximity components."""
     limits = fixed.FEATURE_THRESHOLDS
     lift = F.when(amount > 0, 0.05).otherwise(0.0)
+
+    def capped(value: Column) -> Column:
+        return F.when(value.isNotNull(), clamp01(value))
+
     parts = [
-        F.least(F.lit(1.0), F.abs(ret) / limits["return_abs"] * limits["score"] + lift),
-        F.least(F.lit(1.0), ratio / limits["amount_ratio"] * limits["score"]),
-        *[F.least(F.lit(1.0), F.greatest(F.lit(0.0), 1 - d / limits["limit_distance"])) for d in (up, down)],
+        capped(F.abs(ret) / limits["return_abs"] * limits["score"] + lift),
+        capped(ratio / limits["amount_ratio"] * limits["score"]),
+        capped(1 - up / limits["limit_distance"]),
+        capped(1 - down / limits["limit_distance"]),
         F.when(hit, 1.0),
     ]
     return round_half_up(F.greatest(*parts), 4)

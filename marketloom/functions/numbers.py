@@ -70,16 +70,13 @@ def is_missing(text: Column) -> Column:
 
 def chinese_number(text: Column) -> Column:
     """Number with an optional magnitude character and percent sign."""
-    cleaned = F.translate(F.regexp_replace(F.trim(text.cast("string")), ",", ""), "％", "%")
-    scale: Column = F.lit(1.0)
-    for suffix, factor in fixed.MAGNITUDES.items():
-        scale = F.when(cleaned.endswith(suffix), F.lit(factor)).otherwise(scale)
-    digits = F.regexp_replace(F.regexp_replace(cleaned, "[亿万千]$", ""), "%$", "")
+    cleaned = F.translate(F.trim(text.cast("string")), "％,", "%")
+    scale = lookup(F.regexp_extract(cleaned, "[亿万千]$", 0), fixed.MAGNITUDES, F.lit(1.0))
+    digits = F.regexp_replace(cleaned, "%?[亿万千]?$", "")
     value = F.coalesce(
-        digits.try_cast("double"),
-        F.regexp_extract(digits, r"[-+]?\d+(?:\.\d+)?", 0).try_cast("double"),
+        digits.try_cast("double"), F.regexp_extract(digits, r"[-+]?\d+(?:\.\d+)?", 0).try_cast("double")
     )
-    return F.when(~is_missing(text), value * scale)
+    return F.when(~F.isnan(value), value * scale)
 
 
 def lookup(key: Column, table: dict, default: Column | None = None) -> Column:

@@ -11,14 +11,22 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from marketloom import fixed
 from marketloom.functions.numbers import lookup
 
-PAGE_SCHEMA = "title string, publish_time string, body string, tables array<string>, images array<string>"
+PAGE_TYPE = (
+    T.StructType()
+    .add("title", T.StringType())
+    .add("publish_time", T.StringType())
+    .add("body", T.StringType())
+    .add("tables", T.ArrayType(T.StringType()))
+    .add("images", T.ArrayType(T.StringType()))
+)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfkc(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 
@@ -61,7 +69,7 @@ def _signature(text: str) -> int:
     return int.from_bytes(np.packbits(balance > 0).tobytes(), "big", signed=True)
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def _signatures(text: pd.Series) -> pd.Series:
     return text.map(_signature).astype("int64")
 
@@ -206,7 +214,7 @@ def _page(html: str) -> dict:
     }
 
 
-@F.pandas_udf(PAGE_SCHEMA)
+@F.pandas_udf(PAGE_TYPE)
 def extract_page(html: pd.Series) -> pd.DataFrame:
     """Title, publish time, text body, table texts and image candidates of HTML pages."""
     return pd.DataFrame([_page(h) for h in html], columns=["title", "publish_time", "body", "tables", "images"])

@@ -11,27 +11,33 @@ from marketloom.functions.numbers import lookup
 A_SHARE_EXCHANGES = ["SH", "SZ", "BJ"]
 
 
+def _owned(exchange: str) -> str:
+    """Pattern of the six-digit codes an A-share exchange owns."""
+    prefixes = fixed.CODE_PREFIXES[exchange].split()
+    return f"(?:{'|'.join(prefixes)})[0-9]{{{6 - len(prefixes[0])}}}"
+
+
+VALID = "|".join([rf"{_owned(e)}\.{e}" for e in A_SHARE_EXCHANGES] + [r"[0-9]{5}\.HK"])
+
+
 def infer_exchange(code: Column) -> Column:
     """Exchange that owns a six-digit A-share code, null when none does."""
     owner: Column = F.lit(None).cast("string")
-    for exchange, prefixes in fixed.CODE_PREFIXES.items():
-        owner = F.when(code.rlike(f"^({prefixes.replace(' ', '|')})"), exchange).otherwise(owner)
-    return F.when(code.rlike(r"^\d{6}$"), owner)
+    for exchange in A_SHARE_EXCHANGES:
+        owner = F.when(code.rlike(f"^{_owned(exchange)}$"), exchange).otherwise(owner)
+    return owner
 
 
 def normalize(raw: Column) -> Column:
     """Canonical ``code.EXCHANGE``; null when the text is not a valid ticker."""
-    compact = F.translate(F.trim(raw.cast("string")), "_-", "..")
-    code = F.regexp_extract(compact, r"(\d{5,6})", 1)
-    leading = F.upper(F.regexp_extract(compact, r"^([A-Za-z]+)\.?\d+$", 1))
-    trailing = F.upper(F.regexp_extract(compact, r"^\d+\.([A-Za-z]+)$", 1))
-    exchange = (
-        F.when(compact.rlike(r"(?i)^(sh|sz|bj)\.?\d{6}$") | compact.rlike(r"(?i)^hk\.?\d{5}$"), leading)
-        .when(compact.rlike(r"^\d{5,6}\.[A-Za-z]+$"), lookup(trailing, fixed.EXCHANGE_ALIASES))
-        .when(compact.rlike(r"^\d{6}$"), infer_exchange(code))
-    )
-    valid = ((exchange == "HK") & code.rlike(r"^\d{5}$")) | (exchange == infer_exchange(code))
-    return F.when(valid, F.concat_ws(".", code, exchange))
+    text = F.upper(F.translate(F.trim(raw.cast("string")), "_-", ".."))
+    text = F.regexp_replace(text, r"^(SH|SZ|BJ|HK)\.?([0-9]+)$", "$2.$1")
+    for exchange in (*A_SHARE_EXCHANGES, "HK"):
+        aliases = [a for a, e in fixed.EXCHANGE_ALIASES.items() if e == exchange and a != exchange]
+        text = F.regexp_replace(text, rf"^([0-9]+)\.(?:{'|'.join(aliases)})$", f"$1.{exchange}")
+    for exchange in A_SHARE_EXCHANGES:
+        text = F.regexp_replace(text, f"^({_owned(exchange)})$", f"$1.{exchange}")
+    return F.nullif(F.regexp_extract(text, f"^(?:{VALID})$", 0), F.lit(""))
 
 
 def ticker_error(raw: Column) -> Column:

@@ -9,23 +9,22 @@ from marketloom import fixed
 from marketloom.functions.numbers import lookup
 
 
+def _iso(raw: Column) -> Column:
+    """Trimmed text with ``yyyyMMdd`` spelled as an ISO date."""
+    return F.regexp_replace(F.trim(raw.cast("string")), r"^(\d{4})(\d{2})(\d{2})$", "$1-$2-$3")
+
+
 def trade_date(raw: Column) -> Column:
     """Date from ``yyyyMMdd`` or ISO text; null when neither parses."""
-    text = F.trim(raw.cast("string"))
-    compact = F.when(text.rlike(r"^\d{8}$"), F.to_date(F.try_to_timestamp(text, F.lit("yyyyMMdd"))))
-    iso = F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}([T ].*)?$"), F.substring(text, 1, 10).try_cast("date"))
-    return F.coalesce(compact, iso)
+    return F.regexp_extract(_iso(raw), r"^\d{4}-\d{2}-\d{2}(?=$|[T ])", 0).try_cast("date")
 
 
 def instant(raw: Column, timezone: str = fixed.MARKET_TIMEZONE) -> Column:
     """UTC instant of a text time; texts without an offset are local to ``timezone``."""
-    text = F.trim(raw.cast("string"))
+    text = _iso(raw)
+    parsed = text.try_cast("timestamp")
     offset = text.rlike(r"[T ].*(Z|[+-]\d{2}:?\d{2})$")
-    midnight = F.to_utc_timestamp(trade_date(text).cast("timestamp"), timezone)
-    local = F.to_utc_timestamp(text.try_cast("timestamp"), timezone)
-    return (
-        F.when(text.rlike(r"^\d{8}$"), midnight).when(offset, text.try_cast("timestamp")).otherwise(local)
-    )
+    return F.when(offset, parsed).otherwise(F.to_utc_timestamp(parsed, timezone))
 
 
 def flexible_date(raw: Column) -> Column:

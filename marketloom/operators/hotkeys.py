@@ -28,7 +28,12 @@ def first_by_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Da
 def _extreme_by_key(df, keys, order, pick) -> DataFrame:
     rest = [c for c in df.columns if c not in keys and c not in order]
     # One struct aggregate reduces each key on the map side, so a hot key shuffles one row per task.
-    chosen = df.groupBy(*keys).agg(pick(F.struct(*order, *rest)).alias("_row"))
+    if any(df.schema[c].dataType.typeName() == "map" for c in rest):  # maps have no order and cannot break ties
+        by = F.max_by if pick is F.max else F.min_by
+        row = by(F.struct(*order, *rest), F.struct(*order))
+    else:
+        row = pick(F.struct(*order, *rest))
+    chosen = df.groupBy(*keys).agg(row.alias("_row"))
     return chosen.select(*[F.col(c) if c in keys else F.col(f"_row.{c}") for c in df.columns])
 
 

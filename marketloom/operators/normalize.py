@@ -272,8 +272,8 @@ def raw_value(raw: Column, *aliases: str) -> Column:
     return numbers.present(*[F.try_element_at(raw, F.lit(a)) for a in aliases])
 
 
-def _read(raw: Column, spec: Field, provider: Column) -> Column:
-    value = raw_value(raw, *spec.aliases)
+def _read(spec: Field, provider: Column) -> Column:
+    value = F.col(f"_t_{spec.name}")
     if spec.kind == "double":
         return numbers.number(value)
     if spec.kind == "flag":
@@ -284,9 +284,9 @@ def _read(raw: Column, spec: Field, provider: Column) -> Column:
         return times.instant(value)
     if spec.kind == "volume":
         implied = F.when(provider == "akshare", "hand")
-        return units.volume_shares(value, F.coalesce(raw_value(raw, "volume_unit"), implied), provider)
+        return units.volume_shares(value, F.coalesce(raw_value(F.col("raw"), "volume_unit"), implied), provider)
     if spec.kind == "amount":
-        return units.amount_base(value, raw_value(raw, "amount_unit"), provider)
+        return units.amount_base(value, raw_value(F.col("raw"), "amount_unit"), provider)
     if spec.kind == "currency":
         return units.currency(value)
     return F.coalesce(value, F.lit(spec.default)) if spec.default else value
@@ -296,27 +296,33 @@ def standardise(raw_rows: DataFrame, record_type: str) -> DataFrame:
     """Canonical rows of one record type from raw rows.
 
     ``raw_rows`` has provider, source_api, raw (map of text) and the lineage columns
-    raw_payload_id, raw_payload_ref, raw_row_index, request_id, ingested_at.
+    raw_payload_id, raw_payload_ref, raw_row_index, request_id, ingested_at. Aliases are resolved
+    to one text column per field first, then converted, which keeps both projections small.
     """
-    raw, provider = F.col("raw"), F.col("provider")
-    columns = {f.name: _read(raw, f, provider) for f in RECORD_FIELDS[record_type]}
+    raw = F.col("raw")
+    fields = RECORD_FIELDS[record_type]
+    texts = {f"_t_{f.name}": raw_value(raw, *f.aliases) for f in fields}
+    columns = {f.name: _read(f, F.col("provider")) for f in fields}
     if record_type not in WITHOUT_IDENTITY:
-        symbol = raw_value(raw, *TICKER_ALIASES)
-        if record_type == "index_constituent":
-            symbol = raw_value(raw, "normalized_ticker", "con_code", "stock_code", "ts_code")
-        ticker = tickers.normalize(symbol)
-        exchange = F.coalesce(raw_value(raw, "exchange", "交易所"), F.split_part(ticker, F.lit("."), F.lit(2)))
+        members = ("normalized_ticker", "con_code", "stock_code", "ts_code")
+        texts |= {
+            "_ticker": tickers.normalize(raw_value(raw, *(members if record_type == "index_constituent" else TICKER_ALIASES))),
+            "_symbol": raw_value(raw, *SYMBOL_ALIASES),
+            "_exchange": raw_value(raw, "exchange", "交易所"),
+        }
+        ticker = F.col("_ticker")
+        exchange = F.coalesce("_exchange", F.split_part(ticker, F.lit("."), F.lit(2)))
         for long, short in (("SSE", "SH"), ("SZSE", "SZ"), ("BSE", "BJ")):
             exchange = F.replace(exchange, F.lit(long), F.lit(short))
         identity = {
             "normalized_ticker": ticker,
-            "provider_symbol": F.coalesce(raw_value(raw, *SYMBOL_ALIASES), ticker),
+            "provider_symbol": F.coalesce("_symbol", ticker),
             "exchange": exchange,
             "market": F.coalesce(raw_value(raw, "market", "市场"), F.lit("A_share")),
             "asset_type": F.coalesce(raw_value(raw, "asset_type"), F.lit("stock")),
         }
         columns = {**identity, **columns}
-    rows = raw_rows.select("*", *[c.alias(n) for n, c in columns.items()])
+    rows = raw_rows.withColumns(texts).withColumns(columns).drop(*texts)
     return _derived(rows, record_type)
 
 
@@ -472,7 +478,8 @@ def split_kline(line: Column) -> Column:
         "super_large_net_inflow": 5, "main_net_inflow_ratio": 6, "close": 11, "pct_change": 12,
     }
     parts = F.split(line, ",")
-    values = [numbers.chinese_number(F.get(parts, F.lit(i))).alias(n) for n, i in places.items()]
+    parsed = F.transform(parts, numbers.chinese_number)
+    values = [F.get(parsed, F.lit(i)).alias(n) for n, i in places.items()]
     return F.when(F.size(parts) >= 13, F.struct(times.flexible_date(F.get(parts, F.lit(0))).alias("trade_date"), *values))
 
 

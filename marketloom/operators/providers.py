@@ -43,17 +43,19 @@ def category(field: str) -> str:
     return _CATEGORY.get(field, "generic")
 
 
-def severity(field: str, ours: Column, theirs: Column, tolerances: dict | None = None) -> Column:
-    """Conflict severity of one field of two providers; null when they agree or either is absent."""
+def severity(field: str, ours: Column, theirs: Column, forms: tuple[Column, Column] | None = None, tolerances: dict | None = None) -> Column:
+    """Conflict severity of one field of two providers; null when they agree or either is absent.
+
+    ``forms`` are the precomputed comparison forms of a free-text field.
+    """
     kind = category(field)
     critical = field in fixed.CRITICAL_FIELDS
-    both = ours.isNotNull() & theirs.isNotNull() & (ours.cast("string") != "") & (theirs.cast("string") != "")
     if kind == "status":
         level = "critical" if field in fixed.ALWAYS_CRITICAL_STATUS else "high" if critical else "medium"
-        return F.when(both & (ours != theirs), level)
+        return F.when(ours != theirs, level)
     if kind == "generic":
-        differs = compare_form(ours.cast("string")) != compare_form(theirs.cast("string"))
-        return F.when(both & differs, "medium" if critical else "low")
+        a, b = forms or (compare_form(ours.cast("string")), compare_form(theirs.cast("string")))
+        return F.when(a != b, "medium" if critical else "low")
     a, b = ours.try_cast("double"), theirs.try_cast("double")
     limits = {**fixed.TOLERANCES[kind], **(tolerances or {}).get(kind, {})}
     gap = relative_diff(a, b)
@@ -67,77 +69,110 @@ def severity(field: str, ours: Column, theirs: Column, tolerances: dict | None =
         level = F.when(gap > fixed.CLOSE_OR_FACTOR_CRITICAL_RELATIVE, "critical").otherwise(level)
     if kind == "amount":
         level = F.when(gap > fixed.AMOUNT_CRITICAL_RELATIVE, "critical").otherwise(level)
-    comparable = both & ~F.isnan(a) & ~F.isnan(b)
-    unreadable = both & (a.isNull() != b.isNull())
-    return F.when(comparable & ~within, level).when(unreadable, "medium")
+    unreadable = a.isNull() != b.isNull()
+    return F.when(unreadable, "medium").when(~within, level)
 
 
-def split_roles(records: DataFrame, canonical: str) -> tuple[DataFrame, DataFrame]:
-    """One canonical row per key, and one supplement row per key and provider."""
-    ours = records.where(F.col("provider") == canonical)
-    theirs = records.where(F.col("provider") != canonical)
-    return first_by_key(ours, ["comparison_key"], ["record_id"]), first_by_key(
-        theirs, ["comparison_key", "provider"], ["record_id"]
-    )
+def _filled(value: Column) -> Column:
+    text = value.cast("string")
+    return value.isNotNull() & (text != "") & (text != "NaN")
 
 
-def compare(base: DataFrame, others: DataFrame, fields: Sequence[str], tolerances: dict | None = None) -> DataFrame:
-    """One row per (key, other provider, field) that both sides filled, with its severity or null.
+def meet(
+    records: DataFrame, canonical: str, fields: Sequence[str], whitelist: Sequence[str] = (), tolerances: dict | None = None
+) -> DataFrame:
+    """One row per comparison key on which all providers of a record meet.
 
-    The join is on the comparison key and each side is unique per key and provider, so a
-    key meets as many rows as there are providers.
+    Rows are first reduced to one per key and provider, so the array gathered per key is as long as
+    there are providers. The base is the canonical provider's row, or the first provider by name
+    where that is missing. Empty whitelisted base fields are filled from the first supplement that has
+    them. ``checks`` holds one entry per supplement and field both sides filled.
     """
-    left = base.select(
-        "comparison_key",
-        F.col("provider").alias("canonical_provider"),
-        F.col("record_id").alias("canonical_record_id"),
-        F.col("source_api").alias("_our_api"),
-        *[F.col(f).alias(f"_our_{f}") for f in fields],
+    free_text = [f for f in fields if category(f) == "generic"]
+    prepared = records.withColumns({f"_form_{f}": compare_form(F.col(f).cast("string")) for f in free_text})
+    once = first_by_key(prepared, ["comparison_key", "provider"], ["record_id"])
+    cell = F.struct(*[F.col(c) for c in once.columns])
+    by_provider = F.array_sort("_rows", lambda x, y: F.when(x["provider"] < y["provider"], -1).otherwise(1))
+    rows = (
+        once.groupBy("comparison_key")
+        .agg(F.collect_list(cell).alias("_rows"))
+        .withColumn("_rows", by_provider)
+        .withColumn("_own", F.filter("_rows", lambda x: x["provider"] == canonical))
+        .withColumn("_base", F.coalesce(F.try_element_at("_own", F.lit(1)), F.element_at("_rows", 1)))
+        .withColumn("_others", F.filter("_rows", lambda x: x["provider"] != F.col("_base.provider")))
+        .withColumn("has_canonical", F.size("_own") > 0)
     )
-    right = others.select(
-        "comparison_key",
-        F.col("provider").alias("other_provider"),
-        F.col("record_id").alias("other_record_id"),
-        F.col("source_api").alias("_their_api"),
-        *[F.col(f).alias(f"_their_{f}") for f in fields],
+    fillable = [f for f in whitelist if f in records.columns]
+
+    def donor(f: str) -> Column:
+        return F.try_element_at(F.filter("_others", lambda x: _filled(x[f])), F.lit(1))
+
+    wanted = {f: F.when(F.col("has_canonical") & ~F.coalesce(_filled(F.col(f"_base.{f}")), F.lit(False)), donor(f)) for f in fillable}
+    rows = rows.withColumns({f"_donor_{f}": c for f, c in wanted.items()})
+    # A filled free text brings its comparison form along.
+    filler = {**{f: f for f in fillable}, **{f"_form_{f}": f for f in fillable if f in free_text}}
+    flags = F.filter(
+        F.array(*[F.when(F.col(f"_donor_{f}").isNotNull(), F.struct(F.lit(f).alias("field"), F.col(f"_donor_{f}.provider"))) for f in fillable]),
+        lambda e: e.isNotNull(),
+    ) if fillable else F.array().cast("array<struct<field:string,provider:string>>")
+    rows = rows.select(
+        *[
+            F.coalesce(F.col(f"_donor_{filler[c]}.{c}"), F.col(f"_base.{c}")).alias(c) if c in filler else F.col(f"_base.{c}")
+            for c in once.columns
+        ],
+        "has_canonical",
+        "_others",
+        flags.alias("supplement_flags"),
     )
-    estimated = F.contains(F.concat_ws("|", "_our_api", "_their_api"), F.lit(fixed.ESTIMATED_AMOUNT_API))
-
-    def checked(field: str) -> Column:
-        ours, theirs = F.col(f"_our_{field}"), F.col(f"_their_{field}")
-        skip = estimated if field in ("amount", "vwap") else F.lit(False)
-        filled = (F.coalesce(ours.cast("string"), F.lit("")) != "") & (F.coalesce(theirs.cast("string"), F.lit("")) != "")
-        entry = F.struct(
-            F.lit(field).alias("field_name"),
-            ours.cast("string").alias("canonical_value"),
-            theirs.cast("string").alias("other_value"),
-            severity(field, ours, theirs, tolerances).alias("severity"),
-        )
-        return F.when(filled & ~skip, entry)
 
-    entries = F.filter(F.array(*[checked(f) for f in fields]), lambda e: e.isNotNull())
+    def entries(other: Column) -> Column:
+        estimated = F.contains(F.concat_ws("|", F.col("source_api"), other["source_api"]), F.lit(fixed.ESTIMATED_AMOUNT_API))
+
+        def entry(f: str) -> Column:
+            usable = _filled(F.col(f)) & _filled(other[f])
+            if f in ("amount", "vwap"):
+                usable = usable & ~estimated
+            forms = (F.col(f"_form_{f}"), other[f"_form_{f}"]) if f in free_text else None
+            found = F.struct(
+                other["provider"].alias("other_provider"),
+                other["record_id"].alias("other_record_id"),
+                F.lit(f).alias("field_name"),
+                F.col(f).cast("string").alias("canonical_value"),
+                other[f].cast("string").alias("other_value"),
+                severity(f, F.col(f), other[f], forms, tolerances).alias("severity"),
+            )
+            return F.when(usable, found)
+
+        return F.filter(F.array(*[entry(f) for f in fields]), lambda e: e.isNotNull())
+
     return (
-        left.join(right, "comparison_key")
-        .select(
-            "comparison_key", "canonical_provider", "other_provider", "canonical_record_id", "other_record_id",
-            F.explode(entries).alias("_e"),
-        )
-        .select("*", "_e.*")
-        .drop("_e")
-    )
+        rows.withColumn("checks", F.flatten(F.transform("_others", entries)))
+        .withColumn("supplements", F.transform("_others", lambda x: x["provider"]))
+        .drop("_others", *[f"_form_{f}" for f in free_text])
+    )
 
 
-def conflicts(checks: DataFrame) -> DataFrame:
-    return checks.where("severity is not null")
+def conflicts(met: DataFrame) -> DataFrame:
+    """One row per conflicting field and other provider."""
+    clashes = F.filter("checks", lambda c: c["severity"].isNotNull())
+    base = met.select("comparison_key", F.col("provider").alias("canonical_provider"), "record_id", "has_canonical", F.explode(clashes).alias("_c"))
+    return base.select("comparison_key", "canonical_provider", F.col("record_id").alias("canonical_record_id"), "has_canonical", "_c.*")
 
 
-def comparison_results(checks: DataFrame) -> DataFrame:
-    """One row per (key, other provider): counts of checked, matched and conflicted fields."""
-    return checks.groupBy("comparison_key", "canonical_provider", "other_provider").agg(
-        F.count("*").alias("checked_fields"),
-        F.count_if(F.col("severity").isNull()).alias("matched_fields"),
-        F.count("severity").alias("conflicted_fields"),
-        F.when(F.count("severity") == 0, "matched").otherwise("conflicted").alias("status"),
+def comparison_results(met: DataFrame) -> DataFrame:
+    """One row per (key, other provider) with a canonical row: checked, matched and conflicted field counts."""
+    pairs = met.where("has_canonical").withColumn("other_provider", F.explode("supplements"))
+    mine = F.filter("checks", lambda c: c["other_provider"] == F.col("other_provider"))
+    rows = pairs.select("comparison_key", F.col("provider").alias("canonical_provider"), "other_provider", mine.alias("_m"))
+    bad = F.size(F.filter("_m", lambda c: c["severity"].isNotNull()))
+    return rows.select(
+        "comparison_key",
+        "canonical_provider",
+        "other_provider",
+        F.size("_m").alias("checked_fields"),
+        (F.size("_m") - bad).alias("matched_fields"),
+        bad.alias("conflicted_fields"),
+        F.when(bad == 0, "matched").otherwise("conflicted").alias("status"),
     )
 
 
@@ -145,109 +180,51 @@ def severity_rank(level: Column) -> Column:
     return lookup(level, fixed.SEVERITY_RANK)
 
 
-def fill_missing(base: DataFrame, others: DataFrame, whitelist: Sequence[str]) -> DataFrame:
-    """Fill empty whitelisted fields from the first provider that has them, and name the fields filled."""
-    fields = [f for f in whitelist if f in base.columns and f in others.columns]
-    first = others.groupBy("comparison_key").agg(
-        *[F.min_by(F.struct(f, "provider"), F.when(F.col(f).isNotNull(), F.col("provider"))).alias(f"_s_{f}") for f in fields]
-    )
-    joined = base.join(first, "comparison_key", "left")
-
-    def empty(f: str) -> Column:
-        return F.coalesce(F.col(f).cast("string"), F.lit("")) == ""
+def merge(met: DataFrame, quarantine: bool = True) -> DataFrame:
+    """Merge method, validation status and suspicion of every key on which providers met.
 
-    filled = F.filter(
-        F.array(*[F.when(empty(f) & F.col(f"_s_{f}").isNotNull(), F.struct(F.lit(f).alias("field"), F.col(f"_s_{f}.provider")))
-                  for f in fields]),
-        lambda e: e.isNotNull(),
-    )
-    return joined.withColumn("supplement_flags", filled).select(
-        *[
-            F.when(empty(c), F.col(f"_s_{c}.{c}")).otherwise(F.col(c)).alias(c) if c in fields else F.col(c)
-            for c in base.columns
-        ],
-        "supplement_flags",
+    The canonical value is never replaced. It is suspect when two or more supplements all carry one
+    other value on a field in conflict.
+    """
+    count = F.size("supplements")
+    ranks = F.transform("checks", lambda c: severity_rank(c["severity"]))
+    clashing = F.array_distinct(
+        F.transform(F.filter("checks", lambda c: c["severity"].isNotNull()), lambda c: c["field_name"])
     )
 
+    def outvoted(name: Column) -> Column:
+        votes = F.filter("checks", lambda c: c["field_name"] == name)
+        values = F.array_distinct(F.transform(votes, lambda c: c["other_value"]))
+        return (F.size(votes) == count) & (F.size(values) == 1) & (values[0] != votes[0]["canonical_value"])
 
-def merge(
-    records: DataFrame,
-    canonical: str,
-    fields: Sequence[str],
-    whitelist: Sequence[str] = (),
-    quarantine: bool = True,
-    tolerances: dict | None = None,
-) -> DataFrame:
-    """One merged row per comparison key with merge method, validation status and suspicion flag.
-
-    The canonical value is never replaced. Without a canonical row the first provider by
-    name stands in, and the other supplements are compared against it.
-    """
-    ours, theirs = split_roles(records, canonical)
-    orphans = theirs.join(ours.select("comparison_key"), "comparison_key", "left_anti").select(*theirs.columns)
-    stand_in = first_by_key(orphans, ["comparison_key"], ["provider"])
-    base = ours.unionByName(stand_in)
-    others = theirs.join(
-        stand_in.select("comparison_key", "provider", F.lit(True).alias("_s")), ["comparison_key", "provider"], "left_anti"
-    ).select(*theirs.columns)
-
-    filled = fill_missing(base, others.join(ours.select("comparison_key"), "comparison_key", "left_semi"), whitelist)
-    checks = compare(filled, others, fields, tolerances)
-    worst = checks.groupBy("comparison_key").agg(
-        F.max(severity_rank(F.col("severity"))).alias("worst"), F.count("severity").alias("conflict_count")
-    )
-    supplements = others.groupBy("comparison_key").agg(F.count("*").alias("supplements"))
-    # Suspect: on a field in conflict all of two or more supplements carry one value that is not ours.
-    per_field = (
-        checks.groupBy("comparison_key", "field_name")
-        .agg(
-            F.min("other_value").alias("low"),
-            F.max("other_value").alias("high"),
-            F.count("*").alias("votes"),
-            F.max("canonical_value").alias("ours"),
-            F.count("severity").alias("bad"),
-        )
-        .join(supplements, "comparison_key")
-    )
-    suspects = (
-        per_field.where("bad > 0 and supplements >= 2 and votes = supplements and low = high and low <> ours")
-        .select("comparison_key")
-        .distinct()
-        .withColumn("suspect", F.lit(True))
-    )
-    joined = filled
-    for part in (supplements, worst, suspects):
-        joined = joined.join(part, "comparison_key", "left")
-    has_canonical = F.col("provider") == canonical
-    count = F.coalesce("supplements", F.lit(0))
-    bad = F.coalesce("conflict_count", F.lit(0)) > 0
-    filled_any = F.size("supplement_flags") > 0
+    rows = met.withColumn("worst", F.array_max(ranks)).withColumn("_clashing", clashing)
+    bad, own, worst = F.col("worst").isNotNull(), F.col("has_canonical"), F.col("worst")
     method = (
-        F.when(~has_canonical & (count == 0), "fallback_single_source")
-        .when(~has_canonical & ~bad, "fallback_multi_source_agreed")
-        .when(~has_canonical, "manual_review_required")
+        F.when(~own & (count == 0), "fallback_single_source")
+        .when(~own & ~bad, "fallback_multi_source_agreed")
+        .when(~own, "manual_review_required")
         .when(count == 0, "canonical_only")
-        .when(~bad & filled_any, "fill_missing_from_supplement")
+        .when(~bad & (F.size("supplement_flags") > 0), "fill_missing_from_supplement")
         .when(~bad, "canonical_validated")
-        .when((F.col("worst") >= 3) & F.lit(quarantine), "quarantined_due_to_conflict")
-        .when(F.col("worst") >= 3, "manual_review_required")
+        .when((worst >= 3) & F.lit(quarantine), "quarantined_due_to_conflict")
+        .when(worst >= 3, "manual_review_required")
         .otherwise("canonical_with_warning")
     )
+    named = F.col("merge_method")
     status = (
-        F.when(method.isin("fallback_single_source", "canonical_only"), "validated_with_warning")
-        .when(method == "fill_missing_from_supplement", "validated_with_warning")
-        .when(method.isin("fallback_multi_source_agreed", "canonical_validated"), "validated")
-        .when(method == "quarantined_due_to_conflict", "quarantined")
-        .when(method == "manual_review_required", "manual_review_required")
-        .when(F.col("worst") == 2, "conflicted_medium")
+        F.when(named.isin("fallback_single_source", "canonical_only", "fill_missing_from_supplement"), "validated_with_warning")
+        .when(named.isin("fallback_multi_source_agreed", "canonical_validated"), "validated")
+        .when(named == "quarantined_due_to_conflict", "quarantined")
+        .when(named == "manual_review_required", "manual_review_required")
+        .when(worst == 2, "conflicted_medium")
         .otherwise("conflicted_low")
     )
+    suspect = own & (count >= 2) & F.exists("_clashing", outvoted)
     return (
-        joined.withColumn("merge_method", method)
+        rows.withColumn("merge_method", method)
         .withColumn("validation_status", status)
-        .withColumn("canonical_value_suspect", F.coalesce("suspect", F.lit(False)) & has_canonical)
-        .withColumn("supplements", count)
-        .drop("worst", "conflict_count", "suspect")
+        .withColumn("canonical_value_suspect", suspect)
+        .drop("_clashing")
     )
 
 
@@ -295,37 +272,27 @@ def quality_score(
     )
 
 
-def rescore(merged: DataFrame, found: DataFrame, record_type: str) -> DataFrame:
+def rescore(merged: DataFrame, record_type: str) -> DataFrame:
     """Data quality of merged rows from their own conflicts, after merging."""
-    per_record = found.groupBy("comparison_key").agg(
-        F.max(severity_rank(F.col("severity"))).alias("_worst"),
-        F.sum(lookup(F.col("severity"), fixed.CONFLICT_ADJUSTMENT).cast("decimal(10,2)")).cast("double").alias("_penalty"),
-    )
+    penalties = F.transform("checks", lambda c: lookup(c["severity"], fixed.CONFLICT_ADJUSTMENT, F.lit(0.0)).cast("decimal(10,2)"))
+    penalty = F.aggregate(penalties, F.lit(0).cast("decimal(12,2)"), lambda acc, p: (acc + p).cast("decimal(12,2)")).cast("double")
     required = [f for f in fixed.REQUIRED_FIELDS[record_type].split() if f in merged.columns]
     filled = sum((F.col(f).isNotNull().cast("int") for f in required), F.lit(0))
-    return (
-        merged.join(per_record, "comparison_key", "left")
-        .withColumn(
-            "data_quality",
-            quality_score(
-                F.col("provider"), filled, len(required), F.col("_worst"), F.col("_penalty"), F.col("merge_method"),
-                F.coalesce(F.col("has_provenance"), F.lit(False)), F.col("raw_payload_ref").isNotNull(),
-            ),
-        )
-        .drop("_worst", "_penalty")
+    score = quality_score(
+        F.col("provider"), filled, len(required), F.col("worst"), penalty, F.col("merge_method"),
+        F.coalesce(F.col("has_provenance"), F.lit(False)), F.col("raw_payload_ref").isNotNull(),
     )
+    return merged.withColumn("data_quality", score)
 
 
-def quality_report(merged: DataFrame, found: DataFrame) -> DataFrame:
+def quality_report(scored: DataFrame) -> DataFrame:
     """One row for a run: mean quality, provenance share, consistency and anomaly."""
     traced = F.col("has_provenance") & F.col("raw_payload_ref").isNotNull()
-    rows = merged.select(F.col("data_quality").cast("decimal(20,10)").alias("q"), traced.cast("int").alias("t"))
-    clashes = found.select(F.lit(None).cast("decimal(20,10)").alias("q"), F.lit(None).cast("int").alias("t"))
-    any_clash = F.count("*") > F.count("q")
-    return rows.unionByName(clashes).agg(
-        F.count("q").alias("records"),
-        (F.sum("q") / F.count("q")).cast("double").alias("data_quality_score"),
-        F.avg("t").alias("provenance_score"),
+    any_clash = F.coalesce(F.bool_or(F.col("worst").isNotNull()), F.lit(False))
+    return scored.agg(
+        F.count("*").alias("records"),
+        (F.sum(F.col("data_quality").cast("decimal(20,10)")) / F.count("*")).cast("double").alias("data_quality_score"),
+        F.avg(traced.cast("int")).alias("provenance_score"),
         F.when(any_clash, 0.0).otherwise(1.0).alias("consistency_score"),
         F.when(any_clash, 0.5).otherwise(1.0).alias("anomaly_score"),
     )

@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from marketloom.plans import market  # noqa: F401
+from marketloom.plans import market, providers  # noqa: F401
 from marketloom.plans.registry import REGISTRY
 from marketloom.plans.views import Views
 
