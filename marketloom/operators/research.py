@@ -147,19 +147,17 @@ def golden_matches(golden: DataFrame, events: DataFrame, links: DataFrame) -> Da
     """Each expected event with its best matching collected event, if any.
 
     An item matches on target, date range, any keyword, any listed source type and any linked
-    variable; empty lists do not restrict. The golden list is the small side and is reduced to one
-    best event per item with map-side aggregation.
+    variable; empty lists do not restrict. Items are spread over the days of their range, so they meet
+    events on (target, day), and one best event per item is kept with map-side aggregation.
     """
-    g = golden.select(
-        "expected_event_id", "target_id", "date_from", "date_to", "keywords", "source_types", "expected_variables"
-    )
+    days = F.explode(F.sequence("date_from", "date_to", F.expr("INTERVAL 1 DAY"))).alias("event_date")
+    g = golden.select("expected_event_id", "target_id", days, "keywords", "source_types", "expected_variables")
     plain = events.select("event_id", "target_id", "event_date", "summary", "source_type", "confidence").join(
-        bounded_broadcast(g), "target_id"
+        bounded_broadcast(g), ["target_id", "event_date"]
     )
     no_words, no_types = F.size("keywords") == 0, F.size("source_types") == 0
     candidates = plain.where(
-        F.col("event_date").between(F.col("date_from"), F.col("date_to"))
-        & (no_words | F.exists("keywords", lambda w: F.contains(F.col("summary"), w)))
+        (no_words | F.exists("keywords", lambda w: F.contains(F.col("summary"), w)))
         & (no_types | F.array_contains("source_types", F.col("source_type")))
     )
     free = candidates.where(F.size("expected_variables") == 0)
