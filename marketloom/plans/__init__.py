@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from marketloom.plans import documents, market, providers, research  # noqa: F401
+from marketloom.plans import documents, extraction, market, providers, research, scalars  # noqa: F401
 from marketloom.plans.registry import REGISTRY
 from marketloom.plans.views import Views
 

@@ -51,21 +51,31 @@ def content_hashes(v):
 
 def _simhash_sql() -> str:
     bits = ", ".join(f"sum(n * (2 * cast((h >> {i}) & 1 as int) - 1)) as b{i}" for i in range(64))
-    packed = " + ".join(f"case when b{i} > 0 then {1 << i}::uhugeint else 0::uhugeint end" for i in range(64))
     return f"""with t as (select doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) as s from documents),
     g as (select doc_id, substr(s, cast(i as bigint), 3) as gram, count(*) as n from t, unnest(generate_series(1, greatest(length(s) - 2, 1))) x(i) group by 1, 2),
     h as (select doc_id, n, cast('0x' || substr(md5(gram), 17, 16) as ubigint) as h from g),
     s as (select doc_id, {bits} from h group by 1)
-    select doc_id, lpad(lower(hex(cast({packed} as ubigint))), 16, '0') as simhash from s"""
+    """
+
+
+def _packed() -> str:
+    return "cast(" + " + ".join(f"case when b{i} > 0 then {1 << i}::uhugeint else 0::uhugeint end" for i in range(64)) + " as ubigint)"
 
 
-@query("F25", "", _simhash_sql())
+@query("F25", "", _simhash_sql() + f"select doc_id, lpad(lower(hex({_packed()})), 16, '0') as simhash from s")
 def simhash_signatures(v):
     d = v.table("documents")
     return d.select("doc_id", text.signature_hex(text.simhash64(F.col("text"))).alias("simhash"))
 
 
-@query("J27 F25")
+@query(
+    "J27 F25",
+    "",
+    _simhash_sql()
+    + f""", g2 as (select d.doc_id, source, {_packed()} as sig from s join documents d on d.doc_id = s.doc_id),
+    f as (select source, arg_min(sig, doc_id) as first_sig from g2 group by 1)
+    select doc_id, source, cast(bit_count(xor(sig, first_sig)) as int) as distance from g2 join f using (source)""",
+)
 def signature_distance(v):
     """Hamming distance of every document's signature to that of the first document of its source.
 
