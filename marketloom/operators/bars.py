@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from marketloom import fixed
 from marketloom.functions.numbers import exact_sum, round_half_up
-from marketloom.operators.hotkeys import asof_join, latest_by_key
+from marketloom.operators.hotkeys import asof_join, latest_by_key, salted_join
 
 PRICES = ["open", "high", "low", "close", "pre_close"]
 GROUP = ["ticker", "effective_provider"]
@@ -106,7 +106,7 @@ def adjust_prices(bars: DataFrame, factors: DataFrame, adjust: str) -> DataFrame
         F.col("prev_any_factor").alias("backward"),
         *[F.when(F.col("prev_any_factor"), F.col(f"prev_{n}")).otherwise(F.col(f"next_{n}")).alias(n) for n in facts[1:]],
     )
-    rows = matched.join(group, GROUP)
+    rows = salted_join(matched, group, GROUP, "inner")
     pick = F.when(F.col("backward"), F.col("prev")).otherwise(F.col("next"))
     adj = F.coalesce(pick["adj_factor"], own_factor)
     if adjust == "hfq":

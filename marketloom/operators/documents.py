@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from marketloom import fixed
 from marketloom.functions import urls
 from marketloom.functions.numbers import any_contains, contained, lookup, round_half_up
-from marketloom.operators.hotkeys import first_by_key, latest_by_key, mark_first, running_total
+from marketloom.operators.hotkeys import first_by_key, latest_by_key, mark_first, running_total, salted_join
 
 
 def triage(
@@ -125,7 +125,7 @@ def reusable_analysis(links: DataFrame, analyses: DataFrame, key: str) -> DataFr
     choices = newest.join(runner_up, group, "left")
     prior = F.when(F.col("_top.run_id") != F.col("run_id"), F.col("_top._a")).otherwise(F.col("_second"))
     return (
-        links.join(choices, group, "left")
+        salted_join(links, choices, group)  # copies of one body may be a large share of all links
         .withColumn("reused_link_id", prior["link_id"])
         .drop("_top", "_second")
     )
@@ -138,7 +138,7 @@ def clone_rows(children: DataFrame, latest: DataFrame, reuse: DataFrame) -> Data
         F.col("link_id").alias("new_link_id"), F.col("reused_link_id").alias("link_id")
     )
     source = children.join(current.select("link_id", "analysis_id"), ["link_id", "analysis_id"], "left_semi")
-    copied = pairs.join(source, "link_id")
+    copied = salted_join(pairs, source, ["link_id"], "inner")  # many links may reuse one earlier link
     return copied.drop("link_id").withColumnRenamed("new_link_id", "link_id").withColumn("merge_method", F.lit("cache_reuse"))
 
 

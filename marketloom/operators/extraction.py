@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from marketloom import fixed
 from marketloom.functions.numbers import any_contains, lookup, round_half_up
 from marketloom.functions.text import norm
-from marketloom.operators.hotkeys import first_by_key, weighted_median
+from marketloom.operators.hotkeys import first_by_key, salted_join, weighted_median
 
 
 def cap_items(items: Column, kind: str) -> Column:
@@ -94,7 +94,7 @@ def effective_weights(contributions: DataFrame) -> DataFrame:
         * F.col("feedback_score")
         * independence
     )
-    return rows.join(counts, ["link_id", "family"]).withColumn("effective_weight", weight).drop("_n")
+    return salted_join(rows, counts, ["link_id", "family"], "inner").withColumn("effective_weight", weight).drop("_n")
 
 
 def vote(weighted: DataFrame) -> DataFrame:

@@ -52,8 +52,12 @@ def bounded_broadcast(small: DataFrame, limit: int = BROADCAST_ROW_LIMIT) -> Dat
 
 
 def salted_join(big: DataFrame, compact: DataFrame, keys: Sequence[str], how: str = "left", salts: int = 16) -> DataFrame:
-    """Join a large side with a frame that has one row per key, spreading every key over ``salts`` tasks."""
-    spread = big.withColumn("_salt", F.pmod(F.xxhash64(*big.columns), F.lit(salts)).cast("int"))
+    """Join a large side with a frame of few rows per key, spreading every key over ``salts`` tasks.
+
+    The salt is a hash of the whole row, so a recomputed task places its rows as before.
+    """
+    plain = [f.name for f in big.schema.fields if f.dataType.typeName() not in ("map", "variant")]
+    spread = big.withColumn("_salt", F.pmod(F.xxhash64(*plain), F.lit(salts)).cast("int"))
     copies = compact.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return spread.join(copies, [*keys, "_salt"], how).drop("_salt")
 

@@ -310,7 +310,7 @@ def demand_rejections(v):
 )
 def demand_versions(v):
     rows = v.demands().select("owner_id", "demand_id", "status")
-    return demands.versions(rows, "owner_id", "demand_id", F.floor(F.col("demand_id") / 1024))
+    return demands.versions(rows, "owner_id", "demand_id", F.floor(F.col("demand_id") / 4096))
 
 
 @query(
@@ -320,7 +320,7 @@ def demand_versions(v):
 )
 def latest_demands(v):
     rows = v.demands().select("owner_id", "demand_id", "status")
-    numbered = demands.versions(rows, "owner_id", "demand_id", F.floor(F.col("demand_id") / 1024))
+    numbered = demands.versions(rows, "owner_id", "demand_id", F.floor(F.col("demand_id") / 4096))
     return demands.latest_versions(numbered, "owner_id")
 
 
@@ -689,7 +689,7 @@ def worker_liveness(v):
 )
 def breaker_openings(v):
     outcomes = v.events().select(F.col("user_id").alias("tool"), "event_id", F.col("event_type").isin("error", "view").alias("failed"))
-    streaks = demands.failure_streaks(outcomes, "tool", "event_id", F.floor(F.col("event_id") / 1024))
+    streaks = demands.failure_streaks(outcomes, "tool", "event_id", F.floor(F.col("event_id") / 4096))
     return demands.breaker_openings(streaks, "tool")
 
 
