@@ -88,6 +88,10 @@ def hamming(a: Column, b: Column) -> Column:
     return F.coalesce(F.bit_count(a.bitwiseXOR(b)), F.lit(64))
 
 
+# Start tags that end an open paragraph.
+CLOSES_PARAGRAPH = set("p ul ol dl div table section article blockquote form pre hr main h1 h2 h3 h4 h5 h6".split())
+
+
 class _PageParser(HTMLParser):
     """Collects title, date hints, text blocks, table rows and image candidates of one page."""
 
@@ -98,8 +102,8 @@ class _PageParser(HTMLParser):
         self.title, self.heading, self.in_title = [], None, False
         self.meta: dict[str, str] = {}
         self.text: list[str] = []
-        self.open_blocks: list[tuple[str, list[str]]] = []
-        self.blocks: list[tuple[int, str]] = []
+        self.open_blocks: list[tuple[str, int, list[str]]] = []
+        self.blocks: list[str] = []  # in order of their start tags
         self.tables: list[list[list[list[str]]]] = []
         self.in_cell = False
         self.images: list[str] = []
@@ -110,6 +114,8 @@ class _PageParser(HTMLParser):
             self.hidden += 1
         if self.hidden:
             return
+        if tag in CLOSES_PARAGRAPH:
+            self._close("p")
         if tag == "title":
             self.in_title = True
         elif tag == "meta":
@@ -130,10 +136,10 @@ class _PageParser(HTMLParser):
             self.tables[-1][-1].append([])
             self.in_cell = True
         elif tag in fixed.PAGE_BLOCK_TAGS and not self.table_depth:
-            if tag in ("p", "li"):  # an unclosed paragraph or item ends where the next begins
+            if tag == "li":  # an unclosed item ends where the next begins
                 self._close(tag)
-            self.open_blocks.append((tag, []))
-            self.blocks.append((len(self.blocks), ""))
+            self.open_blocks.append((tag, len(self.blocks), []))
+            self.blocks.append("")
 
     def handle_endtag(self, tag):
         if tag in fixed.PAGE_DROPPED_TAGS:
@@ -160,19 +166,18 @@ class _PageParser(HTMLParser):
             if self.in_cell:
                 self.tables[-1][-1][-1].append(data)
             return
-        for _, parts in self.open_blocks:
+        for _, _, parts in self.open_blocks:
             parts.append(data)
 
     def _close(self, tag):
-        names = [name for name, _ in self.open_blocks]
+        names = [name for name, _, _ in self.open_blocks]
         if tag not in names:
             return
         position = len(names) - 1 - names[::-1].index(tag)
-        for name, parts in self.open_blocks[position:]:
-            text = " ".join("".join(parts).split())
-            self.blocks.append((len(self.blocks), text))
+        for name, index, parts in self.open_blocks[position:]:
+            self.blocks[index] = " ".join("".join(parts).split())
             if name == "h1" and self.heading is None:
-                self.heading = text
+                self.heading = self.blocks[index]
         del self.open_blocks[position:]
 
     def _image(self, given):
@@ -190,14 +195,14 @@ def _page(html: str) -> dict:
     parser = _PageParser()
     parser.feed(html or "")
     parser.close()
-    for tag in [name for name, _ in parser.open_blocks]:
+    for tag in [name for name, _, _ in parser.open_blocks]:
         parser._close(tag)
     whole = "".join(parser.text)
     published = next((parser.meta[name] for name in fixed.PAGE_DATE_META if name in parser.meta), None)
     if published is None:
         hint = re.search(fixed.PASSAGE_DATE_PATTERN, whole[:2000])
         published = hint.group(0) if hint else None
-    blocks = [text for _, text in parser.blocks if len(text) >= fixed.PAGE_MIN_BLOCK_CHARS]
+    blocks = [text for text in parser.blocks if len(text) >= fixed.PAGE_MIN_BLOCK_CHARS]
     tables = []
     for rows in parser.tables[: fixed.MAX_TABLES]:
         cells = [[" ".join("".join(cell).split()) for cell in row] for row in rows[: fixed.MAX_TABLE_ROWS]]
