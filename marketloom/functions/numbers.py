@@ -72,11 +72,10 @@ def chinese_number(text: Column) -> Column:
     """Number with an optional magnitude character and percent sign."""
     cleaned = F.translate(F.trim(text.cast("string")), "％,", "%")
     scale = lookup(F.regexp_extract(cleaned, "[亿万千]$", 0), fixed.MAGNITUDES, F.lit(1.0))
-    digits = F.regexp_replace(cleaned, "%?[亿万千]?$", "")
-    value = F.coalesce(
-        digits.try_cast("double"), F.regexp_extract(digits, r"[-+]?\d+(?:\.\d+)?", 0).try_cast("double")
-    )
-    return F.when(~F.isnan(value), value * scale)
+    loose = F.regexp_extract(F.regexp_replace(cleaned, "%?[亿万千]?$", ""), r"[-+]?\d+(?:\.\d+)?", 0).try_cast("double")
+    # Plain numbers, the usual case, are settled by the first cast alone.
+    value = F.coalesce(cleaned.try_cast("double"), loose * scale)
+    return F.when(~F.isnan(value), value)
 
 
 def lookup(key: Column, table: dict, default: Column | None = None) -> Column:

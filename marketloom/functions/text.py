@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
+from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import numpy as np
@@ -54,24 +55,52 @@ def content_hash(text: Column) -> Column:
     return F.sha2(text, 256)
 
 
-def _signature(text: str) -> int:
+class _GramBits:
+    """Sign bits (+1 or -1) of the low md5 half of character 3-grams, remembered within one task.
+
+    A 3-gram is keyed by its three code points packed into one integer.
+    """
+
+    def __init__(self, limit: int = 200_000) -> None:
+        self.limit = limit
+        self.rows: dict[int, int] = {}
+        self.bits = np.empty((0, 64), dtype=np.int8)
+
+    def of(self, grams: np.ndarray) -> np.ndarray:
+        if len(self.rows) > self.limit:
+            self.__init__(self.limit)
+        unseen = [g for g in grams.tolist() if g not in self.rows]
+        if unseen:
+            mask = (1 << 21) - 1
+            texts = (chr(g >> 42) + chr(g >> 21 & mask) + chr(g & mask) for g in unseen)
+            halves = b"".join(_low_md5(t) for t in texts)
+            fresh = np.unpackbits(np.frombuffer(halves, dtype=np.uint8).reshape(-1, 8), axis=1).astype(np.int8) * 2 - 1
+            self.rows.update(zip(unseen, range(len(self.rows), len(self.rows) + len(unseen)), strict=True))
+            self.bits = np.concatenate([self.bits, fresh])
+        return self.bits[[self.rows[g] for g in grams.tolist()]]
+
+
+def _low_md5(text: str) -> bytes:
+    return hashlib.md5(text.encode(), usedforsecurity=False).digest()[8:]
+
+
+def _signature(text: str, known: _GramBits) -> int:
     """64 sign bits of the summed md5 bits of all character 3-grams."""
     if not text:
         return 0
-    grams: dict[str, int] = {}
-    for start in range(max(len(text) - 2, 1)):
-        gram = text[start : start + 3]
-        grams[gram] = grams.get(gram, 0) + 1
-    low_halves = b"".join(hashlib.md5(g.encode(), usedforsecurity=False).digest()[8:] for g in grams)
-    bits = np.unpackbits(np.frombuffer(low_halves, dtype=np.uint8).reshape(-1, 8), axis=1)
-    counts = np.fromiter(grams.values(), dtype=np.int64, count=len(grams))
-    balance = 2 * (bits.T.astype(np.int64) @ counts) - counts.sum()
+    if len(text) < 3:
+        return int.from_bytes(_low_md5(text), "big", signed=True)
+    points = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32).astype(np.int64)
+    grams, counts = np.unique(points[:-2] << 42 | points[1:-1] << 21 | points[2:], return_counts=True)
+    balance = counts @ known.of(grams)
     return int.from_bytes(np.packbits(balance > 0).tobytes(), "big", signed=True)
 
 
 @F.pandas_udf(T.LongType())
-def _signatures(text: pd.Series) -> pd.Series:
-    return text.map(_signature).astype("int64")
+def _signatures(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    known = _GramBits()
+    for texts in batches:
+        yield texts.map(lambda t: _signature(t, known)).astype("int64")
 
 
 def simhash64(text: Column) -> Column:

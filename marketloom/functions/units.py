@@ -45,11 +45,14 @@ def vwap(amount: Column, volume: Column) -> Column:
 
 def estimated_amount(open_: Column, high: Column, low: Column, close: Column, hands: Column) -> Column:
     """Mean of the quoted prices times volume in hands times 100 shares."""
-    prices = F.filter(
-        F.array(*[chinese_number(p) for p in (open_, high, low, close)]), lambda p: p.isNotNull()
+    prices = F.array(*[chinese_number(p) for p in (open_, high, low, close)])
+    mean = F.aggregate(
+        prices,
+        F.struct(F.lit(0.0).alias("total"), F.lit(0).alias("n")),
+        lambda acc, p: F.when(p.isNull(), acc).otherwise(F.struct((acc["total"] + p).alias("total"), (acc["n"] + 1).alias("n"))),
+        lambda acc: F.when(acc["n"] > 0, acc["total"] / acc["n"]),
     )
-    total = F.aggregate(prices, F.lit(0.0), lambda acc, p: acc + p)
-    return F.when(F.size(prices) > 0, total / F.size(prices) * chinese_number(hands) * 100.0)
+    return mean * chinese_number(hands) * 100.0
 
 
 def amount_or_estimate(actual: Column, estimate: Column) -> Column:

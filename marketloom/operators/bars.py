@@ -58,28 +58,33 @@ def query_bars(
     return trading_ready(found) if ready else found
 
 
-def _resolved_factors(bars: DataFrame, factors: DataFrame) -> DataFrame:
-    """Factors per (ticker, bar provider): the provider's own when it has any, else all providers'."""
-    named = factors.withColumn("factor_provider", F.col("effective_provider"))
-    owners = factors.select(*GROUP).distinct()
-    borrowers = bars.where("effective_provider is not null").select(*GROUP).distinct().join(owners, GROUP, "left_anti")
-    pooled = named.drop("effective_provider").join(borrowers, "ticker").select(*named.columns)
-    # Several providers may publish a factor on one day; the last provider by name decides.
-    return latest_by_key(named.unionByName(pooled), [*GROUP, "trade_date"], ["factor_provider"])
+POOLED = "*"
 
 
-def adjust_prices(bars: DataFrame, factors: DataFrame, adjust: str) -> DataFrame:
-    """Forward (qfq) or backward (hfq) adjusted view of raw bars for every ticker at once.
+def _keyed_factors(factors: DataFrame) -> DataFrame:
+    """Factors under their own provider and again under a pooled key, one per ticker, key and day.
 
-    Each bar takes the latest factor row at or before its date. A provider group in which
-    no bar found a factor takes the next factor row instead.
+    Several providers may publish a factor on one day; in the pool the last provider by name decides.
+    """
+    named = factors.withColumn("factor_provider", F.col("effective_provider")).drop("effective_provider")
+    keyed = named.withColumn("factor_key", F.explode(F.array("factor_provider", F.lit(POOLED))))
+    return latest_by_key(keyed, ["ticker", "factor_key", "trade_date"], ["factor_provider"])
+
+
+def adjust_prices(bars: DataFrame, factors: DataFrame, adjust: str, span: tuple[str, str]) -> DataFrame:
+    """Forward (qfq) or backward (hfq) adjusted view of the raw bars of a date span, for every ticker at once.
+
+    Each bar takes the latest factor row at or before its date, from its own provider if that has any
+    for the ticker, else from all providers. A provider group in which no bar found a factor takes the
+    next factor row instead.
     """
     if adjust not in ("qfq", "hfq"):
         return bars
+    owners = factors.select("ticker", "effective_provider").distinct().withColumn("_own", F.lit(True))
+    known = salted_join(bars.where("effective_provider is not null"), owners, GROUP)
+    probes = known.withColumn("factor_key", F.when(F.col("_own"), F.col("effective_provider")).otherwise(POOLED)).drop("_own")
     names = ["adj_factor", "fore_adjust_factor", "back_adjust_factor", "factor_method", "factor_provider"]
-    month = F.trunc("trade_date", "month")
-    known = bars.where("effective_provider is not null")
-    matched = asof_join(known, _resolved_factors(bars, factors), GROUP, "trade_date", names, month)
+    matched = asof_join(probes, _keyed_factors(factors), ["ticker", "factor_key"], "trade_date", names, span)
     own_factor = F.col("adj_factor") if "adj_factor" in bars.columns else F.lit(None).cast("double")
 
     def seen(side: str) -> list[Column]:
@@ -87,24 +92,19 @@ def adjust_prices(bars: DataFrame, factors: DataFrame, adjust: str) -> DataFrame
         fore, back = F.col(f"{side}.fore_adjust_factor"), F.col(f"{side}.back_adjust_factor")
         source = F.lower(F.concat_ws("|", f"{side}.factor_provider", f"{side}.factor_method"))
         return [
-            F.coalesce(F.bool_or(F.coalesce(adj, fore, back).isNotNull()), F.lit(False)).alias("any_factor"),
-            F.coalesce(F.bool_or(fore.isNotNull()), F.lit(False)).alias("any_fore"),
-            F.coalesce(F.bool_or(adj.isNotNull()), F.lit(False)).alias("any_adj"),
-            F.coalesce(F.bool_or(source.contains("baostock")), F.lit(False)).alias("direct"),
-            F.max_by(adj, F.when(adj.isNotNull(), F.col("trade_date"))).alias("last_adj"),
+            F.coalesce(F.bool_or(F.coalesce(adj, fore, back).isNotNull()), F.lit(False)).alias(f"{side}_any_factor"),
+            F.coalesce(F.bool_or(fore.isNotNull()), F.lit(False)).alias(f"{side}_any_fore"),
+            F.coalesce(F.bool_or(adj.isNotNull()), F.lit(False)).alias(f"{side}_any_adj"),
+            F.coalesce(F.bool_or(source.contains("baostock")), F.lit(False)).alias(f"{side}_direct"),
+            F.max_by(adj, F.when(adj.isNotNull(), F.col("trade_date"))).alias(f"{side}_last_adj"),
         ]
 
-    facts = ["any_factor", "any_fore", "any_adj", "direct", "last_adj"]
-    stats = matched.groupBy(*GROUP).agg(
-        *[c.alias(f"prev_{n}") for c, n in zip(seen("prev"), facts, strict=True)],
-        *[c.alias(f"next_{n}") for c, n in zip(seen("next"), facts, strict=True)],
-    )
-    owned = _ticker_has_factor(factors)
-    group = stats.join(owned, "ticker", "left").select(
+    facts = ["any_fore", "any_adj", "direct", "last_adj"]
+    stats = matched.groupBy(*GROUP).agg(*seen("prev"), *seen("next"))
+    group = stats.select(
         *GROUP,
-        F.coalesce("has_factor", F.lit(False)).alias("has_factor"),
         F.col("prev_any_factor").alias("backward"),
-        *[F.when(F.col("prev_any_factor"), F.col(f"prev_{n}")).otherwise(F.col(f"next_{n}")).alias(n) for n in facts[1:]],
+        *[F.when(F.col("prev_any_factor"), F.col(f"prev_{n}")).otherwise(F.col(f"next_{n}")).alias(n) for n in facts],
     )
     rows = salted_join(matched, group, GROUP, "inner")
     pick = F.when(F.col("backward"), F.col("prev")).otherwise(F.col("next"))
@@ -115,7 +115,9 @@ def adjust_prices(bars: DataFrame, factors: DataFrame, adjust: str) -> DataFrame
         use_fore = F.col("any_fore") & (F.col("direct") | ~F.col("any_adj"))
         base = F.coalesce(F.nullif("last_adj", F.lit(0.0)), F.lit(1.0))
         factor = F.when(use_fore, pick["fore_adjust_factor"]).otherwise(adj / base)
-    applied = F.when(F.col("has_factor"), F.coalesce(factor, F.lit(1.0)))
+    # Intervals cover the whole span of every ticker with factors, so no interval means no factors.
+    has_factor = F.col("prev").isNotNull() | F.col("next").isNotNull()
+    applied = F.when(has_factor, F.coalesce(factor, F.lit(1.0)))
     prices = [p for p in PRICES if p in bars.columns]
     return rows.withColumn("applied_adjust_factor", applied).select(
         *[
@@ -126,22 +128,18 @@ def adjust_prices(bars: DataFrame, factors: DataFrame, adjust: str) -> DataFrame
         *[F.col(c).alias(f"raw_{c}") for c in prices],
         "applied_adjust_factor",
         F.lit(adjust).alias("adjust"),
-        F.when(F.col("has_factor"), "calculated_from_raw_bars_and_adj_factor")
+        F.when(F.col("applied_adjust_factor").isNotNull(), "calculated_from_raw_bars_and_adj_factor")
         .otherwise("no_adj_factor_available_raw_prices_returned")
         .alias("adjustment_source"),
     )
 
 
-def _ticker_has_factor(factors: DataFrame) -> DataFrame:
-    return factors.select("ticker").distinct().withColumn("has_factor", F.lit(True))
-
-
 def adjusted_bars(bars: DataFrame, factors: DataFrame, start: str, end: str, adjust: str, ready: bool = True) -> DataFrame:
     """Stored adjusted bars where a ticker has any in range, computed ones for all other tickers."""
     stored = query_bars(bars, start, end, adjust=adjust, ready=ready)
     raw = query_bars(bars, start, end, adjust="none", ready=ready)
     missing = raw.join(stored.select("ticker").distinct(), "ticker", "left_anti").select(*raw.columns)
-    return stored.unionByName(adjust_prices(missing, factors, adjust), allowMissingColumns=True)
+    return stored.unionByName(adjust_prices(missing, factors, adjust, (start, end)), allowMissingColumns=True)
 
 
 def rollup(ticks: DataFrame, keys: Sequence[str], sequence: str) -> DataFrame:
@@ -155,7 +153,7 @@ def rollup(ticks: DataFrame, keys: Sequence[str], sequence: str) -> DataFrame:
         exact_sum(F.col("amount")).alias("amount"),
     )
     return bars.withColumn(
-        "return_window", F.when(F.col("open") != 0, F.col("close") / F.col("open") - 1).otherwise(0.0)
+        "return_window", F.coalesce(F.try_divide("close", "open") - 1, F.lit(0.0))
     ).withColumn("vwap", F.try_divide("amount", "volume"))
 
 

@@ -14,48 +14,65 @@ from marketloom.functions.numbers import any_contains, contained, lookup, round_
 from marketloom.operators.hotkeys import first_by_key, latest_by_key, mark_first, running_total, salted_join
 
 
-def triage(
+def score_hits(
     hits: DataFrame, terms: Column, strong: Sequence[str] = fixed.STRONG_KEYWORDS, feedback: dict[str, float] | None = None
 ) -> DataFrame:
-    """Score, signals and decision of search hits.
+    """Source type, score and signals of search hits, without their texts.
 
-    ``hits`` has title, snippet, domain, rank, query_family and is_duplicate; ``terms`` is an
-    array column of the target's entity terms.
+    ``hits`` has title, snippet, domain, rank and query_family; ``terms`` is an array column of the
+    target's entity terms. All of it is row-local, so texts end here and are never shuffled.
     """
     text = F.col("_text")
     entities = F.size(F.filter(terms, lambda t: (t != "") & F.contains(text, t)))
     strong_hits = F.size(contained(text, strong))
     amount = text.rlike(fixed.AMOUNT_PATTERN)
+    found = {w: F.contains(text, F.lit(w)) for w in fixed.TRIAGE_KEYWORDS}
     kind = F.col("source_type")
     credible = kind.isin(fixed.HIGH_CREDIBILITY)
-    keyword_score = sum((F.when(F.contains(text, F.lit(w)), 6.0).otherwise(0.0) for w in fixed.TRIAGE_KEYWORDS), F.lit(0.0))
     base = (
-        F.when(entities > 0, 30.0 + 5.0 * F.least(entities, F.lit(3))).otherwise(0.0)
-        + F.when(amount, 20.0).otherwise(0.0)
-        + 6.0 * F.least(strong_hits, F.lit(4))
-        + keyword_score
+        F.when(F.col("_entities") > 0, 30.0 + 5.0 * F.least(F.col("_entities"), F.lit(3))).otherwise(0.0)
+        + F.when(F.col("_amount"), 20.0).otherwise(0.0)
+        + 6.0 * F.least(F.col("_strong"), F.lit(4))
+        + 6.0 * F.size("_keywords")
         + F.when(credible, 20.0).when(kind == "company", 10.0).otherwise(0.0)
         + F.greatest(F.lit(0), 10 - F.col("rank"))
         + F.when(F.coalesce("query_family", F.lit("")).startswith("source_pack:"), 8.0).otherwise(0.0)
     )
     weight = lookup(kind, feedback, F.lit(1.0)) if feedback else F.lit(1.0)
-    signals = F.filter(
-        F.array(
-            F.when(entities > 0, "target_entity_match"),
-            F.when(amount, "amount_mentioned"),
-            F.when(strong_hits > 0, "strong_fact_keyword"),
-            *[F.when(F.contains(text, F.lit(w)), s) for w, s in fixed.TRIAGE_KEYWORDS.items()],
-            F.when(credible, "high_credibility_source"),
-            F.when(F.col("is_duplicate"), "duplicate_url"),
+    keywords = F.filter(F.array(*[F.when(found[w], s) for w, s in fixed.TRIAGE_KEYWORDS.items()]), lambda s: s.isNotNull())
+    signals = F.concat(
+        F.filter(
+            F.array(
+                F.when(F.col("_entities") > 0, "target_entity_match"),
+                F.when(F.col("_amount"), "amount_mentioned"),
+                F.when(F.col("_strong") > 0, "strong_fact_keyword"),
+            ),
+            lambda s: s.isNotNull(),
         ),
-        lambda s: s.isNotNull(),
+        F.col("_keywords"),
+        F.when(credible, F.array(F.lit("high_credibility_source"))).otherwise(F.array().cast("array<string>")),
     )
-    score = F.col("_score")
+    kept = [c for c in hits.columns if c not in ("title", "snippet")]
     return (
         hits.withColumn("_text", F.concat_ws(" ", "title", "snippet"))
-        .withColumn("source_type", urls.source_type(F.col("domain")))
-        .withColumn("_score", base * weight)
-        .withColumn("matched_signals", signals)
+        .select(
+            *kept,
+            urls.source_type(F.col("domain")).alias("source_type"),
+            entities.alias("_entities"),
+            strong_hits.alias("_strong"),
+            amount.alias("_amount"),
+            keywords.alias("_keywords"),
+        )
+        .select(*kept, "source_type", (base * weight).alias("score"), signals.alias("matched_signals"))
+    )
+
+
+def decide_hits(scored: DataFrame) -> DataFrame:
+    """Read priority, decision and model need of scored hits that know whether they are duplicates."""
+    score = F.col("score")
+    signal = F.when(F.col("is_duplicate"), F.array(F.lit("duplicate_url"))).otherwise(F.array().cast("array<string>"))
+    return (
+        scored.withColumn("matched_signals", F.concat("matched_signals", signal))
         .withColumn("read_priority", round_half_up(score, 2))
         .withColumn(
             "triage_decision",
@@ -65,10 +82,17 @@ def triage(
             .otherwise("skip_for_now"),
         )
         .withColumn("need_model", (F.col("triage_decision") == "read") & (score >= fixed.TRIAGE_MODEL))
-        .drop("_text", "_score")
+        .drop("score")
     )
 
 
+def triage(
+    hits: DataFrame, terms: Column, strong: Sequence[str] = fixed.STRONG_KEYWORDS, feedback: dict[str, float] | None = None
+) -> DataFrame:
+    """Score, signals and decision of hits that carry an ``is_duplicate`` flag."""
+    return decide_hits(score_hits(hits, terms, strong, feedback))
+
+
 def call_trigger(need_model: Column, signals: Column, source_type: Column) -> Column:
     """First reason for which a model is called on a link, null when none applies."""
     relation = F.arrays_overlap(signals, F.array(*[F.lit(s) for s in fixed.RELATION_SIGNALS]))

@@ -114,15 +114,27 @@ def vote(weighted: DataFrame) -> DataFrame:
     ).drop("_score")
 
 
+def _medians(weighted: DataFrame, keys: Sequence[str], blocks: dict[str, Column]) -> DataFrame:
+    """Lower weighted medians of several columns at once, as one column each.
+
+    The columns become rows under a metric key, so the contributions are read once for all of them.
+    """
+    points = F.array(
+        *[F.struct(F.lit(n).alias("metric"), F.col(n).alias("value"), b.cast("long").alias("_cell")) for n, b in blocks.items()]
+    )
+    long = weighted.select(*keys, "effective_weight", F.explode(points).alias("_p")).select(*keys, "effective_weight", "_p.*")
+    found = weighted_median(long, [*keys, "metric"], "value", "effective_weight", F.col("_cell"))
+    return found.groupBy(*keys).agg(*[F.max(F.when(F.col("metric") == n, F.col("value"))).alias(n) for n in blocks])
+
+
 def merge_scores(weighted: DataFrame) -> DataFrame:
     """Lower weighted medians of overall score and confidence per link."""
-    overall = weighted_median(
-        weighted, ["link_id"], "overall_score", "effective_weight", F.floor("overall_score")
-    ).withColumn("overall_score", round_half_up(F.col("overall_score"), 1))
-    confidence = weighted_median(
-        weighted, ["link_id"], "confidence", "effective_weight", F.floor(F.col("confidence") * 20)
-    ).withColumn("confidence", round_half_up(F.col("confidence"), 3))
-    return overall.join(confidence, "link_id", "full_outer")
+    blocks = {"overall_score": F.floor("overall_score"), "confidence": F.floor(F.col("confidence") * 20)}
+    return (
+        _medians(weighted, ["link_id"], blocks)
+        .withColumn("overall_score", round_half_up(F.col("overall_score"), 1))
+        .withColumn("confidence", round_half_up(F.col("confidence"), 3))
+    )
 
 
 def decision_gate(decision: Column, overall: Column) -> Column:
@@ -163,9 +175,8 @@ def cluster_events(events: DataFrame) -> DataFrame:
         (F.min("direction") != F.max("direction")).alias("direction_conflict"),
         F.min("direction").alias("_direction"),
     )
-    amounts = weighted_median(rows, keys, "amount", "effective_weight", F.floor("amount"))
-    confidences = weighted_median(rows, keys, "confidence", "effective_weight", F.floor(F.col("confidence") * 20))
-    joined = clusters.join(amounts, keys, "left").join(confidences, keys, "left")
+    medians = _medians(rows, keys, {"amount": F.floor("amount"), "confidence": F.floor(F.col("confidence") * 20)})
+    joined = clusters.join(medians, keys, "left")
     amount_conflict = F.coalesce("amount_conflict", F.lit(False))
     direction_conflict = F.coalesce("direction_conflict", F.lit(False))
     return (

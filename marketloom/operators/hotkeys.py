@@ -83,50 +83,72 @@ def running_total(
     )
 
 
-def asof_join(
-    left: DataFrame, right: DataFrame, keys: Sequence[str], time: str, fields: Sequence[str], block: Column
+def asof_intervals(
+    right: DataFrame, keys: Sequence[str], time: str, fields: Sequence[str], span: tuple[str, str], unit: str = "month"
 ) -> DataFrame:
-    """Attach the nearest right row at or before (``prev``) and at or after (``next``) each left row.
+    """Validity intervals of a slowly changing side, cut at calendar blocks.
 
-    ``right`` has one row per key and time. Both sides meet in one shuffle on
-    (keys, block of ``time``); what lies beyond a block comes from one summary row per block.
+    ``right`` has one row per key and time. Every row rules from its time until the next row of its
+    key; what lies before the first row forms an interval of its own. Each result row has the block,
+    ``_from`` and ``_until``, the ruling row ``_ruling`` and the one after it ``_following``. Only blocks
+    of the span are produced, so a key has as many rows as it has changes and blocks.
     """
-    payload = F.struct(F.col(time), *fields)
-    kind = right.select(payload.alias("p")).schema["p"].dataType
-    cells = F.struct(*[F.col(c) for c in left.columns])
-    row_kind = left.select(cells.alias("r")).schema["r"].dataType
-    at = [*keys, time, block.alias("_block")]
-    events = right.select(*at, F.lit(0).alias("_side"), payload.alias("_p"), F.lit(None).cast(row_kind).alias("_row"))
-    probes = left.select(*at, F.lit(1).alias("_side"), F.lit(None).cast(kind).alias("_p"), cells.alias("_row"))
-    both = events.unionByName(probes)
-
-    matched_time = F.when(F.col("_p").isNotNull(), F.col(time))
-    edges = both.groupBy(*keys, "_block").agg(
-        F.max_by("_p", matched_time).alias("_last"), F.min_by("_p", matched_time).alias("_first")
-    )
-    up, down = Window.partitionBy(*keys).orderBy("_block"), Window.partitionBy(*keys).orderBy(F.desc("_block"))
-    others = (Window.unboundedPreceding, -1)
-    carried = edges.select(
+    row = F.struct(F.col(time), *fields)
+    ordered = Window.partitionBy(*keys).orderBy(time)
+    start, end = (F.lit(d).cast("timestamp") for d in span)
+    rows = right.select(
         *keys,
-        "_block",
-        F.last("_last", ignorenulls=True).over(up.rowsBetween(*others)).alias("_before"),
-        F.last("_first", ignorenulls=True).over(down.rowsBetween(*others)).alias("_after"),
+        F.col(time).cast("timestamp").alias("_from"),
+        F.lead(F.col(time).cast("timestamp")).over(ordered).alias("_until"),
+        row.alias("_ruling"),
+        F.lead(row).over(ordered).alias("_following"),
+        F.row_number().over(ordered).alias("_n"),
     )
-    inside = Window.partitionBy(*keys, "_block")
-    so_far = (Window.unboundedPreceding, 0)
-    scanned = both.withColumn(
-        "_prev", F.last("_p", ignorenulls=True).over(inside.orderBy(time, "_side").rowsBetween(*so_far))
-    ).withColumn(
-        "_next", F.last("_p", ignorenulls=True).over(inside.orderBy(F.desc(time), "_side").rowsBetween(*so_far))
+    kind = rows.schema["_ruling"].dataType
+    before = F.struct(
+        F.lit(None).cast("timestamp").alias("_from"),
+        F.col("_from").alias("_until"),
+        F.lit(None).cast(kind).alias("_ruling"),
+        F.col("_ruling").alias("_following"),
     )
-    return (
-        scanned.where("_side = 1")
-        .join(carried, [*keys, "_block"])
-        .select(
-            "_row.*",
-            F.coalesce("_prev", "_before").alias("prev"),
-            F.coalesce("_next", "_after").alias("next"),
-        )
+    own = F.struct("_from", "_until", "_ruling", "_following")
+    pieces = rows.select(*keys, F.explode(F.when(F.col("_n") == 1, F.array(before, own)).otherwise(F.array(own))).alias("_i"))
+    pieces = pieces.select(*keys, "_i.*").where(
+        (F.col("_from").isNull() | (F.col("_from") <= end)) & (F.col("_until").isNull() | (F.col("_until") > start))
+    )
+    first = F.date_trunc(unit, F.greatest(start, F.col("_from")))
+    last = F.date_trunc(unit, F.least(end, F.col("_until")))
+    blocks = F.sequence(first, last, F.expr(f"INTERVAL 1 {unit.upper()}"))
+    return pieces.withColumn("_block", F.explode(blocks))
+
+
+def asof_join(
+    left: DataFrame,
+    right: DataFrame,
+    keys: Sequence[str],
+    time: str,
+    fields: Sequence[str],
+    span: tuple[str, str],
+    unit: str = "month",
+) -> DataFrame:
+    """Attach the nearest right row at or before (``prev``) and at or after (``next``) each left row of the span.
+
+    The large left side meets the intervals on (keys, block) in a plain equi-join: it is neither sorted
+    nor gathered per key, a small right side is broadcast once its size is known at run time, and a hot
+    key is spread over its blocks.
+    """
+    at = F.col(time).cast("timestamp")
+    intervals = asof_intervals(right, keys, time, fields, span, unit).withColumnsRenamed({k: f"_r_{k}" for k in keys})
+    probes = left.withColumn("_at", at).withColumn("_b", F.date_trunc(unit, at))
+    same = (F.col("_b") == F.col("_block")) & F.coalesce(F.col("_at") >= F.col("_from"), F.lit(True))
+    same = same & F.coalesce(F.col("_at") < F.col("_until"), F.lit(True))
+    for key in keys:
+        same = same & (F.col(key) == F.col(f"_r_{key}"))
+    exact = F.col("_at") == F.col("_from")
+    return probes.join(intervals, same, "left").select(
+        *left.columns,
+        F.col("_ruling").alias("prev"),
+        F.when(exact, F.col("_ruling")).otherwise(F.col("_following")).alias("next"),
     )
 
 

@@ -268,8 +268,13 @@ WITHOUT_IDENTITY = ("trade_calendar", "index", "index_bar")
 
 
 def raw_value(raw: Column, *aliases: str) -> Column:
-    """First present alias of a raw row held as a map of text."""
-    return numbers.present(*[F.try_element_at(raw, F.lit(a)) for a in aliases])
+    """First alias that a raw row, held as a map of non-empty texts, carries."""
+    return F.coalesce(*[F.try_element_at(raw, F.lit(a)) for a in aliases])
+
+
+def present_values(raw: Column) -> Column:
+    """A raw row without its null and empty values."""
+    return F.map_filter(raw, lambda _, value: value.isNotNull() & (value != ""))
 
 
 def _read(spec: Field, provider: Column) -> Column:
@@ -299,6 +304,7 @@ def standardise(raw_rows: DataFrame, record_type: str) -> DataFrame:
     raw_payload_id, raw_payload_ref, raw_row_index, request_id, ingested_at. Aliases are resolved
     to one text column per field first, then converted, which keeps both projections small.
     """
+    raw_rows = raw_rows.withColumn("raw", present_values(F.col("raw")))
     raw = F.col("raw")
     fields = RECORD_FIELDS[record_type]
     texts = {f"_t_{f.name}": raw_value(raw, *f.aliases) for f in fields}
@@ -470,17 +476,23 @@ def expand_calendar(days: DataFrame, exchanges: Sequence[str] = ("SSE", "SZSE",
     return expanded.withColumn("calendar_derivation", derived).dropDuplicates(["exchange", "calendar_date"])
 
 
-def split_kline(line: Column) -> Column:
-    """Named money-flow numbers of one comma-separated daily line; null when it is too short."""
-    # Positions of the fields in the line.
-    places = {
-        "main_net_inflow": 1, "small_net_inflow": 2, "medium_net_inflow": 3, "large_net_inflow": 4,
-        "super_large_net_inflow": 5, "main_net_inflow_ratio": 6, "close": 11, "pct_change": 12,
-    }
+# Positions of the numbers in a comma-separated daily money-flow line.
+KLINE_PLACES = {
+    "main_net_inflow": 1, "small_net_inflow": 2, "medium_net_inflow": 3, "large_net_inflow": 4,
+    "super_large_net_inflow": 5, "main_net_inflow_ratio": 6, "close": 11, "pct_change": 12,
+}
+
+
+def split_klines(rows: DataFrame, line: str) -> DataFrame:
+    """Trade date and named numbers of comma-separated daily lines; null where a line is too short."""
     parts = F.split(line, ",")
-    parsed = F.transform(parts, numbers.chinese_number)
-    values = [F.get(parsed, F.lit(i)).alias(n) for n, i in places.items()]
-    return F.when(F.size(parts) >= 13, F.struct(times.flexible_date(F.get(parts, F.lit(0))).alias("trade_date"), *values))
+    return (
+        rows.withColumn("_parts", F.when(F.size(parts) >= 13, parts))
+        .withColumn("_numbers", F.transform("_parts", numbers.chinese_number))
+        .withColumn("trade_date", times.flexible_date(F.get("_parts", F.lit(0))))
+        .withColumns({name: F.get("_numbers", F.lit(place)) for name, place in KLINE_PLACES.items()})
+        .drop("_parts", "_numbers")
+    )
 
 
 def coalesce_endpoints(rows: DataFrame, keys: Sequence[str], order: str, values: Sequence[str]) -> DataFrame:

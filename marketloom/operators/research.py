@@ -160,12 +160,10 @@ def golden_matches(golden: DataFrame, events: DataFrame, links: DataFrame) -> Da
         (no_words | F.exists("keywords", lambda w: F.contains(F.col("summary"), w)))
         & (no_types | F.array_contains("source_types", F.col("source_type")))
     )
-    free = candidates.where(F.size("expected_variables") == 0)
-    wanted = candidates.where(F.size("expected_variables") > 0).withColumn("tracking_variable", F.explode("expected_variables"))
-    linked = wanted.join(links.select("event_id", "tracking_variable"), ["event_id", "tracking_variable"], "left_semi")
+    linked = candidates.join(links.select("event_id", "tracking_variable"), "event_id", "left")
+    any_variable = F.size("expected_variables") == 0
     best = (
-        free.select("expected_event_id", "confidence", "event_id")
-        .unionByName(linked.select("expected_event_id", "confidence", "event_id"))
+        linked.where(any_variable | F.array_contains("expected_variables", F.col("tracking_variable")))
         .groupBy("expected_event_id")
         .agg(F.max(F.struct("confidence", (-F.col("event_id")).alias("_n"), "event_id")).alias("_b"))
         .select("expected_event_id", F.col("_b.event_id").alias("matched_event_id"))

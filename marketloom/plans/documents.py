@@ -52,7 +52,8 @@ def content_hashes(v):
 def _simhash_sql() -> str:
     bits = ", ".join(f"sum(n * (2 * cast((h >> {i}) & 1 as int) - 1)) as b{i}" for i in range(64))
     return f"""with t as (select doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) as s from documents),
-    g as (select doc_id, substr(s, cast(i as bigint), 3) as gram, count(*) as n from t, unnest(generate_series(1, greatest(length(s) - 2, 1))) x(i) group by 1, 2),
+    u as (select doc_id, unnest(list_transform(range(1, greatest(length(s) - 2, 1) + 1), lambda i: substr(s, i, 3))) as gram from t),
+    g as (select doc_id, gram, count(*) as n from u group by 1, 2),
     h as (select doc_id, n, cast('0x' || substr(md5(gram), 17, 16) as ubigint) as h from g),
     s as (select doc_id, {bits} from h group by 1)
     """
@@ -146,9 +147,9 @@ y as (select *, {r("score", 2)} as read_priority, case when is_duplicate then 'l
 
 
 def _triaged(v):
-    hits = documents.mark_duplicates(v.hits(), "content_hash", "doc_id")
     terms = F.array(*[F.lit(t) for t in ENTITY_TERMS])
-    return documents.triage(hits, terms, STRONG_TERMS, {"media": 0.9})
+    scored = documents.score_hits(v.hits(), terms, STRONG_TERMS, {"media": 0.9})
+    return documents.decide_hits(documents.mark_duplicates(scored, "content_hash", "doc_id"))
 
 
 @query(

@@ -74,12 +74,12 @@ def _shown(adjusted):
 @query("J1 J2 J3 W8 P7", "v_bars v_fact", _ADJUST.format(ready=_READY, factor=_QFQ))
 def adjusted_bars_qfq(v):
     ready = bars.query_bars(v.bars(), *RANGE, ready=True)
-    return _shown(bars.adjust_prices(ready, v.factors(), "qfq"))
+    return _shown(bars.adjust_prices(ready, v.factors(), "qfq", RANGE))
 
 
 @query("J1 J2 J3", "v_bars v_fact", _ADJUST.format(ready="", factor=_HFQ))
 def adjusted_bars_hfq(v):
-    return _shown(bars.adjust_prices(bars.query_bars(v.bars(), *RANGE), v.factors(), "hfq"))
+    return _shown(bars.adjust_prices(bars.query_bars(v.bars(), *RANGE), v.factors(), "hfq", RANGE))
 
 
 _STORED = """
@@ -329,7 +329,7 @@ def suspension_grid(v):
     f"""with px as (select user_id, trade_date, max_by(value, event_id) as price from v_events group by all),
     fx as (select trade_date, 0.8::double + cast(count(*) % 10 as double) / 100 as rate from v_events group by all)
     select a.user_id as a_id, cast(a.trade_date as varchar) as trade_date,
-           {r("(a.price * fx.rate / h.price - 1.0::double) * 100", 4)} as ah_premium_pct
+           case when a.price <> 0 and h.price <> 0 then {r("(a.price * fx.rate / nullif(h.price, 0) - 1.0::double) * 100", 4)} end as ah_premium_pct
     from px a join px h on a.user_id % 2 = 0 and h.user_id = a.user_id + 1 and h.trade_date = a.trade_date
     join fx on fx.trade_date = a.trade_date""",
 )
@@ -529,16 +529,10 @@ def money_flow_lines(v):
     head = F.concat_ws(",", F.date_format("trade_date", "yyyy年MM月dd日"), value, F.concat(value, F.lit("万")))
     tail = F.concat_ws(",", *[F.lit("1")] * 3, F.concat(F.col("k").cast("string"), F.lit("%")), *[F.lit("2")] * 6)
     line = F.when(F.col("event_id") % 9 != 0, F.concat_ws(",", head, tail)).otherwise(head)
-    parts = e.withColumn("_p", normalize.split_kline(line))
     bought, sold = F.when(F.col("k") % 2 == 0, F.col("value")), F.when(F.col("k") % 3 == 0, F.col("confidence"))
-    return parts.select(
-        "event_id",
-        F.col("_p.trade_date").cast("string").alias("trade_date"),
-        "_p.main_net_inflow",
-        "_p.small_net_inflow",
-        "_p.main_net_inflow_ratio",
-        units.net_inflow(bought, sold).alias("net"),
-    )
+    rows = e.select("event_id", line.alias("line"), units.net_inflow(bought, sold).alias("net"))
+    day = F.col("trade_date").cast("string").alias("trade_date")
+    return normalize.split_klines(rows, "line").select("event_id", day, "main_net_inflow", "small_net_inflow", "main_net_inflow_ratio", "net")
 
 
 @query(

@@ -74,7 +74,7 @@ def stream_sliding_amounts(v):
     f"""with c as (select ticker, trade_date, lag(close) over (partition by ticker order by trade_date) as pc from v_daily),
     j as (select e.event_id, e.value as price, c.pc, case when is_st then 0.05::double when regexp_matches(split_part(e.ticker, '.', 1), '^(688|300|301)') then 0.2::double
        when regexp_matches(split_part(e.ticker, '.', 1), '^[48]') and length(split_part(e.ticker, '.', 1)) = 6 then 0.3::double else 0.1::double end as p
-       from v_events e join c using (ticker, trade_date) join v_status using (ticker) where pc is not null),
+       from v_events e join c using (ticker, trade_date) join v_status using (ticker) where pc <> 0),
     a as (select event_id, concat_ws('|', case when abs(price / pc - 1) >= 0.02::double then 'return' end, case when price >= {r("pc * (1 + p)", 2)} - 1e-6::double then 'limit_up' end,
        case when price <= {r("pc * (1 - p)", 2)} + 1e-6::double then 'limit_down' end) as reasons from j)
     select * from a where reasons <> ''""",

@@ -112,11 +112,11 @@ def price_alerts(ticks: DataFrame, closes: DataFrame, limits: dict[str, float] |
     ``closes`` is a static table with one row per ticker and day: prev_close and is_st.
     """
     bounds = limits or fixed.FEATURE_THRESHOLDS
-    joined = ticks.join(closes, ["ticker", "trade_date"])
+    joined = ticks.join(closes, ["ticker", "trade_date"]).where("prev_close <> 0")
     pct = market.limit_pct(F.col("ticker"), F.col("is_st"))
     up = market.limit_price(F.col("prev_close"), pct, True)
     down = market.limit_price(F.col("prev_close"), pct, False)
-    rows = joined.withColumn("day_return", F.col("price") / F.col("prev_close") - 1)
+    rows = joined.withColumn("day_return", F.try_divide("price", "prev_close") - 1)
     reasons = F.filter(
         F.array(
             F.when(F.abs("day_return") >= bounds["return_abs"], "return"),

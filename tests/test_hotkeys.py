@@ -51,17 +51,20 @@ def test_running_total(frame, rows, block):
     assert got == want
 
 
-@pytest.mark.parametrize("block", [1, 8, 1000])
-def test_asof_join(spark, frame, rows, block):
+@pytest.mark.parametrize("unit", ["day", "month"])
+def test_asof_join(spark, frame, rows, unit):
     rng = random.Random(3)
-    right = {(k, t): rng.random() for k in ("hot", "a", "zz") for t in rng.sample(range(600), 25)}
-    events = spark.createDataFrame([(k, t, x) for (k, t), x in right.items()], "k string, n long, x double")
-    joined = asof_join(frame, events, ["k"], "n", ["x"], F.floor(F.col("n") / block)).collect()
+    origin = F.lit("2026-01-01").cast("date")
+    right = {(k, t): rng.random() for k in ("hot", "a", "zz") for t in rng.sample(range(-40, 640), 25)}
+    events = spark.createDataFrame([(k, t, x) for (k, t), x in right.items()], "k string, t int, x double")
+    events = events.withColumn("d", F.date_add(origin, F.col("t")))
+    probes = frame.withColumn("d", F.date_add(origin, F.col("n").cast("int")))
+    joined = asof_join(probes, events, ["k"], "d", ["t", "x"], ("2026-01-01", "2027-12-31"), unit).collect()
     assert len(joined) == len(rows)
     for r in joined:
         before = max((t for k, t in right if k == r.k and t <= r.n), default=None)
         after = min((t for k, t in right if k == r.k and t >= r.n), default=None)
-        assert (r.prev.n if r.prev else None) == before and (r.next.n if r.next else None) == after
+        assert (r.prev.t if r.prev else None) == before and (r.next.t if r.next else None) == after
         assert before is None or r.prev.x == right[(r.k, before)]
 
 

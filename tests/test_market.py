@@ -20,7 +20,7 @@ def bar(provider, n, close, quality=0.9, status="validated", adjust="none"):
 
 
 def adjusted(spark, bar_rows, factor_rows, adjust="qfq"):
-    out = bars.adjust_prices(spark.createDataFrame(bar_rows, BAR), spark.createDataFrame(factor_rows, FACTOR), adjust)
+    out = bars.adjust_prices(spark.createDataFrame(bar_rows, BAR), spark.createDataFrame(factor_rows, FACTOR), adjust, ("2026-05-01", "2026-05-31"))
     return sorted(out.collect(), key=lambda r: (r.effective_provider, r.trade_date))
 
 
