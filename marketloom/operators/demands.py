@@ -124,42 +124,44 @@ def phase_allowed(phase: Column, task: str) -> Column:
     return F.when(phase == "intraday", True).when(phase == "non_trading_day", False).otherwise(F.lit(lenient))
 
 
-def expected_work(targets: DataFrame, as_of: str = "as_of") -> DataFrame:
-    """Task rows every target should have at a moment, with bucket start and stable key.
+def expected_work(targets: DataFrame) -> DataFrame:
+    """Task rows that every (demand, target) should have at a moment, with bucket start and stable key.
 
-    ``targets`` has demand_id, target_id, ticker, pool_layer, sellability, market_phase and the moment.
+    ``targets`` has demand_id, demand_type, target_id, ticker, pool_layer, sellability, market_phase, the
+    local moment ``as_of`` and the flags collect_mic, collect_stock and collect_hk_connect. Bucketed tasks
+    are keyed by their bucket, daily ones by the date, so repeated planning yields the same keys.
     """
-    layer, sell = F.col("pool_layer"), F.col("sellability")
-    task = F.struct
+    layer, sell, phase, kind = F.col("pool_layer"), F.col("sellability"), F.col("market_phase"), F.col("demand_type")
+    none = F.lit(None).cast("int")
+    intraday, candidate, context = (kind == k for k in ("intraday_monitoring", "candidate_full_snapshot", "market_context_daily"))
+    scan = kind == "black_swan_scan"
+    research = ~(intraday | candidate | context | scan)
+    after_close = (kind == "daily_collection") & phase.isin("post_market", "off_hours")
+    hk = F.coalesce(F.upper("ticker").endswith(".HK"), F.lit(False))
+    snapshot_due = phase_allowed(phase, "snapshot") & snapshot_eligible(layer, sell)
+
+    def rule(name: str, minutes: Column, due: Column) -> Column:
+        return F.struct(F.lit(fixed.TASKS[name]).alias("task_type"), minutes.cast("int").alias("minutes"), due.alias("due"))
+
     rules = F.array(
-        task(
-            F.lit("intraday_snapshot").alias("task_type"),
-            snapshot_minutes(layer, sell).alias("minutes"),
-            (phase_allowed(F.col("market_phase"), "snapshot") & snapshot_eligible(layer, sell)).alias("due"),
-        ),
-        task(
-            F.lit("black_swan_scan").alias("task_type"),
-            black_swan_minutes(layer, sell).alias("minutes"),
-            phase_allowed(F.col("market_phase"), "black_swan").alias("due"),
-        ),
-        task(
-            F.lit("stock_refresh").alias("task_type"), F.lit(1440).alias("minutes"), F.col("ticker").isNotNull().alias("due")
-        ),
-        task(
-            F.lit("hk_connect_snapshot").alias("task_type"),
-            F.lit(1440).alias("minutes"),
-            F.coalesce(F.upper("ticker").endswith(".HK"), F.lit(False)).alias("due"),
-        ),
+        rule("snapshot", snapshot_minutes(layer, sell), intraday & snapshot_due),
+        rule("black_swan", black_swan_minutes(layer, sell), intraday & phase_allowed(phase, "black_swan")),
+        rule("black_swan", none, scan & F.col("collect_mic")),
+        rule("candidate", none, candidate),
+        rule("deep", none, candidate | (research & F.col("collect_mic"))),
+        rule("context", none, context),
+        rule("stock", none, after_close & F.col("ticker").isNotNull() & F.col("collect_stock")),
+        rule("hk", none, after_close & hk & F.col("collect_hk_connect")),
     )
     rows = targets.withColumn("_r", F.explode(F.filter(rules, lambda r: r["due"])))
-    bucket = F.date_format(times.minute_bucket(F.col(as_of), F.col("_r.minutes")), "yyyy-MM-dd'T'HH:mm:ss")
+    bucket = F.date_format(times.minute_bucket(F.col("as_of"), F.col("_r.minutes")), "yyyy-MM-dd'T'HH:mm:ss")
+    start = F.when(F.col("_r.minutes").isNotNull(), F.concat(bucket, F.lit(fixed.MARKET_UTC_OFFSET)))
+    target = F.coalesce("target_id", "ticker", F.lit("targetless"))
+    slot = F.coalesce("bucket_start", F.date_format("as_of", "yyyy-MM-dd"))
     return (
         rows.withColumn("task_type", F.col("_r.task_type"))
-        .withColumn("bucket_start", bucket)
-        .withColumn(
-            "task_key",
-            joined_key(F.lit("collection_task"), F.col("demand_id"), F.col("task_type"), F.col("target_id"), F.col("bucket_start")),
-        )
+        .withColumn("bucket_start", start)
+        .withColumn("task_key", joined_key(F.lit("collection_task"), F.col("demand_id"), F.col("task_type"), target, slot))
         .drop("_r")
         .dropDuplicates(["task_key"])
     )
@@ -270,10 +272,11 @@ def recommended_mode(usable: Column, status_available: Column) -> Column:
     )
 
 
-def preferred_frequency(usable: Column, fallback: Sequence[str] = ("5m", "15m"), default: str | None = "15m") -> Column:
-    """First usable frequency of the fallback order; the default when nothing was verified."""
-    first = F.try_element_at(F.filter(F.array(*[F.lit(f) for f in fallback]), lambda f: F.array_contains(usable, f)), F.lit(1))
-    return F.when(usable.isNull(), F.lit(default)).otherwise(first)
+def preferred_frequency(usable: Column, fallback: Sequence[str] = ("5m", "15m", "none"), default: str | None = "15m") -> Column:
+    """First usable frequency of the fallback order; ``none`` ends it without one, else the default applies."""
+    choices = [F.lit(f) for f in fallback if f != "none"]
+    first = F.try_element_at(F.filter(F.array(*choices), lambda f: F.coalesce(F.array_contains(usable, f), F.lit(False))), F.lit(1))
+    return first if "none" in fallback else F.coalesce(first, F.lit(default))
 
 
 def liveness(age_seconds: Column) -> Column:

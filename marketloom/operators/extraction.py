@@ -59,11 +59,11 @@ def check_evidence(claims: DataFrame, passages: DataFrame) -> DataFrame:
     rows = claims.join(known, ["link_id", "passage_id"], "left").join(linked, "link_id", "left")
     cited = F.coalesce(F.col("passage_id"), F.lit("")) != ""
     unknown = F.col("_has").isNotNull() & cited & F.col("_known").isNull()
-    unsupported = (
-        F.col("_known").isNotNull()
-        & (F.coalesce("claimed", F.lit("")) != "")
-        & ~F.contains(F.col("_text"), F.col("claimed"))
-    )
+    claim, stated = F.col("claimed"), F.coalesce("claimed", F.lit(""))
+    # A decimal number counts as found without its trailing zeros too.
+    short = F.when(claim.rlike(r"^-?\d+\.\d+$"), F.regexp_replace(claim, r"\.?0+$", "")).otherwise(claim)
+    found = F.contains(F.col("_text"), claim) | F.contains(F.col("_text"), short)
+    unsupported = F.col("_known").isNotNull() & ~stated.isin("", "0", "0.0") & ~found
     confidence = F.col("confidence")
     lowered = (
         F.when(unknown & (confidence > fixed.UNKNOWN_PASSAGE_FLOOR), round_half_up(confidence * fixed.UNKNOWN_PASSAGE_FACTOR, 3))

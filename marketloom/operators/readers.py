@@ -78,31 +78,20 @@ def counts_by(rows: DataFrame, dimensions: dict[str, Column]) -> DataFrame:
     return counted.select("dimension", F.coalesce(*names).alias("group_key"), "rows")
 
 
-def daily_report(events: DataFrame, features: DataFrame, gaps: DataFrame, day_from: str, day_until: str) -> DataFrame:
-    """Counts of one local day per section and group, as long rows.
+def daily_report(sections: dict[str, tuple[DataFrame, Column]], day_from: str, day_until: str) -> DataFrame:
+    """Row counts of one local day per section and group, as long rows.
 
-    The day is a UTC half-open range, so the filter reaches every scan.
+    Each section names a table with a ``created_at`` time and the column to group by. The day is a UTC
+    half-open range, so the filter reaches every scan.
     """
-
-    def of_day(rows: DataFrame) -> DataFrame:
-        moment = F.col("created_at")
-        return rows.where((moment >= F.lit(day_from).cast(rows.schema["created_at"].dataType))
-                          & (moment < F.lit(day_until).cast(rows.schema["created_at"].dataType)))
-
-    def section(rows: DataFrame, name: str, key: Column) -> DataFrame:
-        return of_day(rows).groupBy(key.cast("string").alias("group_key")).agg(F.count("*").alias("rows")).select(
-            F.lit(name).alias("section"), F.coalesce("group_key", F.lit("unknown")).alias("group_key"), "rows"
-        )
-
-    parts = [
-        section(events, "events_by_type", F.col("event_type")),
-        section(events, "events_by_source", F.col("source_type")),
-        section(features, "features_by_window", F.col("feature_window")),
-        section(gaps, "gaps_by_priority", F.col("priority")),
-    ]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
+    out = None
+    for name, (rows, key) in sections.items():
+        kind = rows.schema["created_at"].dataType
+        start, end = F.lit(day_from).cast(kind), F.lit(day_until).cast(kind)
+        of_day = rows.where((F.col("created_at") >= start) & (F.col("created_at") < end))
+        counted = of_day.groupBy(F.coalesce(key.cast("string"), F.lit("unknown")).alias("group_key")).agg(F.count("*").alias("rows"))
+        part = counted.select(F.lit(name).alias("section"), "group_key", "rows")
+        out = part if out is None else out.unionByName(part)
     return out
 
 

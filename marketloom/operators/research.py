@@ -34,8 +34,13 @@ def direction_of(text: Column) -> Column:
     )
 
 
-def keyword_candidates(events: DataFrame, text: Column, rules: dict[str, Sequence[str]]) -> DataFrame:
-    """Pending candidate links from keyword rules; confidence grows with the matches up to 0.6."""
+def keyword_candidates(
+    events: DataFrame, text: Column, rules: dict[str, Sequence[str]], allowed: Column | None = None
+) -> DataFrame:
+    """Pending candidate links from keyword rules; confidence grows with the matches up to 0.6.
+
+    ``allowed`` is an array column of the target's declared variables; without any, no rule fires.
+    """
     lowered = F.lower(text)
 
     def candidate(variable: str, words: Sequence[str]) -> Column:
@@ -44,6 +49,8 @@ def keyword_candidates(events: DataFrame, text: Column, rules: dict[str, Sequenc
         return F.struct(F.lit(variable).alias("tracking_variable"), hits.alias("hits"))
 
     found = F.filter(F.array(*[candidate(v, w) for v, w in rules.items()]), lambda c: F.size(c["hits"]) > 0)
+    if allowed is not None:
+        found = F.filter(found, lambda c: F.array_contains(allowed, c["tracking_variable"]))
     return (
         events.withColumn("_text", lowered)
         .withColumn("direction", direction_of(F.col("_text")))

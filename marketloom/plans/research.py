@@ -410,24 +410,35 @@ def pool_cadence(v):
 
 
 _WORK_SQL = """
-with t as (select 'd1' as demand_id, cast(member_id as varchar) as target_id, ticker, pool_layer, sellability,
-      ['intraday', 'lunch_break', 'non_trading_day'][cast(member_id % 3 as int) + 1] as phase, timestamp '2024-03-05 10:47:00' as as_of from v_members),
-w as (select t.*, 'intraday_snapshot' as task_type, case when pool_layer = 'current_holding' and sellability = 'sellable' then 10 when pool_layer = 'current_holding' then 30
-        when pool_layer = 'watchlist' then 60 else 10 end as m from t where phase = 'intraday' and (sellability = 'sellable' or pool_layer in ('current_holding', 'trading_candidate'))
-      union all select t.*, 'black_swan_scan', case when pool_layer = 'current_holding' and sellability = 'sellable' then 60 else 120 end from t where phase <> 'non_trading_day'
-      union all select t.*, 'stock_refresh', 1440 from t),
-k as (select *, strftime(date_trunc('day', as_of) + to_minutes((hour(as_of) * 60 + minute(as_of)) // m * m), '%Y-%m-%dT%H:%M:%S') as bucket_start from w),
-g as (select *, 'collection_task:' || demand_id || ':' || task_type || ':' || target_id || ':' || bucket_start as task_key from k)
+with t as (select 'd1' as demand_id, cast(member_id as varchar) as target_id, ticker, pool_layer, sellability, member_id,
+      ['intraday_monitoring', 'daily_collection', 'candidate_full_snapshot', 'market_context_daily', 'black_swan_scan'][cast(member_id % 5 as int) + 1] as kind,
+      ['intraday', 'post_market', 'non_trading_day'][cast(member_id % 3 as int) + 1] as phase, timestamp '2024-03-05 10:47:00' as as_of from v_members),
+w as (select t.*, 'intraday_snapshot_10m' as task_type, case when pool_layer = 'current_holding' and sellability = 'sellable' then 10 when pool_layer = 'current_holding' then 30
+        when pool_layer = 'watchlist' then 60 else 10 end as m from t where kind = 'intraday_monitoring' and phase = 'intraday' and (sellability = 'sellable' or pool_layer in ('current_holding', 'trading_candidate'))
+      union all select t.*, 'black_swan_scan', case when pool_layer = 'current_holding' and sellability = 'sellable' then 60 else 120 end from t where kind = 'intraday_monitoring' and phase <> 'non_trading_day'
+      union all select t.*, 'black_swan_scan', null from t where kind = 'black_swan_scan' and member_id % 7 <> 0
+      union all select t.*, 'candidate_full_stock_snapshot', null from t where kind = 'candidate_full_snapshot'
+      union all select t.*, 'mic_deep_collect', null from t where kind = 'candidate_full_snapshot' or (kind = 'daily_collection' and member_id % 7 <> 0)
+      union all select t.*, 'market_context_snapshot', null from t where kind = 'market_context_daily'
+      union all select t.*, 'post_close_stock_refresh', null from t where kind = 'daily_collection' and phase = 'post_market'),
+k as (select *, case when m is not null then strftime(date_trunc('day', as_of) + to_minutes((hour(as_of) * 60 + minute(as_of)) // m * m), '%Y-%m-%dT%H:%M:%S') || '+08:00' end as bucket_start from w),
+g as (select *, 'collection_task:' || demand_id || ':' || task_type || ':' || target_id || ':' || coalesce(bucket_start, '2024-03-05') as task_key from k)
 """
 
 
 def _work_targets(v):
+    key = F.col("member_id")
+    kinds = ["intraday_monitoring", "daily_collection", "candidate_full_snapshot", "market_context_daily", "black_swan_scan"]
     return v.members().select(
         F.lit("d1").alias("demand_id"),
-        F.col("member_id").cast("string").alias("target_id"),
+        cycle(key, kinds).alias("demand_type"),
+        key.cast("string").alias("target_id"),
         "ticker", "pool_layer", "sellability",
-        cycle(F.col("member_id"), ["intraday", "lunch_break", "non_trading_day"]).alias("market_phase"),
+        cycle(key, ["intraday", "post_market", "non_trading_day"]).alias("market_phase"),
         F.lit("2024-03-05 10:47:00").cast("timestamp").alias("as_of"),
+        (key % 7 != 0).alias("collect_mic"),
+        F.lit(True).alias("collect_stock"),
+        F.lit(True).alias("collect_hk_connect"),
     )
 
 
@@ -436,10 +447,10 @@ def expected_work(v):
     return demands.expected_work(_work_targets(v)).select("target_id", "task_type", "bucket_start", "task_key")
 
 
-@query("J33", "v_members", _WORK_SQL + "select task_type, count(*) as missing from g where not (task_type = 'stock_refresh' and cast(target_id as int) % 2 = 0) group by 1")
+@query("J33", "v_members", _WORK_SQL + "select task_type, count(*) as missing from g where not (task_type = 'mic_deep_collect' and cast(target_id as int) % 2 = 0) group by 1")
 def missing_work(v):
     expected = demands.expected_work(_work_targets(v))
-    done = expected.where("task_type = 'stock_refresh' and cast(target_id as int) % 2 = 0")
+    done = expected.where("task_type = 'mic_deep_collect' and cast(target_id as int) % 2 = 0")
     return demands.missing_work(expected, done).groupBy("task_type").agg(F.count("*").alias("missing"))
 
 
@@ -617,15 +628,29 @@ def top_variables(v):
     """with d as (select * from v_events where ts >= timestamp '2024-01-09 16:00:00' and ts < timestamp '2024-01-10 16:00:00')
     select 'events_by_type' as section, event_type as group_key, count(*) as rows from d group by 2
     union all select 'events_by_source', source_type, count(*) from d group by 2
+    union all select 'runs_by_tool_status', provider || '|' || case when k % 2 = 0 then 'success' else 'failed' end, count(*) from d group by 2
     union all select 'features_by_window', '10m', count(*) from d where k % 2 = 0 having count(*) > 0
-    union all select 'gaps_by_priority', case when k % 3 = 0 then 'high' else 'unknown' end, count(*) from d where event_type = 'error' group by 2""",
+    union all select 'links_by_status', review_status, count(*) from d group by 2
+    union all select 'issues_by_severity', 'P' || cast(k % 4 as varchar), count(*) from d where event_type = 'error' group by 2
+    union all select 'gaps_by_priority', case when k % 3 = 0 then 'high' else 'unknown' end, count(*) from d where event_type = 'error' group by 2
+    union all select 'messages_by_topic_status', event_type || '|' || case when k % 10 = 0 then 'dead' else 'open' end, count(*) from d group by 2""",
 )
 def daily_report(v):
     """Counts of the local day 2024-01-10 by section."""
-    e = v.research_events().join(v.events().select("event_id", "k"), "event_id")
-    features = e.where("k % 2 = 0").withColumn("feature_window", F.lit("10m"))
-    gaps = e.where("event_type = 'error'").withColumn("priority", F.when(F.col("k") % 3 == 0, "high"))
-    return readers.daily_report(e, features, gaps, "2024-01-09 16:00:00", "2024-01-10 16:00:00")
+    e = v.events().withColumnRenamed("ts", "created_at")
+    k = F.col("k")
+    errors = e.where("event_type = 'error'")
+    sections = {
+        "events_by_type": (e, F.col("event_type")),
+        "events_by_source": (e, F.col("source_type")),
+        "runs_by_tool_status": (e, F.concat_ws("|", "provider", F.when(k % 2 == 0, "success").otherwise("failed"))),
+        "features_by_window": (e.where("k % 2 = 0"), F.lit("10m")),
+        "links_by_status": (e, F.col("review_status")),
+        "issues_by_severity": (errors, F.concat(F.lit("P"), (k % 4).cast("string"))),
+        "gaps_by_priority": (errors, F.when(k % 3 == 0, "high")),
+        "messages_by_topic_status": (e, F.concat_ws("|", "event_type", F.when(k % 10 == 0, "dead").otherwise("open"))),
+    }
+    return readers.daily_report(sections, "2024-01-09 16:00:00", "2024-01-10 16:00:00")
 
 
 @query("K1", "v_events", "select event_id, user_id as target_id, event_type, confidence from v_events order by confidence desc, ts desc, event_id desc limit 10")

@@ -59,6 +59,7 @@ def test_keyword_candidates(spark):
     rows = frame(spark, [("中标 订单 合同 增长", ), ("no match",), ("合同 取消 但 增长",)], "s string")
     got = research.keyword_candidates(rows, F.col("s"), {"orders": ["订单", "合同", "中标", "定点"]}).collect()
     assert [(r.confidence, r.direction, r.evidence) for r in got] == [(0.6, "positive", "订单,合同,中标"), (0.4, "mixed", "合同")]
+    assert research.keyword_candidates(rows, F.col("s"), {"orders": ["订单"]}, F.array(F.lit("capex"))).count() == 0
 
 
 def test_health_skips_missing_parts(one):
@@ -126,10 +127,10 @@ def test_chunks(spark):
 
 def test_evidence(spark):
     passages = frame(spark, [("l", "p1", "金额 300 万元")], "link_id string, passage_id string, text string")
-    claims = frame(spark, [("l", "p1", "300", 0.8), ("l", "p1", "500", 0.8), ("l", "p9", "300", 0.8), ("l", "p9", "300", 0.2), ("m", "p9", "1", 0.8)],
+    claims = frame(spark, [("l", "p1", "300", 0.8), ("l", "p1", "500", 0.8), ("l", "p9", "300", 0.8), ("l", "p9", "300", 0.2), ("l", "p1", "300.0", 0.9), ("m", "p9", "1", 0.8)],
                    "link_id string, passage_id string, claimed string, confidence double")
     got = sorted((r.link_id, r.claimed, r.passage_id or "", r.confidence) for r in extraction.check_evidence(claims, passages).collect())
-    assert got == [("l", "300", "", 0.2), ("l", "300", "", 0.56), ("l", "300", "p1", 0.8), ("l", "500", "p1", 0.48), ("m", "1", "p9", 0.8)]
+    assert got == [("l", "300", "", 0.2), ("l", "300", "", 0.56), ("l", "300", "p1", 0.8), ("l", "300.0", "p1", 0.9), ("l", "500", "p1", 0.48), ("m", "1", "p9", 0.8)]
 
 
 def test_inverse_relations_conflict(spark):
@@ -166,6 +167,24 @@ def test_demand_rules(spark, one):
     assert one(*[demands.batch_status(F.lit(f), F.lit(3)) for f in (0, 1, 3)]) == ("success", "partial_success", "failed")
 
 
+def test_frequency_fallback(one):
+    usable = F.array(F.lit("15m"))
+    none = F.lit(None).cast("array<string>")
+    assert one(
+        demands.preferred_frequency(usable), demands.preferred_frequency(none), demands.preferred_frequency(none, ("5m",)),
+        demands.recommended_mode(usable, F.lit(False)),
+    ) == ("15m", None, "15m", "fallback_15m_feature")
+
+
+def test_expected_work_after_close(spark):
+    row = ("d", "daily_collection", "company_hk_00700", "00700.HK", "watchlist", None, "post_market", dt.datetime(2026, 6, 1, 15, 30, tzinfo=dt.UTC), True, False, True)
+    schema = ("demand_id string, demand_type string, target_id string, ticker string, pool_layer string, sellability string, market_phase string,"
+              " as_of timestamp, collect_mic boolean, collect_stock boolean, collect_hk_connect boolean")
+    got = {r.task_type: r.task_key for r in demands.expected_work(frame(spark, [row], schema)).collect()}
+    assert set(got) == {"mic_deep_collect", "hk_connect_daily_snapshot"}
+    assert got["mic_deep_collect"] == "collection_task:d:mic_deep_collect:company_hk_00700:2026-06-01"
+
+
 def test_priority_and_search(spark):
     rows = frame(spark, [("P2", 1), ("P0", 2), ("zz", 9), ("P0", 5)], "severity string, at int").withColumn("id", F.col("at"))
     got = readers.open_by_priority(rows, "severity", ["P0", "P1", "P2"], "at", "id", 3).collect()
