@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from marketloom import fixed
 from marketloom.functions import times
 from marketloom.functions.keys import joined_key
-from marketloom.operators.hotkeys import latest_by_key, running_total
+from marketloom.operators.hotkeys import explode_computed, latest_by_key, running_total
 
 
 def demand_errors() -> Column:
@@ -153,7 +153,7 @@ def expected_work(targets: DataFrame) -> DataFrame:
         rule("stock", none, after_close & F.col("ticker").isNotNull() & F.col("collect_stock")),
         rule("hk", none, after_close & hk & F.col("collect_hk_connect")),
     )
-    rows = targets.withColumn("_r", F.explode(F.filter(rules, lambda r: r["due"])))
+    rows = explode_computed(targets, F.filter(rules, lambda r: r["due"]), "_r")
     bucket = F.date_format(times.minute_bucket(F.col("as_of"), F.col("_r.minutes")), "yyyy-MM-dd'T'HH:mm:ss")
     start = F.when(F.col("_r.minutes").isNotNull(), F.concat(bucket, F.lit(fixed.MARKET_UTC_OFFSET)))
     target = F.coalesce("target_id", "ticker", F.lit("targetless"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from marketloom import fixed
 from marketloom.functions import urls
 from marketloom.functions.numbers import any_contains, contained, lookup, round_half_up
-from marketloom.operators.hotkeys import first_by_key, latest_by_key, mark_first, running_total, salted_join
+from marketloom.operators.hotkeys import explode_computed, first_by_key, latest_by_key, mark_first, running_total, salted_join
 
 
 def score_hits(
@@ -166,17 +166,16 @@ def clone_rows(children: DataFrame, latest: DataFrame, reuse: DataFrame) -> Data
     return copied.drop("link_id").withColumnRenamed("new_link_id", "link_id").withColumn("merge_method", F.lit("cache_reuse"))
 
 
-def passage_score(paragraph: Column, index: Column, entities: Column, keywords: Column) -> Column:
-    def mentions(terms: Column) -> Column:
-        return F.exists(terms, lambda t: (t != "") & F.contains(paragraph, t))
+def passage_score(paragraph: Column, index: Column, entities: Column, keywords: Sequence[str]) -> Column:
+    """Points of one paragraph; ``entities`` is an array of the target's own terms."""
 
     def points(test: Column, value: float) -> Column:
         return F.when(test, value).otherwise(0.0)
 
     return (
         points(index == 0, 5.0)
-        + points(mentions(entities), 8.0)
-        + points(mentions(keywords), 4.0)
+        + points(F.exists(entities, lambda t: (t != "") & F.contains(paragraph, t)), 8.0)
+        + points(any_contains(paragraph, keywords), 4.0)
         + points(paragraph.rlike(fixed.PASSAGE_AMOUNT_PATTERN), 6.0)
         + points(paragraph.rlike(fixed.PASSAGE_DATE_PATTERN), 3.0)
         + points(any_contains(paragraph, fixed.SUMMARY_WORDS), 2.0)
@@ -186,7 +185,7 @@ def passage_score(paragraph: Column, index: Column, entities: Column, keywords:
 def select_passages(
     pages: DataFrame,
     entities: Column,
-    keywords: Column,
+    keywords: Sequence[str],
     limit: int = fixed.MAX_PASSAGES,
     budget: int = fixed.MAX_PASSAGE_CHARS,
 ) -> DataFrame:
@@ -198,7 +197,7 @@ def select_passages(
     scored = F.transform(
         lines,
         lambda p, i: F.struct(
-            (-passage_score(p, i, F.col("_entities"), F.col("_keywords"))).alias("neg_score"),
+            (-passage_score(p, i, F.col("_entities"), keywords)).alias("neg_score"),
             i.alias("position"),
             p.alias("text"),
         ),
@@ -229,11 +228,10 @@ def select_passages(
     )
     return (
         pages.withColumn("_entities", entities)
-        .withColumn("_keywords", keywords)
         .withColumn("_scored", scored)
         .withColumn("_ordered", ordered)
         .withColumn("passages", fitted["kept"])
-        .drop("_entities", "_keywords", "_scored", "_ordered")
+        .drop("_entities", "_scored", "_ordered")
     )
 
 
@@ -288,7 +286,7 @@ def expand_templates(targets: DataFrame, templates: Sequence[tuple[str, float, s
             .withColumn("_v", F.slice(F.coalesce(F.try_element_at("values", name), none), 1, each))
             .withColumn("_q", F.when(F.col("_m") == "{}", F.col("_q")).otherwise(_filled()))
         )
-    return out.withColumn("query_text", F.explode(F.slice("_q", 1, most))).drop("_q", "_m", "_v", "values")
+    return explode_computed(out, F.slice("_q", 1, most), "query_text").drop("_q", "_m", "_v", "values")
 
 
 def _filled() -> Column:

@@ -19,7 +19,8 @@ def cap_items(items: Column, kind: str) -> Column:
 
 def explode_objects(bundles: DataFrame, kind: str, keep: Sequence[str] = ("link_id",)) -> DataFrame:
     """One row per object of a bundle array, with its position and a content-derived id."""
-    rows = bundles.select(*keep, F.posexplode(F.col(kind)).alias("position", "_o")).select(*keep, "position", "_o.*")
+    exploded = bundles.select(*keep, F.posexplode_outer(F.col(kind)).alias("position", "_o")).where("_o is not null")
+    rows = exploded.select(*keep, "position", "_o.*")
     identity = F.sha2(F.to_json(F.struct(*rows.columns)), 256)
     return rows.withColumn("object_id", F.concat(F.lit(f"{kind}_"), F.substring(identity, 1, 12)))
 

@@ -37,6 +37,16 @@ def _extreme_by_key(df, keys, order, pick) -> DataFrame:
     return chosen.select(*[F.col(c) if c in keys else F.col(f"_row.{c}") for c in df.columns])
 
 
+def explode_computed(df: DataFrame, array: Column, name: str) -> DataFrame:
+    """One row per element of a computed array of non-null elements.
+
+    A plain explode makes the optimizer push a filter on the array's size below the projections that
+    compute it, which evaluates an expensive array several times. Exploding outer and dropping the
+    empty rows afterwards evaluates it once.
+    """
+    return df.withColumn(name, F.explode_outer(array)).where(F.col(name).isNotNull())
+
+
 def mark_first(df: DataFrame, keys: Sequence[str], order: str, name: str = "is_first") -> DataFrame:
     """Flag the row with the smallest unique ``order`` of every key.
 

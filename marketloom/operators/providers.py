@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from marketloom import fixed
 from marketloom.functions.numbers import clamp01, lookup, relative_diff
 from marketloom.functions.text import compare_form
-from marketloom.operators.hotkeys import first_by_key
+from marketloom.operators.hotkeys import explode_computed, first_by_key
 
 _KEY_FIELDS = {
     "security_master": "normalized_ticker",
@@ -155,8 +155,10 @@ def meet(
 def conflicts(met: DataFrame) -> DataFrame:
     """One row per conflicting field and other provider."""
     clashes = F.filter("checks", lambda c: c["severity"].isNotNull())
-    base = met.select("comparison_key", F.col("provider").alias("canonical_provider"), "record_id", "has_canonical", F.explode(clashes).alias("_c"))
-    return base.select("comparison_key", "canonical_provider", F.col("record_id").alias("canonical_record_id"), "has_canonical", "_c.*")
+    base = met.withColumnRenamed("provider", "canonical_provider").withColumnRenamed("record_id", "canonical_record_id")
+    return explode_computed(base, clashes, "_c").select(
+        "comparison_key", "canonical_provider", "canonical_record_id", "has_canonical", "_c.*"
+    )
 
 
 def comparison_results(met: DataFrame) -> DataFrame:

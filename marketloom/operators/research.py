@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from marketloom import fixed
 from marketloom.functions.numbers import any_contains, ratio_or_null, round_half_up
-from marketloom.operators.hotkeys import bounded_broadcast, latest_by_key
+from marketloom.operators.hotkeys import bounded_broadcast, explode_computed, latest_by_key
 
 
 def accept_links(labels: DataFrame, allowed: Column) -> DataFrame:
@@ -51,10 +51,9 @@ def keyword_candidates(
     found = F.filter(F.array(*[candidate(v, w) for v, w in rules.items()]), lambda c: F.size(c["hits"]) > 0)
     if allowed is not None:
         found = F.filter(found, lambda c: F.array_contains(allowed, c["tracking_variable"]))
+    texts = events.withColumn("_text", lowered).withColumn("direction", direction_of(F.col("_text")))
     return (
-        events.withColumn("_text", lowered)
-        .withColumn("direction", direction_of(F.col("_text")))
-        .withColumn("_c", F.explode(found))
+        explode_computed(texts, found, "_c")
         .select(
             *events.columns,
             F.col("_c.tracking_variable"),

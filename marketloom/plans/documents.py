@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from marketloom import fixed
 from marketloom.functions import text, urls
 from marketloom.operators import documents
-from marketloom.operators.hotkeys import salted_join
+from marketloom.operators.hotkeys import explode_computed, salted_join
 from marketloom.plans.registry import query, r
 from marketloom.plans.views import ENTITY_TERMS, KEYWORD_TERMS, STRONG_TERMS
 from marketloom.sources import dims
@@ -65,7 +65,7 @@ def _packed() -> str:
 
 @query("F25", "", _simhash_sql() + f"select doc_id, lpad(lower(hex({_packed()})), 16, '0') as simhash from s")
 def simhash_signatures(v):
-    d = v.table("documents")
+    d = v.spread("documents")
     return d.select("doc_id", text.signature_hex(text.simhash64(F.col("text"))).alias("simhash"))
 
 
@@ -82,7 +82,7 @@ def signature_distance(v):
 
     The first documents are one row per source; each source's documents meet them through a salted join.
     """
-    d = v.table("documents")
+    d = v.spread("documents")
     signed = d.select("doc_id", "source", text.simhash64(F.col("text")).alias("signature"))
     first = signed.groupBy("source").agg(F.min(F.struct("doc_id", "signature")).alias("_f"))
     first = first.select("source", F.col("_f.signature").alias("_first"))
@@ -148,7 +148,7 @@ y as (select *, {r("score", 2)} as read_priority, case when is_duplicate then 'l
 
 def _triaged(v):
     terms = F.array(*[F.lit(t) for t in ENTITY_TERMS])
-    scored = documents.score_hits(v.hits(), terms, STRONG_TERMS, {"media": 0.9})
+    scored = documents.score_hits(v.hits(spread=True), terms, STRONG_TERMS, {"media": 0.9})
     return documents.decide_hits(documents.mark_duplicates(scored, "content_hash", "doc_id"))
 
 
@@ -248,7 +248,7 @@ def cloned_children(v):
 @query("F31 F45")
 def extracted_pages(v):
     """Title, date hint, body size, tables and images of every whole page."""
-    p = v.table("pages").select("page_id", text.extract_page(F.col("html")).alias("x"))
+    p = v.spread("pages").select("page_id", text.extract_page(F.col("html")).alias("x"))
     return p.select(
         "page_id", "x.title", "x.publish_time", F.col("x.body").alias("body"),
         F.size("x.tables").alias("tables"), F.array_join("x.images", ",").alias("images"),
@@ -281,11 +281,10 @@ def _passage_sql() -> str:
 @query("F30 K6 W12", "", _passage_sql())
 def selected_passages(v):
     """Best paragraphs of every document within 1500 characters."""
-    d = v.table("documents").select("doc_id", F.col("text").alias("body"))
+    d = v.spread("documents").select("doc_id", F.col("text").alias("body"))
     entities = F.array(*[F.lit(t) for t in ENTITY_TERMS])
-    keywords = F.array(*[F.lit(t) for t in (*KEYWORD_TERMS, *fixed.PASSAGE_KEYWORDS)])
-    rows = documents.select_passages(d, entities, keywords, budget=1500)
-    return rows.select("doc_id", F.explode("passages").alias("p")).select("doc_id", "p.*")
+    rows = documents.select_passages(d, entities, [*KEYWORD_TERMS, *fixed.PASSAGE_KEYWORDS], budget=1500)
+    return explode_computed(rows, F.col("passages"), "p").select("doc_id", "p.*")
 
 
 @query(
@@ -298,7 +297,7 @@ def selected_passages(v):
 )
 def passage_chunks(v):
     chunks = documents.chunk_passages(F.split("text", "\n"), limit=800)
-    rows = v.table("documents").select("doc_id", F.explode(chunks).alias("c")).select("doc_id", "c.*")
+    rows = explode_computed(v.spread("documents"), chunks, "c").select("doc_id", "c.*")
     return rows.groupBy("doc_id", "chunk").agg(F.count("*").alias("passages"), F.sum("size").alias("chars"))
 
 

@@ -123,7 +123,7 @@ def _rule_sql() -> str:
 
 @query("P26", "", _rule_sql())
 def keyword_candidates(v):
-    docs = v.table("documents").select("doc_id", "text")
+    docs = v.spread("documents").select("doc_id", "text")
     return research.keyword_candidates(docs, F.col("text"), _RULES).drop("text")
 
 

@@ -44,11 +44,21 @@ class Views:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
-    def events(self) -> DataFrame:
+    def spread(self, name: str) -> DataFrame:
+        """A table for work that is heavy per row.
+
+        A small table of one file arrives as one split and would keep one core busy; it is dealt out
+        over all cores. Tables of many files are left as they are read.
+        """
+        df = self.table(name)
+        cores = self.spark.sparkContext.defaultParallelism
+        return df if len(df.inputFiles()) >= cores else df.repartition(cores)
+
+    def events(self, spread: bool = False) -> DataFrame:
         """Collected events: ticker, provider, variable, confidence and source per event."""
         kinds = {"signup": "official", "error": "media", "click": "exchange", "view": "social", "purchase": "company"}
         source = F.create_map(*[F.lit(x) for pair in kinds.items() for x in pair])
-        e = self.table("events")
+        e = self.spread("events") if spread else self.table("events")
         k = F.get_json_object("props", "$.k").cast("int")
         confidence = F.least(F.col("value") / 100, F.lit(1.0))
         return e.select(
@@ -170,9 +180,9 @@ class Views:
             urls.domain(F.col("url")).alias("domain"),
         )
 
-    def hits(self) -> DataFrame:
+    def hits(self, spread: bool = False) -> DataFrame:
         """Documents as search hits: a title, a snippet and a rank within their source."""
-        d = self.table("documents")
+        d = self.spread("documents") if spread else self.table("documents")
         return d.select(
             "doc_id",
             F.col("source").alias("run_id"),

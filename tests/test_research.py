@@ -114,7 +114,7 @@ def test_templates(spark):
 
 def test_passage_budget_truncates_the_last_passage(spark):
     body = "\n".join(["开头段落" * 10, "中标金额 5亿元 " + "x" * 50, "无", "风险" + "y" * 100])
-    rows = documents.select_passages(frame(spark, [(body,)], "body string"), F.array(F.lit("宁德")), F.array(F.lit("中标"), F.lit("风险")), limit=8, budget=120)
+    rows = documents.select_passages(frame(spark, [(body,)], "body string"), F.array(F.lit("宁德")), ["中标", "风险"], limit=8, budget=120)
     kept = rows.first().passages
     assert [(p.passage_id, p.score) for p in kept] == [("p0", 5.0), ("p1", 10.0), ("p3", 4.0)]
     assert sum(len(p.text) for p in kept) == 120
