@@ -128,7 +128,7 @@ def expected_work(targets: DataFrame) -> DataFrame:
     """Task rows that every (demand, target) should have at a moment, with bucket start and stable key.
 
     ``targets`` has demand_id, demand_type, target_id, ticker, pool_layer, sellability, market_phase, the
-    local moment ``as_of`` and the flags collect_mic, collect_stock and collect_hk_connect. Bucketed tasks
+    local moment ``as_of`` and the flags collect_text, collect_stock and collect_hk_connect. Bucketed tasks
     are keyed by their bucket, daily ones by the date, so repeated planning yields the same keys.
     """
     layer, sell, phase, kind = F.col("pool_layer"), F.col("sellability"), F.col("market_phase"), F.col("demand_type")
@@ -146,9 +146,9 @@ def expected_work(targets: DataFrame) -> DataFrame:
     rules = F.array(
         rule("snapshot", snapshot_minutes(layer, sell), intraday & snapshot_due),
         rule("black_swan", black_swan_minutes(layer, sell), intraday & phase_allowed(phase, "black_swan")),
-        rule("black_swan", none, scan & F.col("collect_mic")),
+        rule("black_swan", none, scan & F.col("collect_text")),
         rule("candidate", none, candidate),
-        rule("deep", none, candidate | (research & F.col("collect_mic"))),
+        rule("deep", none, candidate | (research & F.col("collect_text"))),
         rule("context", none, context),
         rule("stock", none, after_close & F.col("ticker").isNotNull() & F.col("collect_stock")),
         rule("hk", none, after_close & hk & F.col("collect_hk_connect")),
@@ -195,7 +195,7 @@ def dedupe_targets(targets: DataFrame, order: str) -> DataFrame:
 
 def unregistered(targets: DataFrame, profiles: DataFrame) -> DataFrame:
     """Targets that need a profile, have none, and are not plain ticker targets."""
-    wanted = targets.where(F.col("collect_mic") & (F.coalesce("target_id", F.lit("")) != "") & ~F.col("target_id").startswith("ticker_"))
+    wanted = targets.where(F.col("collect_text") & (F.coalesce("target_id", F.lit("")) != "") & ~F.col("target_id").startswith("ticker_"))
     return wanted.join(profiles.select("target_id"), "target_id", "left_anti")
 
 

@@ -22,7 +22,7 @@ def accept_links(labels: DataFrame, allowed: Column) -> DataFrame:
     kept = labels.where(known & (F.coalesce(F.col("tracking_variable"), F.lit("")) != ""))
     once = latest_by_key(kept, ["event_id", "tracking_variable"], ["mapping_confidence"])
     accepted = F.col("mapping_confidence") >= fixed.LINK_ACCEPT_CONFIDENCE
-    return once.withColumn("mapping_method", F.lit("mic_model")).withColumn(
+    return once.withColumn("mapping_method", F.lit("model")).withColumn(
         "review_status", F.when(accepted, "accepted").otherwise("pending")
     )
 

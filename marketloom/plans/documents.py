@@ -205,7 +205,7 @@ def hits_skipped_by_budget(v):
     "J18",
     "v_hits",
     """with l as (select doc_id as link_id, 'run' || cast(doc_id % 4 as varchar) as run_id, content_hash from v_hits),
-    a as (select doc_id as link_id, doc_id * 7 % 1000 as analysed_at from v_hits where doc_id % 2 = 0),
+    a as (select doc_id as link_id, doc_id * 7 % 1000 as analysed_at from v_hits where lang = 'en'),
     c as (select x.link_id, y.link_id as prior, analysed_at from l x join l y on x.content_hash = y.content_hash and x.run_id <> y.run_id join a on a.link_id = y.link_id)
     select l.link_id, l.run_id, p.prior as reused_link_id from l left join
       (select link_id, prior, row_number() over (partition by link_id order by analysed_at desc, prior desc) as rn from c) p on p.link_id = l.link_id and rn = 1""",
@@ -220,7 +220,7 @@ def _linked(v):
     links = h.select(
         F.col("doc_id").alias("link_id"), F.concat(F.lit("run"), (F.col("doc_id") % 4).cast("string")).alias("run_id"), "content_hash", F.lit("t").alias("target_id")
     )
-    analyses = h.where("doc_id % 2 = 0").select(
+    analyses = h.where("lang = 'en'").select(
         F.col("doc_id").alias("link_id"), F.lit("t").alias("target_id"), (F.col("doc_id") * 7 % 1000).alias("analysed_at"), F.col("doc_id").alias("analysis_id")
     )
     return links, analyses
@@ -230,7 +230,7 @@ def _linked(v):
     "S16 U4",
     "v_hits",
     """with l as (select doc_id as link_id, 'run' || cast(doc_id % 4 as varchar) as run_id, content_hash from v_hits),
-    a as (select doc_id as link_id, doc_id * 7 % 1000 as analysed_at from v_hits where doc_id % 2 = 0),
+    a as (select doc_id as link_id, doc_id * 7 % 1000 as analysed_at from v_hits where lang = 'en'),
     c as (select x.link_id, y.link_id as prior, analysed_at from l x join l y on x.content_hash = y.content_hash and x.run_id <> y.run_id join a on a.link_id = y.link_id),
     p as (select link_id, prior from (select *, row_number() over (partition by link_id order by analysed_at desc, prior desc) as rn from c) where rn = 1)
     select p.link_id, p.prior as analysis_id, i as position, 'cache_reuse' as merge_method from p, (values (0), (1)) x(i)""",

@@ -346,7 +346,7 @@ def ah_premium(v):
 
 _HK_SQL = """
 with comp as (select user_id, max_by(value, event_id) as last_price, cast(sum(cast(value as decimal(18,2))) as double) as turnover
-              from v_events where user_id % 3 <> 0 group by 1),
+              from v_events where event_type = 'signup' and trade_date <= date '2024-01-05' group by 1),
 hold as (select user_id, max_by(value, event_id) as close_price, max_by(case when k % 2 = 0 then k end, event_id) as shares,
                 max_by(case when k % 3 = 0 then value end, event_id) as pct
          from (select *, row_number() over (partition by user_id order by trade_date desc, event_id desc) as rn from v_events
@@ -360,7 +360,7 @@ snap as (select lpad(cast(coalesce(c.user_id, h.user_id) as varchar), 5, '0') ||
 
 def _hk(v):
     e = v.events().withColumn("ticker", F.concat(F.lpad(F.col("user_id").cast("string"), 5, "0"), F.lit(".HK")))
-    components = e.where("user_id % 3 <> 0").groupBy("ticker").agg(
+    components = e.where("event_type = 'signup' and trade_date <= date'2024-01-05'").groupBy("ticker").agg(
         F.max_by("value", "event_id").alias("last_price"),
         F.sum(F.col("value").cast("decimal(18,2)")).cast("double").alias("turnover"),
     )

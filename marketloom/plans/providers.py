@@ -466,14 +466,14 @@ def action_dates_in_range(v):
     "",
     """select s_suppkey, coalesce(nullif(c_mktsegment, ''), s_name) as industry, coalesce(nullif(s_name, ''), c_name) as full_name,
       coalesce(c_acctbal, s_acctbal) as total_share
-    from supplier left join customer on s_suppkey = c_custkey and c_custkey % 3 <> 0""",
+    from supplier left join customer on s_suppkey = c_custkey + 5""",
 )
 def enriched_master(v):
     base = v.table("supplier").select(
         "s_suppkey", F.col("s_name").alias("industry"), F.col("s_name").alias("full_name"), F.col("s_acctbal").alias("total_share")
     )
-    extra = v.table("customer").where("c_custkey % 3 <> 0").select(
-        F.col("c_custkey").alias("s_suppkey"),
+    extra = v.table("customer").select(
+        (F.col("c_custkey") + 5).alias("s_suppkey"),
         F.col("c_mktsegment").alias("industry"),
         F.col("c_name").alias("full_name"),
         F.col("c_acctbal").alias("total_share"),

@@ -54,14 +54,15 @@ def coverage_by_theme(v):
 
 @query(
     "A6",
-    "v_matrix",
-    """select target_id, count(*) as expected_variables from v_matrix
-    where tracking_variable in ('v0', 'v1', 'v2') group by target_id having count(*) filter (where covered) = 0""",
+    "v_events v_targets",
+    """select target_id, cast(10 as bigint) as expected_variables from v_targets
+    where target_id not in (select user_id from v_events where review_status = 'accepted' and trade_date = date '2024-01-10')""",
 )
 def zero_covered_targets(v):
-    """Targets that cover none of their first three variables."""
-    first = _matrix(v).where(F.col("tracking_variable").isin("v0", "v1", "v2"))
-    return research.zero_covered_targets(first)
+    """Targets none of whose variables were covered on one trading day."""
+    day = v.research_events().where("event_date = date'2024-01-10'")
+    links = day.select("event_id", "tracking_variable", "review_status")
+    return research.zero_covered_targets(research.coverage_matrix(v.targets(), day, links))
 
 
 @query(
@@ -91,7 +92,7 @@ def missing_snapshots(v):
     "v_events",
     """with l as (select user_id, tracking_variable, trade_date, max(confidence) as mapping_confidence from v_events
       where tracking_variable in ('v1', 'v2', 'v3', 'v5', 'v8') group by all)
-    select user_id as target_id, tracking_variable, cast(trade_date as varchar) as day, mapping_confidence, 'mic_model' as mapping_method,
+    select user_id as target_id, tracking_variable, cast(trade_date as varchar) as day, mapping_confidence, 'model' as mapping_method,
       case when mapping_confidence >= 0.65::double then 'accepted' else 'pending' end as review_status from l""",
 )
 def accepted_links(v):
@@ -185,7 +186,7 @@ cov as (select user_id, string_agg(distinct tracking_variable, ',' order by trac
         from e where review_status = 'accepted' group by 1),
 ev as (select user_id, count(*) filter (where direction = 'positive') as pos, count(*) filter (where direction = 'negative') as neg,
        max_by(event_id, (confidence, ts, event_id)) as top from e group by 1),
-gp as (select user_id, count(*) as gaps, count(*) filter (where event_type = 'error') as high from v_events where k % 9 = 0 and event_type in ('error', 'view') group by 1),
+gp as (select user_id, count(*) as gaps, count(*) filter (where event_type = 'error') as high from v_events where confidence < 0.1::double and event_type in ('error', 'view') group by 1),
 hk as (select user_id, max_by(k % 5 <> 0, event_id) as ok from (select * from v_events where event_type = 'purchase') group by 1),
 c as (select t.target_id, coalesce(covered, '') as covered_variables, 10 - coalesce(n, 0) as missing_variables, {r("coalesce(n, 0) / 10.0::double", 4)} as coverage_ratio,
       coalesce(pos, 0) as positive_events, coalesce(neg, 0) as negative_events, coalesce(gaps, 0) as open_gaps, top as top_event_id,
@@ -200,7 +201,7 @@ c as (select t.target_id, coalesce(covered, '') as covered_variables, 10 - coale
 
 def _cards(v):
     e = v.research_events()
-    gaps = v.events().where((F.col("k") % 9 == 0) & F.col("event_type").isin("error", "view")).select(
+    gaps = v.events().where((F.col("confidence") < 0.1) & F.col("event_type").isin("error", "view")).select(
         F.col("user_id").alias("target_id"), F.lit("open").alias("status"), F.when(F.col("event_type") == "error", "high").otherwise("medium").alias("priority")
     )
     hk = v.events().where("event_type = 'purchase'").select(
@@ -418,7 +419,7 @@ w as (select t.*, 'intraday_snapshot_10m' as task_type, case when pool_layer = '
       union all select t.*, 'black_swan_scan', case when pool_layer = 'current_holding' and sellability = 'sellable' then 60 else 120 end from t where kind = 'intraday_monitoring' and phase <> 'non_trading_day'
       union all select t.*, 'black_swan_scan', null from t where kind = 'black_swan_scan' and member_id % 7 <> 0
       union all select t.*, 'candidate_full_stock_snapshot', null from t where kind = 'candidate_full_snapshot'
-      union all select t.*, 'mic_deep_collect', null from t where kind = 'candidate_full_snapshot' or (kind = 'daily_collection' and member_id % 7 <> 0)
+      union all select t.*, 'deep_collect', null from t where kind = 'candidate_full_snapshot' or (kind = 'daily_collection' and member_id % 7 <> 0)
       union all select t.*, 'market_context_snapshot', null from t where kind = 'market_context_daily'
       union all select t.*, 'post_close_stock_refresh', null from t where kind = 'daily_collection' and phase = 'post_market'),
 k as (select *, case when m is not null then strftime(date_trunc('day', as_of) + to_minutes((hour(as_of) * 60 + minute(as_of)) // m * m), '%Y-%m-%dT%H:%M:%S') || '+08:00' end as bucket_start from w),
@@ -436,7 +437,7 @@ def _work_targets(v):
         "ticker", "pool_layer", "sellability",
         cycle(key, ["intraday", "post_market", "non_trading_day"]).alias("market_phase"),
         F.lit("2024-03-05 10:47:00").cast("timestamp").alias("as_of"),
-        (key % 7 != 0).alias("collect_mic"),
+        (key % 7 != 0).alias("collect_text"),
         F.lit(True).alias("collect_stock"),
         F.lit(True).alias("collect_hk_connect"),
     )
@@ -447,10 +448,10 @@ def expected_work(v):
     return demands.expected_work(_work_targets(v)).select("target_id", "task_type", "bucket_start", "task_key")
 
 
-@query("J33", "v_members", _WORK_SQL + "select task_type, count(*) as missing from g where not (task_type = 'mic_deep_collect' and cast(target_id as int) % 2 = 0) group by 1")
+@query("J33", "v_members", _WORK_SQL + "select task_type, count(*) as missing from g where not (task_type = 'deep_collect' and pool_layer = 'watchlist') group by 1")
 def missing_work(v):
     expected = demands.expected_work(_work_targets(v))
-    done = expected.where("task_type = 'mic_deep_collect' and cast(target_id as int) % 2 = 0")
+    done = expected.where("task_type = 'deep_collect' and pool_layer = 'watchlist'")
     return demands.missing_work(expected, done).groupBy("task_type").agg(F.count("*").alias("missing"))
 
 
@@ -463,7 +464,7 @@ def missing_work(v):
 def unregistered_targets(v):
     key = F.col("member_id")
     named = F.when(key % 7 == 0, F.concat(F.lit("ticker_"), F.col("ticker"))).otherwise(F.concat(F.lit("company_"), key.cast("string")))
-    targets = v.members().select(named.alias("target_id"), (key % 5 != 0).alias("collect_mic"))
+    targets = v.members().select(named.alias("target_id"), (key % 5 != 0).alias("collect_text"))
     profiles = v.table("supplier").select(F.concat(F.lit("company_"), F.col("s_suppkey").cast("string")).alias("target_id"))
     return demands.unregistered(targets, profiles).select("target_id")
 
@@ -473,12 +474,13 @@ def unregistered_targets(v):
     "v_members",
     """select coalesce(n.member_id, o.member_id) as member_id, case when n.member_id is not null then 'new' else o.pool_layer end as pool_layer,
       case when o.member_id is null then 'added' when n.member_id is not null then 'updated' else 'kept' end as change
-    from (select * from v_members where member_id % 2 = 0) o full join (select * from v_members where member_id % 3 = 0) n on n.member_id = o.member_id""",
+    from (select * from v_members where pool_layer <> 'base_pool') o full join (select * from v_members where sellability = 'sellable') n on n.member_id = o.member_id""",
 )
 def merged_targets(v):
-    m = v.members().select("member_id", "pool_layer")
-    incoming = m.where("member_id % 3 = 0").withColumn("pool_layer", F.lit("new"))
-    return demands.merge_targets(m.where("member_id % 2 = 0"), incoming, ["member_id"])
+    m = v.members()
+    existing = m.where("pool_layer <> 'base_pool'").select("member_id", "pool_layer")
+    incoming = m.where("sellability = 'sellable'").select("member_id", F.lit("new").alias("pool_layer"))
+    return demands.merge_targets(existing, incoming, ["member_id"])
 
 
 @query("J36", "v_members", "select member_id, pool_layer from v_members where member_id not in (select s_suppkey from supplier)")
@@ -501,7 +503,7 @@ _BUS = """
 with tickets as (select 't' || cast(demand_id as varchar) as ticket_id, status as ds, case when demand_id % 6 = 0 then 'done' when demand_id % 6 in (1, 2) then 'open' else 'in_progress' end as status,
      owner_id, demand_id, active_from, cadence, priority from v_demands),
 messages as (select 'm' || cast(demand_id as varchar) as message_id, 't' || cast(demand_id as varchar) as ticket_id, case when demand_id % 5 = 0 then 'dead' else 'open' end as status,
-     demand_id, cadence, active_from, active_to, cast(substr(priority, 1, 1) as int) as priority from v_demands where demand_id % 9 <> 0)
+     demand_id, cadence, active_from, active_to, cast(substr(priority, 1, 1) as int) as priority from v_demands where v_demands.priority <> '5-LOW')
 """
 
 
@@ -513,7 +515,7 @@ def _bus(v):
     payload = F.to_json(F.struct(F.col("owner_id").cast("string").alias("demand_id")))
     tickets = d.select(name.alias("ticket_id"), state.alias("status"), "cadence", payload.alias("payload"), "demand_id", "active_from")
     carried = F.to_json(F.struct(name.alias("ticket_id")))
-    messages = d.where(key % 9 != 0).select(
+    messages = d.where("priority <> '5-LOW'").select(
         F.concat(F.lit("m"), key.cast("string")).alias("message_id"),
         carried.alias("payload"),
         F.when(key % 5 == 0, "dead").otherwise("open").alias("status"),
@@ -541,11 +543,11 @@ def orphan_tickets(v):
 @query(
     "J37",
     "v_demands",
-    _BUS + "select message_id, ticket_id from messages join tickets using (ticket_id) where messages.status = 'open' and tickets.status in ('open', 'in_progress') and owner_id % 50 = 3",
+    _BUS + "select message_id, ticket_id from messages join tickets using (ticket_id) where messages.status = 'open' and tickets.status in ('open', 'in_progress') and owner_id in (select c_custkey from customer where c_mktsegment = 'BUILDING')",
 )
 def cancelled_messages(v):
     tickets, messages = _bus(v)
-    cancelled = v.table("customer").where("c_custkey % 50 = 3").select(F.col("c_custkey").cast("string").alias("demand_id"))
+    cancelled = v.table("customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").cast("string").alias("demand_id"))
     return demands.cancel_cascade(tickets, messages, cancelled)[1]
 
 

@@ -12,10 +12,11 @@ from pyspark.sql import functions as F
 from marketloom import fixed
 from marketloom.functions import market, times, urls
 from marketloom.operators import bars as bar_ops
-from marketloom.operators.hotkeys import latest_by_key
+from marketloom.operators.hotkeys import first_by_key, latest_by_key
 from marketloom.session import pin
 
 BUCKET_MINUTES = 240
+TURNS_PER_BUNDLE = 16
 DELTAS = [0.0, 0.00005, 0.002, 0.05, 0.3, None]
 # Terms that stand in for a target's entities and keywords in the invented prose of the documents.
 ENTITY_TERMS = ["thand", "onen", "Ndonre", "eaux"]
@@ -185,6 +186,7 @@ class Views:
         d = self.spread("documents") if spread else self.table("documents")
         return d.select(
             "doc_id",
+            "lang",
             F.col("source").alias("run_id"),
             F.substring("text", 1, 80).alias("title"),
             F.col("text").alias("snippet"),
@@ -205,7 +207,7 @@ class Views:
             F.col("user_id").alias("link_id"),
             "event_id",
             F.col("event_type").alias("model_config_id"),
-            cycle(F.col("k"), ["qwen_dashscope", "siliconflow", "deepseek", "openclaw", "other"]).alias("provider"),
+            cycle(F.col("k"), ["qwen_dashscope", "siliconflow", "solo_a", "solo_b", "other"]).alias("provider"),
             cycle(F.col("k"), ["save_structured", "link_only", "skip"]).alias("decision"),
             F.col("value").alias("overall_score"),
             "confidence",
@@ -236,12 +238,13 @@ class Views:
         )
 
     def bundles(self) -> DataFrame:
-        """Conversations as extraction bundles, one per conversation.
+        """Conversations as extraction bundles, one per sixteen turns.
 
-        A conversation's turns become objects on their own rows first; the arrays hold one
-        conversation's turns, which is what a bundle is.
+        A long conversation becomes many links, so no bundle gathers more than its sixteen turns.
         """
-        c = self.table("conversations")
+        once = first_by_key(self.table("conversations"), ["conv_id", "turn"], ["role", "text"])
+        chunk = F.floor(F.col("turn") / TURNS_PER_BUNDLE)
+        c = once.withColumn("link_id", F.concat_ws("-", F.col("conv_id").cast("string"), chunk.cast("string")))
         turn = F.struct(
             F.col("turn").alias("seq"),
             F.substring("text", 1, 40).alias("statement"),
@@ -252,9 +255,9 @@ class Views:
         def of(role: str, name: str) -> Column:
             return F.array_sort(F.collect_list(F.when(F.col("role") == role, turn))).alias(name)
 
-        grouped = c.groupBy("conv_id").agg(of("assistant", "facts"), of("user", "events"), of("system", "risks"))
+        grouped = c.groupBy("conv_id", "link_id").agg(of("assistant", "facts"), of("user", "events"), of("system", "risks"))
         return grouped.select(
-            F.col("conv_id").alias("link_id"),
+            "link_id",
             F.concat(F.lit("run"), (F.col("conv_id") % 4).cast("string")).alias("run_id"),
             cycle(F.col("conv_id"), ["save_structured", "link_only", "skip"]).alias("decision"),
             "facts",
@@ -416,7 +419,7 @@ SQL: dict[str, str] = {
               from part cross join (values ('tushare', 11), ('akshare', 13), ('baostock', 7)) s(provider, gap))
         where p_partkey % gap <> 0""".replace("None", "null"),
     "v_hits": f"""
-        select doc_id, source as run_id, substr(text, 1, 80) as title, text as snippet,
+        select doc_id, lang, source as run_id, substr(text, 1, 80) as title, text as snippet,
                {cycle_sql("doc_id", ["news.sse.com.cn", "www.gov.cn", "example.com", "blog.example.org", "caam.org.cn", ""])} as domain,
                cast(doc_id % 12 as int) as rank,
                case when doc_id % 7 = 0 then 'source_pack:policy' else 'orders_tender' end as query_family,
@@ -424,7 +427,7 @@ SQL: dict[str, str] = {
         from documents""",
     "v_contrib": f"""
         select user_id as link_id, event_id, event_type as model_config_id,
-               {cycle_sql("k", ["qwen_dashscope", "siliconflow", "deepseek", "openclaw", "other"])} as provider,
+               {cycle_sql("k", ["qwen_dashscope", "siliconflow", "solo_a", "solo_b", "other"])} as provider,
                {cycle_sql("k", ["save_structured", "link_only", "skip"])} as decision,
                value as overall_score, confidence,
                cast({cycle_sql("event_id", [1.0, 0.8, 1.2])} as double) as configured_weight,
@@ -444,13 +447,15 @@ SQL: dict[str, str] = {
                as relation_type, '' as product, l_discount as confidence
         from lineitem join orders on l_orderkey = o_orderkey""",
     "v_turns": f"""
-        select conv_id as link_id, 'run' || cast(conv_id % 4 as varchar) as run_id,
+        select link_id, 'run' || cast(conv_id % 4 as varchar) as run_id,
                {cycle_sql("conv_id", ["save_structured", "link_only", "skip"])} as decision, turn as seq,
                substr(text, 1, 40) as statement, 'p' || cast(turn % 5 as varchar) as passage_id,
                least(1.0::double, length(text) / 500.0::double) as confidence,
                case role when 'assistant' then 'facts' when 'user' then 'events' else 'risks' end as kind,
-               row_number() over (partition by conv_id, role order by turn, text) - 1 as position
-        from conversations""",
+               row_number() over (partition by link_id, role order by turn) - 1 as position
+        from (select *, cast(conv_id as varchar) || '-' || cast(turn // {TURNS_PER_BUNDLE} as varchar) as link_id,
+                     row_number() over (partition by conv_id, turn order by role, text) as copy from conversations)
+        where copy = 1""",
     "v_targets": f"""
         select user_id as target_id, {TICKER_SQL.format(u="user_id")} as ticker,
                case when user_id % 6 <> 0 then 'ind' || cast(user_id % 6 as varchar) end as industry_id,

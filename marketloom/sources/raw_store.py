@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from marketloom.operators.hotkeys import running_total
+from marketloom.sources import tables
 
 SCHEMA = (
     "raw_payload_id string, line_type string, raw_row_index bigint, provider_symbol string, raw_data string,"
@@ -86,7 +87,7 @@ def append(fetched: DataFrame, path: str, order: str) -> None:
     fresh = fetched
     if stored is not None:
         fresh = fetched.join(stored.select("raw_payload_id").distinct(), "raw_payload_id", "left_anti")
-    lines = number_rows(fresh, "raw_payload_id", order)
+    lines = tables.stage(number_rows(fresh, "raw_payload_id", order), "landing")
     hashes = payload_hashes(lines, "raw_payload_id", "raw_row_index", F.col("raw_data"))
     heads = (
         lines.groupBy("raw_payload_id", *PARTITIONS)

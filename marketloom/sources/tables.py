@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-from marketloom.operators.hotkeys import first_by_key, latest_by_key
+from marketloom.operators.hotkeys import bounded_broadcast, first_by_key, latest_by_key
 from marketloom.session import scratch_root
 
 
@@ -23,23 +23,33 @@ def read(spark: SparkSession, path: str) -> DataFrame | None:
         raise
 
 
+def stage(rows: DataFrame, name: str) -> DataFrame:
+    """Rows written to the shared scratch folder once, and read from there afterwards."""
+    path = f"{scratch_root(rows.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def upsert(rows: DataFrame, path: str, partitions: Sequence[str], key: Sequence[str], order: str = "ingested_at") -> None:
     """Merge rows into a table, keeping the latest row per business key.
 
-    Only partitions that receive rows are read and rewritten. The merged partitions are
-    written aside first, because a partition cannot be overwritten while it is read. The
-    partition columns must be part of the key.
+    Only partitions that receive rows are read and rewritten. The incoming rows are staged first, so
+    they are computed once, and the merged partitions too, because a partition cannot be overwritten
+    while it is read. The partition columns must be part of the key.
     """
     spark = rows.sparkSession
     existing = read(spark, path)
     merged = rows
     if existing is not None:
-        touched = rows.select(*partitions).distinct() if partitions else None
-        kept = existing.join(F.broadcast(touched), list(partitions), "left_semi") if partitions else existing
-        merged = kept.select(*rows.columns).unionByName(rows)
-    stage = f"{scratch_root(spark)}/stage-{uuid.uuid4().hex}"
-    latest_by_key(merged, key, [order]).write.parquet(stage)
-    writer = spark.read.parquet(stage).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        merged = stage(rows, "incoming")
+        kept = existing
+        if partitions:
+            touched = merged.select(*[F.col(p).cast(existing.schema[p].dataType) for p in partitions]).distinct()
+            kept = existing.join(bounded_broadcast(touched), list(partitions), "left_semi")
+        # Partition values come back with inferred types.
+        merged = merged.unionByName(kept.select(*[F.col(f.name).cast(f.dataType) for f in rows.schema.fields]))
+    writer = stage(latest_by_key(merged, key, [order]), "merged").write.mode("overwrite")
+    writer = writer.option("partitionOverwriteMode", "dynamic")
     (writer.partitionBy(*partitions) if partitions else writer).parquet(path)
 
 

@@ -180,6 +180,7 @@ def streak_sink(spark: SparkSession, path: str, key: str, order: str, block: Col
         return tables.read(spark, f"{path}/state/batch={batch_id - 1}") if batch_id > 0 else None
 
     def write(batch: DataFrame, batch_id: int) -> None:
+        batch = batch.persist()  # read twice below; lost blocks are read again from the source
         state = previous(batch_id)
         succeeded = F.when(F.col("failed"), 0).otherwise(1)
         islands = running_total(batch.select(key, order, "failed"), [key], [order], succeeded, block, "_island")
@@ -196,6 +197,7 @@ def streak_sink(spark: SparkSession, path: str, key: str, order: str, block: Col
         if state is not None:
             ended = ended.unionByName(state.join(ended.select(key), key, "left_anti").select(key, "streak"))
         ended.write.mode("overwrite").parquet(f"{path}/state/batch={batch_id}")
+        batch.unpersist()
 
     return write
 

@@ -151,11 +151,11 @@ def test_entities(one):
 
 
 def test_family_discount_and_gate(spark, one):
-    rows = frame(spark, [("l", "qwen_dashscope", 0.8), ("l", "siliconflow", 0.8), ("l", "deepseek", 0.01)], "link_id string, provider string, confidence double")
+    rows = frame(spark, [("l", "qwen_dashscope", 0.8), ("l", "siliconflow", 0.8), ("l", "solo", 0.01)], "link_id string, provider string, confidence double")
     for name in ("configured_weight", "task_weight", "schema_score", "evidence_score", "feedback_score"):
         rows = rows.withColumn(name, F.lit(1.0))
     weights = {r.provider: round(r.effective_weight, 6) for r in extraction.effective_weights(rows).collect()}
-    assert weights == {"qwen_dashscope": 0.48, "siliconflow": 0.48, "deepseek": 0.05}
+    assert weights == {"qwen_dashscope": 0.48, "siliconflow": 0.48, "solo": 0.05}
     assert one(extraction.decision_gate(F.lit("save_structured"), F.lit(69.0)), extraction.decision_gate(F.lit("save_structured"), F.lit(70.0))) == ("link_only", "save_structured")
 
 
@@ -179,10 +179,10 @@ def test_frequency_fallback(one):
 def test_expected_work_after_close(spark):
     row = ("d", "daily_collection", "company_hk_00700", "00700.HK", "watchlist", None, "post_market", dt.datetime(2026, 6, 1, 15, 30, tzinfo=dt.UTC), True, False, True)
     schema = ("demand_id string, demand_type string, target_id string, ticker string, pool_layer string, sellability string, market_phase string,"
-              " as_of timestamp, collect_mic boolean, collect_stock boolean, collect_hk_connect boolean")
+              " as_of timestamp, collect_text boolean, collect_stock boolean, collect_hk_connect boolean")
     got = {r.task_type: r.task_key for r in demands.expected_work(frame(spark, [row], schema)).collect()}
-    assert set(got) == {"mic_deep_collect", "hk_connect_daily_snapshot"}
-    assert got["mic_deep_collect"] == "collection_task:d:mic_deep_collect:company_hk_00700:2026-06-01"
+    assert set(got) == {"deep_collect", "hk_connect_daily_snapshot"}
+    assert got["deep_collect"] == "collection_task:d:deep_collect:company_hk_00700:2026-06-01"
 
 
 def test_priority_and_search(spark):
