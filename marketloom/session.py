@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+_shipped: set[str] = set()
+
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
@@ -33,7 +37,9 @@ def build(master: str | None = None, shuffle_partitions: int | None = None, **ex
     settings.update(extra)
     for key, value in settings.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship(spark)
+    return spark
 
 
 def pin(spark: SparkSession) -> SparkSession:
@@ -41,9 +47,21 @@ def pin(spark: SparkSession) -> SparkSession:
     for key, value in SETTINGS.items():
         if key.startswith("spark.sql.") and spark.conf.isModifiable(key):
             spark.conf.set(key, value)
+    ship(spark)
     return spark
 
 
+def ship(spark: SparkSession) -> None:
+    """Send the package to the executors once per application, for the few Python functions they run."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    package = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="marketloom-package-")) / "marketloom"
+    context.addPyFile(shutil.make_archive(str(target), "zip", package.parent, package.name))
+    _shipped.add(context.applicationId)
+
+
 def scratch_root(spark: SparkSession) -> str:
     """Shared folder for written intermediates and stream checkpoints.
 
