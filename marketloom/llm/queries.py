@@ -89,7 +89,7 @@ def _shingles(source: str, key: str, width: int, pattern: str) -> str:
     """SQL of the distinct shingles (key, s) of a table's texts."""
     return f"""
       select distinct {key}, unnest(case when len(w) >= {width}
-          then list_transform(range(1, len(w) - {width} + 2), i -> array_to_string(w[i:i + {width} - 1], ' '))
+          then list_transform(range(1, len(w) - {width} + 2), lambda i: array_to_string(w[i:i + {width} - 1], ' '))
           when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as s
       from (select {key}, regexp_extract_all({_LOWER}, '{pattern}') as w from {source})"""
 
@@ -97,10 +97,10 @@ def _shingles(source: str, key: str, width: int, pattern: str) -> str:
 SQL = {
     "op4_exact_topk": """
       with v as (
-        select vec_id, list_transform(embedding, x -> cast(floor(64 * cast(x as double)) as bigint)) as t
+        select vec_id, list_transform(embedding, lambda x: cast(floor(64 * cast(x as double)) as bigint)) as t
         from embeddings
         where vec_id is not null and embedding is not null
-          and len(list_filter(embedding, x -> x is null or not isfinite(cast(x as double)))) = 0),
+          and len(list_filter(embedding, lambda x: x is null or not isfinite(cast(x as double)))) = 0),
       e as (select vec_id, generate_subscripts(t, 1) as d, unnest(t) as x from v),
       s as (
         select q.vec_id as query_id, c.vec_id, cast(sum(q.x * c.x) as bigint) as score

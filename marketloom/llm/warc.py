@@ -166,22 +166,21 @@ def reachable(candidates: DataFrame) -> DataFrame:
     """Candidates (file, start, next) that the chain from offset 0 of their file visits, by pointer jumping.
 
     After round k the marked records are those less than 2**k steps from the start, and every pointer
-    spans 2**k steps, so the number of rounds is the logarithm of the longest chain.
+    spans 2**k steps, so the number of rounds is the logarithm of the longest chain. A round joins each
+    candidate with the one that its pointer names, which doubles the pointer and passes the mark on.
     """
-    pointers = cut(candidates.select("file", "start", "next"))
-    all_starts = pointers.select("file", "start")
-    marked = cut(all_starts.where("start = 0"))
-    known = marked.count()
+    state = cut(candidates.select("file", "start", "next", (F.col("start") == 0).alias("marked")))
+    known = None
     while True:
-        ahead = pointers.join(marked, ["file", "start"]).select("file", F.col("next").alias("start"))
-        ahead = ahead.join(all_starts, ["file", "start"])
-        marked = cut(marked.unionByName(ahead).distinct())
-        now = marked.count()
+        now = state.agg(F.count_if("marked")).first()[0]
         if now == known:
-            return marked
+            return state.where("marked").select("file", "start")
         known = now
-        target = pointers.select("file", F.col("start").alias("next"), F.col("next").alias("after"))
-        pointers = cut(pointers.join(target, ["file", "next"]).select("file", "start", F.col("after").alias("next")))
+        target = state.select("file", F.col("start").alias("next"), F.col("next").alias("after"), F.lit(True).alias("found"))
+        own = F.struct("file", "start", F.col("after").alias("next"), "marked")
+        passed = F.when(F.col("found") & F.col("marked"), F.struct("file", F.col("next").alias("start"), F.lit(None).cast("long").alias("next"), F.lit(True).alias("marked")))
+        both = state.join(target, ["file", "next"], "left").select(F.explode(F.filter(F.array(own, passed), lambda x: x.isNotNull())).alias("x")).select("x.*")
+        state = cut(both.groupBy("file", "start").agg(F.max("next").alias("next"), F.max("marked").alias("marked")))
 
 
 def archive_folder(spark: SparkSession) -> str:
