@@ -39,8 +39,8 @@ def abnormality(ret: Column, amount: Column, ratio: Column, up: Column, down: Co
         return F.when(value.isNotNull(), clamp01(value))
 
     parts = [
-        capped(F.abs(ret) / limits["return_abs"] * limits["score"] + lift),
-        capped(ratio / limits["amount_ratio"] * limits["score"]),
+        capped(F.abs(ret) / limits["return_abs"] * fixed.ABNORMALITY_SCALE + lift),
+        capped(ratio / limits["amount_ratio"] * fixed.ABNORMALITY_SCALE),
         capped(1 - up / limits["limit_distance"]),
         capped(1 - down / limits["limit_distance"]),
         F.when(hit, 1.0),

@@ -27,6 +27,11 @@ PAGE_TYPE = (
 )
 
 
+def ascii_lower(text: Column) -> Column:
+    """A-Z in lower case, other letters as they are: how the matched keyword searches compare."""
+    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
 @F.pandas_udf(T.StringType())
 def nfkc(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))

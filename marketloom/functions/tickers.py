@@ -13,7 +13,7 @@ A_SHARE_EXCHANGES = ["SH", "SZ", "BJ"]
 
 def _owned(exchange: str) -> str:
     """Pattern of the six-digit codes an A-share exchange owns."""
-    prefixes = fixed.CODE_PREFIXES[exchange].split()
+    prefixes = fixed.CODE_PREFIXES[exchange]
     return f"(?:{'|'.join(prefixes)})[0-9]{{{6 - len(prefixes[0])}}}"
 
 

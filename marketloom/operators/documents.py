@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from marketloom import fixed
 from marketloom.functions import urls
 from marketloom.functions.numbers import any_contains, contained, lookup, round_half_up
-from marketloom.operators.hotkeys import explode_computed, first_by_key, latest_by_key, mark_first, running_total, salted_join
+from marketloom.operators.hotkeys import explode_computed, first_by_key, latest_by_key, mark_first, running_total
 
 
 def score_hits(
@@ -126,33 +126,26 @@ def skipped_by_budget(hits: DataFrame, run: str, budget: int) -> DataFrame:
     return hits.groupBy(run).agg(F.greatest(F.lit(0), F.count("*") - budget).cast("long").alias("skipped"))
 
 
-def reusable_analysis(links: DataFrame, analyses: DataFrame, key: str) -> DataFrame:
-    """For each link the latest analysed link with the same key and target from another run.
+def reusable_analysis(links: DataFrame, analyses: DataFrame, key: str, exclude: str = "run_id") -> DataFrame:
+    """For each link the latest analysed link with the same key and target.
 
-    A (key, target) may hold any number of analysed links. Keeping the latest of each run and
-    from these the two latest runs is enough: the latest of another run is one of the two.
+    ``exclude`` names what may not be reused: the link's own run (``run_id``, the rule for canonical URLs)
+    or only the link itself (``link_id``, the rule for content hashes). A (key, target) may hold any
+    number of analysed links. The latest of each run or link, and of these the two latest, are enough:
+    the answer is one of the two.
     """
     analysed = (
         analyses.join(links.select("link_id", "run_id", key), "link_id")
-        .select(key, "target_id", "run_id", F.struct("analysed_at", "link_id").alias("_a"))
+        .select(key, "target_id", F.col(exclude).alias("_own"), F.struct("analysed_at", "link_id").alias("_a"))
         .where(F.coalesce(F.col(key), F.lit("")) != "")
     )
     group = [key, "target_id"]
-    per_run = analysed.groupBy(*group, "run_id").agg(F.max("_a").alias("_a"))
-    newest = per_run.groupBy(*group).agg(F.max(F.struct("_a", "run_id")).alias("_top"))
-    runner_up = (
-        per_run.join(newest, group)
-        .where(F.col("run_id") != F.col("_top.run_id"))
-        .groupBy(*group)
-        .agg(F.max("_a").alias("_second"))
-    )
+    per_own = analysed.groupBy(*group, "_own").agg(F.max("_a").alias("_a"))
+    newest = per_own.groupBy(*group).agg(F.max(F.struct("_a", "_own")).alias("_top"))
+    runner_up = per_own.join(newest, group).where(F.col("_own") != F.col("_top._own")).groupBy(*group).agg(F.max("_a").alias("_second"))
     choices = newest.join(runner_up, group, "left")
-    prior = F.when(F.col("_top.run_id") != F.col("run_id"), F.col("_top._a")).otherwise(F.col("_second"))
-    return (
-        salted_join(links, choices, group)  # copies of one body may be a large share of all links
-        .withColumn("reused_link_id", prior["link_id"])
-        .drop("_top", "_second")
-    )
+    prior = F.when(F.col("_top._own") != F.col(exclude), F.col("_top._a")).otherwise(F.col("_second"))
+    return links.join(choices, group, "left").withColumn("reused_link_id", prior["link_id"]).drop("_top", "_second")
 
 
 def clone_rows(children: DataFrame, latest: DataFrame, reuse: DataFrame) -> DataFrame:
@@ -162,7 +155,7 @@ def clone_rows(children: DataFrame, latest: DataFrame, reuse: DataFrame) -> Data
         F.col("link_id").alias("new_link_id"), F.col("reused_link_id").alias("link_id")
     )
     source = children.join(current.select("link_id", "analysis_id"), ["link_id", "analysis_id"], "left_semi")
-    copied = salted_join(pairs, source, ["link_id"], "inner")  # many links may reuse one earlier link
+    copied = pairs.join(source, ["link_id"])  # a hot earlier link is split at run time
     return copied.drop("link_id").withColumnRenamed("new_link_id", "link_id").withColumn("merge_method", F.lit("cache_reuse"))
 
 

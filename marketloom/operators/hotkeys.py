@@ -12,7 +12,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BROADCAST_ROW_LIMIT = 100_000
 
 
 def latest_by_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -56,11 +55,6 @@ def mark_first(df: DataFrame, keys: Sequence[str], order: str, name: str = "is_f
     return df.join(winners, order, "left").withColumn(name, F.coalesce(name, F.lit(False)))
 
 
-def bounded_broadcast(small: DataFrame, limit: int = BROADCAST_ROW_LIMIT) -> DataFrame:
-    """Broadcast hint only when the frame is counted to be within the limit."""
-    return F.broadcast(small) if small.limit(limit + 1).count() <= limit else small
-
-
 def salted_join(big: DataFrame, compact: DataFrame, keys: Sequence[str], how: str = "left", salts: int = 16) -> DataFrame:
     """Join a large side with a frame of few rows per key, spreading every key over ``salts`` tasks.
 

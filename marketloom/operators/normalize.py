@@ -26,243 +26,206 @@ class Field:
     default: str | None = None
 
 
-def _fields(kind: str, text: str) -> list[Field]:
-    """Fields of one kind from lines of ``name: alias alias``; a bare name is its own alias."""
-    out = []
-    for line in filter(None, (part.strip() for part in text.splitlines())):
-        name, _, names = line.partition(":")
-        names, _, default = names.partition("=")
-        out.append(Field(name.strip(), kind, tuple(names.split()) or (name.strip(),), default.strip() or None))
-    return out
-
-
 # Provider column names that carry each canonical field.
 TICKER_ALIASES = ("normalized_ticker", "ts_code", "provider_symbol", "symbol", "code", "证券代码", "股票代码")
 SYMBOL_ALIASES = ("provider_symbol", "ts_code", "symbol", "code", "证券代码", "股票代码")
 RECORD_FIELDS: dict[str, list[Field]] = {
-    "security_master": _fields(
-        "text",
-        """name: name 股票简称 简称
-        company_full_name: fullname company_full_name 公司全称
-        list_status: list_status 上市状态 = L
-        board: board 板块
-        area: area 地区
-        industry: industry 行业
-        main_business: main_business 主营业务""",
-    )
-    + _fields("date", "list_date: list_date 上市日期\n delist_date: delist_date 退市日期")
-    + _fields("double", "total_share: total_share 总股本\n float_share: float_share 流通股本")
-    + _fields("currency", "currency"),
-    "trade_calendar": _fields("text", "exchange: exchange 交易所 = SSE")
-    + _fields(
-        "date",
-        """calendar_date: calendar_date cal_date trade_date date 日期
-        prev_trade_date: prev_trade_date pretrade_date 上一交易日
-        next_trade_date: next_trade_date 下一交易日""",
-    )
-    + _fields("flag", "is_open: is_open is_trade open 是否开市"),
-    "trading_status": _fields("date", "trade_date: trade_date date 日期")
-    + _fields(
-        "flag",
-        """is_suspended: is_suspended suspended 停牌
-        is_st: is_st ST
-        is_star_st: is_star_st *ST
-        has_delisting_risk: has_delisting_risk 退市风险
-        hit_limit_up: hit_limit_up 是否触及涨停
-        hit_limit_down: hit_limit_down 是否触及跌停""",
-    )
-    + _fields("double", "limit_up_price: limit_up_price 涨停价\n limit_down_price: limit_down_price 跌停价")
-    + _fields(
-        "text",
-        """suspend_reason: suspend_reason 停牌原因
-        list_status: list_status 上市状态
-        not_tradable_reason: not_tradable_reason 不可交易原因""",
-    ),
-    "bar": _fields("date", "trade_date: trade_date 日期 date")
-    + _fields("instant", "timestamp: timestamp time datetime trade_date 日期 date")
-    + _fields("text", "frequency: frequency = 1d\n adjust: adjust = none\n trading_session: trading_session = regular")
-    + _fields(
-        "double",
-        """open: open 开盘
-        high: high 最高
-        low: low 最低
-        close: close 收盘
-        pre_close: pre_close preclose 昨收
-        change: change 涨跌额
-        pct_change: pct_chg pct_change pctChg 涨跌幅
-        turnover_rate: turnover_rate turn 换手率
-        turnover_rate_free_float: turnover_rate_free_float 自由流通换手率
-        adj_factor: adj_factor""",
-    )
-    + [
+    "security_master": [
+        Field("name", "text", ("name", "股票简称", "简称")),
+        Field("company_full_name", "text", ("fullname", "company_full_name", "公司全称")),
+        Field("list_status", "text", ("list_status", "上市状态"), "L"),
+        Field("board", "text", ("board", "板块")),
+        Field("area", "text", ("area", "地区")),
+        Field("industry", "text", ("industry", "行业")),
+        Field("main_business", "text", ("main_business", "主营业务")),
+        Field("list_date", "date", ("list_date", "上市日期")),
+        Field("delist_date", "date", ("delist_date", "退市日期")),
+        Field("total_share", "double", ("total_share", "总股本")),
+        Field("float_share", "double", ("float_share", "流通股本")),
+        Field("currency", "currency", ("currency",)),
+    ],
+    "trade_calendar": [
+        Field("exchange", "text", ("exchange", "交易所"), "SSE"),
+        Field("calendar_date", "date", ("calendar_date", "cal_date", "trade_date", "date", "日期")),
+        Field("prev_trade_date", "date", ("prev_trade_date", "pretrade_date", "上一交易日")),
+        Field("next_trade_date", "date", ("next_trade_date", "下一交易日")),
+        Field("is_open", "flag", ("is_open", "is_trade", "open", "是否开市")),
+    ],
+    "trading_status": [
+        Field("trade_date", "date", ("trade_date", "date", "日期")),
+        Field("is_suspended", "flag", ("is_suspended", "suspended", "停牌")),
+        Field("is_st", "flag", ("is_st", "ST")),
+        Field("is_star_st", "flag", ("is_star_st", "*ST")),
+        Field("has_delisting_risk", "flag", ("has_delisting_risk", "退市风险")),
+        Field("hit_limit_up", "flag", ("hit_limit_up", "是否触及涨停")),
+        Field("hit_limit_down", "flag", ("hit_limit_down", "是否触及跌停")),
+        Field("limit_up_price", "double", ("limit_up_price", "涨停价")),
+        Field("limit_down_price", "double", ("limit_down_price", "跌停价")),
+        Field("suspend_reason", "text", ("suspend_reason", "停牌原因")),
+        Field("list_status", "text", ("list_status", "上市状态")),
+        Field("not_tradable_reason", "text", ("not_tradable_reason", "不可交易原因")),
+    ],
+    "bar": [
+        Field("trade_date", "date", ("trade_date", "日期", "date")),
+        Field("timestamp", "instant", ("timestamp", "time", "datetime", "trade_date", "日期", "date")),
+        Field("frequency", "text", ("frequency",), "1d"),
+        Field("adjust", "text", ("adjust",), "none"),
+        Field("trading_session", "text", ("trading_session",), "regular"),
+        Field("open", "double", ("open", "开盘")),
+        Field("high", "double", ("high", "最高")),
+        Field("low", "double", ("low", "最低")),
+        Field("close", "double", ("close", "收盘")),
+        Field("pre_close", "double", ("pre_close", "preclose", "昨收")),
+        Field("change", "double", ("change", "涨跌额")),
+        Field("pct_change", "double", ("pct_chg", "pct_change", "pctChg", "涨跌幅")),
+        Field("turnover_rate", "double", ("turnover_rate", "turn", "换手率")),
+        Field("turnover_rate_free_float", "double", ("turnover_rate_free_float", "自由流通换手率")),
+        Field("adj_factor", "double", ("adj_factor",)),
         Field("volume", "volume", ("vol", "volume", "成交量")),
         Field("amount", "amount", ("amount", "money", "成交额")),
         Field("currency", "currency", ("currency",)),
     ],
-    "realtime_quote": _fields("instant", "quote_time: quote_time time timestamp 报价时间")
-    + _fields(
-        "double",
-        """latest_price: latest_price price 最新价 close
-        open: open 开盘
-        high: high 最高
-        low: low 最低
-        pre_close: pre_close 昨收
-        bid1_price: bid1_price 买一价
-        ask1_price: ask1_price 卖一价
-        limit_up_price: limit_up_price 涨停价
-        limit_down_price: limit_down_price 跌停价""",
-    )
-    + [Field("volume", "volume", ("vol", "volume", "成交量")), Field("amount", "amount", ("amount", "money", "成交额"))],
-    "adj_factor": _fields(
-        "date",
-        """trade_date: trade_date date factor_event_date dividOperateDate
-        factor_event_date: factor_event_date dividOperateDate""",
-    )
-    + _fields(
-        "double",
-        """adj_factor: adj_factor factor
-        fore_adjust_factor: fore_adjust_factor foreAdjustFactor
-        back_adjust_factor: back_adjust_factor backAdjustFactor
-        event_adjust_factor: event_adjust_factor adjustFactor""",
-    )
-    + _fields("text", "factor_method"),
-    "financial_statement": _fields(
-        "text",
-        """report_period: report_period end_date statDate 报告期
-        statement_type: statement_type = income_statement
-        report_type: report_type = standard""",
-    )
-    + _fields(
-        "date",
-        """report_date: report_date statDate 报告日期
-        announcement_date: ann_date announcement_date pubDate 公告日期""",
-    )
-    + _fields(
-        "double",
-        """operating_revenue: operating_revenue revenue MBRevenue 营业收入
-        operating_profit: operating_profit 营业利润
-        net_profit: net_profit netProfit 净利润
-        parent_net_profit: parent_net_profit n_income_attr_p 归母净利润
-        total_assets: total_assets 总资产
-        total_liabilities: total_liabilities 总负债
-        parent_equity: parent_equity 归母权益
-        operating_cash_flow: operating_cash_flow 经营现金流""",
-    ),
-    "financial_indicator": _fields("text", "report_period: report_period end_date statDate 报告期")
-    + _fields(
-        "date",
-        """report_date: report_date statDate 报告日期
-        announcement_date: ann_date announcement_date pubDate 公告日期""",
-    )
-    + _fields(
-        "double",
-        """roe: roe roeAvg dupontROE ROE
-        roa: roa ROA
-        gross_margin: gross_margin gpMargin grossprofit_margin 毛利率
-        net_margin: net_margin npMargin dupontNitogr netprofit_margin 净利率
-        revenue_yoy: revenue_yoy or_yoy 营收同比
-        net_profit_yoy: net_profit_yoy YOYNI YOYPNI 净利润同比
-        debt_asset_ratio: debt_asset_ratio liabilityToAsset 资产负债率
-        current_ratio: current_ratio currentRatio 流动比率
-        ocf_to_net_profit: ocf_to_net_profit CFOToNP 经营现金流净利润比
-        eps: eps epsTTM EPS
-        bps: bps BPS""",
-    ),
-    "valuation_metric": _fields("date", "trade_date: trade_date date")
-    + _fields(
-        "double",
-        """pe: pe PE
-        pe_ttm: pe_ttm peTTM PE_TTM
-        pb: pb pbMRQ PB
-        ps: ps PS
-        ps_ttm: ps_ttm psTTM PS_TTM
-        pcf_ncf_ttm: pcf_ncf_ttm pcfNcfTTM PCF_NCF_TTM
-        dividend_yield: dividend_yield 股息率
-        total_market_value: total_market_value total_mv 总市值
-        float_market_value: float_market_value circ_mv 流通市值
-        turnover_rate: turnover_rate turn 换手率
-        volume_ratio: volume_ratio 量比""",
-    )
-    + [Field("amount", "amount", ("amount", "money", "成交额"))],
-    "industry_membership": _fields(
-        "text",
-        """industry_system: industry_system 行业体系
-        industry_code: industry_code 行业代码
-        industry_name: industry_name industry 行业名称 行业
-        industry_level: industry_level 行业层级 = 1
-        parent_industry_code: parent_industry_code 父行业代码
-        source_methodology: source_methodology 口径说明""",
-    )
-    + _fields("date", "effective_date: effective_date 生效日期\n end_date: end_date 结束日期"),
-    "concept_membership": _fields(
-        "text",
-        """concept_code: concept_code 概念代码
-        concept_name: concept_name 概念名称
-        evidence: evidence 证据
-        source_methodology: source_methodology 口径说明""",
-    )
-    + _fields("double", "concept_strength: concept_strength 关联强度")
-    + _fields("date", "effective_date: effective_date 生效日期\n end_date: end_date 结束日期"),
-    "money_flow": _fields("date", "trade_date: trade_date date")
-    + _fields("text", "frequency: frequency = 1d\n source_methodology: source_methodology 口径说明")
-    + _fields(
-        "double",
-        """main_net_inflow: main_net_inflow 主力净流入
-        super_large_net_inflow: super_large_net_inflow 超大单净流入
-        large_net_inflow: large_net_inflow 大单净流入
-        medium_net_inflow: medium_net_inflow 中单净流入
-        small_net_inflow: small_net_inflow 小单净流入
-        main_net_inflow_ratio: main_net_inflow_ratio 主力净流入占比""",
-    ),
-    "index": _fields(
-        "text",
-        """index_code: index_code ts_code 指数代码
-        index_name: index_name name 指数名称
-        exchange: exchange 交易所
-        market: market = A_share
-        index_provider: index_provider""",
-    )
-    + _fields("date", "list_date: list_date 上市日期"),
-    "index_bar": _fields(
-        "text",
-        """index_code: index_code ts_code 指数代码
-        index_name: index_name 指数名称
-        frequency: frequency = 1d""",
-    )
-    + _fields("date", "trade_date: trade_date date")
-    + _fields("instant", "timestamp: timestamp time trade_date date")
-    + _fields(
-        "double",
-        """open
-        high
-        low
-        close
-        pre_close
-        change
-        pct_change: pct_change pct_chg
-        volume: volume vol
-        amount""",
-    ),
-    "index_constituent": _fields(
-        "text", "index_code: index_code index_ts_code 指数代码\n index_name: index_name 指数名称"
-    )
-    + _fields("double", "weight: weight 权重")
-    + _fields("date", "effective_date: effective_date in_date 成分生效日期\n end_date: end_date out_date 成分结束日期"),
-    "corporate_action": _fields("text", "action_type: action_type 类型 = dividend")
-    + _fields(
-        "date",
-        """announcement_date: announcement_date ann_date dividPlanAnnounceDate dividPreNoticeDate 公告日期
-        record_date: record_date dividRegistDate 股权登记日
-        ex_date: ex_date float_date dividOperateDate 除权除息日 解禁日期
-        dividend_payment_date: dividend_payment_date pay_date dividPayDate 派息日""",
-    )
-    + _fields(
-        "double",
-        """cash_dividend_per_share: cash_dividend_per_share cash_div_tax cash_div dividCashPsBeforeTax 每股现金分红
-        stock_bonus_ratio: stock_bonus_ratio stk_div 送股比例
-        rights_issue_ratio: rights_issue_ratio dividReserveToStockPs 配股比例
-        rights_issue_price: rights_issue_price 配股价格""",
-    ),
+    "realtime_quote": [
+        Field("quote_time", "instant", ("quote_time", "time", "timestamp", "报价时间")),
+        Field("latest_price", "double", ("latest_price", "price", "最新价", "close")),
+        Field("open", "double", ("open", "开盘")),
+        Field("high", "double", ("high", "最高")),
+        Field("low", "double", ("low", "最低")),
+        Field("pre_close", "double", ("pre_close", "昨收")),
+        Field("bid1_price", "double", ("bid1_price", "买一价")),
+        Field("ask1_price", "double", ("ask1_price", "卖一价")),
+        Field("limit_up_price", "double", ("limit_up_price", "涨停价")),
+        Field("limit_down_price", "double", ("limit_down_price", "跌停价")),
+        Field("volume", "volume", ("vol", "volume", "成交量")),
+        Field("amount", "amount", ("amount", "money", "成交额")),
+    ],
+    "adj_factor": [
+        Field("trade_date", "date", ("trade_date", "date", "factor_event_date", "dividOperateDate")),
+        Field("factor_event_date", "date", ("factor_event_date", "dividOperateDate")),
+        Field("adj_factor", "double", ("adj_factor", "factor")),
+        Field("fore_adjust_factor", "double", ("fore_adjust_factor", "foreAdjustFactor")),
+        Field("back_adjust_factor", "double", ("back_adjust_factor", "backAdjustFactor")),
+        Field("event_adjust_factor", "double", ("event_adjust_factor", "adjustFactor")),
+        Field("factor_method", "text", ("factor_method",)),
+    ],
+    "financial_statement": [
+        Field("report_period", "text", ("report_period", "end_date", "statDate", "报告期")),
+        Field("statement_type", "text", ("statement_type",), "income_statement"),
+        Field("report_type", "text", ("report_type",), "standard"),
+        Field("report_date", "date", ("report_date", "statDate", "报告日期")),
+        Field("announcement_date", "date", ("ann_date", "announcement_date", "pubDate", "公告日期")),
+        Field("operating_revenue", "double", ("operating_revenue", "revenue", "MBRevenue", "营业收入")),
+        Field("operating_profit", "double", ("operating_profit", "营业利润")),
+        Field("net_profit", "double", ("net_profit", "netProfit", "净利润")),
+        Field("parent_net_profit", "double", ("parent_net_profit", "n_income_attr_p", "归母净利润")),
+        Field("total_assets", "double", ("total_assets", "总资产")),
+        Field("total_liabilities", "double", ("total_liabilities", "总负债")),
+        Field("parent_equity", "double", ("parent_equity", "归母权益")),
+        Field("operating_cash_flow", "double", ("operating_cash_flow", "经营现金流")),
+    ],
+    "financial_indicator": [
+        Field("report_period", "text", ("report_period", "end_date", "statDate", "报告期")),
+        Field("report_date", "date", ("report_date", "statDate", "报告日期")),
+        Field("announcement_date", "date", ("ann_date", "announcement_date", "pubDate", "公告日期")),
+        Field("roe", "double", ("roe", "roeAvg", "dupontROE", "ROE")),
+        Field("roa", "double", ("roa", "ROA")),
+        Field("gross_margin", "double", ("gross_margin", "gpMargin", "grossprofit_margin", "毛利率")),
+        Field("net_margin", "double", ("net_margin", "npMargin", "dupontNitogr", "netprofit_margin", "净利率")),
+        Field("revenue_yoy", "double", ("revenue_yoy", "or_yoy", "营收同比")),
+        Field("net_profit_yoy", "double", ("net_profit_yoy", "YOYNI", "YOYPNI", "净利润同比")),
+        Field("debt_asset_ratio", "double", ("debt_asset_ratio", "liabilityToAsset", "资产负债率")),
+        Field("current_ratio", "double", ("current_ratio", "currentRatio", "流动比率")),
+        Field("ocf_to_net_profit", "double", ("ocf_to_net_profit", "CFOToNP", "经营现金流净利润比")),
+        Field("eps", "double", ("eps", "epsTTM", "EPS")),
+        Field("bps", "double", ("bps", "BPS")),
+    ],
+    "valuation_metric": [
+        Field("trade_date", "date", ("trade_date", "date")),
+        Field("pe", "double", ("pe", "PE")),
+        Field("pe_ttm", "double", ("pe_ttm", "peTTM", "PE_TTM")),
+        Field("pb", "double", ("pb", "pbMRQ", "PB")),
+        Field("ps", "double", ("ps", "PS")),
+        Field("ps_ttm", "double", ("ps_ttm", "psTTM", "PS_TTM")),
+        Field("pcf_ncf_ttm", "double", ("pcf_ncf_ttm", "pcfNcfTTM", "PCF_NCF_TTM")),
+        Field("dividend_yield", "double", ("dividend_yield", "股息率")),
+        Field("total_market_value", "double", ("total_market_value", "total_mv", "总市值")),
+        Field("float_market_value", "double", ("float_market_value", "circ_mv", "流通市值")),
+        Field("turnover_rate", "double", ("turnover_rate", "turn", "换手率")),
+        Field("volume_ratio", "double", ("volume_ratio", "量比")),
+        Field("amount", "amount", ("amount", "money", "成交额")),
+    ],
+    "industry_membership": [
+        Field("industry_system", "text", ("industry_system", "行业体系")),
+        Field("industry_code", "text", ("industry_code", "行业代码")),
+        Field("industry_name", "text", ("industry_name", "industry", "行业名称", "行业")),
+        Field("industry_level", "text", ("industry_level", "行业层级"), "1"),
+        Field("parent_industry_code", "text", ("parent_industry_code", "父行业代码")),
+        Field("source_methodology", "text", ("source_methodology", "口径说明")),
+        Field("effective_date", "date", ("effective_date", "生效日期")),
+        Field("end_date", "date", ("end_date", "结束日期")),
+    ],
+    "concept_membership": [
+        Field("concept_code", "text", ("concept_code", "概念代码")),
+        Field("concept_name", "text", ("concept_name", "概念名称")),
+        Field("evidence", "text", ("evidence", "证据")),
+        Field("source_methodology", "text", ("source_methodology", "口径说明")),
+        Field("concept_strength", "double", ("concept_strength", "关联强度")),
+        Field("effective_date", "date", ("effective_date", "生效日期")),
+        Field("end_date", "date", ("end_date", "结束日期")),
+    ],
+    "money_flow": [
+        Field("trade_date", "date", ("trade_date", "date")),
+        Field("frequency", "text", ("frequency",), "1d"),
+        Field("source_methodology", "text", ("source_methodology", "口径说明")),
+        Field("main_net_inflow", "double", ("main_net_inflow", "主力净流入")),
+        Field("super_large_net_inflow", "double", ("super_large_net_inflow", "超大单净流入")),
+        Field("large_net_inflow", "double", ("large_net_inflow", "大单净流入")),
+        Field("medium_net_inflow", "double", ("medium_net_inflow", "中单净流入")),
+        Field("small_net_inflow", "double", ("small_net_inflow", "小单净流入")),
+        Field("main_net_inflow_ratio", "double", ("main_net_inflow_ratio", "主力净流入占比")),
+    ],
+    "index": [
+        Field("index_code", "text", ("index_code", "ts_code", "指数代码")),
+        Field("index_name", "text", ("index_name", "name", "指数名称")),
+        Field("exchange", "text", ("exchange", "交易所")),
+        Field("market", "text", ("market",), "A_share"),
+        Field("index_provider", "text", ("index_provider",)),
+        Field("list_date", "date", ("list_date", "上市日期")),
+    ],
+    "index_bar": [
+        Field("index_code", "text", ("index_code", "ts_code", "指数代码")),
+        Field("index_name", "text", ("index_name", "指数名称")),
+        Field("frequency", "text", ("frequency",), "1d"),
+        Field("trade_date", "date", ("trade_date", "date")),
+        Field("timestamp", "instant", ("timestamp", "time", "trade_date", "date")),
+        Field("open", "double", ("open",)),
+        Field("high", "double", ("high",)),
+        Field("low", "double", ("low",)),
+        Field("close", "double", ("close",)),
+        Field("pre_close", "double", ("pre_close",)),
+        Field("change", "double", ("change",)),
+        Field("pct_change", "double", ("pct_change", "pct_chg")),
+        Field("volume", "double", ("volume", "vol")),
+        Field("amount", "double", ("amount",)),
+    ],
+    "index_constituent": [
+        Field("index_code", "text", ("index_code", "index_ts_code", "指数代码")),
+        Field("index_name", "text", ("index_name", "指数名称")),
+        Field("weight", "double", ("weight", "权重")),
+        Field("effective_date", "date", ("effective_date", "in_date", "成分生效日期")),
+        Field("end_date", "date", ("end_date", "out_date", "成分结束日期")),
+    ],
+    "corporate_action": [
+        Field("action_type", "text", ("action_type", "类型"), "dividend"),
+        Field("announcement_date", "date", ("announcement_date", "ann_date", "dividPlanAnnounceDate", "dividPreNoticeDate", "公告日期")),
+        Field("record_date", "date", ("record_date", "dividRegistDate", "股权登记日")),
+        Field("ex_date", "date", ("ex_date", "float_date", "dividOperateDate", "除权除息日", "解禁日期")),
+        Field("dividend_payment_date", "date", ("dividend_payment_date", "pay_date", "dividPayDate", "派息日")),
+        Field("cash_dividend_per_share", "double", ("cash_dividend_per_share", "cash_div_tax", "cash_div", "dividCashPsBeforeTax", "每股现金分红")),
+        Field("stock_bonus_ratio", "double", ("stock_bonus_ratio", "stk_div", "送股比例")),
+        Field("rights_issue_ratio", "double", ("rights_issue_ratio", "dividReserveToStockPs", "配股比例")),
+        Field("rights_issue_price", "double", ("rights_issue_price", "配股价格")),
+    ],
 }
 WITHOUT_IDENTITY = ("trade_calendar", "index", "index_bar")
 

@@ -30,7 +30,7 @@ _KEY_FIELDS = {
     "index_constituent": "index_code normalized_ticker effective_date",
     "corporate_action": "normalized_ticker action_type announcement_date ex_date",
 }
-_CATEGORY = {name: kind for kind, names in fixed.FIELDS_BY_CATEGORY.items() for name in names.split()}
+_CATEGORY = {name: kind for kind, names in fixed.FIELDS_BY_CATEGORY.items() for name in names}
 
 
 def comparison_key(record_type: str) -> Column:
@@ -278,7 +278,7 @@ def rescore(merged: DataFrame, record_type: str) -> DataFrame:
     """Data quality of merged rows from their own conflicts, after merging."""
     penalties = F.transform("checks", lambda c: lookup(c["severity"], fixed.CONFLICT_ADJUSTMENT, F.lit(0.0)).cast("decimal(10,2)"))
     penalty = F.aggregate(penalties, F.lit(0).cast("decimal(12,2)"), lambda acc, p: (acc + p).cast("decimal(12,2)")).cast("double")
-    required = [f for f in fixed.REQUIRED_FIELDS[record_type].split() if f in merged.columns]
+    required = [f for f in fixed.REQUIRED_FIELDS[record_type] if f in merged.columns]
     filled = sum((F.col(f).isNotNull().cast("int") for f in required), F.lit(0))
     score = quality_score(
         F.col("provider"), filled, len(required), F.col("worst"), penalty, F.col("merge_method"),

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marketloom.functions.numbers import any_contains
+from marketloom.functions.text import ascii_lower
 
 
 def recent_events(
@@ -40,7 +41,7 @@ def matching_text(rows: DataFrame, text: str, query: str) -> DataFrame:
 
 def notes(rows: DataFrame, text: str, query: str, kind: str | None, newest: str, limit: int) -> DataFrame:
     """Notes that contain the query, of one type, newest first."""
-    found = rows.where(F.contains(F.col(text), F.lit(query)))
+    found = rows.where(F.contains(ascii_lower(F.col(text)), ascii_lower(F.lit(query))))
     if kind:
         found = found.where(F.col("kind") == kind)
     return found.orderBy(F.desc(newest)).limit(limit)

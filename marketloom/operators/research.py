@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from marketloom import fixed
 from marketloom.functions.numbers import any_contains, ratio_or_null, round_half_up
-from marketloom.operators.hotkeys import bounded_broadcast, explode_computed, latest_by_key
+from marketloom.functions.text import ascii_lower
+from marketloom.operators.hotkeys import explode_computed, latest_by_key
 
 
 def accept_links(labels: DataFrame, allowed: Column) -> DataFrame:
@@ -159,11 +160,11 @@ def golden_matches(golden: DataFrame, events: DataFrame, links: DataFrame) -> Da
     days = F.explode(F.sequence("date_from", "date_to", F.expr("INTERVAL 1 DAY"))).alias("event_date")
     g = golden.select("expected_event_id", "target_id", days, "keywords", "source_types", "expected_variables")
     plain = events.select("event_id", "target_id", "event_date", "summary", "source_type", "confidence").join(
-        bounded_broadcast(g), ["target_id", "event_date"]
+        g, ["target_id", "event_date"]
     )
     no_words, no_types = F.size("keywords") == 0, F.size("source_types") == 0
     candidates = plain.where(
-        (no_words | F.exists("keywords", lambda w: F.contains(F.col("summary"), w)))
+        (no_words | F.exists("keywords", lambda w: F.contains(ascii_lower(F.col("summary")), ascii_lower(w))))
         & (no_types | F.array_contains("source_types", F.col("source_type")))
     )
     linked = candidates.join(links.select("event_id", "tracking_variable"), "event_id", "left")

@@ -65,7 +65,7 @@ def _packed() -> str:
 
 @query("F25", "", _simhash_sql() + f"select doc_id, lpad(lower(hex({_packed()})), 16, '0') as simhash from s")
 def simhash_signatures(v):
-    d = v.spread("documents")
+    d = v.table("documents")
     return d.select("doc_id", text.signature_hex(text.simhash64(F.col("text"))).alias("simhash"))
 
 
@@ -82,7 +82,7 @@ def signature_distance(v):
 
     The first documents are one row per source; each source's documents meet them through a salted join.
     """
-    d = v.spread("documents")
+    d = v.table("documents")
     signed = d.select("doc_id", "source", text.simhash64(F.col("text")).alias("signature"))
     first = signed.groupBy("source").agg(F.min(F.struct("doc_id", "signature")).alias("_f"))
     first = first.select("source", F.col("_f.signature").alias("_first"))
@@ -148,7 +148,7 @@ y as (select *, {r("score", 2)} as read_priority, case when is_duplicate then 'l
 
 def _triaged(v):
     terms = F.array(*[F.lit(t) for t in ENTITY_TERMS])
-    scored = documents.score_hits(v.hits(spread=True), terms, STRONG_TERMS, {"media": 0.9})
+    scored = documents.score_hits(v.hits(), terms, STRONG_TERMS, {"media": 0.9})
     return documents.decide_hits(documents.mark_duplicates(scored, "content_hash", "doc_id"))
 
 
@@ -206,13 +206,30 @@ def hits_skipped_by_budget(v):
     "v_hits",
     """with l as (select doc_id as link_id, 'run' || cast(doc_id % 4 as varchar) as run_id, content_hash from v_hits),
     a as (select doc_id as link_id, doc_id * 7 % 1000 as analysed_at from v_hits where lang = 'en'),
-    c as (select x.link_id, y.link_id as prior, analysed_at from l x join l y on x.content_hash = y.content_hash and x.run_id <> y.run_id join a on a.link_id = y.link_id)
+    c as (select x.link_id, y.link_id as prior, analysed_at from l x join l y on x.content_hash = y.content_hash and x.link_id <> y.link_id join a on a.link_id = y.link_id)
     select l.link_id, l.run_id, p.prior as reused_link_id from l left join
       (select link_id, prior, row_number() over (partition by link_id order by analysed_at desc, prior desc) as rn from c) p on p.link_id = l.link_id and rn = 1""",
 )
 def reusable_analyses(v):
     links, analyses = _linked(v)
-    return documents.reusable_analysis(links, analyses, "content_hash").select("link_id", "run_id", "reused_link_id")
+    return documents.reusable_analysis(links, analyses, "content_hash", "link_id").select("link_id", "run_id", "reused_link_id")
+
+
+@query(
+    "J18",
+    "v_hits",
+    """with l as (select doc_id as link_id, 'run' || cast(doc_id % 4 as varchar) as run_id, domain || '/' || lang as canonical_url from v_hits where domain <> ''),
+    a as (select doc_id as link_id, doc_id * 7 % 1000 as analysed_at from v_hits where lang = 'en'),
+    c as (select canonical_url, run_id, max((analysed_at, link_id)) as best from l join a using (link_id) group by 1, 2),
+    p as (select o.canonical_url, o.run_id, max(best)[2] as prior from (select distinct canonical_url, run_id from l) o
+          join c on c.canonical_url = o.canonical_url and c.run_id <> o.run_id group by 1, 2)
+    select l.link_id, l.run_id, p.prior as reused_link_id from l left join p on p.canonical_url = l.canonical_url and p.run_id = l.run_id""",
+)
+def reusable_analyses_by_url(v):
+    links, analyses = _linked(v)
+    located = v.hits().where("domain <> ''").select(F.col("doc_id").alias("link_id"), F.concat_ws("/", "domain", "lang").alias("canonical_url"))
+    links = links.join(located, "link_id")
+    return documents.reusable_analysis(links, analyses, "canonical_url", "run_id").select("link_id", "run_id", "reused_link_id")
 
 
 def _linked(v):
@@ -231,13 +248,13 @@ def _linked(v):
     "v_hits",
     """with l as (select doc_id as link_id, 'run' || cast(doc_id % 4 as varchar) as run_id, content_hash from v_hits),
     a as (select doc_id as link_id, doc_id * 7 % 1000 as analysed_at from v_hits where lang = 'en'),
-    c as (select x.link_id, y.link_id as prior, analysed_at from l x join l y on x.content_hash = y.content_hash and x.run_id <> y.run_id join a on a.link_id = y.link_id),
+    c as (select x.link_id, y.link_id as prior, analysed_at from l x join l y on x.content_hash = y.content_hash and x.link_id <> y.link_id join a on a.link_id = y.link_id),
     p as (select link_id, prior from (select *, row_number() over (partition by link_id order by analysed_at desc, prior desc) as rn from c) where rn = 1)
     select p.link_id, p.prior as analysis_id, i as position, 'cache_reuse' as merge_method from p, (values (0), (1)) x(i)""",
 )
 def cloned_children(v):
     links, analyses = _linked(v)
-    reuse = documents.reusable_analysis(links, analyses, "content_hash")
+    reuse = documents.reusable_analysis(links, analyses, "content_hash", "link_id")
     children = analyses.select("link_id", "analysis_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("position"))
     return documents.clone_rows(children, analyses, reuse)
 
@@ -248,7 +265,7 @@ def cloned_children(v):
 @query("F31 F45")
 def extracted_pages(v):
     """Title, date hint, body size, tables and images of every whole page."""
-    p = v.spread("pages").select("page_id", text.extract_page(F.col("html")).alias("x"))
+    p = v.table("pages").select("page_id", text.extract_page(F.col("html")).alias("x"))
     return p.select(
         "page_id", "x.title", "x.publish_time", F.col("x.body").alias("body"),
         F.size("x.tables").alias("tables"), F.array_join("x.images", ",").alias("images"),
@@ -281,7 +298,7 @@ def _passage_sql() -> str:
 @query("F30 K6 W12", "", _passage_sql())
 def selected_passages(v):
     """Best paragraphs of every document within 1500 characters."""
-    d = v.spread("documents").select("doc_id", F.col("text").alias("body"))
+    d = v.table("documents").select("doc_id", F.col("text").alias("body"))
     entities = F.array(*[F.lit(t) for t in ENTITY_TERMS])
     rows = documents.select_passages(d, entities, [*KEYWORD_TERMS, *fixed.PASSAGE_KEYWORDS], budget=1500)
     return explode_computed(rows, F.col("passages"), "p").select("doc_id", "p.*")
@@ -297,7 +314,7 @@ def selected_passages(v):
 )
 def passage_chunks(v):
     chunks = documents.chunk_passages(F.split("text", "\n"), limit=800)
-    rows = explode_computed(v.spread("documents"), chunks, "c").select("doc_id", "c.*")
+    rows = explode_computed(v.table("documents"), chunks, "c").select("doc_id", "c.*")
     return rows.groupBy("doc_id", "chunk").agg(F.count("*").alias("passages"), F.sum("size").alias("chars"))
 
 

@@ -50,8 +50,8 @@ def bundle_json_objects(v):
 
 def _claims_sql() -> str:
     return f"""with passages as (select link_id, 'p' || cast(i as varchar) as passage_id, string_agg(statement, ' ' order by seq, statement) as text
-        from v_turns, (values (0), (1), (2)) x(i) where kind = 'events' and passage_id = 'p' || cast(i as varchar) group by 1, 2),
-      c as (select f.link_id, f.seq, f.passage_id, substr(f.statement, 1, 3) as claimed, f.confidence, p.text, p.passage_id is not null as known,
+        from v_turns, (values (0), (1), (2), (3), (4)) x(i) where kind = 'events' and passage_id = 'p' || cast(i as varchar) group by 1, 2),
+      c as (select f.link_id, f.seq, f.passage_id, f.statement as claimed, f.confidence, p.text, p.passage_id is not null as known,
               f.link_id in (select link_id from passages) as has
             from v_turns f left join passages p on p.link_id = f.link_id and p.passage_id = f.passage_id where f.kind = 'facts')
     select link_id, seq, case when has and not known then null else passage_id end as passage_id, claimed,
@@ -68,12 +68,11 @@ def checked_evidence(v):
     b = v.bundles()
     user = extraction.explode_objects(b, "events")
     passages = (
-        user.where(F.col("passage_id").isin("p0", "p1", "p2"))
-        .groupBy("link_id", "passage_id")
+        user.groupBy("link_id", "passage_id")
         .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "statement"))), lambda x: x["statement"]), " ").alias("text"))
     )
     claims = extraction.explode_objects(b, "facts").select(
-        "link_id", "seq", "passage_id", F.substring("statement", 1, 3).alias("claimed"), "confidence"
+        "link_id", "seq", "passage_id", F.col("statement").alias("claimed"), "confidence"
     )
     return extraction.check_evidence(claims, passages)
 

@@ -274,7 +274,7 @@ def provider_specific_memberships(v):
 
 def _raw_bars(v):
     """Events as raw bar rows, spelled differently by provider."""
-    e = v.events(spread=True)
+    e = v.events()
     chinese, value = F.col("provider") == "akshare", F.col("value").cast("string")
     money = F.when(F.col("k") % 4 == 0, "rmb").when(F.col("k") % 4 == 1, "hk_dollar").otherwise("")
     raw = F.create_map(
@@ -339,7 +339,7 @@ def record_lineage(v):
 
 def _raw_of(v, kind: str):
     """Raw rows in one provider's spelling for the record types besides bars."""
-    e = v.events(spread=True)
+    e = v.events()
     value, k, day = F.col("value").cast("string"), F.col("k").cast("string"), F.date_format("trade_date", "yyyy-MM-dd")
     code = F.lit("ts_code"), F.col("ticker")
     # One spelling per record type.

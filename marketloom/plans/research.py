@@ -124,7 +124,7 @@ def _rule_sql() -> str:
 
 @query("P26", "", _rule_sql())
 def keyword_candidates(v):
-    docs = v.spread("documents").select("doc_id", "text")
+    docs = v.table("documents").select("doc_id", "text")
     return research.keyword_candidates(docs, F.col("text"), _RULES).drop("text")
 
 
@@ -132,18 +132,18 @@ def _golden_sql() -> str:
     return """
     with g as (select 'g' || cast(item_id as varchar) as expected_event_id, (item_id * 7) % 150 as target_id,
          date '2024-01-01' + cast(item_id % 20 as int) as date_from, date '2024-01-05' + cast(item_id % 20 as int) as date_to,
-         ['signup', 'error', 'click', 'view', 'purchase'][cast(item_id % 5 as int) + 1] as kw, item_id % 3 = 0 as no_kw,
+         ['signup', 'error', 'click', 'View', 'purchase'][cast(item_id % 5 as int) + 1] as kw, item_id % 3 = 0 as no_kw,
          item_id % 4 = 0 as no_type, 'v' || cast(item_id % 10 as varchar) as var, item_id % 2 = 0 as no_var from benchmark),
     m as (select expected_event_id, event_id, row_number() over (partition by expected_event_id order by confidence desc, event_id) as rn
           from g join v_events e on e.user_id = g.target_id and e.trade_date between date_from and date_to
-          where (no_kw or contains(e.event_type, kw)) and (no_type or e.source_type in ('official', 'exchange')) and (no_var or e.tracking_variable = var))
+          where (no_kw or contains(translate(e.event_type, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), translate(kw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'))) and (no_type or e.source_type in ('official', 'exchange')) and (no_var or e.tracking_variable = var))
     """
 
 
 def _golden(v):
     b, key = v.table("benchmark"), F.col("item_id")
     none = F.array().cast("array<string>")
-    word = cycle(key, ["signup", "error", "click", "view", "purchase"])
+    word = cycle(key, ["signup", "error", "click", "View", "purchase"])
     return b.select(
         F.concat(F.lit("g"), key.cast("string")).alias("expected_event_id"),
         (key * 7 % 150).alias("target_id"),
@@ -688,10 +688,10 @@ def matching_facts(v):
     return readers.matching_text(v.table("documents"), "text", "thand  eaux").select("doc_id", "lang")
 
 
-@query("P32", "", "select doc_id, lang as kind from documents where contains(text, 'the') and lang = 'en' order by doc_id desc limit 20")
+@query("P32", "", "select doc_id, lang as kind from documents where contains(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), 'the') and lang = 'en' order by doc_id desc limit 20")
 def matching_notes(v):
     rows = v.table("documents").withColumnRenamed("lang", "kind")
-    return readers.notes(rows, "text", "the", "en", "doc_id", 20).select("doc_id", "kind")
+    return readers.notes(rows, "text", "The", "en", "doc_id", 20).select("doc_id", "kind")
 
 
 @query(
@@ -724,13 +724,13 @@ def breaker_openings(v):
     "P25",
     "v_events",
     """with c as (select event_id, k % 10 = 0 as usable, ['accept', 'quarantine', 'reject'][cast(k % 3 as int) + 1] as decision,
-       ['TOKEN_MISSING', 'RATE_LIMITED', 'OTHER', 'MIC_READ_FAILED'][cast(event_id % 4 as int) + 1] as code, event_id % 8 = 2 as retryable from v_events)
-    select case when usable or decision = 'quarantine' or code = 'TOKEN_MISSING' then 'ack' when code in ('RATE_LIMITED', 'MIC_READ_FAILED') or retryable then 'retry' else 'ack' end as action,
+       ['TOKEN_MISSING', 'RATE_LIMITED', 'OTHER', 'PROVIDER_TIMEOUT'][cast(event_id % 4 as int) + 1] as code, event_id % 8 = 2 as retryable from v_events)
+    select case when usable or decision = 'quarantine' or code = 'TOKEN_MISSING' then 'ack' when code in ('RATE_LIMITED', 'PROVIDER_TIMEOUT') or retryable then 'retry' else 'ack' end as action,
       count(*) as n from c group by 1""",
 )
 def message_actions(v):
     e = v.events()
-    code = F.array(cycle(F.col("event_id"), ["TOKEN_MISSING", "RATE_LIMITED", "OTHER", "MIC_READ_FAILED"]))
+    code = F.array(cycle(F.col("event_id"), ["TOKEN_MISSING", "RATE_LIMITED", "OTHER", "PROVIDER_TIMEOUT"]))
     decision = cycle(F.col("k"), ["accept", "quarantine", "reject"])
     action = demands.message_action(F.col("k") % 10 == 0, decision, code, F.col("event_id") % 8 == 2)
     return e.groupBy(action.alias("action")).agg(F.count("*").alias("n"))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from marketloom import fixed
 from marketloom.functions import market, times, urls
 from marketloom.operators import bars as bar_ops
-from marketloom.operators.hotkeys import first_by_key, latest_by_key
+from marketloom.operators.hotkeys import latest_by_key
 from marketloom.session import pin
 
 BUCKET_MINUTES = 240
@@ -45,21 +45,11 @@ class Views:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
-    def spread(self, name: str) -> DataFrame:
-        """A table for work that is heavy per row.
-
-        A small table of one file arrives as one split and would keep one core busy; it is dealt out
-        over all cores. Tables of many files are left as they are read.
-        """
-        df = self.table(name)
-        cores = self.spark.sparkContext.defaultParallelism
-        return df if len(df.inputFiles()) >= cores else df.repartition(cores)
-
-    def events(self, spread: bool = False) -> DataFrame:
+    def events(self) -> DataFrame:
         """Collected events: ticker, provider, variable, confidence and source per event."""
         kinds = {"signup": "official", "error": "media", "click": "exchange", "view": "social", "purchase": "company"}
         source = F.create_map(*[F.lit(x) for pair in kinds.items() for x in pair])
-        e = self.spread("events") if spread else self.table("events")
+        e = self.table("events")
         k = F.get_json_object("props", "$.k").cast("int")
         confidence = F.least(F.col("value") / 100, F.lit(1.0))
         return e.select(
@@ -181,14 +171,14 @@ class Views:
             urls.domain(F.col("url")).alias("domain"),
         )
 
-    def hits(self, spread: bool = False) -> DataFrame:
+    def hits(self) -> DataFrame:
         """Documents as search hits: a title, a snippet and a rank within their source."""
-        d = self.spread("documents") if spread else self.table("documents")
+        d = self.table("documents")
         return d.select(
             "doc_id",
             "lang",
             F.col("source").alias("run_id"),
-            F.substring("text", 1, 80).alias("title"),
+            F.substring_index("text", "\n", 1).alias("title"),
             F.col("text").alias("snippet"),
             cycle(
                 F.col("doc_id"),
@@ -242,12 +232,11 @@ class Views:
 
         A long conversation becomes many links, so no bundle gathers more than its sixteen turns.
         """
-        once = first_by_key(self.table("conversations"), ["conv_id", "turn"], ["role", "text"])
         chunk = F.floor(F.col("turn") / TURNS_PER_BUNDLE)
-        c = once.withColumn("link_id", F.concat_ws("-", F.col("conv_id").cast("string"), chunk.cast("string")))
+        c = self.table("conversations").withColumn("link_id", F.concat_ws("-", F.col("conv_id").cast("string"), chunk.cast("string")))
         turn = F.struct(
             F.col("turn").alias("seq"),
-            F.substring("text", 1, 40).alias("statement"),
+            F.col("text").alias("statement"),
             F.concat(F.lit("p"), (F.col("turn") % 5).cast("string")).alias("passage_id"),
             F.least(F.lit(1.0), F.length("text") / 500).alias("confidence"),
         )
@@ -419,7 +408,7 @@ SQL: dict[str, str] = {
               from part cross join (values ('tushare', 11), ('akshare', 13), ('baostock', 7)) s(provider, gap))
         where p_partkey % gap <> 0""".replace("None", "null"),
     "v_hits": f"""
-        select doc_id, lang, source as run_id, substr(text, 1, 80) as title, text as snippet,
+        select doc_id, lang, source as run_id, split_part(text, chr(10), 1) as title, text as snippet,
                {cycle_sql("doc_id", ["news.sse.com.cn", "www.gov.cn", "example.com", "blog.example.org", "caam.org.cn", ""])} as domain,
                cast(doc_id % 12 as int) as rank,
                case when doc_id % 7 = 0 then 'source_pack:policy' else 'orders_tender' end as query_family,
@@ -449,13 +438,11 @@ SQL: dict[str, str] = {
     "v_turns": f"""
         select link_id, 'run' || cast(conv_id % 4 as varchar) as run_id,
                {cycle_sql("conv_id", ["save_structured", "link_only", "skip"])} as decision, turn as seq,
-               substr(text, 1, 40) as statement, 'p' || cast(turn % 5 as varchar) as passage_id,
+               text as statement, 'p' || cast(turn % 5 as varchar) as passage_id,
                least(1.0::double, length(text) / 500.0::double) as confidence,
                case role when 'assistant' then 'facts' when 'user' then 'events' else 'risks' end as kind,
-               row_number() over (partition by link_id, role order by turn) - 1 as position
-        from (select *, cast(conv_id as varchar) || '-' || cast(turn // {TURNS_PER_BUNDLE} as varchar) as link_id,
-                     row_number() over (partition by conv_id, turn order by role, text) as copy from conversations)
-        where copy = 1""",
+               row_number() over (partition by link_id, role order by turn, text) - 1 as position
+        from (select *, cast(conv_id as varchar) || '-' || cast(turn // {TURNS_PER_BUNDLE} as varchar) as link_id from conversations)""",
     "v_targets": f"""
         select user_id as target_id, {TICKER_SQL.format(u="user_id")} as ticker,
                case when user_id % 6 <> 0 then 'ind' || cast(user_id % 6 as varchar) end as industry_id,

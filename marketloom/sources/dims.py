@@ -22,7 +22,7 @@ def tolerances(spark: SparkSession) -> DataFrame:
 
 def variable_rules(spark: SparkSession) -> DataFrame:
     """Keyword per tracking variable."""
-    rows = [(v, w) for v, words in fixed.VARIABLE_RULES.items() for w in words.split()]
+    rows = [(v, w) for v, words in fixed.VARIABLE_RULES.items() for w in words]
     return F.broadcast(spark.createDataFrame(rows, "tracking_variable string, keyword string"))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-from marketloom.operators.hotkeys import bounded_broadcast, first_by_key, latest_by_key
+from marketloom.operators.hotkeys import first_by_key, latest_by_key
 from marketloom.session import scratch_root
 
 
@@ -45,7 +45,7 @@ def upsert(rows: DataFrame, path: str, partitions: Sequence[str], key: Sequence[
         kept = existing
         if partitions:
             touched = merged.select(*[F.col(p).cast(existing.schema[p].dataType) for p in partitions]).distinct()
-            kept = existing.join(bounded_broadcast(touched), list(partitions), "left_semi")
+            kept = existing.join(touched, list(partitions), "left_semi")
         # Partition values come back with inferred types.
         merged = merged.unionByName(kept.select(*[F.col(f.name).cast(f.dataType) for f in rows.schema.fields]))
     writer = stage(latest_by_key(merged, key, [order]), "merged").write.mode("overwrite")

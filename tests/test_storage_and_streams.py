@@ -138,3 +138,14 @@ def test_sessions_close_after_a_gap(spark, tmp_path):
     events = jobs.read_files(spark, str(tmp_path / "s"), "*.parquet", "ts timestamp, k string")
     out = jobs.collect_once(jobs.sessions(events, "k", "ts", "15 minutes"), "sessions")
     assert sorted(r.events for r in out.collect()) == [1, 2]
+
+
+def test_streams_read_a_table_of_many_files_as_one_of_one_file(spark, tmp_path):
+    from marketloom.plans import REGISTRY, Views
+
+    source = "/root/testdata/sf0.001"
+    events = spark.read.parquet(f"{source}/events.parquet")
+    events.orderBy(F.rand(3)).repartition(5).write.parquet(str(tmp_path / "events.parquet"))
+    for name in ("stream_deduped_quotes", "stream_idempotent_sink"):
+        one, many = (REGISTRY[name].build(Views(spark, f)) for f in (source, str(tmp_path)))
+        assert one.count() and many.count() == one.count()
