@@ -53,7 +53,7 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     revisit = F.col("kind") == "revisit"
     return warc.read(spark, folder).select(
         F.col("key").alias("page_id"),
-        F.when(revisit, F.col("payload_length")).otherwise(F.octet_length("payload").cast("long")).alias("payload_bytes"),
+        F.when(revisit, F.col("payload_length")).otherwise(F.col("payload_bytes")).alias("payload_bytes"),
         F.when(revisit, F.col("digest")).otherwise(F.col("payload_digest")).alias("payload_digest"),
         F.col("kind").alias("record_type"),
         F.when(revisit, F.col("refers_to_key")).alias("refers_to"),

@@ -24,6 +24,15 @@ PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
 _HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 
 
+#: Rows of three or four columns that a join sends to every task; beyond it the join moves both sides.
+SENT_ROWS = 500_000
+
+
+def _small(rows: DataFrame) -> DataFrame:
+    """Broadcast a computed table of known columns if it has few rows, so that payloads stay where they are."""
+    return F.broadcast(rows) if rows.count() <= SENT_ROWS else rows
+
+
 def base32_sha1(data: Column) -> Column:
     """SHA-1 as bare upper-case base32: five hexadecimal digits make four base-32 digits."""
     digest = F.sha1(data)
@@ -49,10 +58,11 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "
     rows = rows.withColumn("row", F.monotonically_increasing_id()).withColumn("data", F.coalesce(F.encode("payload", "UTF-8"), F.lit(b""))).drop("payload")
     rows = rows.withColumn("size", F.octet_length("data").cast("long")).withColumn("digest", base32_sha1(F.col("data")))
     place = F.struct(F.col("key").isNull().alias("none"), F.col("key").alias("key"), F.col("row").alias("row"))
-    firsts = rows.where(F.col("size") >= minimum_bytes).groupBy("digest", "size").agg(F.min(place).alias("first"), F.count("*").alias("n"))
-    again = rows.select("digest", "size", "row").join(firsts.where("n > 1"), ["digest", "size"]).where("row <> first.row")
+    narrow = rows.select("key", "row", "size", "digest")
+    firsts = narrow.where(F.col("size") >= minimum_bytes).groupBy("digest", "size").agg(F.min(place).alias("first"), F.count("*").alias("n"))
+    again = narrow.select("digest", "size", "row").join(firsts.where("n > 1"), ["digest", "size"]).where("row <> first.row")
     again = again.select("row", F.col("first.row").alias("first_row"), F.col("first.key").alias("first_key"))
-    marked = rows.join(again, "row", "left")
+    marked = rows.join(_small(cut(again)), "row", "left")
     revisit = F.col("first_row").isNotNull()
 
     def record_id(row: Column, key: Column) -> Column:
@@ -99,7 +109,8 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
     Returns file string, start long (byte offset), kind string, record_id, uri, refers_to, key,
     refers_to_key, digest strings, payload_length long (as stated), payload binary (what follows the HTTP
-    header of a response; empty for a revisit), payload_digest string (computed). A file that does not begin
+    header of a response; empty for a revisit), payload_digest string and
+    payload_bytes long (computed). A file that does not begin
     with a record gives none; behind a damaged record its chain ends. Files must not change while read.
     """
     chunks = _chunks(spark, path)
@@ -110,6 +121,9 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     parsed = parsed.withColumn("bytes", F.octet_length("chunk").cast("long") + len(MAGIC))
     parsed = parsed.withColumn("total", len(MAGIC) + F.col("head_bytes") - 1 + len(END) + F.col("length") + len(END))
 
+    # what a candidate holds is worked out where it is read, so that joins move payloads only if they are asked for
+    parsed = _payload(parsed.withColumn("content", _content()))
+
     narrow = stored(parsed.select("file", "block", "place", "bytes", "total"), "boundaries")
     per_block = narrow.groupBy("file", "block").agg(F.sum("bytes").alias("bytes"))
     earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
@@ -130,19 +144,19 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     flagged = stored(flagged, "owners")
     where = ["file", "block", "place"]
     records = parsed.join(flagged.where("is_record"), where)
-    single = records.where("not longer").select("file", "record", "head", "head_bytes", "length", "chunk")
+    kept = ["file", "record", "head", "length", "payload", "payload_digest", "payload_bytes"]
+    single = records.where("not longer").select(kept)
     # a payload that holds the magic was cut there: join its chunks with the magic again
     spread = flagged.where("is_record and longer").select("file", "record").join(flagged, ["file", "record"])
-    pieces = chunks.join(spread.select(*where, "start", "record"), where)
+    spread = _small(cut(spread.select(*where, "start", "record")))
+    pieces = chunks.join(spread, where)
     joined = pieces.groupBy("file", "record").agg(F.array_sort(F.collect_list(F.struct("start", "chunk"))).alias("parts"))
     magic = F.lit(MAGIC.encode())
     whole = F.aggregate(F.slice("parts", 2, F.greatest(F.size("parts") - 1, F.lit(0))), F.col("parts")[0]["chunk"], lambda done, part: F.concat(done, magic, part["chunk"]))
     joined = joined.select("file", "record", whole.alias("chunk"))
     several = records.where("longer").select("file", "record", "head", "head_bytes", "length").join(joined, ["file", "record"])
-    content = F.expr(f"substring(chunk, cast(head_bytes as int) + {len(END)}, cast(length as int))")
-    both = single.unionByName(several).withColumn("content", content)
-    payload = F.expr(f"case when length = 0 then content else substring(content, instr(decode(content, 'ISO-8859-1'), '{_escaped(END)}') + {len(END)}) end")
-    return both.withColumn("payload", payload).select(
+    both = single.unionByName(_payload(several.withColumn("content", _content())).select(kept))
+    return both.select(
         "file",
         F.col("record").alias("start"),
         _field("WARC-Type").alias("kind"),
@@ -154,10 +168,23 @@ def read(spark: SparkSession, path: str) -> DataFrame:
         F.regexp_replace(_field("WARC-Payload-Digest"), "^sha1:", "").alias("digest"),
         _field("Payload-Length").cast("long").alias("payload_length"),
         "payload",
-        base32_sha1(F.col("payload")).alias("payload_digest"),
+        "payload_digest",
+        "payload_bytes",
     )
 
 
+def _content() -> Column:
+    """The content behind a candidate's header, as far as its chunk goes."""
+    return F.expr(f"substring(chunk, cast(head_bytes as int) + {len(END)}, cast(length as int))")
+
+
+def _payload(rows: DataFrame) -> DataFrame:
+    """The payload of a content, behind its HTTP header, and its digest."""
+    payload = F.expr(f"case when length = 0 then content else substring(content, instr(decode(content, 'ISO-8859-1'), '{_escaped(END)}') + {len(END)}) end")
+    rows = rows.withColumn("payload", payload)
+    return rows.withColumn("payload_digest", base32_sha1(F.col("payload"))).withColumn("payload_bytes", F.octet_length("payload").cast("long"))
+
+
 def _escaped(text: str) -> str:
     return text.replace("\r", "\\r").replace("\n", "\\n")
 
