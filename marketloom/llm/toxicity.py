@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marketloom.llm import words as W
-from marketloom.llm.common import longs, pick, unsigned
+from marketloom.llm.common import longs, pick, stored, unsigned
 
 SAMPLE = 20_000
 LEXICON = 4096
@@ -245,15 +245,16 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, keep: Column
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", keep: Column | None = None, sample: int = SAMPLE) -> Model:
     """Learn lexicon, trees and calibration from a bounded sample of labelled documents.
 
-    Only texts and labels are used. Without labels of both kinds every score is the share of positives, 0 for none.
+    Only texts and labels are used. The sample is written once, as it is read three times. Without labels of both kinds every score is the share of positives, 0 for none.
     """
     rows = labelled_sample(docs, labels, label, F.lit(True) if keep is None else keep, sample)
     tagged = rows.select("text", (F.col("label") > 0).cast("int").alias("label")).withColumn("group", F.arrow_udf(_content_group, "long")("text"))
-    tagged = tagged.withColumn("fold", F.pmod("group", F.lit(FOLDS)).cast("int"))
+    tagged = stored(tagged.withColumn("fold", F.pmod("group", F.lit(FOLDS)).cast("int")), "toxicity-sample")
     sizes = np.zeros((2, FOLDS))
     for r in tagged.groupBy("label", "fold").agg(F.countDistinct("group").alias("n")).collect():
         sizes[r["label"], r["fold"]] = r["n"]
-    counted = tagged.dropDuplicates(["group", "label"]).mapInArrow(_count_terms, "term long, fold int, pos long, neg long").groupBy("term")
+    distinct = tagged.groupBy("group", "label", "fold").agg(F.min("text").alias("text"))
+    counted = distinct.mapInArrow(_count_terms, "term long, fold int, pos long, neg long").groupBy("term")
     summed = counted.agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), *[F.sum(F.when(F.col("fold") == f, F.col(c)).otherwise(0)).alias(f"{c}{f}") for f in range(FOLDS) for c in ("pos", "neg")])
     odds = F.log((F.col("pos") + 0.5) / float(sizes[1].sum() + 1)) - F.log((F.col("neg") + 0.5) / float(sizes[0].sum() + 1))
     likely = summed.withColumn("odds", odds).where((F.col("pos") >= MIN_SUPPORT) & (F.col("odds") >= MIN_LOG_ODDS))

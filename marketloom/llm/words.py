@@ -17,7 +17,7 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], U64)
 #: Text bytes that are hashed at once; a single longer text is still taken whole.
-SLAB_BYTES = 4_000_000
+SLAB_BYTES = 1_000_000
 _LONG_WORD = 64
 
 
