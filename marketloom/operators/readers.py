@@ -39,6 +39,53 @@ def matching_text(rows: DataFrame, text: str, query: str) -> DataFrame:
     return rows.where(any_contains(F.col(text), query.split()))
 
 
+def of_target(rows: DataFrame, target, since: str | None = None, **wanted: Sequence | None) -> DataFrame:
+    """Rows of one target created at or after a time whose named columns have wanted values; no wanted values, no filter."""
+    found = rows.where(F.col("target_id") == target)
+    if since:
+        found = found.where(F.col("created_at") >= F.lit(since).cast(rows.schema["created_at"].dataType))
+    for name, values in wanted.items():
+        if values:
+            found = found.where(F.col(name).isin(list(values)))
+    return found
+
+
+def target_facts(
+    facts: DataFrame, target, query: str | None = None, fact_types: Sequence[str] | None = None, since: str | None = None
+) -> DataFrame:
+    """Facts of a target by type, time and search terms, most confident first; a query whose terms match nothing gives no rows."""
+    found = of_target(facts, target, since, fact_type=fact_types)
+    if query:
+        found = matching_text(found, "fact_statement", query)
+    return found.orderBy(F.desc("confidence"))
+
+
+def target_metrics(metrics: DataFrame, target, names: Sequence[str] | None = None, since: str | None = None) -> DataFrame:
+    """Metric observations of a target, newest first."""
+    return of_target(metrics, target, since, metric_name=names).orderBy(F.desc("created_at"))
+
+
+def target_risks(risks: DataFrame, target, since: str | None = None, severity: Sequence[str] | None = None) -> DataFrame:
+    """Risk flags of a target, most confident first."""
+    return of_target(risks, target, since, severity=severity).orderBy(F.desc("confidence"))
+
+
+def target_catalysts(catalysts: DataFrame, target, date_from: str | None = None, date_until: str | None = None) -> DataFrame:
+    """Catalysts of a target expected within an inclusive date range, earliest first."""
+    found = of_target(catalysts, target)
+    if date_from:
+        found = found.where(F.col("expected_date") >= F.lit(date_from).cast("date"))
+    if date_until:
+        found = found.where(F.col("expected_date") <= F.lit(date_until).cast("date"))
+    return found.orderBy("expected_date")
+
+
+def target_work(rows: DataFrame, target, priority: str | None = None, status: str | None = None) -> DataFrame:
+    """Analyst questions or coverage gaps of a target, newest first."""
+    found = of_target(rows, target, priority=[priority] if priority else None, status=[status] if status else None)
+    return found.orderBy(F.desc("created_at"))
+
+
 def notes(rows: DataFrame, text: str, query: str, kind: str | None, newest: str, limit: int) -> DataFrame:
     """Notes that contain the query, of one type, newest first."""
     found = rows.where(F.contains(ascii_lower(F.col(text)), ascii_lower(F.lit(query))))

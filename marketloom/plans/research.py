@@ -688,6 +688,80 @@ def matching_facts(v):
     return readers.matching_text(v.table("documents"), "text", "thand  eaux").select("doc_id", "lang")
 
 
+@query(
+    "P13 P14",
+    "",
+    """select doc_id as fact_id, lang as fact_type, (doc_id % 10) / 10.0::double as confidence from documents
+    where source = 'src1' and lang in ('en', 'de') and date '2024-01-01' + cast(doc_id % 30 as int) >= date '2024-01-11'
+      and (contains(text, 'thand') or contains(text, 'eaux'))""",
+)
+def facts_of_target(v):
+    facts = v.table("documents").select(
+        F.col("doc_id").alias("fact_id"),
+        F.col("source").alias("target_id"),
+        F.col("lang").alias("fact_type"),
+        F.col("text").alias("fact_statement"),
+        F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 30).cast("int")).alias("created_at"),
+        ((F.col("doc_id") % 10) / 10).alias("confidence"),
+    )
+    found = readers.target_facts(facts, "src1", "thand eaux", ["en", "de"], "2024-01-11")
+    return found.select("fact_id", "fact_type", "confidence")
+
+
+@query(
+    "P13",
+    "v_events",
+    """select event_id as metric_id, event_type as metric_name, value as metric_value from v_events
+    where user_id = 7 and event_type in ('click', 'purchase') and ts >= timestamp '2024-01-05 00:00:00'""",
+)
+def metrics_of_target(v):
+    metrics = v.events().select(
+        F.col("event_id").alias("metric_id"), F.col("user_id").alias("target_id"), F.col("event_type").alias("metric_name"), F.col("value").alias("metric_value"),
+        F.col("ts").alias("created_at"),
+    )
+    return readers.target_metrics(metrics, 7, ["click", "purchase"], "2024-01-05").select("metric_id", "metric_name", "metric_value")
+
+
+@query(
+    "P13",
+    "v_events",
+    """select event_id as risk_id, direction as severity, confidence from v_events
+    where user_id = 7 and direction in ('negative') and ts >= timestamp '2024-01-05 00:00:00'""",
+)
+def risks_of_target(v):
+    risks = v.research_events().withColumn("severity", F.col("direction"))
+    found = readers.target_risks(risks, 7, "2024-01-05", ["negative"])
+    return found.select(F.col("event_id").alias("risk_id"), "severity", "confidence")
+
+
+@query(
+    "P13",
+    "v_demands",
+    """select demand_id as catalyst_id, cast(active_to as varchar) as expected_date from v_demands
+    where owner_id = 19 and active_to between date '1996-01-01' and date '1999-12-31'""",
+)
+def catalysts_of_target(v):
+    catalysts = v.demands().withColumnsRenamed({"demand_id": "catalyst_id", "owner_id": "target_id", "active_to": "expected_date"})
+    found = readers.target_catalysts(catalysts, 19, "1996-01-01", "1999-12-31")
+    return found.select("catalyst_id", F.col("expected_date").cast("string").alias("expected_date"))
+
+
+@query("P13 P15", "v_demands", "select demand_id as question_id, priority, status from v_demands where owner_id = 19 and status = 'active'")
+def questions_of_target(v):
+    found = readers.target_work(_work_rows(v), 19, status="active")
+    return found.select(F.col("demand_id").alias("question_id"), "priority", "status")
+
+
+@query("P13", "v_demands", "select demand_id as gap_id, priority, status from v_demands where owner_id = 19 and priority = '1-URGENT'")
+def gaps_of_target(v):
+    found = readers.target_work(_work_rows(v), 19, priority="1-URGENT")
+    return found.select(F.col("demand_id").alias("gap_id"), "priority", "status")
+
+
+def _work_rows(v):
+    return v.demands().withColumnsRenamed({"owner_id": "target_id", "active_from": "created_at"})
+
+
 @query("P32", "", "select doc_id, lang as kind from documents where contains(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), 'the') and lang = 'en' order by doc_id desc limit 20")
 def matching_notes(v):
     rows = v.table("documents").withColumnRenamed("lang", "kind")

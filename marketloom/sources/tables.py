@@ -30,6 +30,25 @@ def stage(rows: DataFrame, name: str) -> DataFrame:
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
+def touched(existing: DataFrame, incoming: DataFrame, partitions: Sequence[str]) -> DataFrame:
+    """Rows of the table in the partitions that incoming rows belong to; null is a partition, too.
+
+    The incoming partition values become literals, so the scan lists and reads no other partition. They
+    are at most as many as the table has partitions, or gets new ones.
+    """
+    values = incoming.select(*[F.col(p).cast(existing.schema[p].dataType).alias(f"_{p}") for p in partitions]).distinct()
+    found = values.collect()
+    kept = existing
+    for p in partitions:
+        named = {row[f"_{p}"] for row in found}
+        same = F.col(p).isin(sorted(named - {None}))
+        kept = kept.where(same | F.col(p).isNull() if None in named else same)
+    if len(partitions) == 1:
+        return kept
+    # of several columns the literals also admit combinations that do not occur
+    return kept.join(values, [F.col(p).eqNullSafe(F.col(f"_{p}")) for p in partitions], "left_semi")
+
+
 def upsert(rows: DataFrame, path: str, partitions: Sequence[str], key: Sequence[str], order: str = "ingested_at") -> None:
     """Merge rows into a table, keeping the latest row per business key.
 
@@ -42,10 +61,7 @@ def upsert(rows: DataFrame, path: str, partitions: Sequence[str], key: Sequence[
     merged = rows
     if existing is not None:
         merged = stage(rows, "incoming")
-        kept = existing
-        if partitions:
-            touched = merged.select(*[F.col(p).cast(existing.schema[p].dataType) for p in partitions]).distinct()
-            kept = existing.join(touched, list(partitions), "left_semi")
+        kept = touched(existing, merged, partitions) if partitions else existing
         # Partition values come back with inferred types.
         merged = merged.unionByName(kept.select(*[F.col(f.name).cast(f.dataType) for f in rows.schema.fields]))
     writer = stage(latest_by_key(merged, key, [order]), "merged").write.mode("overwrite")
@@ -54,11 +70,17 @@ def upsert(rows: DataFrame, path: str, partitions: Sequence[str], key: Sequence[
 
 
 def insert_absent(rows: DataFrame, path: str, key: Sequence[str], order: Sequence[str], partitions: Sequence[str] = ()) -> None:
-    """Append rows whose key the table lacks; the first row of a key wins."""
+    """Append rows whose key the table lacks; the first row of a key wins.
+
+    With partition columns that belong to the key, only partitions that receive rows are searched.
+    """
     spark = rows.sparkSession
     existing = read(spark, path)
     fresh = first_by_key(rows, key, order)
     if existing is not None:
+        if partitions and set(partitions) <= set(key):
+            fresh = stage(fresh, "fresh")
+            existing = touched(existing, fresh, partitions)
         fresh = fresh.join(existing.select(*key), list(key), "left_anti").select(*rows.columns)
     writer = fresh.write.mode("append")
     (writer.partitionBy(*partitions) if partitions else writer).parquet(path)

@@ -22,6 +22,37 @@ def test_upsert_keeps_latest_and_touches_only_its_partitions(spark, tmp_path):
     assert kept[1] == sorted(p.name for p in (tmp_path / "bars" / "day=d2").glob("*.parquet"))
 
 
+def test_upsert_reads_only_touched_partitions(spark, tmp_path):
+    path = str(tmp_path / "t")
+    schema = "k string, v int, ingested_at int, day date, src string"
+    days = [dt.date(2026, 1, d) for d in (1, 2, 3)]
+    old = [("a", 1, 1, days[0], "x"), ("b", 1, 1, days[1], "y"), ("c", 1, 1, days[2], None), ("d", 1, 1, days[2], None)]
+    tables.upsert(spark.createDataFrame(old, schema), path, ["day", "src"], ["day", "src", "k"])
+    new = spark.createDataFrame([("a", 2, 2, days[0], "x"), ("c", 2, 2, days[2], None)], schema)
+    kept = tables.touched(tables.read(spark, path), new, ["day", "src"])
+    assert sorted(r.k for r in kept.collect()) == ["a", "c", "d"]
+    assert "2026-01-01,2026-01-03" in kept._jdf.queryExecution().executedPlan().toString().replace(", ", ",")
+    tables.upsert(new, path, ["day", "src"], ["day", "src", "k"])
+    rows = {(r.k, r.v) for r in tables.read(spark, path).collect()}
+    assert rows == {("a", 2), ("b", 1), ("c", 2), ("d", 1)}
+
+
+def test_upsert_of_no_rows_changes_nothing(spark, tmp_path):
+    path = str(tmp_path / "t")
+    rows = spark.createDataFrame([("a", 1, 1, "d1")], "k string, v int, ingested_at int, day string")
+    for part in (rows, rows.limit(0)):
+        tables.upsert(part, path, ["day"], ["day", "k"])
+    assert tables.read(spark, path).count() == 1
+
+
+def test_first_write_wins_within_partitions(spark, tmp_path):
+    path = str(tmp_path / "t")
+    schema = "k string, v int, day string"
+    for value, day in ((1, "d1"), (2, "d1"), (3, "d2")):
+        tables.insert_absent(spark.createDataFrame([("a", value, day)], schema), path, ["day", "k"], ["v"], ["day"])
+    assert {(r.v, r.day) for r in tables.read(spark, path).collect()} == {(1, "d1"), (3, "d2")}
+
+
 def test_first_write_wins(spark, tmp_path):
     path = str(tmp_path / "t")
     for value in (1, 2):
