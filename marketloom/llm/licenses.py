@@ -2,10 +2,11 @@
 
 Templates are short notices of common licences. The index holds, for every template word, the templates
 and positions where it stands. How rare a word is comes from the document frequencies of template words
-over all documents. In a file the rarest template words that it has are looked up; a posting at template
-position p for a word at place i votes for an alignment that begins at i - p. Alignments that several
-rare words agree on are compared word by word, and a label is given when the template's mandatory phrase
-stands in the text as the alignment says and enough of the notice is there.
+over all documents. Of every template's mandatory phrase the rarest words are looked up, in any file and
+however many notices it holds; a posting at template position p for a word at place i votes for an alignment
+that begins at i - p. A phrase that stands in the text has all its rare words there, so its alignment gets
+all their votes. Such alignments are compared word by word, and a label is given when the template's
+mandatory phrase stands in the text as the alignment says and enough of the notice is there.
 """
 
 from __future__ import annotations
@@ -46,7 +47,8 @@ TEMPLATES = (
     ("unlicense", "this is free and unencumbered software released into the public domain", "free and unencumbered software"),
     ("all-rights-reserved", "all rights reserved", "all rights reserved"),
 )
-RAREST = 8
+#: How many words of each mandatory phrase are looked up, and so how many votes an alignment needs.
+RAREST = 2
 COVERAGE = 0.6
 BASE_SCORE = 0.5
 
@@ -57,10 +59,7 @@ _HASHES = np.array([W.hash_word(w) for w in VOCABULARY], np.uint64)
 _BY_HASH = np.argsort(_HASHES)
 _SORTED = _HASHES[_BY_HASH]
 _NUMBER = {w: i for i, w in enumerate(VOCABULARY)}
-_POSTINGS: dict[int, list[tuple[int, int]]] = defaultdict(list)
-for _template, _notice in enumerate(_WORDS):
-    for _position, _word in enumerate(_notice):
-        _POSTINGS[_NUMBER[_word]].append((_template, _position))
+_OFFSETS = [next(p for p in range(len(n)) if n[p : p + len(f)] == f) for n, f in zip(_WORDS, _PHRASES, strict=True)]
 _BASE_HASHES = [np.array([W.hash_word(w) for w in phrase.split()], np.uint64) for phrase in BASE]
 _PHRASE_HASHES = [np.array([W.hash_word(w) for w in phrase], np.uint64) for phrase in _PHRASES]
 
@@ -103,25 +102,33 @@ def frequencies(docs: DataFrame, text_col: str = "text") -> tuple[np.ndarray, in
     return counts[:-1], int(counts[-1])
 
 
-def aligned_labels(numbers: np.ndarray, idf: np.ndarray) -> dict[str, float]:
+def rare_postings(idf: np.ndarray) -> dict[int, list[tuple[int, int]]]:
+    """Templates and positions of the RAREST rarest words of every mandatory phrase, by vocabulary number."""
+    postings: dict[int, list[tuple[int, int]]] = defaultdict(list)
+    for template, (phrase, offset) in enumerate(zip(_PHRASES, _OFFSETS, strict=True)):
+        numbers = [_NUMBER[w] for w in phrase]
+        for k in sorted(range(len(phrase)), key=lambda k: (-idf[numbers[k]], k))[:RAREST]:
+            postings[numbers[k]].append((template, offset + k))
+    return dict(postings)
+
+
+def aligned_labels(numbers: np.ndarray, postings: dict[int, list[tuple[int, int]]]) -> dict[str, float]:
     """Labels of one text with the share of the notice that stands there.
 
-    ``numbers`` are the vocabulary numbers of the text's words, -1 for others.
+    ``numbers`` are the vocabulary numbers of the text's words, -1 for others; ``postings`` are those of
+    ``rare_postings``.
     """
-    known = np.flatnonzero(numbers >= 0)
-    present = np.unique(numbers[known])
-    rarest = present[np.lexsort((present, -idf[present]))][:RAREST]
     votes: Counter = Counter()
-    for place in known[np.isin(numbers[known], rarest)].tolist():
-        for template, position in _POSTINGS[int(numbers[place])]:
+    for place in np.flatnonzero(np.isin(numbers, list(postings))).tolist():
+        for template, position in postings[int(numbers[place])]:
             votes[template, place - position] += 1
     found: dict[str, float] = {}
     for (template, begin), agreed in votes.items():
         label, notice, phrase = TEMPLATES[template][0], _WORDS[template], _PHRASES[template]
-        if agreed < min(2, len(notice)):
+        if agreed < min(RAREST, len(phrase)):
             continue
         held = [0 <= begin + p < len(numbers) and numbers[begin + p] == _NUMBER[w] for p, w in enumerate(notice)]
-        offset = next(p for p in range(len(notice)) if notice[p : p + len(phrase)] == phrase)
+        offset = _OFFSETS[template]
         if all(held[offset : offset + len(phrase)]) and sum(held) >= COVERAGE * len(notice):
             found[label] = max(found.get(label, 0.0), sum(held) / len(notice))
     return found
@@ -139,7 +146,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     empty. Null ids are returned as null, repeated rows are scanned each, further columns are ignored.
     """
     counts, total = frequencies(docs, text_col)
-    idf = np.log((total + 1) / (counts + 1))
+    postings = rare_postings(np.log((total + 1) / (counts + 1)))
 
     def look(batches):
         for batch in batches:
@@ -161,7 +168,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
                     own = base.get(text, set())
                     shares: dict[str, float] = {}
                     if text in likely:
-                        shares = aligned_labels(vocabulary_numbers(hashes[firsts[text] : firsts[text + 1]]), idf)
+                        shares = aligned_labels(vocabulary_numbers(hashes[firsts[text] : firsts[text + 1]]), postings)
                     spots = places.get(text, [])
                     best = max([BASE_SCORE if own else 0.0, *shares.values()])
                     rows.append((int(firsts[text + 1] - firsts[text]), len(spots), min(spots, default=None), max(spots, default=None), ",".join(sorted(own)), ",".join(sorted(own | set(shares))), best))

@@ -362,3 +362,15 @@ def test_licences_match_plain_search(spark, docs, empty, prose):
     assert labels[1] == "cc-by,cc-by-nc-4.0" and labels[2] == "gpl,gpl-3.0" and labels[4] == "all-rights-reserved" and labels[7] == "mit,mit-notice" and labels[6] == ""
     assert all(set(filter(None, r["base_labels"].split(","))) <= set(r["labels"].split(",")) and 0 <= r["score"] <= 1 for r in found)
     assert licenses.scan(docs).count() == len(odd_rows()) and licenses.scan(empty).count() == 0
+
+
+def test_texts_with_many_words_of_notices_keep_every_label(spark, prose):
+    notices = {label: notice for label, notice, _ in licenses.TEMPLATES}
+    texts = [f"all rights reserved {notices['bsd']}", f"released under the mit license {notices['mit-text']}", " and so on ".join(n for _, n, _ in licenses.TEMPLATES)]
+    texts += [f"{a[1]} {b[1]}" for a in licenses.TEMPLATES for b in licenses.TEMPLATES]
+    wanted = [{"all-rights-reserved", "bsd"}, {"mit", "mit-notice", "mit-text"}, {label for label, _, _ in licenses.TEMPLATES}]
+    wanted += [{a[0], b[0]} for a in licenses.TEMPLATES for b in licenses.TEMPLATES]
+    frame = spark.createDataFrame([(-1 - i, x) for i, x in enumerate(texts)], "doc_id long, text string")
+    found = {r["doc_id"]: r for r in licenses.scan(frame.unionByName(prose.select("doc_id", "text"))).where("doc_id < 0").collect()}
+    for i, labels in enumerate(wanted):
+        assert labels <= set(found[-1 - i]["labels"].split(",")) and found[-1 - i]["score"] == 1.0
