@@ -6,74 +6,123 @@ documents. Background counts are scaled to the target's number of tokens, so tha
 alike. A document's score is the mean over its tokens of the target's loss less the background's; the
 lower, the more it resembles the target.
 
-Each task counts into arrays of fixed size (pairs by hash) and emits them packed; their number, and so
-what is gathered, grows with the input. The summed arrays have the same size for any input.
+Pairs of a token and the one before are counted exactly: tasks sort and count runs of tokens, and the
+counts are added by pair into a table with a row for every distinct pair, however many the corpus has.
+The table also holds what either model loses on the pair. The most frequent pairs, at most HEAD_PAIRS,
+are sent to every task; the pairs of a document that are not among them are joined to the table. Every
+pair so joined is rarer than those sent, so no key of the join is hot.
+
+Losses are summed as whole numbers of 2**-32, so that sums do not depend on the order of the rows.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marketloom.llm.common import packed_counts, pick, summed_counts
+from marketloom.llm.common import pick, stored
 from marketloom.llm.tokens import RANKS, encode, encoder
 
-PAIR_BITS = 20
+#: How many pairs every task holds at most, and after how many tokens a task passes its counts on.
+HEAD_PAIRS = 1 << 20
+RUN_TOKENS = 1 << 21
 SMOOTHING = 50.0
+_UNIT = float(1 << 32)
+_BATCH = 1 << 16
 
 
-def pairs(ids: np.ndarray, vocabulary: int) -> tuple[np.ndarray, np.ndarray]:
-    """The token before each token (the vocabulary's size at the start) and the pair's slot."""
+def pairs(ids: np.ndarray, vocabulary: int) -> np.ndarray:
+    """One number for each token and the token before it (the vocabulary's size at the start)."""
     before = np.concatenate([[vocabulary], ids[:-1]]) if len(ids) else ids
-    mixed = (before.astype(np.uint64) * np.uint64(1_000_003) + ids.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-    return before, (mixed >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
-
-
-@dataclass
-class Bigrams:
-    """Counts of tokens, contexts (as token before) and pair slots."""
+    return before * vocabulary + ids
 
-    token: np.ndarray
-    context: np.ndarray
-    pair: np.ndarray
 
-    def loss(self, ids: np.ndarray, before: np.ndarray, slots: np.ndarray) -> np.ndarray:
-        """Negative log probability of each token after the one before, smoothed with the token's frequency."""
-        alone = (self.token[ids] + 0.5) / (self.token.sum() + 0.5 * len(self.token))
-        joint = np.minimum(self.pair[slots], np.minimum(self.context[before], self.token[ids]))
-        return -np.log((joint + SMOOTHING * alone) / (self.context[before] + SMOOTHING))
+def pair_counts(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranks: str = RANKS) -> DataFrame:
+    """Every distinct pair of ``docs`` as pair, n, n_target longs: how often it stands in all and in target documents.
 
-
-def fit(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranks: str = RANKS) -> tuple[Bigrams, Bigrams]:
-    """Target and background model. ``targets`` has the ids of target documents; null ids and repeats do not matter."""
+    ``targets`` has the ids of target documents; null ids and repeats do not matter.
+    """
     vocabulary = len(encoder(ranks)[1])
-    sizes = (vocabulary, vocabulary + 1, 1 << PAIR_BITS)
-    cells = sum(sizes)
     marked = pick(targets, doc_id=(id_col, "long")).where("doc_id is not null").distinct().withColumn("target", F.lit(True))
     rows = pick(docs, doc_id=(id_col, "long"), text=(text_col, "string")).join(marked, "doc_id", "left").select("text", "target")
 
+    def counted(runs):
+        both, n = np.unique(np.concatenate(runs), return_counts=True)
+        for start in range(0, len(both), _BATCH):
+            part, count = both[start : start + _BATCH], n[start : start + _BATCH]
+            yield pa.record_batch({"pair": pa.array(part >> 1), "n": pa.array(count), "n_target": pa.array(count * (part & 1))})
+
     def count(batches):
-        totals = np.zeros((2, cells), np.uint32)
+        runs, held = [], 0
         for batch in batches:
             for text, target in zip(batch["text"].to_pylist(), batch["target"].to_pylist(), strict=True):
-                ids = encode(text or "", ranks)
-                before, slots = pairs(ids, vocabulary)
-                places = np.concatenate([ids, vocabulary + before, 2 * vocabulary + 1 + slots])
-                for total in totals if target else totals[:1]:
-                    np.add.at(total, places, 1)
-        for chunk, (every, target) in packed_counts(list(totals)):
-            yield pa.record_batch({"chunk": pa.array([chunk], pa.int32()), "every": pa.array([every]), "target": pa.array([target])})
+                runs.append(pairs(encode(text or "", ranks), vocabulary) << 1 | int(bool(target)))
+                held += len(runs[-1])
+                if held >= RUN_TOKENS:
+                    yield from counted(runs)
+                    runs, held = [], 0
+        if held:
+            yield from counted(runs)
+
+    found = rows.mapInArrow(count, "pair long, n long, n_target long")
+    return found.groupBy("pair").agg(F.sum("n").alias("n"), F.sum("n_target").alias("n_target"))
+
+
+def _by_token(counts: DataFrame, token: Column, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Target and background counts by one token of the pairs; as long as the vocabulary."""
+    found = counts.groupBy(token.alias("token")).agg(F.sum("n").alias("n"), F.sum("n_target").alias("n_target")).toArrow()
+    sums = []
+    for name in ("n_target", "n"):
+        total = np.zeros(size)
+        total[found["token"].to_numpy()] = found[name].to_numpy()
+        sums.append(total)
+    return sums[0], sums[1]
+
+
+def fit(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranks: str = RANKS) -> DataFrame:
+    """Both models as a stored table of all pairs of ``docs``.
+
+    Returns pair, n, n_target, target_loss and background_loss longs; losses are negative log probabilities
+    of the token after the one before, smoothed with the token's frequency, in units of 2**-32.
+    """
+    vocabulary = len(encoder(ranks)[1])
+    counts = stored(pair_counts(docs, targets, id_col, text_col, ranks), "pairs")
+    token = _by_token(counts, F.expr(f"pair % {vocabulary}"), vocabulary)
+    context = _by_token(counts, F.expr(f"pair div {vocabulary}"), vocabulary + 1)
+    share = token[0].sum() / max(token[1].sum(), 1)
+    sums = docs.sparkSession.sparkContext.broadcast([(t * scale, c * scale) for t, c, scale in zip(token, context, (1.0, share), strict=True)])
+
+    def price(batches):
+        for batch in batches:
+            pair = batch["pair"].to_numpy()
+            before, own = np.divmod(pair, vocabulary)
+            out = {name: batch[name] for name in ("pair", "n", "n_target")}
+            for name, joint, (total, contexts) in zip(("target_loss", "background_loss"), (batch["n_target"].to_numpy(), batch["n"].to_numpy() * share), sums.value, strict=True):
+                alone = (total[own] + 0.5) / (total.sum() + 0.5 * vocabulary)
+                loss = -np.log((joint + SMOOTHING * alone) / (contexts[before] + SMOOTHING))
+                out[name] = pa.array(np.rint(loss * _UNIT).astype(np.int64))
+            yield pa.record_batch(out)
 
-    every, target = summed_counts(rows.mapInArrow(count, "chunk int, every binary, target binary"), cells, ["every", "target"])
-    share = target[:vocabulary].sum() / max(every[:vocabulary].sum(), 1)
-    models = []
-    for counts in (target.astype(np.float32), (every * share).astype(np.float32)):
-        models.append(Bigrams(*np.split(counts, np.cumsum(sizes)[:-1])))
-    return models[0], models[1]
+    return stored(counts.mapInArrow(price, "pair long, n long, n_target long, target_loss long, background_loss long"), "losses")
+
+
+def _head(model: DataFrame) -> tuple[Broadcast, DataFrame]:
+    """The most frequent pairs with their losses, sent to all tasks, and the table of all others.
+
+    Pairs are taken by the number of binary digits of their counts, as long as at most HEAD_PAIRS are.
+    """
+    digits = F.length(F.bin("n"))
+    sizes = {r["digits"]: r["pairs"] for r in model.groupBy(digits.alias("digits")).agg(F.count("*").alias("pairs")).collect()}
+    least, taken = 65, 0
+    while least > 1 and taken + sizes.get(least - 1, 0) <= HEAD_PAIRS:
+        least -= 1
+        taken += sizes.get(least, 0)
+    found = model.where(digits >= least).select("pair", "target_loss", "background_loss").toArrow().sort_by("pair")
+    head = [found[name].to_numpy() for name in ("pair", "target_loss", "background_loss")]
+    return model.sparkSession.sparkContext.broadcast(head), model.where(digits < least)
 
 
 def score(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranks: str = RANKS) -> DataFrame:
@@ -85,24 +134,42 @@ def score(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col:
     rows count and are scored each, further columns are ignored.
     """
     vocabulary = len(encoder(ranks)[1])
-    models = docs.sparkSession.sparkContext.broadcast(fit(docs, targets, id_col, text_col, ranks))
+    head, others = _head(fit(docs, targets, id_col, text_col, ranks))
 
     def rate(batches):
+        known, *losses = head.value
         for batch in batches:
-            target, background = models.value
-            out = []
+            sums, rest, times, ends = [], [], [], [0]
             for text in batch["text"].to_pylist():
                 ids = encode(text or "", ranks)
-                if not len(ids):
-                    out.append((0, None, None, 0.0))
-                    continue
-                before, slots = pairs(ids, vocabulary)
-                one, two = (float(m.loss(ids, before, slots).mean(dtype=np.float64)) for m in (target, background))
-                out.append((len(ids), one, two, one - two))
-            columns = list(zip(*out, strict=True)) if out else [[], [], [], []]
-            kinds = (pa.int64(), pa.float64(), pa.float64(), pa.float64())
-            names = ("n_tokens", "target_loss", "background_loss", "difference")
-            yield pa.record_batch({"doc_id": batch["doc_id"]} | {n: pa.array(c, k) for n, c, k in zip(names, columns, kinds, strict=True)})
-
-    wanted = pick(docs, doc_id=(id_col, "long"), text=(text_col, "string"))
-    return wanted.mapInArrow(rate, "doc_id long, n_tokens long, target_loss double, background_loss double, difference double")
+                pair, n = np.unique(pairs(ids, vocabulary), return_counts=True)
+                at = np.searchsorted(known, pair)
+                here = at < len(known)
+                here[here] = known[at[here]] == pair[here]
+                at = at[here]
+                sums.append((len(ids), *(int(loss[at] @ n[here]) for loss in losses)))
+                rest.append(pair[~here])
+                times.append(n[~here])
+                ends.append(ends[-1] + len(rest[-1]))
+            out = {"row": batch["row"], "doc_id": batch["doc_id"]}
+            for i, name in enumerate(("n_tokens", "target_sum", "background_sum")):
+                out[name] = pa.array([x[i] for x in sums], pa.int64())
+            for name, parts in (("pairs", rest), ("times", times)):
+                values = np.concatenate(parts) if parts else np.zeros(0, np.int64)
+                out[name] = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, pa.int64()))
+            yield pa.record_batch(out)
+
+    # the row number joins sums back to their document, so it is written with the one scan that gives it
+    wanted = pick(docs, doc_id=(id_col, "long"), text=(text_col, "string")).select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
+    rated = stored(wanted.mapInArrow(rate, "row long, doc_id long, n_tokens long, target_sum long, background_sum long, pairs array<long>, times array<long>"), "rated")
+    rest = rated.select("row", F.explode(F.arrays_zip("pairs", "times")).alias("x")).select("row", F.col("x.pairs").alias("pair"), F.col("x.times").alias("times"))
+    priced = rest.join(others.select("pair", "target_loss", "background_loss"), "pair")
+    more = priced.groupBy("row").agg(*[F.sum(F.col("times") * F.col(f"{k}_loss")).alias(f"{k}_more") for k in ("target", "background")])
+    both = rated.select("row", "doc_id", "n_tokens", "target_sum", "background_sum").join(more, "row", "left")
+
+    def mean(kind: str) -> Column:
+        total = F.col(f"{kind}_sum") + F.coalesce(f"{kind}_more", F.lit(0))
+        return F.when(F.col("n_tokens") > 0, total / F.lit(_UNIT) / F.col("n_tokens"))
+
+    means = both.select("doc_id", "n_tokens", mean("target").alias("target_loss"), mean("background").alias("background_loss"))
+    return means.withColumn("difference", F.coalesce(F.col("target_loss") - F.col("background_loss"), F.lit(0.0)))

@@ -374,3 +374,42 @@ def test_texts_with_many_words_of_notices_keep_every_label(spark, prose):
     found = {r["doc_id"]: r for r in licenses.scan(frame.unionByName(prose.select("doc_id", "text"))).where("doc_id < 0").collect()}
     for i, labels in enumerate(wanted):
         assert labels <= set(found[-1 - i]["labels"].split(",")) and found[-1 - i]["score"] == 1.0
+
+
+def exact_losses(rows, wanted_target):
+    """Mean target and background loss of every row's text from plain counters of its pairs."""
+    vocabulary = len(tokens.encoder(tokens.RANKS)[1])
+    ids = [tokens.encode(text).tolist() for _, text in rows]
+    models = []
+    for chosen in ([x for x, (i, _) in zip(ids, rows) if i in wanted_target], ids):
+        token, context, pair = collections.Counter(), collections.Counter(), collections.Counter()
+        for x in chosen:
+            token.update(x)
+            context.update([vocabulary, *x[:-1]])
+            pair.update(zip([vocabulary, *x], x))
+        models.append((token, context, pair, sum(token.values())))
+    share = models[0][3] / models[1][3]
+    out = {}
+    for x, (i, _) in zip(ids, rows):
+        out[i] = []
+        for (token, context, pair, total), scale in zip(models, (1, share)):
+            alone = [(token[own] * scale + 0.5) / (total * scale + 0.5 * vocabulary) for own in x]
+            joint = [pair[p] * scale + lm_score.SMOOTHING * a for p, a in zip(zip([vocabulary, *x], x), alone)]
+            out[i].append(np.mean([-np.log(j / (context[b] * scale + lm_score.SMOOTHING)) for j, b in zip(joint, [vocabulary, *x])]))
+    return out
+
+
+@pytest.mark.parametrize("head", [1 << 20, 300, 0])
+def test_language_model_counts_stay_exact_with_many_distinct_pairs(spark, monkeypatch, head):
+    monkeypatch.setattr(lm_score, "HEAD_PAIRS", head, raising=False)
+    monkeypatch.setattr(lm_score, "RUN_TOKENS", 20_000, raising=False)
+    rng = np.random.default_rng(5)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz"))
+    rows = [(i, " ".join("".join(rng.choice(letters, 4)) if j % 3 else "the same words" for j in range(300))) for i in range(300)]
+    chosen = set(range(0, 300, 3))
+    texts = spark.createDataFrame(rows, "doc_id long, text string")
+    found = lm_score.score(texts, spark.createDataFrame([(i,) for i in chosen], "doc_id long")).collect()
+    wanted = exact_losses(rows, chosen)
+    assert len(found) == len(rows)
+    for r in found:
+        assert [r["target_loss"], r["background_loss"]] == pytest.approx(wanted[r["doc_id"]], rel=1e-7)
