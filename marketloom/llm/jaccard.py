@@ -58,22 +58,25 @@ def _prefix(n: int, t: Fraction) -> int:
     return n - -(-t.numerator * n // t.denominator) + 1
 
 
-def similar(docs: DataFrame, threshold: Fraction, width: int, id_col: str = "doc_id", text_col: str = "text", ends_word=W.SPACES) -> DataFrame:
+def similar(docs: DataFrame, threshold: Fraction, width: int, id_col: str = "doc_id", text_col: str = "text", ends_word=W.SPACES, row_col: str | None = None) -> DataFrame:
     """One row per document with its similarity class.
 
-    Returns row_id long (the row's monotonically increasing id in ``docs``), doc_id long, n_shingles
+    Returns row_id long (``row_col``, distinct in every row; without it a number of the row), doc_id long, n_shingles
     long, component_id long, n_links long (documents linked directly), stays boolean (true for one row
     of every class: the smallest doc_id, and of equal ones the first row).
 
     Words are lower-cased in A-Z; a text with fewer than ``width`` words is one shingle. Null and empty
     texts, and texts of separators only, have no shingle, link with nothing and are classes of their own.
     Null doc_ids take part; a class has a null component_id only when all its ids are null. Repeated rows
-    are documents of equal sets. ``docs`` must give the same rows in the same order when read again, as
-    tables do. Further columns are ignored.
+    are documents of equal sets. ``docs`` must give the same rows, in any order, when read again, as
+    tables do. Without ``row_col`` the number is that of one scan: another scan may be split otherwise and
+    number the rows anew, so it cannot be joined to ``docs``. Further columns are ignored.
     """
     t = Fraction(threshold)
     spark = docs.sparkSession
-    rows = pick(docs, doc_id=(id_col, "long"), text=(text_col, "string")).select(F.monotonically_increasing_id().alias("row_id"), "doc_id", "text")
+    wanted = {"doc_id": (id_col, "long"), "text": (text_col, "string")} | ({"row_id": (row_col, "long")} if row_col else {})
+    row_id = F.col("row_id") if row_col else F.monotonically_increasing_id().alias("row_id")
+    rows = pick(docs, **wanted).select(row_id, "doc_id", "text")
     scanned = stored(rows.mapInArrow(_scanner(width, ends_word), "row_id long, doc_id long, n long, fp long, parity binary, chunk int, counts binary"), "shingled")
     cells = summed_counts(scanned.where("chunk is not null").select("chunk", "counts"), 1 << CELL_BITS, ["counts"])[0]
     load = cells.sum() / len(cells)
@@ -125,11 +128,18 @@ def _order() -> Column:
     return F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_id")
 
 
-def one_per_class(docs: DataFrame, threshold: Fraction, width: int, **names) -> DataFrame:
-    """The rows of ``docs`` that stay: one of each class, all columns as they are."""
-    gone = similar(docs, threshold, width, **names).where("not stays").select(F.col("row_id").alias("__row"))
-    marked = docs.withColumn("__row", F.monotonically_increasing_id())
-    return marked.join(gone, "__row", "left_anti").drop("__row")
+def one_per_class(docs: DataFrame, threshold: Fraction, width: int, id_col: str = "doc_id", text_col: str = "text", **names) -> DataFrame:
+    """The rows of ``docs`` that stay: one of each class, all columns as they are.
+
+    The rows are numbered once and written with their numbers, so those that are found and those that are
+    dropped are the same however later scans are split.
+    """
+    places = [f"_{i}" for i in range(len(docs.columns))]  # names that differ in case only cannot be written
+    numbered = stored(docs.toDF(*places).withColumn("row", F.monotonically_increasing_id()), "numbered")
+    id_col, text_col = (places[docs.columns.index(name)] for name in (id_col, text_col))
+    found = similar(numbered, threshold, width, id_col=id_col, text_col=text_col, row_col="row", **names)
+    gone = found.where("not stays").select(F.col("row_id").alias("row"))
+    return numbered.join(gone, "row", "left_anti").select(*places).toDF(*docs.columns)
 
 
 def _scanner(width, ends_word):

@@ -413,3 +413,19 @@ def test_language_model_counts_stay_exact_with_many_distinct_pairs(spark, monkey
     assert len(found) == len(rows)
     for r in found:
         assert [r["target_loss"], r["background_loss"]] == pytest.approx(wanted[r["doc_id"]], rel=1e-7)
+
+
+def test_copies_are_dropped_however_later_scans_are_split(spark, tmp_path):
+    rows = [(i, f"{TEXT} copy" if i % 2 else f"{i} " + " ".join(f"w{i}x{j}" for j in range(30))) for i in range(400)]
+    path, split = str(tmp_path / "docs"), "spark.sql.files.maxPartitionBytes"
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(16).write.parquet(path)
+    spark.conf.set(split, "1000000000")
+    spark.conf.set("spark.sql.files.minPartitionNum", "1")
+    try:
+        kept = jaccard.one_per_class(spark.read.parquet(path), Fraction(4, 5), 5)
+        spark.conf.set(split, "2000")
+        found = sorted(r["doc_id"] for r in kept.collect())
+    finally:
+        spark.conf.unset(split)
+        spark.conf.unset("spark.sql.files.minPartitionNum")
+    assert found == sorted([1, *range(0, 400, 2)])
