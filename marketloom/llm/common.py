@@ -53,6 +53,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def scanned_once(df: DataFrame) -> DataFrame:
+    """The same rows with their scan planned now, once, for all later uses.
+
+    How files are split depends on settings and on the cores at the time of planning, so row numbers and block
+    starts of two plans may differ. Here every use computes the same partitions. Strings go through the JVM's
+    own; keep bytes that may not be UTF-8 as binary.
+    """
+    rows = df.sparkSession._jsparkSession.createDataFrame(df._jdf.toJavaRDD(), df._jdf.schema())
+    return DataFrame(rows, df.sparkSession)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Compute a small table now and keep it in the checkpoint folder, which all executors share."""
     return df.checkpoint(eager=True)

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marketloom import session
-from marketloom.llm.common import cut, pick, stored
+from marketloom.llm.common import cut, pick, scanned_once, stored
 
 MAGIC = "WARC/1.0\r\n"
 END = "\r\n\r\n"
@@ -56,6 +56,8 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "
     """
     rows = pick(pages, key=(id_col, "long"), url=(url_col, "string"), payload=(payload_col, "string"))
     rows = rows.withColumn("row", F.monotonically_increasing_id()).withColumn("data", F.coalesce(F.encode("payload", "UTF-8"), F.lit(b""))).drop("payload")
+    # row numbers of one plan are joined to its own rows: another plan may split the files otherwise
+    rows = scanned_once(rows.withColumn("url", F.col("url").cast("binary"))).withColumn("url", F.col("url").cast("string"))
     rows = rows.withColumn("size", F.octet_length("data").cast("long")).withColumn("digest", base32_sha1(F.col("data")))
     place = F.struct(F.col("key").isNull().alias("none"), F.col("key").alias("key"), F.col("row").alias("row"))
     narrow = rows.select("key", "row", "size", "digest")
@@ -92,12 +94,14 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "
 def _chunks(spark: SparkSession, path: str) -> DataFrame:
     """What stands between occurrences of the magic, in file order: file, block, place (row in the block) and bytes."""
     read = spark.read.option("lineSep", MAGIC).text(path)
-    return read.select(
+    chunks = read.select(
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("place"),
         F.col("value").cast("binary").alias("chunk"),
     )
+    # blocks and places are joined back to the chunks, so all uses need the blocks of one plan
+    return scanned_once(chunks)
 
 
 def _field(name: str) -> Column:

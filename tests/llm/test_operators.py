@@ -429,3 +429,36 @@ def test_copies_are_dropped_however_later_scans_are_split(spark, tmp_path):
         spark.conf.unset(split)
         spark.conf.unset("spark.sql.files.minPartitionNum")
     assert found == sorted([1, *range(0, 400, 2)])
+
+
+def test_archives_are_read_whole_however_later_scans_are_split(spark, tmp_path, monkeypatch):
+    split, least = "spark.sql.files.maxPartitionBytes", "spark.sql.files.minPartitionNum"
+    rows = [(i, f"u{i}", f"page {i % 150} " + "x" * (i % 150) + (warc.MAGIC + "y" if i % 3 == 0 else "")) for i in range(300)]
+    path, folder = str(tmp_path / "pages"), warc.archive_folder(spark)
+    spark.createDataFrame(rows, "page_id long, url string, html string").repartition(12).write.parquet(path)
+    small = warc._small
+
+    def other_splits(frame):
+        spark.conf.set(split, "2000")
+        return small(frame)
+
+    try:
+        spark.conf.set(split, "1000000000")
+        spark.conf.set(least, "1")
+        pages = spark.read.parquet(path)
+        with monkeypatch.context() as patched:
+            patched.setattr(warc, "_small", other_splits)  # the numbers of one scan are known, the next is not planned
+            warc.write(pages, folder)
+        spark.conf.set(split, "1000000000")
+        found = warc.read(spark, folder)
+        spark.conf.set(split, "2000")
+        found = found.collect()
+    finally:
+        spark.conf.unset(split)
+        spark.conf.unset(least)
+    wanted = {i: base64.b32encode(hashlib.sha1(html.encode()).digest()).decode() for i, _, html in rows}
+    assert len(found) == len(rows) and {r["key"]: r["digest"] for r in found} == wanted
+    for r in found:
+        assert r["kind"] == ("response" if r["key"] < 150 else "revisit")
+        assert r["refers_to_key"] == (None if r["key"] < 150 else r["key"] - 150)
+        assert r["kind"] == "revisit" or r["payload_digest"] == r["digest"]
