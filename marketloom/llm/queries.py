@@ -7,7 +7,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketloom.llm import decontaminate, jaccard, licenses, lm_score, packing, quality, tokens, topk, toxicity, warc
+from marketloom.llm import decontaminate, jaccard, licenses, lm_score, packing, quality, simhash, tokens, topk, toxicity, warc
 from marketloom.llm.common import table
 
 #: From this size on equal payloads become revisits.
@@ -74,11 +74,15 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_token_counts, op2_quality, op3_ngram_jaccard, op4_exact_topk, op5_packing,
-        op6_decontamination, op7_warc, op8_toxicity, op9_lm_score, op10_licenses,
+        op6_decontamination, op7_warc, op8_toxicity, op9_lm_score, op10_licenses, op11_simhash,
     )
 }
 
