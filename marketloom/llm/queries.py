@@ -7,7 +7,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketloom.llm import decontaminate, jaccard, licenses, lm_score, packing, quality, simhash, tokens, topk, toxicity, warc
+from marketloom.llm import balltree, codes, decontaminate, jaccard, licenses, lm_score, packing, quality, simhash, tokens, topk, toxicity, warc
 from marketloom.llm.common import table
 
 #: From this size on equal payloads become revisits.
@@ -78,11 +78,19 @@ def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.compress(table(spark, sf_dir, "embeddings"))
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return balltree.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=50)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_token_counts, op2_quality, op3_ngram_jaccard, op4_exact_topk, op5_packing,
-        op6_decontamination, op7_warc, op8_toxicity, op9_lm_score, op10_licenses, op11_simhash,
+        op6_decontamination, op7_warc, op8_toxicity, op9_lm_score, op10_licenses, op11_simhash, op12_vector_codes, op13_ranked_search,
     )
 }
 
@@ -98,7 +106,60 @@ def _shingles(source: str, key: str, width: int, pattern: str) -> str:
       from (select {key}, regexp_extract_all({_LOWER}, '{pattern}') as w from {source})"""
 
 
+def _codebook_sql() -> str:
+    """SQL of op12: four rounds of nearest entries and floored means, with a table of parts and one of entries a round."""
+    nearest = """
+      a{k} as (
+        select r, p.part, min(cast(list_inner_product(p.t, p.t) - 2 * list_inner_product(p.t, c.t) + list_inner_product(c.t, c.t) as bigint)
+          * 256 + entry) as best
+        from p join c{k} c on p.part = c.part group by 1, 2)"""
+    moved = """
+      m{n} as (
+        select part, entry, list(x order by place) as t
+        from (
+          select part, entry, place, floor(sum(x) / count(*)) as x
+          from (select a.part, best % 256 as entry, generate_subscripts(t, 1) as place, unnest(t) as x from a{k} a join p using (r, part))
+          group by 1, 2, 3)
+        group by 1, 2),
+      c{n} as (select part, entry, coalesce(m.t, c.t) as t from c{k} c left join m{n} m using (part, entry))"""
+    rounds = ",".join(nearest.format(k=k) + "," + moved.format(k=k, n=k + 1) for k in range(4))
+    return f"""
+      with v as (
+        select row_number() over (order by vec_id, embedding) as r, vec_id, label,
+          list_transform(embedding, lambda x: floor(1024 * cast(x as double))) as t
+        from embeddings
+        where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(cast(x as double)))) = 0),
+      p as materialized (select r, part, list_slice(t, part * (len(t) // 4) + 1, (part + 1) * (len(t) // 4)) as t from v, range(4) g(part)),
+      c0 as (select part, r - 1 as entry, t from p where r <= 256),{rounds},{nearest.format(k=4)},
+      e as (
+        select r, string_agg(format('{{:02x}}', best % 256), '' order by part) as code, cast(sum(best // 256) as bigint) as error
+        from a4 group by 1)
+      select vec_id, code, error, cast(sum(error) over (partition by label) as bigint) as label_error,
+        (select sha256(string_agg(cast(cast(x as bigint) as varchar), ',' order by part, entry, place))
+         from (select part, entry, generate_subscripts(t, 1) as place, unnest(t) as x from c4)) as codebooks_sha256
+      from v join e using (r)"""
+
+
+_TERMS = f"unnest(regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'))"
+
 SQL = {
+    "op13_ranked_search": f"""
+      with d as (
+        select r, doc_id, term, count(*) as tf
+        from (select r, doc_id, {_TERMS} as term from (select *, row_number() over () as r from documents)) group by 1, 2, 3),
+      n as (select r, sum(tf) as n from d group by 1),
+      g as (select cast(count(*) as bigint) as n_docs, cast(sum(n) as bigint) as n_terms from n),
+      w as (
+        select term, cast(floor(1000 * ln(cast(2 * max(n_docs) + 2 as double) / (2 * count(*) + 1))) as bigint) as w
+        from d, g group by 1),
+      x as (
+        select r, doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * cast(n as bigint) * n_docs) // n_terms))) as x
+        from d join n using (r) join w using (term), g),
+      q as (select distinct i, item_id, term from (select i, item_id, {_TERMS} as term from (select *, row_number() over () as i from benchmark))),
+      s as (select i, item_id, doc_id, r, cast(sum(x) as bigint) as score from q join x using (term) group by 1, 2, 3, 4),
+      o as (select *, row_number() over (partition by i order by score desc, doc_id) as rank from s where score > 0)
+      select item_id, cast(rank as integer) as rank, doc_id, score from o where rank <= 50""",
+    "op12_vector_codes": _codebook_sql(),
     "op4_exact_topk": """
       with v as (
         select vec_id, list_transform(embedding, lambda x: cast(floor(64 * cast(x as double)) as bigint)) as t
