@@ -60,6 +60,12 @@ def content_hash(text: Column) -> Column:
     return F.sha2(text, 256)
 
 
+#: Characters whose signatures are computed at once; a single longer text is still taken whole.
+SLAB_CHARS = 1 << 20
+#: White space of the Unicode property.
+_WHITE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
+
+
 class _GramBits:
     """Sign bits (+1 or -1) of the low md5 half of character 3-grams, remembered within one task.
 
@@ -89,28 +95,83 @@ def _low_md5(text: str) -> bytes:
     return hashlib.md5(text.encode(), usedforsecurity=False).digest()[8:]
 
 
-def _signature(text: str, known: _GramBits) -> int:
-    """64 sign bits of the summed md5 bits of all character 3-grams."""
-    if not text:
-        return 0
-    if len(text) < 3:
-        return int.from_bytes(_low_md5(text), "big", signed=True)
-    points = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32).astype(np.int64)
-    grams, counts = np.unique(points[:-2] << 42 | points[1:-1] << 21 | points[2:], return_counts=True)
-    balance = counts @ known.of(grams)
-    return int.from_bytes(np.packbits(balance > 0).tobytes(), "big", signed=True)
+def _squeezed(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of all texts, runs of white space as one blank and none at the ends, and where each text begins."""
+    points = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
+    edges = np.cumsum([0, *map(len, texts)])
+    table = np.zeros(max(int(points.max(initial=0)), 0x3000) + 1, bool)
+    table[_WHITE] = True
+    white = table[points]
+    after_white = np.empty_like(white)
+    after_white[1:] = white[:-1]
+    after_white[edges[:-1][edges[:-1] < len(points)]] = True
+    kept = ~(white & after_white)
+    lengths = np.diff(np.append(0, np.cumsum(kept))[edges])
+    points = np.where(white, np.uint32(0x20), points)[kept]
+    ends = np.cumsum(lengths)
+    # a blank that is left at the end of a text goes
+    last = ends[lengths > 0] - 1
+    last = last[points[last] == 0x20]
+    lengths[lengths > 0] -= points[ends[lengths > 0] - 1] == 0x20
+    return np.delete(points, last), np.append(0, np.cumsum(lengths))
+
+
+def signatures(texts: list[str], known: _GramBits) -> np.ndarray:
+    """64 sign bits of the summed md5 bits of all character 3-grams of every text, in squeezed form."""
+    points, edges = _squeezed(texts)
+    lengths = np.diff(edges)
+    out = np.zeros(len(texts), np.int64)
+    for i in np.flatnonzero((lengths > 0) & (lengths < 3)):
+        short = points[edges[i] : edges[i + 1]].astype("<u4").tobytes().decode("utf-32-le")
+        out[i] = int.from_bytes(_low_md5(short), "big", signed=True)
+    if lengths.max(initial=0) < 3:
+        return out
+    # characters as numbers of the alphabet that occurs, so that a gram of a text is one small number
+    number = np.zeros(int(points.max()) + 1, np.int64)
+    number[points] = 1
+    alphabet = np.flatnonzero(number)
+    number[alphabet] = np.arange(len(alphabet))
+    letters, size = number[points], len(alphabet)
+    grams = (letters[:-2] * size + letters[1:-1]) * size + letters[2:]
+    text = np.repeat(np.arange(len(texts)), lengths)
+    whole = text[:-2] == text[2:]
+    cells = np.sort(text[:-2][whole] * size**3 + grams[whole])
+    first = np.flatnonzero(np.diff(cells, prepend=-1))
+    # sums of a text stay whole numbers in 32-bit floats up to 2**24 grams
+    exact = np.float32 if lengths.max() < 1 << 24 else np.float64
+    counts = np.diff(np.append(first, len(cells))).astype(exact)
+    owner, gram = np.divmod(cells[first], size**3)
+    distinct, place = np.unique(gram, return_inverse=True)
+    packed = alphabet[distinct // size**2] << 42 | alphabet[distinct // size % size] << 21 | alphabet[distinct % size]
+    bits = known.of(packed).astype(exact)
+    balance = np.zeros((len(texts), 64), exact)
+    starts = np.searchsorted(owner, np.arange(len(texts) + 1))
+    for i in np.flatnonzero(np.diff(starts)):
+        own = slice(starts[i], starts[i + 1])
+        balance[i] = counts[own] @ bits[place[own]]
+    signed = np.packbits(balance > 0, axis=1).view(">i8")[:, 0].astype(np.int64)
+    return np.where(lengths >= 3, signed, out)
 
 
 @F.pandas_udf(T.LongType())
 def _signatures(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     known = _GramBits()
-    for texts in batches:
-        yield texts.map(lambda t: _signature(t, known)).astype("int64")
+    for column in batches:
+        texts = column.fillna("").tolist()
+        found, start = [], 0
+        while start < len(texts):
+            end, size = start + 1, len(texts[start])
+            while end < len(texts) and size + len(texts[end]) <= SLAB_CHARS:
+                size += len(texts[end])
+                end += 1
+            found.append(signatures(texts[start:end], known))
+            start = end
+        yield pd.Series(np.concatenate(found) if found else np.zeros(0, np.int64))
 
 
 def simhash64(text: Column) -> Column:
     """64-bit similarity signature of the whitespace-normalised text, as a signed long."""
-    return _signatures(squeeze(text))
+    return _signatures(text)
 
 
 def signature_hex(signature: Column) -> Column:

@@ -12,33 +12,9 @@ from marketloom.functions.numbers import clamp01, lookup, relative_diff
 from marketloom.functions.text import compare_form
 from marketloom.operators.hotkeys import explode_computed, first_by_key
 
-_KEY_FIELDS = {
-    "security_master": "normalized_ticker",
-    "trade_calendar": "exchange calendar_date",
-    "trading_status": "normalized_ticker trade_date",
-    "bar": "normalized_ticker frequency timestamp adjust",
-    "realtime_quote": "normalized_ticker quote_time_bucket",
-    "adj_factor": "normalized_ticker trade_date",
-    "financial_statement": "normalized_ticker report_period statement_type report_type",
-    "financial_indicator": "normalized_ticker report_period",
-    "valuation_metric": "normalized_ticker trade_date",
-    "industry_membership": "normalized_ticker industry_system effective_date",
-    "concept_membership": "normalized_ticker concept_code provider",
-    "money_flow": "normalized_ticker trade_date frequency source_methodology",
-    "index": "index_code",
-    "index_bar": "index_code frequency timestamp",
-    "index_constituent": "index_code normalized_ticker effective_date",
-    "corporate_action": "normalized_ticker action_type announcement_date ex_date",
-}
 _CATEGORY = {name: kind for kind, names in fixed.FIELDS_BY_CATEGORY.items() for name in names}
 
 
-def comparison_key(record_type: str) -> Column:
-    """Business identity under which providers of one record type meet."""
-    parts = [F.coalesce(F.col(name).cast("string"), F.lit("None")) for name in _KEY_FIELDS[record_type].split()]
-    return F.concat_ws("|", *parts)
-
-
 def category(field: str) -> str:
     return _CATEGORY.get(field, "generic")
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from marketloom import fixed
 from marketloom.functions import text, urls
-from marketloom.operators import documents
+from marketloom.operators import documents, neighbours
 from marketloom.operators.hotkeys import explode_computed, salted_join
 from marketloom.plans.registry import query, r
 from marketloom.plans.views import ENTITY_TERMS, KEYWORD_TERMS, STRONG_TERMS
@@ -90,6 +90,35 @@ def signature_distance(v):
     return joined.select("doc_id", "source", text.hamming(F.col("signature"), F.col("_first")).alias("distance"))
 
 
+_CLASSES = _simhash_sql() + f""", g2 as (select doc_id, {_packed()} as sig from s),
+    cl as (select sig, min(doc_id) as class_id, count(*) as members from g2 group by 1)"""
+
+
+def _signed(v):
+    return v.table("documents").select("doc_id", text.simhash64(F.col("text")).alias("signature"))
+
+
+@query(
+    "J27",
+    "",
+    _CLASSES
+    + """ select a.class_id as class_a, b.class_id as class_b, cast(bit_count(xor(a.sig, b.sig)) as int) as distance
+    from cl a join cl b on a.class_id < b.class_id and bit_count(xor(a.sig, b.sig)) <= 3""",
+)
+def near_duplicate_pairs(v):
+    """Pairs of different signatures within three bits, by the smallest document of each."""
+    classes = neighbours.signature_classes(_signed(v), "doc_id", "signature")
+    return neighbours.close_pairs(classes, "signature", 3)
+
+
+@query("J27 F25", "", _CLASSES + " select doc_id, class_id, members from g2 join cl using (sig)")
+def signature_members(v):
+    """Class of every document: all documents of one signature, named by the smallest."""
+    signed = _signed(v)
+    members = neighbours.membership(signed, neighbours.signature_classes(signed, "doc_id", "signature"), "signature")
+    return members.select("doc_id", "class_id", "members")
+
+
 @query(
     "J23 S19",
     "",

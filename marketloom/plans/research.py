@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from marketloom.functions import keys, tickers, times, units
 from marketloom.functions.numbers import lookup
-from marketloom.operators import demands, readers, research
+from marketloom.operators import demands, intervals, readers, research
 from marketloom.operators.hotkeys import first_by_key, latest_by_key
 from marketloom.plans.registry import query, r
 from marketloom.plans.views import cycle
@@ -339,7 +339,7 @@ def lifecycle_actions(v):
 
 
 @query(
-    "P18 J32",
+    "P18",
     "v_demands",
     """select demand_id, cast(active_from as varchar) as active_from from v_demands where status = 'active'
     and (active_from is null or active_from <= date '1997-06-15') and (active_to is null or active_to >= date '1997-06-15')""",
@@ -350,6 +350,57 @@ def demands_active_on(v):
     return found.select("demand_id", F.col("active_from").cast("string").alias("active_from"))
 
 
+_MEMBERSHIPS = """i as (
+      select l_orderkey * 10 + l_linenumber as constituent_id, 'IDX' || (l_suppkey % 100) as index_code, cast(l_shipdate as date) as effective_date,
+        case when l_orderkey % 50 <> 0 then cast(l_shipdate as date) + cast(l_quantity as int) end as end_date from lineitem),
+    d as (select demand_id, 'IDX' || (owner_id % 100) as index_code, active_from, active_to from v_demands)"""
+
+
+def _constituents(v):
+    """Line items as index constituents with validity intervals, some of them open."""
+    shipped = F.to_date("l_shipdate")
+    return v.table("lineitem").select(
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("constituent_id"),
+        F.concat(F.lit("IDX"), (F.col("l_suppkey") % 100).cast("string")).alias("index_code"),
+        shipped.alias("effective_date"),
+        F.when(F.col("l_orderkey") % 50 != 0, F.date_add(shipped, F.col("l_quantity").cast("int"))).alias("end_date"),
+    )
+
+
+def _indexed_demands(v):
+    return v.demands().select("demand_id", F.concat(F.lit("IDX"), (F.col("owner_id") % 100).cast("string")).alias("index_code"), "active_from", "active_to")
+
+
+@query(
+    "J32",
+    "v_demands",
+    f"""with {_MEMBERSHIPS}
+    select demand_id, constituent_id, cast(greatest(active_from, effective_date) as varchar) as overlap_from, cast(least(active_to, end_date) as varchar) as overlap_to
+    from d join i using (index_code)
+    where coalesce(end_date, date '9999-12-31') >= active_from and effective_date <= coalesce(active_to, date '9999-12-31')
+      and active_from <= coalesce(active_to, date '9999-12-31') and effective_date <= coalesce(end_date, date '9999-12-31')""",
+)
+def constituents_during_demands(v):
+    """Index constituents that are valid on some day of a demand's interval."""
+    met = intervals.overlap_join(_indexed_demands(v), _constituents(v), ["index_code"], ("active_from", "active_to"), ("effective_date", "end_date"))
+    return met.select("demand_id", "constituent_id", *[F.col(c).cast("string").alias(c) for c in ("overlap_from", "overlap_to")])
+
+
+@query(
+    "J32 P18",
+    "v_demands",
+    f"""with {_MEMBERSHIPS}
+    select demand_id, count(constituent_id) as constituents from d left join i on d.index_code = i.index_code
+      and active_from between effective_date and coalesce(end_date, date '9999-12-31') group by 1""",
+)
+def constituents_at_start(v):
+    """How many constituents are valid on the day on which each demand begins."""
+    starts = _indexed_demands(v).withColumn("active_to", F.col("active_from"))
+    met = intervals.overlap_join(starts, _constituents(v), ["index_code"], ("active_from", "active_to"), ("effective_date", "end_date"))
+    counts = met.groupBy("demand_id").agg(F.count("*").alias("constituents"))
+    return starts.select("demand_id").join(counts, "demand_id", "left").fillna(0, ["constituents"])
+
+
 _DERIVED = """with own as (select owner_id, demand_id, unnest([owner_id, demand_id % 100]) as target_id, case when demand_id % 3 = 0 then demand_id + 1 end as src from v_demands)
     select distinct demand_id, target_id from own union
     select a.demand_id, b.target_id from own a join own b on a.src = b.demand_id"""

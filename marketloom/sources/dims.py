@@ -20,6 +20,26 @@ def tolerances(spark: SparkSession) -> DataFrame:
     return F.broadcast(spark.createDataFrame(rows, "category string, absolute double, relative double"))
 
 
+def comparison_rules(spark: SparkSession) -> DataFrame:
+    """Compared fields of every record type: kind, tolerances, the level of a difference and the gap from which it is critical."""
+    kinds = {name: kind for kind, names in fixed.FIELDS_BY_CATEGORY.items() for name in names}
+    rows = []
+    for record_type, names in fixed.COMPARED_FIELDS.items():
+        for name in names:
+            kind, critical = kinds.get(name, "generic"), name in fixed.CRITICAL_FIELDS
+            limits = fixed.TOLERANCES.get(kind, {})
+            if kind == "status":
+                level = "critical" if name in fixed.ALWAYS_CRITICAL_STATUS else "high" if critical else "medium"
+            elif kind == "generic":
+                level = "medium" if critical else "low"
+            else:
+                level = "high" if critical else "medium"
+            gap = fixed.CLOSE_OR_FACTOR_CRITICAL_RELATIVE if name in ("close", "adj_factor") else fixed.AMOUNT_CRITICAL_RELATIVE if kind == "amount" else None
+            rows.append((record_type, name, kind, limits.get("absolute"), limits.get("relative"), level, gap))
+    schema = "record_type string, field_name string, kind string, absolute double, relative double, level string, critical_gap double"
+    return F.broadcast(spark.createDataFrame(rows, schema))
+
+
 def variable_rules(spark: SparkSession) -> DataFrame:
     """Keyword per tracking variable."""
     rows = [(v, w) for v, words in fixed.VARIABLE_RULES.items() for w in words]
