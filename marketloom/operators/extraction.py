@@ -13,8 +13,9 @@ from marketloom.functions.text import norm
 from marketloom.operators.hotkeys import first_by_key, salted_join, weighted_median
 
 
-def cap_items(items: Column, kind: str) -> Column:
-    return F.slice(items, 1, fixed.OBJECT_CAPS[kind])
+def cap_items(items: Column, limit: int | None = None) -> Column:
+    """The first items up to a limit, all without one; ``F.size`` of both tells what a limit leaves out."""
+    return items if limit is None else F.slice(items, 1, limit)
 
 
 def explode_objects(bundles: DataFrame, kind: str, keep: Sequence[str] = ("link_id",)) -> DataFrame:
@@ -22,7 +23,7 @@ def explode_objects(bundles: DataFrame, kind: str, keep: Sequence[str] = ("link_
     exploded = bundles.select(*keep, F.posexplode_outer(F.col(kind)).alias("position", "_o")).where("_o is not null")
     rows = exploded.select(*keep, "position", "_o.*")
     identity = F.sha2(F.to_json(F.struct(*rows.columns)), 256)
-    return rows.withColumn("object_id", F.concat(F.lit(f"{kind}_"), F.substring(identity, 1, 12)))
+    return rows.withColumn("object_id", F.concat(F.lit(f"{kind}_"), identity))
 
 
 def identity_key(entity_name: Column, ticker: Column) -> Column:
@@ -144,9 +145,9 @@ def decision_gate(decision: Column, overall: Column) -> Column:
     return F.when(demoted, "link_only").otherwise(decision)
 
 
-def kept_items(decision: Column, items: Column, kind: str) -> Column:
-    """Structured items of a bundle; a link-only result carries none."""
-    return F.when(decision == "link_only", F.slice(items, 1, 0)).otherwise(cap_items(items, kind))
+def kept_items(decision: Column, items: Column, limit: int | None = None) -> Column:
+    """Structured items of a bundle, up to a limit if there is one; a link-only result carries none."""
+    return F.when(decision == "link_only", F.slice(items, 1, 0)).otherwise(cap_items(items, limit))
 
 
 def keep_most_confident(objects: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:

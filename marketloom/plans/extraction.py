@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from marketloom import fixed
 from marketloom.functions import text
 from marketloom.functions.numbers import round_half_up
 from marketloom.operators import extraction
@@ -24,7 +25,7 @@ def bundle_objects(v):
     b = v.bundles()
     parts = None
     for kind in KINDS:
-        capped = b.withColumn(kind, extraction.cap_items(F.col(kind), kind))
+        capped = b.withColumn(kind, extraction.cap_items(F.col(kind), fixed.OBJECT_CAPS[kind]))
         rows = extraction.explode_objects(capped, kind).withColumn("kind", F.lit(kind)).drop("object_id")
         parts = rows if parts is None else parts.unionByName(rows)
     return parts.withColumn("position", F.col("position").cast("long"))
@@ -200,7 +201,7 @@ def gated_decisions(v):
     weighted = extraction.effective_weights(v.contributions())
     both = extraction.vote(weighted).select("link_id", F.col("decision").alias("_d")).join(extraction.merge_scores(weighted), "link_id")
     gated = both.withColumn("decision", extraction.decision_gate(F.col("_d"), F.col("overall_score")))
-    kept = extraction.kept_items(F.col("decision"), F.sequence(F.lit(1), F.lit(5)), "facts")
+    kept = extraction.kept_items(F.col("decision"), F.sequence(F.lit(1), F.lit(5)), fixed.OBJECT_CAPS["facts"])
     return gated.select("link_id", "overall_score", "decision", F.size(kept).alias("kept_facts"))
 
 
