@@ -6,6 +6,10 @@ documents. Background counts are scaled to the target's number of tokens, so tha
 alike. A document's score is the mean over its tokens of the target's loss less the background's; the
 lower, the more it resembles the target.
 
+Texts are encoded once. Their ids, 16 bits a token, are written with the row's number and are what all later steps
+read. Target rows are told by their id: a field of FIELD_BITS hashed target ids leaves out most other rows
+at once, the rest is joined. So no text is shuffled, and of the ids only those of likely targets.
+
 Pairs of a token and the one before are counted exactly: tasks sort and count runs of tokens, and the
 counts are added by pair into a table with a row for every distinct pair, however many the corpus has.
 The table also holds what either model loses on the pair. The most frequent pairs, at most HEAD_PAIRS,
@@ -24,14 +28,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marketloom.llm.common import pick, stored
-from marketloom.llm.tokens import RANKS, encode, encoder
+from marketloom.llm.tokens import RANKS, encoder
 
 #: How many pairs every task holds at most, and after how many tokens a task passes its counts on.
 HEAD_PAIRS = 1 << 20
 RUN_TOKENS = 1 << 21
+#: Bits of the field of hashed target ids that every task holds; rows that it cannot tell apart are joined.
+FIELD_BITS = 1 << 25
 SMOOTHING = 50.0
 _UNIT = float(1 << 32)
 _BATCH = 1 << 16
+_BUCKET_BYTES = 4096
+
+
+def id_type(vocabulary: int) -> str:
+    """The narrowest type that holds the ids of a vocabulary."""
+    return "<u2" if vocabulary <= 1 << 16 else "<u4"
 
 
 def pairs(ids: np.ndarray, vocabulary: int) -> np.ndarray:
@@ -40,34 +52,65 @@ def pairs(ids: np.ndarray, vocabulary: int) -> np.ndarray:
     return before * vocabulary + ids
 
 
-def pair_counts(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranks: str = RANKS) -> DataFrame:
-    """Every distinct pair of ``docs`` as pair, n, n_target longs: how often it stands in all and in target documents.
+def _target_field(marked: DataFrame) -> Broadcast:
+    """Bits of the hashed target ids."""
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(FIELD_BITS))
+    # buckets of the built-in bitmaps count from 1, and zero is the last place of bucket 0
+    parts = marked.select((place + 1).alias("place")).groupBy(F.bitmap_bucket_number("place").alias("bucket"))
+    parts = parts.agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bits"))
+    field = np.zeros(FIELD_BITS // 8, np.uint8)
+    for bucket, bits in parts.collect():
+        field[(bucket - 1) * _BUCKET_BYTES :][: len(bits)] = np.frombuffer(bytes(bits), np.uint8)
+    return marked.sparkSession.sparkContext.broadcast(field)
 
-    ``targets`` has the ids of target documents; null ids and repeats do not matter.
-    """
-    vocabulary = len(encoder(ranks)[1])
-    marked = pick(targets, doc_id=(id_col, "long")).where("doc_id is not null").distinct().withColumn("target", F.lit(True))
-    rows = pick(docs, doc_id=(id_col, "long"), text=(text_col, "string")).join(marked, "doc_id", "left").select("text", "target")
 
-    def counted(runs):
+def encoded(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranks: str = RANKS) -> tuple[DataFrame, DataFrame]:
+    """The stored table of all rows as row, doc_id, likely and ids binary, and the distinct target ids."""
+    kind = id_type(len(encoder(ranks)[1]))
+    marked = pick(targets, doc_id=(id_col, "long")).where("doc_id is not null").distinct()
+    field = _target_field(marked)
+
+    def encode_rows(batches):
+        tokenizer = encoder(ranks)[0]
+        for batch in batches:
+            place = batch["place"].to_numpy()
+            ids = [tokenizer.encode_to_numpy(t or "", disallowed_special=()).astype(kind).tobytes() for t in batch["text"].to_pylist()]
+            likely = (field.value[place >> 3] >> (place & 7) & 1).astype(bool)
+            yield pa.record_batch({"row": batch["row"], "doc_id": batch["doc_id"], "likely": pa.array(likely), "ids": pa.array(ids, pa.binary())})
+
+    # the row number joins sums back to their document, so it is written with the one scan that gives it
+    wanted = pick(docs, doc_id=(id_col, "long"), text=(text_col, "string"))
+    rows = wanted.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(FIELD_BITS)).alias("place"))
+    return stored(rows.mapInArrow(encode_rows, "row long, doc_id long, likely boolean, ids binary"), "encoded"), marked
+
+
+def pair_counts(rows: DataFrame, marked: DataFrame, vocabulary: int) -> DataFrame:
+    """Every distinct pair of encoded rows as pair, n, n_target longs: how often it stands in all and in target documents."""
+
+    def counted(runs, target):
         both, n = np.unique(np.concatenate(runs), return_counts=True)
         for start in range(0, len(both), _BATCH):
             part, count = both[start : start + _BATCH], n[start : start + _BATCH]
-            yield pa.record_batch({"pair": pa.array(part >> 1), "n": pa.array(count), "n_target": pa.array(count * (part & 1))})
-
-    def count(batches):
-        runs, held = [], 0
-        for batch in batches:
-            for text, target in zip(batch["text"].to_pylist(), batch["target"].to_pylist(), strict=True):
-                runs.append(pairs(encode(text or "", ranks), vocabulary) << 1 | int(bool(target)))
-                held += len(runs[-1])
-                if held >= RUN_TOKENS:
-                    yield from counted(runs)
-                    runs, held = [], 0
-        if held:
-            yield from counted(runs)
-
-    found = rows.mapInArrow(count, "pair long, n long, n_target long")
+            yield pa.record_batch({"pair": pa.array(part), "n": pa.array(count * (not target)), "n_target": pa.array(count * target)})
+
+    def count(target):
+        def run(batches):
+            runs, held = [], 0
+            for batch in batches:
+                for ids in batch["ids"].to_pylist():
+                    runs.append(pairs(np.frombuffer(ids, id_type(vocabulary)).astype(np.int64), vocabulary))
+                    held += len(runs[-1])
+                    if held >= RUN_TOKENS:
+                        yield from counted(runs, target)
+                        runs, held = [], 0
+            if held:
+                yield from counted(runs, target)
+
+        return run
+
+    kinds = "pair long, n long, n_target long"
+    of_targets = rows.where("likely").join(marked.hint("shuffle_hash"), "doc_id", "left_semi").select("ids")
+    found = rows.select("ids").mapInArrow(count(0), kinds).unionByName(of_targets.mapInArrow(count(1), kinds))
     return found.groupBy("pair").agg(F.sum("n").alias("n"), F.sum("n_target").alias("n_target"))
 
 
@@ -82,18 +125,17 @@ def _by_token(counts: DataFrame, token: Column, size: int) -> tuple[np.ndarray,
     return sums[0], sums[1]
 
 
-def fit(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranks: str = RANKS) -> DataFrame:
-    """Both models as a stored table of all pairs of ``docs``.
+def fit(rows: DataFrame, marked: DataFrame, vocabulary: int) -> DataFrame:
+    """Both models as a stored table of all pairs of encoded rows.
 
     Returns pair, n, n_target, target_loss and background_loss longs; losses are negative log probabilities
     of the token after the one before, smoothed with the token's frequency, in units of 2**-32.
     """
-    vocabulary = len(encoder(ranks)[1])
-    counts = stored(pair_counts(docs, targets, id_col, text_col, ranks), "pairs")
+    counts = stored(pair_counts(rows, marked, vocabulary), "pairs")
     token = _by_token(counts, F.expr(f"pair % {vocabulary}"), vocabulary)
     context = _by_token(counts, F.expr(f"pair div {vocabulary}"), vocabulary + 1)
     share = token[0].sum() / max(token[1].sum(), 1)
-    sums = docs.sparkSession.sparkContext.broadcast([(t * scale, c * scale) for t, c, scale in zip(token, context, (1.0, share), strict=True)])
+    sums = rows.sparkSession.sparkContext.broadcast([(t * scale, c * scale) for t, c, scale in zip(token, context, (1.0, share), strict=True)])
 
     def price(batches):
         for batch in batches:
@@ -134,14 +176,15 @@ def score(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col:
     rows count and are scored each, further columns are ignored.
     """
     vocabulary = len(encoder(ranks)[1])
-    head, others = _head(fit(docs, targets, id_col, text_col, ranks))
+    rows, marked = encoded(docs, targets, id_col, text_col, ranks)
+    head, others = _head(fit(rows, marked, vocabulary))
 
     def rate(batches):
         known, *losses = head.value
         for batch in batches:
             sums, rest, times, ends = [], [], [], [0]
-            for text in batch["text"].to_pylist():
-                ids = encode(text or "", ranks)
+            for data in batch["ids"].to_pylist():
+                ids = np.frombuffer(data, id_type(vocabulary)).astype(np.int64)
                 pair, n = np.unique(pairs(ids, vocabulary), return_counts=True)
                 at = np.searchsorted(known, pair)
                 here = at < len(known)
@@ -159,9 +202,7 @@ def score(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col:
                 out[name] = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, pa.int64()))
             yield pa.record_batch(out)
 
-    # the row number joins sums back to their document, so it is written with the one scan that gives it
-    wanted = pick(docs, doc_id=(id_col, "long"), text=(text_col, "string")).select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
-    rated = stored(wanted.mapInArrow(rate, "row long, doc_id long, n_tokens long, target_sum long, background_sum long, pairs array<long>, times array<long>"), "rated")
+    rated = stored(rows.select("row", "doc_id", "ids").mapInArrow(rate, "row long, doc_id long, n_tokens long, target_sum long, background_sum long, pairs array<long>, times array<long>"), "rated")
     rest = rated.select("row", F.explode(F.arrays_zip("pairs", "times")).alias("x")).select("row", F.col("x.pairs").alias("pair"), F.col("x.times").alias("times"))
     priced = rest.join(others.select("pair", "target_loss", "background_loss"), "pair")
     more = priced.groupBy("row").agg(*[F.sum(F.col("times") * F.col(f"{k}_loss")).alias(f"{k}_more") for k in ("target", "background")])
