@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -56,6 +57,19 @@ def compare_form(text: Column, already_nfkc: bool = False) -> Column:
     return lookup(form, fixed.STATUS_SYNONYMS, form)
 
 
+def _merged(base, override):
+    if not (isinstance(base, dict) and isinstance(override, dict)):
+        return override
+    return base | {name: _merged(base[name], value) if name in base else value for name, value in override.items()}
+
+
+@F.pandas_udf(T.StringType())
+def merge_trees(base: pd.Series, override: pd.Series) -> pd.Series:
+    """Override JSON laid over base JSON: maps are merged at every depth, anything else is replaced; null is no JSON."""
+    pairs = zip(base, override, strict=True)
+    return pd.Series([b if o is None else o if b is None else json.dumps(_merged(json.loads(b), json.loads(o)), ensure_ascii=False, separators=(",", ":")) for b, o in pairs], dtype=object)
+
+
 def content_hash(text: Column) -> Column:
     return F.sha2(text, 256)
 

@@ -86,6 +86,66 @@ def resolve_targets(demands: DataFrame, members: DataFrame) -> DataFrame:
     return named.unionByName(pooled)
 
 
+_POOL_FILTER = ["pool_layers", "sellability", "exclude_st", "exclude_suspended"]
+_MEMBER_KIND = ["pool_layer", "sellability", "is_st", "is_suspended"]
+
+
+def target_classes(demands: DataFrame) -> DataFrame:
+    """Demands with the class of their pool filter: demands with equal filters share one; it is null for named targets.
+
+    ``demands`` is as in ``resolve_targets``. Layers count as a set.
+    """
+    pool = (F.size("targets") <= 0) & (F.size("include_tickers") <= 0)
+    layers = F.array_sort(F.array_distinct(F.coalesce("pool_layers", F.array().cast("array<string>"))))
+    rows = demands.withColumn("pool_layers", layers).withColumns({c: F.coalesce(c, F.lit(False)) for c in ("exclude_st", "exclude_suspended")})
+    named = F.sha2(F.to_json(F.struct(*_POOL_FILTER), {"ignoreNullFields": "false"}), 256)
+    return rows.withColumn("class_id", F.when(pool, named))
+
+
+def _kinds_of_classes(classed: DataFrame, members: DataFrame) -> DataFrame:
+    """Which kinds of members (layer, sellability and flags) each class takes: few rows, whatever the number of demands and members."""
+    classes = classed.where("class_id is not null").select("class_id", *_POOL_FILTER).distinct()
+    wanted = classes.select("class_id", F.explode("pool_layers").alias("pool_layer"), F.col("sellability").alias("_wanted"), "exclude_st", "exclude_suspended")
+    kinds = members.where(F.col("status") == "active").select(*_MEMBER_KIND).distinct()
+    fits = (F.col("_wanted").isNull() | (F.col("_wanted") == F.col("sellability"))) & ~(F.col("exclude_st") & F.col("is_st"))
+    return wanted.join(kinds, "pool_layer").where(fits & ~(F.col("exclude_suspended") & F.col("is_suspended"))).select("class_id", *_MEMBER_KIND)
+
+
+def class_members(classed: DataFrame, members: DataFrame) -> DataFrame:
+    """Members of every class: class_id and ticker. Demands do not multiply them."""
+    kinds = _kinds_of_classes(classed, members)
+    return members.where(F.col("status") == "active").join(kinds, _same_kind(members, kinds)).select("class_id", "ticker")
+
+
+def _same_kind(members: DataFrame, kinds: DataFrame) -> Column:
+    same = F.lit(True)
+    for name in _MEMBER_KIND:
+        same = same & members[name].eqNullSafe(kinds[name])
+    return same
+
+
+def class_sizes(classed: DataFrame, members: DataFrame) -> DataFrame:
+    """How many members every class has, from bitmaps of member numbers per kind that are combined per class.
+
+    A kind's members are one bitmap of 32768 numbers each, so the members are read once and meet no demand.
+    """
+    bucket, bit = F.bitmap_bucket_number("member_id"), F.bitmap_bit_position("member_id")
+    active = members.where(F.col("status") == "active")
+    bitmaps = active.groupBy(*_MEMBER_KIND, bucket.alias("_bucket")).agg(F.bitmap_construct_agg(bit).alias("_bits"))
+    kinds = _kinds_of_classes(classed, members)
+    whole = bitmaps.join(kinds, _same_kind(bitmaps, kinds)).groupBy("class_id", "_bucket").agg(F.bitmap_or_agg("_bits").alias("_bits"))
+    return whole.groupBy("class_id").agg(F.sum(F.bitmap_count("_bits")).alias("members"))
+
+
+def target_counts(classed: DataFrame, members: DataFrame) -> DataFrame:
+    """Number and origin of every demand's targets."""
+    explicit, listed = F.size("targets") > 0, F.size("include_tickers") > 0
+    sizes = classed.join(class_sizes(classed, members), "class_id", "left")
+    origin = F.when(explicit, "explicit").when(listed, "include_list").otherwise("pool")
+    count = F.when(explicit, F.size("targets")).when(listed, F.size("include_tickers")).otherwise(F.coalesce("members", F.lit(0)))
+    return sizes.select("demand_id", origin.alias("origin"), count.cast("long").alias("targets"))
+
+
 def filter_pool(members: DataFrame, sellability: str | None = None, exclude_st: bool = False, exclude_suspended: bool = False):
     """Active pool members that pass the optional filters."""
     kept = members.where(F.col("status") == "active")

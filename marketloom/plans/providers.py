@@ -12,9 +12,11 @@ from marketloom.functions.numbers import lookup, round_half_up
 from marketloom.operators import normalize, providers
 from marketloom.operators.hotkeys import latest_by_key
 from marketloom.plans.registry import query, r
-from marketloom.plans.views import cycle
+from marketloom.plans import comparison
+from marketloom.plans.comparison import TYPES
+from marketloom.plans.views import cycle, cycle_sql
 from marketloom.session import scratch_root
-from marketloom.sources import raw_store, tables
+from marketloom.sources import directory, raw_store, tables
 
 FIELDS = ["close", "volume", "amount", "vwap", "name", "is_suspended"]
 
@@ -603,6 +605,23 @@ def inserted_if_absent(v):
     return tables.read(v.spark, path)
 
 
+@query(
+    "S10",
+    "",
+    """with a as (select l_orderkey, l_linenumber, min(l_quantity) as q from lineitem where l_returnflag = 'A' group by 1, 2),
+    b as (select l_orderkey, l_linenumber, min(l_quantity) as q from lineitem where l_returnflag <> 'A' group by 1, 2)
+    select l_orderkey, l_linenumber, q as l_quantity from a union all
+    select l_orderkey, l_linenumber, q from b where (l_orderkey, l_linenumber) not in (select (l_orderkey, l_linenumber) from a)""",
+)
+def bucketed_inserts(v):
+    """The same inserts into a table of key buckets with filters; the second batch reads only buckets that may hold its keys."""
+    lines = v.table("lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_returnflag")
+    path = _work(v, "insert")
+    for part in (lines.where("l_returnflag = 'A'"), lines.where("l_returnflag <> 'A'")):
+        tables.insert_absent_bucketed(part.drop("l_returnflag"), path, ["l_orderkey", "l_linenumber"], ["l_quantity"])
+    return tables.read(v.spark, path).drop("bucket")
+
+
 @query(
     "S9",
     "",
@@ -656,6 +675,36 @@ def landed_payloads(v):
     return raw_store.verify(lines).join(counts, "raw_payload_id").select("raw_payload_id", "records", "intact")
 
 
+@query(
+    "S3 S1",
+    "",
+    """with n as (select 'pay_' || source as raw_payload_id, row_number() over (partition by source order by doc_id) - 1 as raw_row_index, cast(doc_id as varchar) as provider_symbol, text from documents),
+    p as (select distinct raw_payload_id from n order by 1 limit 3)
+    select raw_payload_id, raw_row_index, provider_symbol, cast(length(text) as int) as characters from n join p using (raw_payload_id) where raw_row_index in (0, 5)""",
+)
+def raw_rows_looked_up(v):
+    """Rows of three payloads by their index; rows that are not stored have no result."""
+    path = _work(v, "raw")
+    raw_store.append(_landed(v), path, "fetch_order")
+    listed = raw_store.indexed_catalogue(v.spark, path).select("raw_payload_id").orderBy("raw_payload_id").limit(3).collect()
+    found = raw_store.rows_at(v.spark, path, [(r["raw_payload_id"], i) for r in listed for i in (0, 5, 10**9)])
+    return found.select("raw_payload_id", "raw_row_index", "provider_symbol", F.length(F.get_json_object("raw_data", "$.text")).alias("characters"))
+
+
+@query(
+    "S3 S4",
+    "",
+    "select 'pay_' || source as raw_payload_id, count(*) as rows from documents group by source",
+)
+def payload_catalogue(v):
+    """Payloads and their rows from the index, appended in two overlapping halves."""
+    path = _work(v, "raw")
+    landed = _landed(v)
+    raw_store.append(landed.where("length(raw_payload_id) % 2 = 0"), path, "fetch_order")
+    raw_store.append(landed, path, "fetch_order")
+    return raw_store.indexed_catalogue(v.spark, path).select("raw_payload_id", "rows")
+
+
 _LEVELS = """select p, i // 1024 as i, sha256(string_agg(h, '' order by i)) as h from {} group by p, i // 1024"""
 
 
@@ -713,6 +762,32 @@ def record_lineage_lookup(v):
     return united.where(F.col("k").isin(7, 17, 20)).drop("k")
 
 
+_SOUGHT = [f"{provider}:{part}:1" for provider in ("tushare", "akshare", "baostock") for part in range(1, 41)]
+
+
+@query(
+    "J25 P5",
+    "",
+    f"""select provider || ':' || p_partkey || ':1' as record_id, {cycle_sql("p_partkey", TYPES)} as record_type, 'raw://' || (p_partkey % 19) as raw_payload_ref,
+      p_partkey as raw_row_index, {cycle_sql("p_partkey", TYPES)} in ('bar', 'trading_status') and p_partkey % 4 = 0 as is_quarantined,
+      case when {cycle_sql("p_partkey", TYPES)} in ('bar', 'security_master', 'valuation_metric', 'financial_indicator') then '{{"all":"' || provider || '"}}' end as field_provenance
+    from part cross join (values ('tushare', 11), ('akshare', 13), ('baostock', 7)) s(provider, gap) where p_partkey % gap <> 0 and p_partkey <= 40""",
+)
+def records_looked_up(v):
+    """Lineage, quarantine flag and provenance of records of all types by their ids."""
+    path = _work(v, "directory")
+    part = F.split_part("record_id", F.lit(":"), F.lit(2)).cast("long")
+    rows = comparison.records(v).select(
+        "record_id", "record_type", F.concat(F.lit("pay"), (part % 19).cast("string")).alias("raw_payload_id"),
+        F.concat(F.lit("raw://"), (part % 19).cast("string")).alias("raw_payload_ref"), part.alias("raw_row_index"),
+        F.when(part % 4 == 0, "quarantined").otherwise("validated").alias("validation_status"),
+        F.create_map(F.lit("all"), F.col("provider")).alias("field_provenance"),
+    )
+    directory.add(rows, path)
+    directory.add(rows.withColumn("raw_payload_ref", F.lit("later")), path)
+    return directory.look_up(v.spark, path, _SOUGHT).drop("raw_payload_id")
+
+
 @query(
     "S17 S6",
     "v_events",

@@ -9,7 +9,7 @@ from marketloom.functions.numbers import lookup
 from marketloom.operators import demands, intervals, readers, research
 from marketloom.operators.hotkeys import first_by_key, latest_by_key
 from marketloom.plans.registry import query, r
-from marketloom.plans.views import cycle
+from marketloom.plans.views import cycle, cycle_sql
 
 _RATIO = r("count(*) filter (where covered) / cast(count(*) as double)", 4)
 _CELLS = f"""count(*) as expected_cells, count(*) filter (where covered) as covered_cells,
@@ -441,6 +441,51 @@ def resolved_targets(v):
     return demands.resolve_targets(rows, v.members())
 
 
+_LAYERS = ["current_holding", "trading_candidate", "watchlist", "base_pool"]
+_SCOPED = f"""d as (select demand_id, demand_id % 3 as kind, list_distinct([{cycle_sql("demand_id", _LAYERS)}, {cycle_sql("(demand_id // 4)", _LAYERS)}]) as layers,
+      case when demand_id % 5 < 3 then 'sellable' end as wanted, demand_id % 2 = 0 as no_st, demand_id % 7 = 0 as no_suspended from v_demands)"""
+
+
+def _scoped_demands(v):
+    key = F.col("demand_id")
+    none = F.array().cast("array<string>")
+    return v.demands().select(
+        "demand_id",
+        F.when(key % 3 == 0, F.array(F.lit("T1"), F.concat(F.lit("T"), key.cast("string")))).otherwise(none).alias("targets"),
+        F.when(key % 3 == 1, F.array(F.concat(F.lit("I"), key.cast("string")))).otherwise(none).alias("include_tickers"),
+        F.array(cycle(key, _LAYERS), cycle(F.floor(key / 4), _LAYERS)).alias("pool_layers"),
+        F.when(key % 5 < 3, "sellable").alias("sellability"),
+        (key % 2 == 0).alias("exclude_st"),
+        (key % 7 == 0).alias("exclude_suspended"),
+    )
+
+
+@query(
+    "J21 P16",
+    "v_demands v_members",
+    f"""with {_SCOPED} select demand_id, case kind when 0 then 'explicit' when 1 then 'include_list' else 'pool' end as origin,
+      case kind when 0 then 2 when 1 then 1 else (select count(*) from v_members m where list_contains(d.layers, m.pool_layer) and status = 'active'
+        and (wanted is null or wanted = sellability) and not (no_st and is_st) and not (no_suspended and is_suspended)) end as targets from d""",
+)
+def target_counts(v):
+    """How many targets every demand resolves to, from bitmaps of the members of each filter."""
+    return demands.target_counts(demands.target_classes(_scoped_demands(v)), v.members())
+
+
+@query(
+    "J21 P16",
+    "v_demands v_members",
+    f"""with {_SCOPED}, f as (select distinct layers, wanted, no_st, no_suspended from (select * replace (list_sort(layers) as layers) from d) where kind = 2)
+    select array_to_string(layers, '|') as pool_layers, wanted as sellability, no_st as exclude_st, no_suspended as exclude_suspended, ticker from f join v_members m on list_contains(f.layers, m.pool_layer)
+      and status = 'active' and (wanted is null or wanted = sellability) and not (no_st and is_st) and not (no_suspended and is_suspended)""",
+)
+def filter_class_members(v):
+    """Members of every filter that some demand has."""
+    classed = demands.target_classes(_scoped_demands(v))
+    filters = classed.where("class_id is not null").select("class_id", F.array_join("pool_layers", "|").alias("pool_layers"), "sellability", "exclude_st", "exclude_suspended").distinct()
+    return demands.class_members(classed, v.members()).join(filters, "class_id").drop("class_id")
+
+
 @query(
     "P16 P29",
     "v_members",

@@ -183,6 +183,31 @@ def merged_settings(v):
     return merged.select("event_id", *[F.try_element_at("m", F.lit(n)).alias(n) for n in ("base_only", "shared", "override_only")])
 
 
+@query(
+    "F38",
+    "v_events",
+    """with b as (select event_id, k, event_type, '{"mode":"base","limits":{"rows":' || k || ',"deep":{"a":1,"b":{"x":' || (k % 3) || '}}},"tags":["t"]}' as base,
+      case k % 4 when 0 then '{"limits":{"deep":{"b":{"x":9,"y":"' || event_type || '"}}}}' when 1 then '{"limits":"none","extra":{"k":' || k || '}}'
+        when 2 then '{"mode":{"name":"m"},"tags":[]}' else '{}' end as override from v_events)
+    select event_id, json_extract_string(m, '$.mode') as mode, json_extract_string(m, '$.limits.rows') as limit_rows, json_extract_string(m, '$.limits.deep.a') as deep_a,
+      json_extract_string(m, '$.limits.deep.b.x') as deep_x, json_extract_string(m, '$.limits.deep.b.y') as deep_y, json_extract_string(m, '$.extra.k') as extra_k, json_extract_string(m, '$.tags') as tags
+    from (select event_id, json_merge_patch(base, override) as m from b)""",
+)
+def merged_trees(v):
+    """Override trees laid over base trees of any depth; where both have a map, their entries are merged in turn."""
+    k = F.col("k")
+    base = F.format_string('{"mode":"base","limits":{"rows":%d,"deep":{"a":1,"b":{"x":%d}}},"tags":["t"]}', k, k % 3)
+    override = (
+        F.when(k % 4 == 0, F.format_string('{"limits":{"deep":{"b":{"x":9,"y":"%s"}}}}', "event_type"))
+        .when(k % 4 == 1, F.format_string('{"limits":"none","extra":{"k":%d}}', k))
+        .when(k % 4 == 2, F.lit('{"mode":{"name":"m"},"tags":[]}'))
+        .otherwise("{}")
+    )
+    merged = v.events().select("event_id", text.merge_trees(base, override).alias("m"))
+    paths = {"mode": "mode", "limit_rows": "limits.rows", "deep_a": "limits.deep.a", "deep_x": "limits.deep.b.x", "deep_y": "limits.deep.b.y", "extra_k": "extra.k", "tags": "tags"}
+    return merged.select("event_id", *[F.get_json_object("m", f"$.{p}").alias(n) for n, p in paths.items()])
+
+
 @query(
     "F2 P1",
     "v_events",

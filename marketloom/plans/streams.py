@@ -43,7 +43,7 @@ def stream_deduped_quotes(v):
 
 
 @query(
-    "T2 T7",
+    "T2",
     "v_events",
     f"""select ticker, strftime(b, '%Y-%m-%d %H:%M:%S') as bar_start, open, high, low, close, amount, ticks, case when ticks < 2 then 'incomplete' else 'ok' end as calculation_status
     from (select ticker, time_bucket(interval 60 minute, ts) as b, min_by(value, event_id) as open, max(value) as high, min(value) as low, max_by(value, event_id) as close,
@@ -139,6 +139,67 @@ def stream_sessions(v):
     return rows.select("user_id", _stamp("session_start"), _stamp("session_end"), "events")
 
 
+_BEATS = """s as (select user_id, ts, case when ts > lag(ts) over w + interval {gap} second or lag(ts) over w is null then 1 else 0 end as fresh from v_events window w as (partition by user_id order by ts)),
+    g as (select user_id, ts, sum(fresh) over (partition by user_id order by ts rows unbounded preceding) as n from s),
+    x as (select user_id, min(ts) as a, max(ts) + interval {gap} second as z from g group by user_id, n)"""
+
+
+@query(
+    "T8",
+    "v_events",
+    f"""with {_BEATS.format(gap=120)}, {_BEATS.format(gap=900).replace("s as (", "s9 as (").replace("g as (", "g9 as (").replace("from s)", "from s9)").replace("x as (", "x9 as (").replace("from g group", "from g9 group")}
+    select user_id, state, strftime(since, '%Y-%m-%d %H:%M:%S') as since from (
+      select user_id, 'busy' as state, a as since from x where z <= {_MARK} union all select user_id, 'idle', z from x where z <= {_MARK}
+      union all select user_id, 'stale', z from x9 where z <= {_MARK})""",
+)
+def stream_liveness(v):
+    """When each user became busy, idle and stale."""
+    rows = jobs.collect_once(jobs.liveness(_stream(v), "user_id", "ts"), "liveness")
+    return rows.select("user_id", "state", _stamp("since"))
+
+
+_PARTS = 5
+
+
+def _delivered(v, folder):
+    """Events in files that arrive one after the other: mostly in order of time, every ninth event three files later."""
+    e = v.events()
+    span = e.agg(F.unix_seconds(F.min(F.col("ts").cast("timestamp"))).alias("a"), F.unix_seconds(F.max(F.col("ts").cast("timestamp"))).alias("z")).first()
+    place = F.floor((F.unix_seconds(F.col("ts").cast("timestamp")) - span["a"]) * _PARTS / (span["z"] - span["a"] + 1)).cast("int")
+    part = F.when(F.col("event_id") % 9 == 0, F.least(place + 3, F.lit(_PARTS - 1))).otherwise(place)
+    rows = e.select("event_id", F.col("ts").cast("timestamp").alias("ts"), "ticker", F.col("value").alias("price"), F.col("value").cast("decimal(18,2)").alias("amount"), part.alias("part"))
+    rows = rows.persist()
+    for number in range(_PARTS):
+        rows.where(F.col("part") == number).drop("part").coalesce(1).write.mode("append").parquet(folder)
+    rows.unpersist()
+    return rows.drop("part").schema
+
+
+@query(
+    "T7",
+    "v_events",
+    f"""with e as (select *, cast(floor((epoch(ts)::bigint - min(epoch(ts)::bigint) over ()) * {_PARTS} / (max(epoch(ts)::bigint) over () - min(epoch(ts)::bigint) over () + 1)) as int) as place from v_events),
+    p as (select *, case when event_id % 9 = 0 then least(place + 3, {_PARTS - 1}) else place end as part, time_bucket(interval 60 minute, ts) + interval 60 minute as bucket_end from e),
+    m as (select part, max(max(ts)) over (order by part rows between unbounded preceding and 2 preceding) - interval 10 minute as mark from p group by part),
+    l as (select p.*, coalesce(bucket_end <= mark, false) as late from p join m using (part))
+    select strftime(bucket_end, '%Y-%m-%d %H:%M:%S') as bucket_end, count(*) filter (where not late and bucket_end <= {_MARK}) as ticks,
+      count(*) filter (where late) as late, count(*) filter (where not late and bucket_end > {_MARK}) as open from l group by 1""",
+)
+def stream_late_rows(v):
+    """Rows of every hour: in a bar, dropped as late, or in a window still open. They add up to all rows."""
+    work = f"{scratch_root(v.spark)}/late-{uuid.uuid4().hex}"
+    schema = _delivered(v, f"{work}/in")
+    stream = jobs.read_files(v.spark, f"{work}/in", "*.parquet", schema, maxFilesPerTrigger="1")
+    bars_ = jobs.tumbling_bars(stream, "ts", "60 minutes", "event_id")
+    jobs.run_available(bars_, f"{work}/bars", f"{work}/bars-checkpoint")
+    jobs.run_batches(stream, jobs.late_sink(v.spark, f"{work}/side", "ts", "60 minutes"), f"{work}/side-checkpoint")
+    kept = v.spark.read.schema(bars_.schema).parquet(f"{work}/bars").groupBy(F.col("bar_end").alias("bucket_end")).agg(F.sum("ticks").alias("ticks"))
+    late = v.spark.read.parquet(f"{work}/side/late").groupBy("bucket_end").agg(F.count("*").alias("late"))
+    all_ = v.spark.read.schema(schema).parquet(f"{work}/in").groupBy(F.window("ts", "60 minutes")["end"].alias("bucket_end")).agg(F.count("*").alias("n"))
+    joined = all_.join(kept, "bucket_end", "left").join(late, "bucket_end", "left").fillna(0, ["ticks", "late"])
+    return joined.select(_stamp("bucket_end"), "ticks", "late", (F.col("n") - F.col("ticks") - F.col("late")).alias("open"))
+
+
 @query(
     "T9 W14",
     "v_events",

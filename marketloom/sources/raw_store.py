@@ -2,6 +2,9 @@
 
 A payload is the set of rows that share ``raw_payload_id``: one ``metadata`` row and one
 ``raw_record`` row per fetched record. Payloads are appended once and never changed.
+
+Beside the lines lies an index in hash buckets of the payload id: one row per payload and file, with its range of row
+numbers and the payload's hash. Appends and lookups read the buckets of their ids, and of the lines only the named files.
 """
 
 from __future__ import annotations
@@ -15,10 +18,13 @@ from marketloom.sources import tables
 
 SCHEMA = (
     "raw_payload_id string, line_type string, raw_row_index bigint, provider_symbol string, raw_data string,"
-    " source_api string, request_id string, raw_hash string, provider string, request_type string, date string"
+    " source_api string, request_id string, raw_hash string, provider string, request_type string, date string, batch string"
 )
 PARTITIONS = ["provider", "request_type", "date"]
 LINES_PER_HASH = 1024
+#: Buckets of the payload index. Its folder is hidden from readers of the lines.
+INDEX_BUCKETS = 64
+INDEX = "_index"
 
 
 def scan(spark: SparkSession, path: str) -> DataFrame | None:
@@ -76,18 +82,59 @@ def number_rows(fetched: DataFrame, payload: str, order: str) -> DataFrame:
     return counted.withColumn("raw_row_index", F.col("raw_row_index") - 1)
 
 
+def _bucketed(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("bucket", F.pmod(F.xxhash64("raw_payload_id"), F.lit(INDEX_BUCKETS)).cast("int"))
+
+
+def index(spark: SparkSession, path: str) -> DataFrame | None:
+    """The payload index: a row per payload and file."""
+    return tables.read(spark, f"{path}/{INDEX}")
+
+
+def indexed_catalogue(spark: SparkSession, path: str, provider: str | None = None, request_type: str | None = None) -> DataFrame:
+    """Payloads with their hash and number of rows, from the index alone."""
+    found = index(spark, path)
+    for name, value in (("provider", provider), ("request_type", request_type)):
+        if value:
+            found = found.where(F.col(name) == value)
+    return found.groupBy("raw_payload_id", *PARTITIONS).agg(F.max("raw_hash").alias("raw_hash"), F.sum("rows").alias("rows"))
+
+
+def rows_at(spark: SparkSession, path: str, wanted: list[tuple[str, int]]) -> DataFrame:
+    """Records of (payload id, row index) pairs; a pair that is not stored has no row.
+
+    The index names the files that hold the rows, and only these are read. The pairs are a list of the caller's, so
+    the files are at most as many.
+    """
+    asked = _bucketed(spark.createDataFrame(wanted, "raw_payload_id string, raw_row_index long"))
+    known = tables.touched(index(spark, path), asked, ["bucket"]).drop("bucket")
+    held = asked.join(known, "raw_payload_id").where(F.col("raw_row_index").between(F.col("first_row"), F.col("last_row")))
+    files = sorted(r["file"] for r in held.select("file").distinct().collect())
+    if not files:
+        return records(spark.createDataFrame([], SCHEMA))
+    lines = spark.read.schema(SCHEMA).option("basePath", path).json(files)
+    return records(lines).join(F.broadcast(asked.drop("bucket").distinct()), ["raw_payload_id", "raw_row_index"], "left_semi")
+
+
 def append(fetched: DataFrame, path: str, order: str) -> None:
     """Append payloads that are not yet stored.
 
     ``fetched`` has raw_payload_id, the partition columns, source_api, request_id, provider_symbol,
-    raw_data (JSON text) and a numeric fetch order.
+    raw_data (JSON text) and a numeric fetch order. The lines are written under a batch named by the new payload
+    ids, then the index. An append that was cut off before the index is written again in the same place.
     """
     spark = fetched.sparkSession
-    stored = scan(spark, path)
+    known = index(spark, path)
     fresh = fetched
-    if stored is not None:
-        fresh = fetched.join(stored.select("raw_payload_id").distinct(), "raw_payload_id", "left_anti")
+    if known is not None:
+        ids = tables.stage(_bucketed(fetched.select("raw_payload_id").distinct()), "payloads")
+        stored = tables.touched(known, ids, ["bucket"]).select("raw_payload_id").distinct()
+        fresh = fetched.join(ids.join(stored, "raw_payload_id", "left_anti").select("raw_payload_id"), "raw_payload_id", "left_semi")
     lines = tables.stage(number_rows(fresh, "raw_payload_id", order), "landing")
+    name = lines.select("raw_payload_id").distinct().agg(F.sum(F.xxhash64("raw_payload_id").cast("decimal(38,0)")), F.count("*")).first()
+    if not name[1]:
+        return
+    batch = f"{name[0]}_{name[1]}"
     hashes = payload_hashes(lines, "raw_payload_id", "raw_row_index", F.col("raw_data"))
     heads = (
         lines.groupBy("raw_payload_id", *PARTITIONS)
@@ -98,9 +145,17 @@ def append(fetched: DataFrame, path: str, order: str) -> None:
     body = lines.select(
         "raw_payload_id", "raw_row_index", "provider_symbol", "raw_data", *PARTITIONS, F.lit("raw_record").alias("line_type")
     )
-    body.unionByName(heads, allowMissingColumns=True).write.mode("append").partitionBy(*PARTITIONS).json(
-        path, compression="gzip"
+    out = body.unionByName(heads, allowMissingColumns=True).withColumn("batch", F.lit(batch)).write.mode("overwrite")
+    out.option("partitionOverwriteMode", "dynamic").partitionBy(*PARTITIONS, "batch").json(path, compression="gzip")
+    written = scan(spark, path).where(F.col("batch") == batch).withColumn("file", F.col("_metadata.file_path"))
+    rows = written.groupBy("raw_payload_id", *PARTITIONS, "file").agg(
+        F.min("raw_row_index").alias("first_row"),
+        F.max("raw_row_index").alias("last_row"),
+        F.count_if(F.col("line_type") == "raw_record").alias("rows"),
+        F.max("raw_hash").alias("raw_hash"),
     )
+    entries = _bucketed(rows).withColumn("batch", F.lit(batch)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    entries.partitionBy("bucket", "batch").parquet(f"{path}/{INDEX}")
 
 
 def verify(lines: DataFrame) -> DataFrame:

@@ -12,6 +12,10 @@ from pyspark.sql.utils import AnalysisException
 from marketloom.operators.hotkeys import first_by_key, latest_by_key
 from marketloom.session import scratch_root
 
+#: Hidden folder of a bucketed table's filters, and bits of one bitmap of a filter.
+FILTERS = "_filters"
+FILTER_PIECE_BITS = 32768
+
 
 def read(spark: SparkSession, path: str) -> DataFrame | None:
     """The table, or nothing when it was never written."""
@@ -86,6 +90,56 @@ def insert_absent(rows: DataFrame, path: str, key: Sequence[str], order: Sequenc
     (writer.partitionBy(*partitions) if partitions else writer).parquet(path)
 
 
+def _filter_places(key: Sequence[str], pieces: int) -> list:
+    """Places of a key's bits in its bucket's filter, counted from 1 as the built-in bitmaps count."""
+    return [F.pmod(F.xxhash64(*key, F.lit(salt)), F.lit(pieces * FILTER_PIECE_BITS)) + 1 for salt in (1, 2)]
+
+
+def may_be_stored(rows: DataFrame, path: str, key: Sequence[str], pieces: int) -> DataFrame:
+    """Rows (with ``bucket``) whose key the filters of their buckets do not rule out."""
+    spark = rows.sparkSession
+    known = read(spark, f"{path}/{FILTERS}")
+    if known is None:
+        return rows.limit(0)
+    filters = touched(known, rows, ["bucket"]).groupBy("bucket", "piece").agg(F.bitmap_or_agg("bits").alias("_bits"))
+    out = rows
+    for place in _filter_places(key, pieces):
+        at = F.bitmap_bit_position("_place")
+        byte = F.conv(F.hex(F.substring("_bits", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+        held = out.withColumn("_place", place).withColumn("piece", F.bitmap_bucket_number("_place")).join(filters, ["bucket", "piece"])
+        out = held.where(F.getbit(byte, (at % 8).cast("int")) == 1).drop("_place", "piece", "_bits")
+    return out
+
+
+def insert_absent_bucketed(
+    rows: DataFrame, path: str, key: Sequence[str], order: Sequence[str], buckets: int = 64, pieces: int = 8
+) -> None:
+    """Append rows whose key the table lacks; the first row of a key wins, also within the rows.
+
+    The table lies in hash buckets of the key, each with a Bloom filter of ``pieces`` bitmaps. Keys that the filters
+    rule out are new without a look at the table; of the others only the buckets are read. Fuller filters rule
+    out fewer keys but never a stored one. Filters are written before the rows, so an insert that is cut off
+    leaves bits without rows at worst and can be run again. A key with a null is equal to no other, as in any join.
+    """
+    spark = rows.sparkSession
+    bucket = F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int")
+    fresh = stage(first_by_key(rows, key, order).withColumn("bucket", bucket), "fresh")
+    existing = read(spark, path)
+    if existing is not None:
+        likely = stage(may_be_stored(fresh, path, key, pieces).select(*key, "bucket"), "likely")
+        stored = touched(existing, likely, ["bucket"]).select(*key)
+        fresh = stage(fresh.join(likely.join(stored, list(key), "left_semi").select(*key), list(key), "left_anti").select(*fresh.columns), "new")
+    bits = None
+    for place in _filter_places(key, pieces):
+        part = fresh.select("bucket", place.alias("_place"))
+        bits = part if bits is None else bits.unionByName(part)
+    bits = bits.groupBy("bucket", F.bitmap_bucket_number("_place").alias("piece"))
+    filters = bits.agg(F.bitmap_construct_agg(F.bitmap_bit_position("_place")).alias("bits"))
+    # a task per bucket, as buckets are even, so that an insert adds one file to each
+    filters.repartition("bucket").write.mode("append").partitionBy("bucket").parquet(f"{path}/{FILTERS}")
+    fresh.repartition("bucket").write.mode("append").partitionBy("bucket").parquet(path)
+
+
 def write_routed(records: DataFrame, path: str, columns: Sequence[str] = ("record_type",)) -> None:
     """One directory per record type, and per frequency where the rows carry one."""
     records.write.mode("append").partitionBy(*columns).parquet(path)

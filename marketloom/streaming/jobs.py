@@ -137,6 +137,45 @@ def sessions(events: DataFrame, key: str, time: str, gap: str, delay: str = "10
     )
 
 
+def liveness(beats: DataFrame, key: str, time: str, busy: str = "120 seconds", stale: str = "900 seconds", delay: str = "10 minutes") -> DataFrame:
+    """Changes of every key's state: busy from a first event on, idle and then stale when none follows for so long.
+
+    A state's change is a session's begin or end, so the result does not depend on the order in which events
+    arrive within the watermark, and is emitted once the watermark has passed the session.
+    """
+    active = sessions(beats, key, time, busy, delay)
+    turns = F.explode(F.array(
+        F.struct(F.lit("busy").alias("state"), F.col("session_start").alias("since")),
+        F.struct(F.lit("idle").alias("state"), F.col("session_end").alias("since")),
+    ))
+    known = active.select(key, turns.alias("_t")).select(key, "_t.*")
+    lost = sessions(beats, key, time, stale, delay).select(key, F.lit("stale").alias("state"), F.col("session_end").alias("since"))
+    return known.unionByName(lost)
+
+
+def late_sink(spark: SparkSession, path: str, time: str, width: str, delay: str = "10 minutes"):
+    """Batch function that keeps the rows whose window had been closed before their batch.
+
+    The watermark of a batch is the latest event time of the batches before it less the delay. A window is closed
+    by the batch whose watermark passes it, which may still add to it; rows of later batches are late. A windowed
+    aggregation over the same stream drops exactly these without a trace. Outputs are written per batch id, so a
+    replay overwrites its own.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        seen = tables.read(spark, f"{path}/seen")
+        mark = F.lit(None).cast("timestamp")
+        if seen is not None:
+            latest = seen.where(F.col("batch") < batch_id - 1).agg(F.max("latest")).first()[0]
+            mark = F.lit(latest).cast("timestamp") - F.expr(f"INTERVAL {delay}")
+        late = batch.withColumn("bucket_end", F.window(time, width)["end"]).where(F.col("bucket_end") <= mark)
+        late.write.mode("overwrite").parquet(f"{path}/late/batch={batch_id}")
+        totals = batch.agg(F.max(time).alias("latest"), F.count("*").alias("rows"))
+        totals.write.mode("overwrite").parquet(f"{path}/seen/batch={batch_id}")
+
+    return write
+
+
 def incomplete_buckets(bars: DataFrame, expected: int) -> DataFrame:
     """Flag bars that hold fewer ticks than expected."""
     status = F.when(F.col("ticks") < expected, "incomplete").otherwise("ok")
@@ -150,7 +189,7 @@ def insert_sink(path: str, key: str):
     """Batch function that appends rows whose key is not stored yet; a replayed batch adds nothing."""
 
     def write(batch: DataFrame, _: int) -> None:
-        tables.insert_absent(batch, path, [key], [c for c in batch.columns if c != key][:1])
+        tables.insert_absent_bucketed(batch, path, [key], [c for c in batch.columns if c != key][:1])
 
     return write
 
