@@ -6,7 +6,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from marketloom import fixed
-from marketloom.functions.numbers import lookup
 
 _PARTS = r"^(?:([^:/?#]+):)?(?://([^/?#]*))?([^?#;]*)(?:;[^?#]*)?(?:\?([^#]*))?(?:#.*)?$"
 
@@ -62,8 +61,7 @@ def host_suffixes(host: Column) -> Column:
 
 def source_type(host: Column, domains: dict[str, str] | None = None) -> Column:
     """Type of the first listed domain the host equals or ends with; media otherwise."""
-    table = domains or fixed.SOURCE_TYPE_BY_DOMAIN
-    suffixes = host_suffixes(host)
-    listed = F.filter(F.array(*[F.lit(d) for d in table]), lambda d: F.array_contains(suffixes, d))
-    known = lookup(F.try_element_at(listed, F.lit(1)), table)
-    return F.coalesce(known, F.when(F.coalesce(host, F.lit("")) == "", "unknown").otherwise("media"))
+    kind = F.when(F.coalesce(host, F.lit("")) == "", "unknown").otherwise("media")
+    for listed, known in reversed((domains or fixed.SOURCE_TYPE_BY_DOMAIN).items()):
+        kind = F.when((host == listed) | F.endswith(host, F.lit(f".{listed}")), known).otherwise(kind)
+    return kind

@@ -11,6 +11,7 @@ from marketloom import fixed
 from marketloom.functions import times
 from marketloom.functions.keys import joined_key
 from marketloom.operators.hotkeys import explode_computed, latest_by_key, running_total
+from marketloom.sources import tables
 
 
 def demand_errors() -> Column:
@@ -348,5 +349,25 @@ def liveness(age_seconds: Column) -> Column:
     )
 
 
+def log_runs(runs: DataFrame, path: str) -> None:
+    """Add runs to the run log; a run whose idempotency key is in it changes nothing."""
+    tables.insert_absent_bucketed(runs, path, ["idempotency_key"], ["started_at", "run_id"])
+
+
+def reusable_runs(requests: DataFrame, log: DataFrame) -> DataFrame:
+    """Requests with the earlier successful run of their key that answers them, null where they have to run.
+
+    Keys are unique in the log, so the join adds no rows.
+    """
+    done = log.where(F.col("status") == "success").select("idempotency_key", F.col("run_id").alias("reused_run_id"))
+    return requests.join(done, "idempotency_key", "left")
+
+
+def batches(items: DataFrame, batch: str) -> DataFrame:
+    """Status of every batch from its items, each of which failed or not on its own."""
+    counts = items.groupBy(batch).agg(F.count("*").alias("items"), F.count_if("failed").alias("failures"))
+    return counts.withColumn("status", batch_status(F.col("failures"), F.col("items")))
+
+
 def batch_status(failed: Column, total: Column) -> Column:
     return F.when(failed == 0, "success").when(failed < total, "partial_success").otherwise("failed")

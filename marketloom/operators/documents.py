@@ -170,7 +170,7 @@ def passage_score(paragraph: Column, index: Column, entities: Column, keywords:
         + points(F.exists(entities, lambda t: (t != "") & F.contains(paragraph, t)), 8.0)
         + points(any_contains(paragraph, keywords), 4.0)
         + points(paragraph.rlike(fixed.PASSAGE_AMOUNT_PATTERN), 6.0)
-        + points(paragraph.rlike(fixed.PASSAGE_DATE_PATTERN), 3.0)
+        + points(paragraph.rlike(f"{fixed.PASSAGE_DATE_START}(?:{fixed.PASSAGE_DATE_PATTERN})"), 3.0)
         + points(any_contains(paragraph, fixed.SUMMARY_WORDS), 2.0)
     )
 

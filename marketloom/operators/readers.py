@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketloom.functions.numbers import any_contains
@@ -117,6 +117,58 @@ def open_by_priority(rows: DataFrame, level: str, levels: Sequence[str], newest:
     return ranked.orderBy("rank", F.desc(newest), F.desc(tie)).limit(limit)
 
 
+def look_up(rows: DataFrame, **wanted) -> DataFrame:
+    """Rows whose columns have the wanted values: one value, a list of values, or an inclusive (first, last) range.
+
+    Every condition is a plain comparison, so the filters reach the scan.
+    """
+    found = rows
+    for name, value in wanted.items():
+        if isinstance(value, tuple):
+            first, last = (F.lit(v).cast(rows.schema[name].dataType) for v in value)
+            found = found.where(F.col(name).between(first, last))
+        elif isinstance(value, list):
+            found = found.where(F.col(name).isin(value))
+        else:
+            found = found.where(F.col(name) == F.lit(value).cast(rows.schema[name].dataType))
+    return found
+
+
+def newest(rows: DataFrame, order: Sequence[str], limit: int, **wanted) -> DataFrame:
+    """Newest rows with the wanted values; a column without one does not restrict."""
+    found = look_up(rows, **{name: value for name, value in wanted.items() if value is not None})
+    return found.orderBy(*[F.desc(c) for c in order]).limit(limit)
+
+
+def links_of_run(links: DataFrame, run, decision: str | None, limit: int) -> DataFrame:
+    """Best scored links of a run, of one decision or of all."""
+    return newest(links, ["triage_score", "link_id"], limit, run_id=run, triage_decision=decision)
+
+
+def report_sections(rows: DataFrame, start: str, end: str, counts: dict[str, Column], lists: dict[str, tuple[Column, Column, Column, int]]) -> DataFrame:
+    """Sections of a report over the rows created in [start, end): numbers by group, and best rows.
+
+    ``counts`` has the group of a section's rows, null for rows that do not belong to it. ``lists`` has for each section
+    which rows belong, their rank (descending), the text to show and how many; ties go to the newest row, then to the
+    greatest text. A row is read once for all counts and once for all lists. Returns section, position (null for
+    numbers), item and rows.
+    """
+    kind = rows.schema["created_at"].dataType
+    of_day = rows.where((F.col("created_at") >= F.lit(start).cast(kind)) & (F.col("created_at") < F.lit(end).cast(kind)))
+    groups = F.array(*[F.struct(F.lit(name).alias("section"), key.cast("string").alias("item")) for name, key in counts.items()])
+    counted = of_day.select(F.explode(groups).alias("_g")).select("_g.*").where("item is not null").groupBy("section", "item").agg(F.count("*").alias("rows"))
+    parts = [
+        F.struct(F.lit(name).alias("section"), F.when(belongs, F.coalesce(rank.cast("double"), F.lit(0.0))).alias("rank"), text.alias("item"), F.lit(limit).alias("limit"))
+        for name, (belongs, rank, text, limit) in lists.items()
+    ]
+    listed = of_day.select("created_at", F.explode(F.array(*parts)).alias("_l")).select("created_at", "_l.*").where("rank is not null")
+    best = Window.partitionBy("section").orderBy(F.desc("rank"), F.desc("created_at"), F.desc("item"))
+    most = max((limit for *_, limit in lists.values()), default=0)
+    top = listed.withColumn("position", F.row_number().over(best)).where(F.col("position") <= most).where(F.col("position") <= F.col("limit"))
+    numbers = counted.select("section", F.lit(None).cast("int").alias("position"), "item", "rows")
+    return numbers.unionByName(top.select("section", "position", "item", F.lit(None).cast("long").alias("rows")))
+
+
 def counts_by(rows: DataFrame, dimensions: dict[str, Column]) -> DataFrame:
     """Row counts for several independent dimensions in one grouping-sets pass."""
     named = rows.select(*[F.coalesce(c.cast("string"), F.lit("unknown")).alias(n) for n, c in dimensions.items()])

@@ -60,7 +60,7 @@ def keyword_candidates(
             F.col("_c.tracking_variable"),
             "direction",
             F.least(F.lit(0.6), round_half_up(0.3 + 0.1 * F.size("_c.hits"), 1)).alias("confidence"),
-            F.array_join(F.slice("_c.hits", 1, 5), ",").alias("evidence"),
+            F.array_join("_c.hits", ",").alias("evidence"),
         )
     )
 
@@ -154,9 +154,12 @@ def golden_matches(golden: DataFrame, events: DataFrame, links: DataFrame) -> Da
     """Each expected event with its best matching collected event, if any.
 
     An item matches on target, date range, any keyword, any listed source type and any linked
-    variable; empty lists do not restrict. Items are spread over the days of their range, so they meet
+    variable; empty lists do not restrict. An event without a date counts on the day it was created. Keywords are
+    plain text without wildcards. Items are spread over the days of their range, so they meet
     events on (target, day), and one best event per item is kept with map-side aggregation.
     """
+    if "created_at" in events.columns:
+        events = events.withColumn("event_date", F.coalesce("event_date", F.to_date("created_at")))
     days = F.explode(F.sequence("date_from", "date_to", F.expr("INTERVAL 1 DAY"))).alias("event_date")
     g = golden.select("expected_event_id", "target_id", days, "keywords", "source_types", "expected_variables")
     plain = events.select("event_id", "target_id", "event_date", "summary", "source_type", "confidence").join(
@@ -178,6 +181,25 @@ def golden_matches(golden: DataFrame, events: DataFrame, links: DataFrame) -> Da
     return golden.join(best, "expected_event_id", "left").withColumn("matched", F.col("matched_event_id").isNotNull())
 
 
+def golden_missed(matches: DataFrame) -> DataFrame:
+    """Expected events that nothing collected matches."""
+    return matches.where(~F.col("matched")).select("expected_event_id", "target_id")
+
+
+def golden_runs(matches: DataFrame, run: Sequence[str]) -> DataFrame:
+    """One row per evaluation run: counts, recall and what was missed, with an id made of the run and its outcome.
+
+    The missed ids of a run are as many as its golden list has entries.
+    """
+    counts = matches.groupBy(*run).agg(
+        F.count("*").alias("expected_count"),
+        F.count_if("matched").alias("matched_count"),
+        F.array_join(F.array_sort(F.collect_list(F.when(~F.col("matched"), F.col("expected_event_id")))), ",").alias("missed"),
+    )
+    counts = counts.withColumn("recall", ratio_or_null(F.col("matched_count"), F.col("expected_count")))
+    return counts.withColumn("run_id", F.concat(F.lit("golden_run_"), F.sha2(F.to_json(F.struct(*counts.columns)), 256)))
+
+
 def golden_recall(matches: DataFrame) -> DataFrame:
     return matches.agg(
         F.count("*").alias("expected_count"),

@@ -10,7 +10,7 @@ from marketloom.operators import documents, neighbours
 from marketloom.operators.hotkeys import explode_computed, salted_join
 from marketloom.plans.registry import query, r
 from marketloom.plans.views import ENTITY_TERMS, KEYWORD_TERMS, STRONG_TERMS
-from marketloom.sources import dims
+from marketloom.sources import dims, tables
 
 RE_AMOUNT = fixed.AMOUNT_PATTERN.replace("'", "''")
 
@@ -177,7 +177,8 @@ y as (select *, {r("score", 2)} as read_priority, case when is_duplicate then 'l
 
 def _triaged(v):
     terms = F.array(*[F.lit(t) for t in ENTITY_TERMS])
-    scored = documents.score_hits(v.hits(), terms, STRONG_TERMS, {"media": 0.9})
+    # texts are read once: what is left of them is written and met again by hash
+    scored = tables.stage(documents.score_hits(v.hits(), terms, STRONG_TERMS, {"media": 0.9}), "scored")
     return documents.decide_hits(documents.mark_duplicates(scored, "content_hash", "doc_id"))
 
 
