@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from marketloom import fixed
 from marketloom.functions.numbers import exact_sum, round_half_up
-from marketloom.operators.hotkeys import asof_join, latest_by_key, salted_join
+from marketloom.operators.hotkeys import asof_join, latest_by_key
 
 PRICES = ["open", "high", "low", "close", "pre_close"]
 GROUP = ["ticker", "effective_provider"]
@@ -81,7 +81,7 @@ def adjust_prices(bars: DataFrame, factors: DataFrame, adjust: str, span: tuple[
     if adjust not in ("qfq", "hfq"):
         return bars
     owners = factors.select("ticker", "effective_provider").distinct().withColumn("_own", F.lit(True))
-    known = salted_join(bars.where("effective_provider is not null"), owners, GROUP)
+    known = bars.where("effective_provider is not null").join(owners, GROUP, "left")
     probes = known.withColumn("factor_key", F.when(F.col("_own"), F.col("effective_provider")).otherwise(POOLED)).drop("_own")
     names = ["adj_factor", "fore_adjust_factor", "back_adjust_factor", "factor_method", "factor_provider"]
     matched = asof_join(probes, _keyed_factors(factors), ["ticker", "factor_key"], "trade_date", names, span)
@@ -106,7 +106,7 @@ def adjust_prices(bars: DataFrame, factors: DataFrame, adjust: str, span: tuple[
         F.col("prev_any_factor").alias("backward"),
         *[F.when(F.col("prev_any_factor"), F.col(f"prev_{n}")).otherwise(F.col(f"next_{n}")).alias(n) for n in facts],
     )
-    rows = salted_join(matched, group, GROUP, "inner")
+    rows = matched.join(group, GROUP)
     pick = F.when(F.col("backward"), F.col("prev")).otherwise(F.col("next"))
     adj = F.coalesce(pick["adj_factor"], own_factor)
     if adjust == "hfq":

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from marketloom import fixed
 from marketloom.functions import text, urls
 from marketloom.operators import documents, neighbours
-from marketloom.operators.hotkeys import explode_computed, salted_join
+from marketloom.operators.hotkeys import explode_computed
 from marketloom.plans.registry import query, r
 from marketloom.plans.views import ENTITY_TERMS, KEYWORD_TERMS, STRONG_TERMS
 from marketloom.sources import dims, tables
@@ -80,13 +80,13 @@ def simhash_signatures(v):
 def signature_distance(v):
     """Hamming distance of every document's signature to that of the first document of its source.
 
-    The first documents are one row per source; each source's documents meet them through a salted join.
+    The first documents are one row per source; each source's documents meet them in a join that is split at run time where a source is hot.
     """
     d = v.table("documents")
     signed = d.select("doc_id", "source", text.simhash64(F.col("text")).alias("signature"))
     first = signed.groupBy("source").agg(F.min(F.struct("doc_id", "signature")).alias("_f"))
     first = first.select("source", F.col("_f.signature").alias("_first"))
-    joined = salted_join(signed, first, ["source"])
+    joined = signed.join(first, "source")
     return joined.select("doc_id", "source", text.hamming(F.col("signature"), F.col("_first")).alias("distance"))
 
 

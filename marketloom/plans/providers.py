@@ -426,13 +426,11 @@ def canonical_record_types(v):
             when = F.to_date(F.from_utc_timestamp(F.col(day), fixed.MARKET_TIMEZONE))
         if number in ("industry_name", "index_name"):
             value = F.lit(None).cast("double")
-        one = rows.agg(
-            F.count("*").alias("records"),
-            F.sum(value.cast("decimal(18,2)")).cast("double").alias("total"),
-            F.count_distinct(when).alias("days"),
-        ).select(F.lit(kind).alias("record_type"), "records", "total", "days")
+        one = rows.select(F.lit(kind).alias("record_type"), value.cast("decimal(18,2)").alias("value"), when.cast("date").alias("day"))
         parts = one if parts is None else parts.unionByName(one)
-    return parts
+    return parts.groupBy("record_type").agg(
+        F.count("*").alias("records"), F.sum("value").cast("double").alias("total"), F.count_distinct("day").alias("days")
+    )
 
 
 @query(
