@@ -20,16 +20,21 @@ from marketloom.llm.common import pick, stored
 BLOCK_ROWS = 256
 SHARD_ROWS = 16384
 TILE_QUERIES = 2048
+LARGEST = 1 << 62
 
 
 def integers(vectors: DataFrame, id_col: str, vector_col: str, scale: float) -> DataFrame:
     """vec_id and the terms floor(scale * x), without vectors that are null or hold null or non-finite components.
 
-    Rows with a null id and components whose term does not fit a long also leave; an empty vector scores 0.
+    Rows with a null id leave, too; an empty vector scores 0. A term beyond LARGEST is held at that limit.
     """
     wanted = pick(vectors, vec_id=(id_col, "long"), vector=(vector_col, "array<double>")).where("vec_id is not null and vector is not null")
-    sound = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(2.0**62 / scale)))
-    return wanted.where(sound).select("vec_id", F.transform("vector", lambda x: F.floor(F.lit(float(scale)) * x).cast("long")).alias("terms"))
+    sound = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
+
+    def term(x):
+        return F.floor(F.least(F.greatest(F.lit(float(scale)) * x, F.lit(-float(LARGEST))), F.lit(float(LARGEST)))).cast("long")
+
+    return wanted.where(sound).select("vec_id", F.transform("vector", term).alias("terms"))
 
 
 def search(vectors: DataFrame, k: int, every: int, scale: float = 64.0, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -40,7 +45,7 @@ def search(vectors: DataFrame, k: int, every: int, scale: float = 64.0, id_col:
     ties to the smaller vec_id. A repeated row is a candidate of its copies, and each copy that is a query
     has rows of its own. Vectors of different lengths are filled up with zeros. Null or non-finite
     components, null vectors and null ids take no part; an empty table gives no rows; further columns are
-    ignored. Scores beyond a long are cut off at its limits.
+    ignored. Terms beyond 2**62 are held there, and scores beyond a long are cut off at its limits before they are ranked.
     """
     spark = vectors.sparkSession
     rows = integers(vectors, id_col, vector_col, scale).withColumn("row", F.monotonically_increasing_id())
@@ -87,8 +92,7 @@ def _score(k: int):
         docs, ids, rows = docs[nearby], ids[nearby], rows[nearby]
         query_rows, query_ids = right["row"].to_numpy(), right["vec_id"].to_numpy()
         at, number, value = top_blocks(docs, ids, rows, queries, query_rows, k)
-        limit = np.iinfo(np.int64)
-        return pa.table({"query_row": query_rows[at], "query_id": query_ids[at], "vec_id": ids[number], "row": rows[number], "score": np.array([min(max(int(v), limit.min), limit.max) for v in value], np.int64)})
+        return pa.table({"query_row": query_rows[at], "query_id": query_ids[at], "vec_id": ids[number], "row": rows[number], "score": value.astype(np.int64)})
 
     return score
 
@@ -106,19 +110,25 @@ def top_blocks(docs, ids, rows, queries, query_rows, k):
     exact = np.float64 if largest < 2**50 and largest * count < 2**61 else object
     docs, queries = docs.astype(exact), queries.astype(exact)
     whole = np.int64 if exact is np.float64 else object
+    limit = np.iinfo(np.int64)
+
+    def held(score):
+        # numbers that a long cannot hold are cut off before they are compared, so that all tasks order alike
+        return score.astype(whole) if whole is np.int64 else np.clip(score, int(limit.min), int(limit.max))
+
     starts = np.arange(0, count, BLOCK_ROWS)
     ends = np.minimum(starts + BLOCK_ROWS, count)
     high = np.stack([docs[s:e].max(0) for s, e in zip(starts, ends, strict=True)])
     low = np.stack([docs[s:e].min(0) for s, e in zip(starts, ends, strict=True)])
     zero = queries * 0
-    bound = (np.maximum(queries, zero) @ high.T + np.minimum(queries, zero) @ low.T).astype(whole)
+    bound = held(np.maximum(queries, zero) @ high.T + np.minimum(queries, zero) @ low.T)
     first_tie = np.array([tie[s:e].min() for s, e in zip(starts, ends, strict=True)])
     # one number orders by score, then by smaller tie; scores of different rows never meet
     best_key = bound * count + (count - 1 - first_tie)
     order = np.argsort(-bound, axis=1, kind="stable")
     own = {int(r): i for i, r in enumerate(rows)}
     own = np.array([own.get(int(r), -1) for r in query_rows])
-    nothing = -(largest + 1) * count - 1
+    nothing = -(max(largest, 1 << 63) + 1) * count - 1 if whole is object else -(largest + 1) * count - 1
     top = np.full((asked, k), nothing, whole)
     for step in range(len(starts)):
         turn = order[:, step]
@@ -132,7 +142,7 @@ def top_blocks(docs, ids, rows, queries, query_rows, k):
         for block in np.unique(turn[active]):
             at = np.flatnonzero(active & (turn == block))
             s, e = starts[block], ends[block]
-            keys = (queries[at] @ docs[s:e].T).astype(whole) * count + (count - 1 - tie[s:e])
+            keys = held(queries[at] @ docs[s:e].T) * count + (count - 1 - tie[s:e])
             inside = (own[at] >= s) & (own[at] < e)
             keys[np.flatnonzero(inside), own[at][inside] - s] = nothing
             both = np.concatenate([top[at], keys], axis=1)
