@@ -175,18 +175,34 @@ def passage_score(paragraph: Column, index: Column, entities: Column, keywords:
     )
 
 
-def select_passages(
-    pages: DataFrame,
-    entities: Column,
-    keywords: Sequence[str],
-    limit: int = fixed.MAX_PASSAGES,
-    budget: int = fixed.MAX_PASSAGE_CHARS,
-) -> DataFrame:
-    """Best paragraphs of every page in document order, cut to a character budget, as one array per page.
+_PASSAGE = "struct<passage_id:string,score:double,text:string>"
+
+
+def _fit(found: Column, start: Column, budget: int | None) -> Column:
+    """Passages of an array cut to what is left of a budget: the passages, and how much of it is used."""
+    none = F.array().cast(f"array<{_PASSAGE}>")
+
+    def add(acc: Column, s: Column) -> Column:
+        room = F.length(s["text"]) if budget is None else F.lit(budget) - acc["used"]
+        text = s["text"] if budget is None else F.substring(s["text"], F.lit(1), room)
+        kept = F.concat(acc["kept"], F.array(F.struct(s["passage_id"].alias("passage_id"), s["score"].alias("score"), text.alias("text"))))
+        used = acc["used"] + F.length(s["text"]) if budget is None else F.least(F.lit(budget), acc["used"] + F.length(s["text"]))
+        grown = F.struct(kept.alias("kept"), used.alias("used"))
+        return grown if budget is None else F.when(acc["used"] >= budget, acc).otherwise(grown)
+
+    return F.aggregate(found, F.struct(none.alias("kept"), start.alias("used")), add)
 
+
+def select_passages(pages: DataFrame, entities: Column, keywords: Sequence[str], limit: int | None = None, budget: int | None = None) -> DataFrame:
+    """Title, best paragraphs in document order and relevant tables of every page, as one array ``passages`` per page.
+
+    ``pages`` has ``body`` and may have ``title`` and ``tables`` (an array of texts). Of the paragraphs that score, the
+    best ``limit`` less one stay, as one place is the title's; tables fill what places are left. Paragraphs and tables
+    are cut to ``budget`` characters together. Without a limit or budget everything that scores stays.
+    ``passages_left_out`` counts scoring paragraphs and relevant tables that the limit or the budget leaves out whole.
     Scoring, ranking and budgeting are array expressions inside the row, so pages never move.
     """
-    lines = F.filter(F.split("body", "\n"), lambda p: F.trim(p) != "")
+    lines = F.filter(F.split(F.coalesce("body", F.lit("")), "\n"), lambda p: F.trim(p) != "")
     scored = F.transform(
         lines,
         lambda p, i: F.struct(
@@ -195,41 +211,44 @@ def select_passages(
             p.alias("text"),
         ),
     )
-    best = F.slice(F.array_sort(F.filter(F.col("_scored"), lambda s: s["neg_score"] < 0)), 1, limit - 1)
+    hits = F.array_sort(F.filter(F.col("_scored"), lambda s: s["neg_score"] < 0))
+    best = F.col("_hits") if limit is None else F.slice("_hits", 1, limit - 1)
     ordered = F.array_sort(F.transform(best, lambda s: F.struct(s["position"], s["neg_score"], s["text"])))
-    fitted = F.aggregate(
-        F.col("_ordered"),
-        F.struct(
-            F.array().cast("array<struct<passage_id:string,score:double,text:string>>").alias("kept"),
-            F.lit(0).alias("used"),
+    named = F.transform(
+        ordered,
+        lambda s: F.struct(
+            F.concat(F.lit("p"), s["position"].cast("string")).alias("passage_id"), (-s["neg_score"]).cast("double").alias("score"), s["text"].alias("text")
         ),
-        lambda acc, s: F.when(acc["used"] >= budget, acc).otherwise(
-            F.struct(
-                F.concat(
-                    acc["kept"],
-                    F.array(
-                        F.struct(
-                            F.concat(F.lit("p"), s["position"].cast("string")).alias("passage_id"),
-                            (-s["neg_score"]).cast("double").alias("score"),
-                            F.substring(s["text"], F.lit(1), F.lit(budget) - acc["used"]).alias("text"),
-                        )
-                    ),
-                ).alias("kept"),
-                F.least(F.lit(budget), acc["used"] + F.length(s["text"])).alias("used"),
-            )
-        ),
-    )
-    return (
-        pages.withColumn("_entities", entities)
-        .withColumn("_scored", scored)
-        .withColumn("_ordered", ordered)
-        .withColumn("passages", fitted["kept"])
-        .drop("_entities", "_scored", "_ordered")
     )
+    rows = pages.withColumn("_entities", entities).withColumn("_scored", scored).withColumn("_hits", hits)
+    rows = rows.withColumn("_fitted", _fit(named, F.lit(0), budget))
+    passages, left_out = F.col("_fitted.kept"), F.size("_hits") - F.size("_fitted.kept")
+    if "title" in pages.columns:
+        title = F.struct(F.lit("title").alias("passage_id"), F.lit(None).cast("double").alias("score"), F.col("title").alias("text"))
+        passages = F.concat(F.when(F.coalesce("title", F.lit("")) != "", F.array(title)).otherwise(F.array().cast(f"array<{_PASSAGE}>")), passages)
+    rows = rows.withColumn("passages", passages)
+    if "tables" in pages.columns:
+        numbered = F.transform(
+            F.coalesce("tables", F.array().cast("array<string>")),
+            lambda t, i: F.struct(F.concat(F.lit("t"), (i + 1).cast("string")).alias("passage_id"), F.lit(None).cast("double").alias("score"), t.alias("text")),
+        )
+        rows = rows.withColumn("_tables", F.filter(numbered, lambda t: _relevant(t["text"], F.col("_entities"), keywords)))
+        places = F.col("_tables") if limit is None else F.slice("_tables", 1, F.greatest(F.lit(limit) - F.size("passages"), F.lit(0)))
+        rows = rows.withColumn("_more", _fit(places, F.col("_fitted.used"), budget)["kept"])
+        left_out = left_out + F.size("_tables") - F.size("_more")
+        rows = rows.withColumn("_out", left_out).withColumn("passages", F.concat("passages", "_more")).drop("_tables", "_more")
+    else:
+        rows = rows.withColumn("_out", left_out)
+    return rows.withColumnRenamed("_out", "passages_left_out").drop("_entities", "_scored", "_hits", "_fitted")
+
 
+def _relevant(table: Column, entities: Column, keywords: Sequence[str]) -> Column:
+    named = F.exists(entities, lambda t: (t != "") & F.contains(table, t))
+    return F.coalesce(table.rlike(fixed.PASSAGE_AMOUNT_PATTERN) | named | any_contains(table, keywords), F.lit(False))
 
-def chunk_passages(passages: Column, limit: int = fixed.MAX_PASSAGE_CHARS, chunks: int = fixed.MAX_CHUNKS) -> Column:
-    """Chunk number of every passage text, filled greedily up to a size; later chunks are cut off."""
+
+def chunk_passages(passages: Column, limit: int = fixed.MAX_PASSAGE_CHARS, chunks: int | None = None) -> Column:
+    """Chunk number of every passage text, filled greedily up to a size; with ``chunks``, only those of the first so many."""
     numbered = F.aggregate(
         passages,
         F.struct(
@@ -237,7 +256,7 @@ def chunk_passages(passages: Column, limit: int = fixed.MAX_PASSAGE_CHARS, chunk
         ),
         lambda acc, p: _next_chunk(acc, F.length(p), limit),
     )["out"]
-    return F.filter(numbered, lambda c: c["chunk"] <= chunks)
+    return numbered if chunks is None else F.filter(numbered, lambda c: c["chunk"] <= chunks)
 
 
 def _next_chunk(acc: Column, size: Column, limit: int) -> Column:
@@ -253,14 +272,15 @@ def _next_chunk(acc: Column, size: Column, limit: int) -> Column:
 # --- query plan ----------------------------------------------------------------------------
 
 
-def expand_templates(targets: DataFrame, templates: Sequence[tuple[str, float, str]]) -> DataFrame:
+def expand_templates(
+    targets: DataFrame, templates: Sequence[tuple[str, float, str]], each: int | None = None, most: int | None = None
+) -> DataFrame:
     """Queries from (family, base priority, text with ``{placeholder}`` marks) and each target's values.
 
     ``targets`` has target_id and ``values``, a map of placeholder to terms. The templates are a
     fixed configuration list, so targets meet them by exploding one literal array. A template takes
-    up to three values per mark and yields up to six queries; a mark without values drops it.
+    all values of a mark, or the first ``each``, and yields all queries, or the first ``most``; a mark without values drops it.
     """
-    each, most = fixed.QUERY_VALUES_PER_PLACEHOLDER, fixed.QUERY_RESULTS_PER_TEMPLATE
     listed = F.array(
         *[
             F.struct(
@@ -276,10 +296,14 @@ def expand_templates(targets: DataFrame, templates: Sequence[tuple[str, float, s
         name = F.regexp_extract(F.coalesce(F.try_element_at("_q", F.lit(1)), F.lit("")), r"\{(\w+)\}", 1)
         out = (
             out.withColumn("_m", F.concat(F.lit("{"), name, F.lit("}")))
-            .withColumn("_v", F.slice(F.coalesce(F.try_element_at("values", name), none), 1, each))
+            .withColumn("_v", _first(F.coalesce(F.try_element_at("values", name), none), each))
             .withColumn("_q", F.when(F.col("_m") == "{}", F.col("_q")).otherwise(_filled()))
         )
-    return explode_computed(out, F.slice("_q", 1, most), "query_text").drop("_q", "_m", "_v", "values")
+    return explode_computed(out, _first(F.col("_q"), most), "query_text").drop("_q", "_m", "_v", "values")
+
+
+def _first(items: Column, count: int | None) -> Column:
+    return items if count is None else F.slice(items, 1, count)
 
 
 def _filled() -> Column:

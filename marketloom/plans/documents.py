@@ -156,7 +156,7 @@ def duplicate_urls(v):
     return documents.mark_duplicates(links, "stem", "link_id").select("link_id", "is_duplicate")
 
 
-@query("W10 P30", "v_hits", _dups_sql("doc_id", "content_hash", "v_hits"))
+@query("W10", "v_hits", _dups_sql("doc_id", "content_hash", "v_hits"))
 def duplicate_bodies(v):
     return documents.mark_duplicates(v.hits(), "content_hash", "doc_id").select("doc_id", "is_duplicate")
 
@@ -210,7 +210,7 @@ def model_call_triggers(v):
 
 
 @query(
-    "K5 K7",
+    "K5",
     "v_hits",
     _TRIAGE
     + "select run_id, doc_id, read_priority from (select *, row_number() over (partition by run_id order by read_priority desc, doc_id) as rn from y where triage_decision = 'read') where rn <= 5",
@@ -330,10 +330,49 @@ def selected_passages(v):
     """Best paragraphs of every document within 1500 characters."""
     d = v.table("documents").select("doc_id", F.col("text").alias("body"))
     entities = F.array(*[F.lit(t) for t in ENTITY_TERMS])
-    rows = documents.select_passages(d, entities, [*KEYWORD_TERMS, *fixed.PASSAGE_KEYWORDS], budget=1500)
+    rows = documents.select_passages(d, entities, [*KEYWORD_TERMS, *fixed.PASSAGE_KEYWORDS], fixed.MAX_PASSAGES, 1500)
     return explode_computed(rows, F.col("passages"), "p").select("doc_id", "p.*")
 
 
+_TABLES = _passage_sql().replace("substr(p, 1, cast(1500 - used as bigint)) as text from c where used < 1500", "substr(p, 1, cast(1500 - used as bigint)) as text, i from c where used < 1500")
+
+
+@query(
+    "K6 W12 F30",
+    "",
+    f"""with sel as ({_TABLES}),
+    b as (select doc_id, count(*) as n, sum(length(text)) as used from sel group by 1),
+    d as (select doc_id, split_part(text, chr(10), 1) as title, list_slice(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> ''), 1, 3) as tables from documents),
+    t as (select doc_id, title, unnest(tables) as t, unnest(range(1, len(tables) + 1)) as ti from d),
+    v as (select t.*, row_number() over (partition by doc_id order by ti) as rn, coalesce(sum(length(t)) over (partition by doc_id order by ti rows between unbounded preceding and 1 preceding), 0) + coalesce(b.used, 0) as before,
+        coalesce(b.n, 0) + case when title <> '' then 1 else 0 end as places
+      from t left join b using (doc_id) where regexp_matches(t, '{fixed.PASSAGE_AMOUNT_PATTERN}') or {" or ".join(f"contains(t, '{w}')" for w in [*ENTITY_TERMS, *KEYWORD_TERMS, *fixed.PASSAGE_KEYWORDS])})
+    select doc_id, 'title' as passage_id, cast(null as double) as score, title as text from d where title <> ''
+    union all select doc_id, passage_id, score, text from sel
+    union all select doc_id, 't' || ti, null, substr(t, 1, cast(1500 - before as bigint)) from v where before < 1500 and places + rn <= 8""",
+)
+def page_passages(v):
+    """Title, best paragraphs and relevant tables of every document, eight at most and within 1500 characters; the first three lines stand for tables."""
+    lines = F.filter(F.split("text", "\n"), lambda p: F.trim(p) != "")
+    d = v.table("documents").select("doc_id", F.col("text").alias("body"), F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"), F.slice(lines, 1, 3).alias("tables"))
+    rows = documents.select_passages(d, F.array(*[F.lit(t) for t in ENTITY_TERMS]), [*KEYWORD_TERMS, *fixed.PASSAGE_KEYWORDS], fixed.MAX_PASSAGES, 1500)
+    return explode_computed(rows, F.col("passages"), "p").select("doc_id", "p.*")
+
+
+@query(
+    "K6 W12",
+    "",
+    _passage_sql().split("select doc_id, 'p'")[0] + "select doc_id, count(*) as scoring, count(*) - count(*) filter (where rn <= 7 and coalesce(used, 1500) < 1500) as left_out from k left join (select doc_id, i, used from c) u using (doc_id, i) group by 1",
+)
+def passages_left_out(v):
+    """How many scoring paragraphs of every document its limits leave out whole."""
+    d = v.table("documents").select("doc_id", F.col("text").alias("body"))
+    entities, words_ = F.array(*[F.lit(t) for t in ENTITY_TERMS]), [*KEYWORD_TERMS, *fixed.PASSAGE_KEYWORDS]
+    rows = documents.select_passages(d, entities, words_, fixed.MAX_PASSAGES, 1500)
+    counts = rows.select("doc_id", (F.size("passages") + F.col("passages_left_out")).cast("long").alias("scoring"), F.col("passages_left_out").cast("long").alias("left_out"))
+    return counts.where("scoring > 0")
+
+
 @query(
     "W13",
     "",
@@ -343,7 +382,7 @@ def selected_passages(v):
     select doc_id, chunk, count(*) as passages, cast(sum(n[i]) as bigint) as chars from c where chunk <= 3 group by 1, 2""",
 )
 def passage_chunks(v):
-    chunks = documents.chunk_passages(F.split("text", "\n"), limit=800)
+    chunks = documents.chunk_passages(F.split("text", "\n"), 800, fixed.MAX_CHUNKS)
     rows = explode_computed(v.table("documents"), chunks, "c").select("doc_id", "c.*")
     return rows.groupBy("doc_id", "chunk").agg(F.count("*").alias("passages"), F.sum("size").alias("chars"))
 
@@ -373,7 +412,7 @@ def _planned(v):
         ).alias("values"),
         F.array("p_name", "p_brand").alias("terms"),
     )
-    expanded = documents.expand_templates(targets, TEMPLATES)
+    expanded = documents.expand_templates(targets, TEMPLATES, fixed.QUERY_VALUES_PER_PLACEHOLDER, fixed.QUERY_RESULTS_PER_TEMPLATE)
     scored = documents.score_queries(expanded, F.col("terms"))
     return scored
 

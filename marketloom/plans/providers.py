@@ -226,7 +226,7 @@ def fetch_summary(v):
 
 
 @query(
-    "A16 A37",
+    "A16",
     "v_events",
     _FETCH
     + """select request_id, provider, cast(sum(rows_fetched) as bigint) as rows_fetched,
@@ -719,7 +719,7 @@ def payload_hashes(v):
 
 
 @query(
-    "F35 S20 S21",
+    "F35",
     "v_events",
     """with k as (select event_id, 'stock_data:historical_bars:' || provider || ':' || ticker || ':' || strftime(trade_date, '%Y%m%d') || ':none:1d:none:close,open:v0.1' as request_key,
       'run:' || replace(event_type || ' x', ' ', '_') || ':' || cast(k as varchar) || ':None' as run_key, event_type, k from v_events)
@@ -740,7 +740,7 @@ def idempotent_requests(v):
 
 
 @query(
-    "J25 P9",
+    "P3",
     "v_events",
     """select 'rec' || cast(event_id as varchar) as record_id, event_type as record_type, 'raw://' || cast(user_id as varchar) as raw_payload_ref, k % 10 = 0 as quarantined
     from v_events where k in (7, 17, 20) and event_type in ('click', 'view', 'error')""",

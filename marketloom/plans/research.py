@@ -699,7 +699,7 @@ def cost_usage(v):
 
 
 @query(
-    "A10 A7",
+    "A10",
     "v_events",
     """select 'event_type' as dimension, event_type as group_key, count(*) as rows from v_events group by 2
     union all select 'source_type', source_type, count(*) from v_events group by 2 union all select 'provider', provider, count(*) from v_events group by 2
@@ -842,7 +842,7 @@ def catalysts_of_target(v):
     return found.select("catalyst_id", F.col("expected_date").cast("string").alias("expected_date"))
 
 
-@query("P13 P15", "v_demands", "select demand_id as question_id, priority, status from v_demands where owner_id = 19 and status = 'active'")
+@query("P13", "v_demands", "select demand_id as question_id, priority, status from v_demands where owner_id = 19 and status = 'active'")
 def questions_of_target(v):
     found = readers.target_work(_work_rows(v), 19, status="active")
     return found.select(F.col("demand_id").alias("question_id"), "priority", "status")
@@ -921,7 +921,7 @@ def capability_modes(v):
 
 
 @query(
-    "W16 T10",
+    "W16",
     "v_events",
     "select user_id, max(event_id) as event_id, max_by(event_type, event_id) as event_type, max_by(value, event_id) as value from v_events group by 1",
 )
@@ -930,7 +930,7 @@ def latest_per_entity(v):
 
 
 @query(
-    "F40 T11",
+    "F40",
     "v_events",
     """with i as (select event_id, 'event:' || cast(user_id as varchar) || ':' || event_type || ':' || cast(trade_date as varchar) || ':' || substr(sha256('"' || event_type || '"'), 1, 12) as idempotency_key,
        coalesce(case when k % 2 = 0 then 'u' || cast(k as varchar) end, 'flat') as source_url from v_events)

@@ -209,7 +209,7 @@ def merged_trees(v):
 
 
 @query(
-    "F2 P1",
+    "P1",
     "v_events",
     """select event_id, case event_id % 4 when 0 then true when 1 then false when 2 then k <> 0 else false end as flag, coalesce(case when k % 3 = 0 then cast(k as varchar) end, event_type) as first_present from v_events""",
 )

@@ -5,7 +5,7 @@ import datetime
 from pyspark.sql import functions as F
 
 from marketloom.functions import urls
-from marketloom.operators import demands, readers, research
+from marketloom.operators import demands, documents, readers, research
 from marketloom.sources import tables
 
 
@@ -73,3 +73,40 @@ def test_first_listed_domain_names_the_type(spark):
     frame = spark.createDataFrame(hosts, "h string")
     assert [r.t for r in frame.select(urls.source_type(F.col("h")).alias("t")).collect()] == ["exchange", "exchange", "media", "regulator", "unknown", "unknown", "media", "media"]
     assert [r.t for r in frame.select(urls.source_type(F.col("h"), {"a": "one", "b.a": "two"}).alias("t")).collect()][-2:] == ["one", "one"]
+
+
+def page(spark, body, title=None, tables=None):
+    return spark.createDataFrame([(body, title, tables)], "body string, title string, tables array<string>")
+
+
+def chosen(frame, **options):
+    row = documents.select_passages(frame, F.array(F.lit("宁德"), F.lit("")), ["毛利率"], **options).first()
+    return [(p.passage_id, p.text) for p in row.passages], row.passages_left_out
+
+
+def test_title_paragraphs_and_tables_share_places_and_budget(spark):
+    body = "\n".join(["first", "plain", "宁德 one", "毛利率", " ", "2024-01-02"])
+    tables = ["毛利率 | 22.5%", "nothing", "120 GWh", None]
+    whole, left = chosen(page(spark, body, "T", tables))
+    assert [i for i, _ in whole] == ["title", "p0", "p2", "p3", "p4", "t1", "t3"] and left == 0
+    few, left = chosen(page(spark, body, "T", tables), limit=4)
+    assert [i for i, _ in few] == ["title", "p0", "p2", "p3"] and left == 3
+    short, left = chosen(page(spark, body, "T", tables), budget=13)
+    assert short == [("title", "T"), ("p0", "first"), ("p2", "宁德 one"), ("p3", "毛利")] and left == 3
+    spare, left = chosen(page(spark, "first", None, tables), limit=3, budget=10)
+    assert spare == [("p0", "first"), ("t1", "毛利率 |")] and left == 1
+    assert chosen(page(spark, "", "", None)) == ([], 0) and chosen(page(spark, None, None, [])) == ([], 0)
+
+
+def test_chunks_are_cut_only_when_asked(spark):
+    rows = spark.createDataFrame([(["a" * 5, "b" * 5, "c" * 5],)], "p array<string>")
+    assert [c.chunk for c in rows.select(documents.chunk_passages(F.col("p"), 6)).first()[0]] == [1, 2, 3]
+    assert [c.chunk for c in rows.select(documents.chunk_passages(F.col("p"), 6, 2)).first()[0]] == [1, 2]
+
+
+def test_templates_take_all_values_unless_limited(spark):
+    targets = spark.createDataFrame([(1, {"a": [f"x{i}" for i in range(5)], "b": ["y1", "y2"]})], "target_id int, values map<string,array<string>>")
+    templates = [("f", 1.0, "{a} and {b}"), ("g", 1.0, "{c} gone"), ("h", 1.0, "fixed")]
+    assert documents.expand_templates(targets, templates).groupBy("query_family").count().collect().__len__() == 2
+    assert documents.expand_templates(targets, templates).count() == 11
+    assert documents.expand_templates(targets, templates, 3, 4).count() == 5
