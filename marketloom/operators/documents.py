@@ -170,7 +170,7 @@ def passage_score(paragraph: Column, index: Column, entities: Column, keywords:
         + points(F.exists(entities, lambda t: (t != "") & F.contains(paragraph, t)), 8.0)
         + points(any_contains(paragraph, keywords), 4.0)
         + points(paragraph.rlike(fixed.PASSAGE_AMOUNT_PATTERN), 6.0)
-        + points(paragraph.rlike(f"{fixed.PASSAGE_DATE_START}(?:{fixed.PASSAGE_DATE_PATTERN})"), 3.0)
+        + points(paragraph.rlike(fixed.PASSAGE_DATE_TEST), 3.0)
         + points(any_contains(paragraph, fixed.SUMMARY_WORDS), 2.0)
     )
 
@@ -273,13 +273,17 @@ def _next_chunk(acc: Column, size: Column, limit: int) -> Column:
 
 
 def expand_templates(
-    targets: DataFrame, templates: Sequence[tuple[str, float, str]], each: int | None = None, most: int | None = None
+    targets: DataFrame,
+    templates: Sequence[tuple[str, float, str]],
+    each: int | None = fixed.QUERY_VALUES_PER_PLACEHOLDER,
+    most: int | None = fixed.QUERY_RESULTS_PER_TEMPLATE,
 ) -> DataFrame:
     """Queries from (family, base priority, text with ``{placeholder}`` marks) and each target's values.
 
     ``targets`` has target_id and ``values``, a map of placeholder to terms. The templates are a
     fixed configuration list, so targets meet them by exploding one literal array. A template takes
-    all values of a mark, or the first ``each``, and yields all queries, or the first ``most``; a mark without values drops it.
+    the first ``each`` values per mark and yields the first ``most`` queries, all if these are None; a mark without values
+    drops it.
     """
     listed = F.array(
         *[

@@ -4,6 +4,7 @@ import datetime
 
 from pyspark.sql import functions as F
 
+from marketloom import fixed
 from marketloom.functions import urls
 from marketloom.operators import demands, documents, readers, research
 from marketloom.sources import tables
@@ -104,9 +105,15 @@ def test_chunks_are_cut_only_when_asked(spark):
     assert [c.chunk for c in rows.select(documents.chunk_passages(F.col("p"), 6, 2)).first()[0]] == [1, 2]
 
 
-def test_templates_take_all_values_unless_limited(spark):
+def test_templates_take_all_values_without_limits(spark):
     targets = spark.createDataFrame([(1, {"a": [f"x{i}" for i in range(5)], "b": ["y1", "y2"]})], "target_id int, values map<string,array<string>>")
     templates = [("f", 1.0, "{a} and {b}"), ("g", 1.0, "{c} gone"), ("h", 1.0, "fixed")]
-    assert documents.expand_templates(targets, templates).groupBy("query_family").count().collect().__len__() == 2
-    assert documents.expand_templates(targets, templates).count() == 11
+    assert documents.expand_templates(targets, templates, None, None).count() == 11
+    assert documents.expand_templates(targets, templates).count() == 7
     assert documents.expand_templates(targets, templates, 3, 4).count() == 5
+
+
+def test_quick_date_test_finds_what_the_pattern_finds(spark):
+    texts = ["2024-1", "2024年3", "12024/1x", "202-1", "2024-", "2023Q4", "3023Q4", "2023Q5", "近3天", "近天", "12天", "上半年", "下半年", "半年", "5天上半年", "", "１２３４-5"]
+    frame = spark.createDataFrame([(t,) for t in texts], "t string").select(F.col("t").rlike(fixed.PASSAGE_DATE_PATTERN).alias("a"), F.col("t").rlike(fixed.PASSAGE_DATE_TEST).alias("b"))
+    assert all(r.a == r.b for r in frame.collect())
