@@ -292,3 +292,19 @@ def test_term_scores_of_long_documents_and_many_times():
     m = [50 + 50 * int(x) * (1 << 34) // (1 << 41) for x in n]
     wanted = [w * ((10**9 * int(t)) // (1000 * int(t) + 20 * x)) for w, t, x in zip([11, 11, 7], times, [m[0], m[1], m[1]], strict=True)]
     assert found.tolist() == wanted
+
+
+def test_all_basic_and_extended_latin_encodes_as_the_tokenizer(monkeypatch):
+    from marketloom.llm import packing
+
+    rng = np.random.default_rng(9)
+    latin = [chr(c) for c in range(0x250)]
+    texts = ["ƏLI BAKI", "".join(latin), " ".join(latin), "it's we'll they're 'save \"'s 's't ''s don'tt I'MX y'vex 1's2 3've", "'", "s'", "'l", "x'r e", "İstanbul Ⱥ Ɓa"]
+    texts += ["".join(rng.choice(latin + list("'''  stmdrevlX0.") * 20, n)) for n in rng.integers(0, 80, 3000)]
+    texts += ["".join(rng.choice(latin + list("ЖяЩ中文é́ſK　Σς\U0001f600") * 20, n)) for n in rng.integers(0, 60, 800)]
+    encoder = packing.PieceEncoder(packing.VOCABULARY)
+    wanted = [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [ids.tolist() for ids in encoder.encode(texts)] == wanted
+    monkeypatch.setattr(packing, "SLAB_CHARS", 31)
+    monkeypatch.setattr(packing, "CACHED_PIECES", 500)
+    assert [ids.tolist() for ids in encoder.encode(texts)] == wanted
