@@ -19,8 +19,8 @@ from marketloom.streaming import jobs
 def _stream(v):
     """The events file as a stream of ticks in event time."""
     schema = v.table("events").schema
-    # a path pattern that holds for a single file and for a folder of part files
-    e = jobs.read_files(v.spark, f"{v.folder}/events.parquet*", "*", schema)
+    # a pattern of one name, which may be a file or a folder of part files
+    e = jobs.read_files(v.spark, f"{v.folder}/events.parque[t]", "*", schema)
     value = F.col("value")
     return e.select(
         "event_id", F.col("ts").cast("timestamp").alias("ts"), F.to_date("ts").alias("trade_date"), "user_id", "event_type",

@@ -156,3 +156,15 @@ def test_trees_merge_at_every_depth(spark):
     found = {r.i: r.m for r in spark.createDataFrame(rows, "i int, b string, o string").select("i", text.merge_trees(F.col("b"), F.col("o")).alias("m")).collect()}
     assert [json.loads(found[i]) for i in range(len(cases))] == [w for _, _, w in cases]
     assert (found[10], found[11], found[12]) == ('{"a":1}', '{"a":1}', None)
+
+
+def test_streams_read_a_table_that_is_a_file_or_a_folder(spark, tmp_path):
+    from marketloom.plans import REGISTRY, Views
+
+    small = "/root/testdata/sf0.001"
+    events = spark.read.parquet(f"{small}/events.parquet")
+    events.repartition(3).write.parquet(str(tmp_path / "events.parquet"))
+    events.withColumn("user_id", F.col("user_id") + 10**6).write.parquet(str(tmp_path / "events.parquet.old"))
+    read = REGISTRY["stream_latest_snapshots"].build
+    wanted = {r.user_id: r.event_id for r in read(Views(spark, small)).collect()}
+    assert {r.user_id: r.event_id for r in read(Views(spark, str(tmp_path))).collect()} == wanted
