@@ -52,3 +52,24 @@ def test_pipeline_stages_keep_columns_and_drop_copies(spark, tmp_path):
     assert len(left) == count and {r["doc_id"] for r in out.select("doc_id").collect()} == left
 
 
+
+
+def test_pipeline_stages_take_odd_rows_and_empty_tables(spark):
+    from marketloom.llm import common
+
+    from .test_operators import ODD, odd_rows
+
+    common.prepare(spark)
+    spark.conf.set("spark.sql.caseSensitive", "true")
+    odd = spark.createDataFrame(odd_rows(), ODD).coalesce(2)
+    spark.conf.unset("spark.sql.caseSensitive")
+    empty = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    for name, stage in corpus_pipeline.STAGES:
+        found, none = stage(spark, odd, FOLDER), stage(spark, empty, FOLDER)
+        rows = found.collect()
+        assert none.count() == 0, name
+        if name != corpus_pipeline.STAGES[-1][0]:
+            assert found.columns == odd.columns and none.columns == empty.columns, name
+            assert len(rows) <= len(odd_rows()), name
+        else:
+            assert {r["doc_id"] for r in rows} == {r[0] for r in odd_rows()}
