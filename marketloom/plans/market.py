@@ -358,7 +358,7 @@ snap as (select lpad(cast(coalesce(c.user_id, h.user_id) as varchar), 5, '0') ||
 """
 
 
-def _hk(v):
+def _hk(v, listed=True):
     e = v.events().withColumn("ticker", F.concat(F.lpad(F.col("user_id").cast("string"), 5, "0"), F.lit(".HK")))
     components = e.where("event_type = 'signup' and trade_date <= date'2024-01-05'").groupBy("ticker").agg(
         F.max_by("value", "event_id").alias("last_price"),
@@ -376,7 +376,19 @@ def _hk(v):
         ["ticker", "holding_date"],
         ["event_id"],
     ).drop("event_id")
-    return research.hk_snapshots(components, holdings, "2024-01-20")
+    return research.hk_snapshots(components if listed else None, holdings, "2024-01-20")
+
+
+@query(
+    "J12",
+    "v_events",
+    _HK_SQL
+    + """select lpad(cast(user_id as varchar), 5, '0') || '.HK' as ticker, true as hk_connect_eligible, close_price as last_price_hkd, cast(null as double) as turnover_hkd,
+      cast(shares as double) as southbound_holding_shares, pct as southbound_holding_pct from hold""",
+)
+def hk_snapshots_without_components(v):
+    """Snapshots from holding rows alone, as when the component list cannot be had."""
+    return _hk(v, listed=False)
 
 
 @query("J12 W16 S12", "v_events", _HK_SQL + "select * from snap")
