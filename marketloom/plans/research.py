@@ -395,10 +395,8 @@ def constituents_during_demands(v):
 )
 def constituents_at_start(v):
     """How many constituents are valid on the day on which each demand begins."""
-    starts = _indexed_demands(v).withColumn("active_to", F.col("active_from"))
-    met = intervals.overlap_join(starts, _constituents(v), ["index_code"], ("active_from", "active_to"), ("effective_date", "end_date"))
-    counts = met.groupBy("demand_id").agg(F.count("*").alias("constituents"))
-    return starts.select("demand_id").join(counts, "demand_id", "left").fillna(0, ["constituents"])
+    counted = intervals.counted_on(_indexed_demands(v), _constituents(v), ["index_code"], "active_from", ("effective_date", "end_date"), "constituents")
+    return counted.groupBy("demand_id").agg(F.sum("constituents").alias("constituents"))
 
 
 _DERIVED = """with own as (select owner_id, demand_id, unnest([owner_id, demand_id % 100]) as target_id, case when demand_id % 3 = 0 then demand_id + 1 end as src from v_demands)
