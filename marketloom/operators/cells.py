@@ -66,20 +66,24 @@ def cells(records: DataFrame, canonical: str) -> DataFrame:
     of the smallest id; all records of other providers are held against it, however many there are. A cell is
     checked when both sides have a value; estimated amounts are never checked. ``severity`` is null where they agree.
     """
-    keyed = records.withColumn("comparison_key", comparison_key(F.col("record_type"), F.col("data")))
-    side = F.struct("record_id", "source_api", "data")
+    compared = F.create_map(*[F.lit(x) for kind, names in fixed.COMPARED_FIELDS.items() for x in (kind, list(names))])
+    # of a record only the values of its type's compared fields go on, in the order of the rules
+    values = F.transform(F.element_at(compared, F.col("record_type")), lambda name: F.element_at("data", name))
+    keyed = records.withColumns({"comparison_key": comparison_key(F.col("record_type"), F.col("data")), "_values": values})
+    side = F.struct("record_id", "source_api", F.col("_values").alias("data"))
     own = keyed.where(F.col("provider") == canonical).groupBy("record_type", "comparison_key").agg(F.min_by(side, "record_id").alias("_own"))
     others = keyed.where(F.col("provider") != canonical).select(
         "record_type", "comparison_key", F.col("provider").alias("other_provider"), F.col("record_id").alias("other_record_id"),
-        F.col("source_api").alias("_api"), F.col("data").alias("_data"),
+        F.col("source_api").alias("_api"), F.col("_values").alias("_data"),
     )
-    met = others.join(own, ["record_type", "comparison_key"]).join(dims.comparison_rules(records.sparkSession), "record_type")
+    # the canonical records grow with the input; their estimated size is that of the file they are made of, so they are not broadcast by it
+    met = others.join(own.hint("merge"), ["record_type", "comparison_key"]).join(dims.comparison_rules(records.sparkSession), "record_type")
     ours, theirs = F.col("canonical_value"), F.col("other_value")
     estimated = F.contains(F.concat_ws("|", "_api", "_own.source_api"), F.lit(fixed.ESTIMATED_AMOUNT_API))
     rows = met.select(
         "record_type", "comparison_key", F.col("_own.record_id").alias("canonical_record_id"), "other_provider", "other_record_id",
-        "field_name", F.element_at("_own.data", F.col("field_name")).alias("canonical_value"),
-        F.element_at("_data", F.col("field_name")).alias("other_value"), "kind", "absolute", "relative", "level", "critical_gap",
+        "field_name", F.element_at("_own.data", F.col("place")).alias("canonical_value"),
+        F.element_at("_data", F.col("place")).alias("other_value"), "kind", "absolute", "relative", "level", "critical_gap",
         (F.col("field_name").isin("amount", "vwap") & estimated).alias("_estimated"),
     )
     rows = rows.withColumn("checked", present(ours) & present(theirs) & ~F.col("_estimated"))

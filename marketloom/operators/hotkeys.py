@@ -19,6 +19,14 @@ def latest_by_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> D
     return _extreme_by_key(df, keys, order, F.max)
 
 
+def dealt(df: DataFrame, key: str, rows: int) -> DataFrame:
+    """The same rows, dealt by their key to tasks of about ``rows`` rows each.
+
+    For rows that many others are made of in the task that reads them: files split by bytes, and a small file is one task.
+    """
+    return df.repartition(max(-(-df.count() // rows), 1), key)
+
+
 def first_by_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Row with the smallest ``order`` per key; the other columns break ties."""
     return _extreme_by_key(df, keys, order, F.min)

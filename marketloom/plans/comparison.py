@@ -27,7 +27,7 @@ def records(v):
         ("akshare", 2): F.lit(0.25), ("baostock", 1): F.get(deltas, (F.floor(key / 6) % 6).cast("int")),
     }
     sources = F.array(*[F.struct(F.lit(p).alias("provider"), F.lit(g).alias("gap"), F.lit(c).alias("copy"), by_source[p, c].alias("delta")) for p, g, c in SOURCES])
-    rows = v.table("part").withColumn("_s", F.explode(sources)).select("*", "_s.*").where((key % F.col("gap") != 0) & ((F.col("copy") == 1) | (key % 29 == 0)))
+    rows = v.parts().withColumn("_s", F.explode(sources)).select("*", "_s.*").where((key % F.col("gap") != 0) & ((F.col("copy") == 1) | (key % 29 == 0)))
     provider, delta = F.col("provider"), F.col("delta")
     fields = [F.array(*[F.struct(F.lit(f).alias("name"), F.lit(KINDS.get(f, "generic")).alias("kind")) for f in names]) for names in fixed.COMPARED_FIELDS.values()]
     listed = F.get(F.array(*fields), (key % len(TYPES)).cast("int"))

@@ -400,7 +400,7 @@ TEMPLATES = [
 
 
 def _planned(v):
-    p, key = v.table("part"), F.col("p_partkey")
+    p, key = v.parts(), F.col("p_partkey")
     none = F.array().cast("array<string>")
     targets = p.select(
         key.alias("target_id"),

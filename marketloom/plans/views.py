@@ -12,10 +12,12 @@ from pyspark.sql import functions as F
 from marketloom import fixed
 from marketloom.functions import market, times, urls
 from marketloom.operators import bars as bar_ops
-from marketloom.operators.hotkeys import latest_by_key
+from marketloom.operators.hotkeys import dealt, latest_by_key
 from marketloom.session import pin
 
 BUCKET_MINUTES = 240
+# Parts of one task; the records or queries made of a part are a hundred times its size.
+PART_ROWS = 1 << 14
 TURNS_PER_BUNDLE = 16
 DELTAS = [0.0, 0.00005, 0.002, 0.05, 0.3, None]
 # Terms that stand in for a target's entities and keywords in the invented prose of the documents.
@@ -45,6 +47,10 @@ class Views:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def parts(self) -> DataFrame:
+        """Parts in tasks that are cut by rows, for views that make many rows of each."""
+        return dealt(self.table("part"), "p_partkey", PART_ROWS)
+
     def events(self) -> DataFrame:
         """Collected events: ticker, provider, variable, confidence and source per event."""
         kinds = {"signup": "official", "error": "media", "click": "exchange", "view": "social", "purchase": "company"}
@@ -124,7 +130,7 @@ class Views:
 
     def quotes(self) -> DataFrame:
         """Records of three providers on every part, with deviations that reach every rule branch."""
-        p = self.table("part")
+        p = self.parts()
         key = F.col("p_partkey")
         deltas = F.array(*[F.lit(d).cast("double") for d in DELTAS])
         sources = F.array(

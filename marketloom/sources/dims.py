@@ -21,11 +21,11 @@ def tolerances(spark: SparkSession) -> DataFrame:
 
 
 def comparison_rules(spark: SparkSession) -> DataFrame:
-    """Compared fields of every record type: kind, tolerances, the level of a difference and the gap from which it is critical."""
+    """Compared fields of every record type: kind, tolerances, the level of a difference, the gap from which it is critical and the place among them."""
     kinds = {name: kind for kind, names in fixed.FIELDS_BY_CATEGORY.items() for name in names}
     rows = []
     for record_type, names in fixed.COMPARED_FIELDS.items():
-        for name in names:
+        for place, name in enumerate(names, 1):
             kind, critical = kinds.get(name, "generic"), name in fixed.CRITICAL_FIELDS
             limits = fixed.TOLERANCES.get(kind, {})
             if kind == "status":
@@ -35,8 +35,8 @@ def comparison_rules(spark: SparkSession) -> DataFrame:
             else:
                 level = "high" if critical else "medium"
             gap = fixed.CLOSE_OR_FACTOR_CRITICAL_RELATIVE if name in ("close", "adj_factor") else fixed.AMOUNT_CRITICAL_RELATIVE if kind == "amount" else None
-            rows.append((record_type, name, kind, limits.get("absolute"), limits.get("relative"), level, gap))
-    schema = "record_type string, field_name string, kind string, absolute double, relative double, level string, critical_gap double"
+            rows.append((record_type, name, kind, limits.get("absolute"), limits.get("relative"), level, gap, place))
+    schema = "record_type string, field_name string, kind string, absolute double, relative double, level string, critical_gap double, place int"
     return F.broadcast(spark.createDataFrame(rows, schema))
 
 

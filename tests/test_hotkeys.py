@@ -5,8 +5,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from marketloom.operators import demands, documents
+from marketloom.operators import demands, documents, hotkeys
 from marketloom.operators.hotkeys import asof_join, latest_by_key, mark_first, running_total, salted_join, weighted_median
+from marketloom.plans import comparison, views
 
 KEYS = ["hot"] * 6 + ["a", "b", "c"]
 
@@ -122,3 +123,19 @@ def test_results_do_not_depend_on_partitioning(frame):
         return sorted(map(tuple, running_total(df, ["k"], ["n"], F.col("v"), F.floor(F.col("n") / 64), "t").select("n", "t").collect()))
 
     assert run(frame) == run(frame.repartition(3)) == run(frame.orderBy(F.desc("n")).coalesce(1))
+
+
+def test_dealt_rows_are_cut_by_number_and_kept(spark):
+    rows = spark.range(0, 1000, 1, 1).withColumn("v", F.col("id") * 2)
+    dealt = hotkeys.dealt(rows, "id", 100)
+    assert dealt.rdd.getNumPartitions() == 10 and hotkeys.dealt(rows.limit(0), "id", 100).count() == 0
+    assert sorted(map(tuple, dealt.collect())) == [(i, 2 * i) for i in range(1000)]
+
+
+def test_views_that_multiply_parts_make_them_in_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(views, "PART_ROWS", 50)
+    v = views.Views(spark, "/root/testdata/sf0.001")
+    wanted = -(-v.table("part").count() // 50)
+    assert wanted > 1
+    for made in (v.quotes(), comparison.records(v)):
+        assert made.rdd.getNumPartitions() == wanted

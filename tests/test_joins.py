@@ -193,3 +193,14 @@ def test_keys_of_all_record_types(spark):
         "trade_calendar": "exchange|calendar_date", "bar": "normalized_ticker|frequency|trade_date|adjust",
         "concept_membership": "normalized_ticker|concept_name|provider", "other": "index_code|None",
     }
+
+
+def test_canonical_records_are_joined_without_a_broadcast(spark, tmp_path):
+    """Their estimated size is that of the file they are made of, a hundredth of what they are."""
+    ticker = {"normalized_ticker": "600519.SH"}
+    rows = [("security_master", "tushare", "a", "", {**ticker, "name": "x"}), ("security_master", "akshare", "b", "", {**ticker, "name": "y"})]
+    spark.createDataFrame(rows, RECORDS).write.parquet(f"{tmp_path}/records")
+    found = cells.cells(spark.read.parquet(f"{tmp_path}/records"), "tushare")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BroadcastExchange") == 1 and plan.count("SortMergeJoin") == 1  # the rules are sent to all tasks
+    assert {(r["field_name"], r["canonical_value"], r["other_value"]) for r in found.where("severity is not null").collect()} == {("name", "x", "y")}
