@@ -159,20 +159,35 @@ def stream_liveness(v):
 
 
 _PARTS = 5
+# Rows of one delivered file, which one task writes.
+FILE_ROWS = 1 << 20
 
 
 def _delivered(v, folder):
-    """Events in files that arrive one after the other: mostly in order of time, every ninth event three files later."""
+    """Events delivered in parts one after the other: mostly in order of time, every ninth event three parts later.
+
+    Returns the schema and the number of files of a part. Every part has as many, some empty if it is small, so that
+    a batch of that many files is one part.
+    """
     e = v.events()
     span = e.agg(F.unix_seconds(F.min(F.col("ts").cast("timestamp"))).alias("a"), F.unix_seconds(F.max(F.col("ts").cast("timestamp"))).alias("z")).first()
     place = F.floor((F.unix_seconds(F.col("ts").cast("timestamp")) - span["a"]) * _PARTS / (span["z"] - span["a"] + 1)).cast("int")
     part = F.when(F.col("event_id") % 9 == 0, F.least(place + 3, F.lit(_PARTS - 1))).otherwise(place)
     rows = e.select("event_id", F.col("ts").cast("timestamp").alias("ts"), "ticker", F.col("value").alias("price"), F.col("value").cast("decimal(18,2)").alias("amount"), part.alias("part"))
     rows = rows.persist()
+    most = rows.groupBy("part").count().agg(F.max("count")).first()[0] or 0
+    files = max(-(-most // FILE_ROWS), 1)
+    slot = F.pmod(F.xxhash64("event_id"), F.lit(files)).cast("int")
+    used = {(r["part"], r["slot"]) for r in rows.groupBy("part", slot.alias("slot")).count().collect()}
+    nothing = rows.drop("part").limit(0).coalesce(1)
     for number in range(_PARTS):
-        rows.where(F.col("part") == number).drop("part").coalesce(1).write.mode("append").parquet(folder)
+        rows.where(F.col("part") == number).drop("part").repartitionById(files, slot).write.mode("append").parquet(folder)
+        # of the empty tasks of a write only the first leaves a file
+        for empty in range(1, files):
+            if (number, empty) not in used:
+                nothing.write.mode("append").parquet(folder)
     rows.unpersist()
-    return rows.drop("part").schema
+    return rows.drop("part").schema, files
 
 
 @query(
@@ -188,8 +203,8 @@ def _delivered(v, folder):
 def stream_late_rows(v):
     """Rows of every hour: in a bar, dropped as late, or in a window still open. They add up to all rows."""
     work = f"{scratch_root(v.spark)}/late-{uuid.uuid4().hex}"
-    schema = _delivered(v, f"{work}/in")
-    stream = jobs.read_files(v.spark, f"{work}/in", "*.parquet", schema, maxFilesPerTrigger="1")
+    schema, files = _delivered(v, f"{work}/in")
+    stream = jobs.read_files(v.spark, f"{work}/in", "*.parquet", schema, maxFilesPerTrigger=str(files))
     bars_ = jobs.tumbling_bars(stream, "ts", "60 minutes", "event_id")
     jobs.run_available(bars_, f"{work}/bars", f"{work}/bars-checkpoint")
     jobs.run_batches(stream, jobs.late_sink(v.spark, f"{work}/side", "ts", "60 minutes"), f"{work}/side-checkpoint")

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from marketloom.operators import demands
+from marketloom.plans import streams, views
 from marketloom.sources import dims, raw_store, series, tables
 from marketloom.streaming import jobs
 
@@ -180,3 +181,21 @@ def test_streams_read_a_table_of_many_files_as_one_of_one_file(spark, tmp_path):
     for name in ("stream_deduped_quotes", "stream_idempotent_sink"):
         one, many = (REGISTRY[name].build(Views(spark, f)) for f in (source, str(tmp_path)))
         assert one.count() and many.count() == one.count()
+
+
+def test_parts_of_a_delivery_have_equally_many_files_and_the_same_late_rows(spark, tmp_path, monkeypatch):
+    """Small parts, one of them without rows in some files, arrive as whole batches, whatever the number of files."""
+    events = spark.sql("""select id as event_id, timestamp '2024-01-01' + make_interval(0, 0, 0, 0, cast(if(id < 90, id, id * 3) as int)) as ts,
+        id % 7 as user_id, 'view' as event_type, cast(id as double) as value, '{"k": 1}' as props from range(400)""")
+    events.write.parquet(f"{tmp_path}/events.parquet")
+    v = views.Views(spark, str(tmp_path))
+
+    def late():
+        return sorted(map(tuple, streams.stream_late_rows(v).collect()))
+
+    wanted = late()
+    monkeypatch.setattr(streams, "FILE_ROWS", 37)
+    _, files = streams._delivered(v, f"{tmp_path}/in")
+    assert files > 1 and len(list((tmp_path / "in").glob("*.parquet"))) == files * streams._PARTS
+    assert max(spark.read.parquet(str(p)).count() for p in (tmp_path / "in").glob("*.parquet")) < 2 * 37
+    assert late() == wanted and sum(r[2] for r in wanted) > 0
