@@ -4,6 +4,9 @@ import subprocess
 import sys
 from pathlib import Path
 
+import pandas as pd
+from pyspark.sql import functions as F
+
 from marketloom import session
 
 ROOT = Path(__file__).resolve().parents[1]
@@ -30,3 +33,16 @@ def test_scratch_root_follows_the_session(spark):
         assert session.scratch_root(spark) == spark.conf.get("spark.checkpoint.dir")
     else:
         assert session.scratch_root(spark) == before.rstrip("/")
+
+
+def test_python_workers_get_small_batches_of_texts(spark):
+    @F.pandas_udf("struct<rows: int, chars: int>")
+    def size(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame({"rows": [len(texts)] * len(texts), "chars": [int(texts.str.len().sum())] * len(texts)})
+
+    def largest(rows, width):
+        texts = session.pin(spark).range(0, rows, 1, 1).select(F.repeat(F.lit("a"), width + F.col("id").cast("int") % 2).alias("t"))
+        return texts.select(size("t").alias("s")).agg(F.max("s.rows"), F.max("s.chars")).first()
+
+    assert largest(5000, 10)[0] <= 1000
+    assert largest(900, 100_000)[1] <= (16 << 20) + 100_001
