@@ -37,6 +37,8 @@ _CELL_SHIFT = W.U64(64 - CELL_BITS)
 _PARITY_BITS = (64, 1 << 14)
 STRIP_ROWS, STRIP_SHINGLES = 2048, 2_000_000
 _COLUMN_BLOCK = 4096
+#: Rows and columns of the product that are formed at once.
+_TILE_ROWS = 512
 _BLOOM_BITS = 27
 
 
@@ -308,34 +310,67 @@ def _setter(width, ends_word, bloom):
 
 
 def overlaps(sets: list[np.ndarray], rows: np.ndarray, columns: np.ndarray, t: Fraction) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (row, column) of set numbers that reach the threshold, by a product over column blocks."""
-    num, den = t.numerator, t.denominator
+    """Places in ``rows`` and ``columns`` of the pairs of sets that reach the threshold, by a product over column blocks.
+
+    The product is made tile by tile, so memory beside the sets is that of one tile. Tiles hold sets of similar
+    sizes, so many need no product.
+    """
     sizes = np.array([len(s) for s in sets])
-    small, large = np.minimum.outer(sizes[rows], sizes[columns]), np.maximum.outer(sizes[rows], sizes[columns])
-    alive = small * den >= num * large
-    need = -(-num * (small + large) // (num + den))
-    owner = np.repeat(np.arange(len(sets)), sizes)
+    owner = np.repeat(np.arange(len(sets), dtype=np.int32), sizes)
     _, column = np.unique(np.concatenate(sets), return_inverse=True)
+    column = column.astype(np.int32)
     count = np.bincount(column)
-    rank = np.cumsum(count[np.argsort(count, kind="stable")] > 1) - 1  # shared columns, rare ones first
-    place = np.empty(len(count), np.int64)
-    place[np.argsort(count, kind="stable")] = rank
+    by_count = np.argsort(count, kind="stable")
+    place = np.empty(len(count), np.int32)
+    place[by_count] = np.cumsum(count[by_count] > 1) - 1  # shared columns, rare ones first
     shared = count[column] > 1
     owner, column = owner[shared], place[column[shared]]
     by_column = np.argsort(column, kind="stable")
     owner, column = owner[by_column], column[by_column]
-    left = np.bincount(owner, minlength=len(sets))
+
+    def tiles(members):
+        by_size = np.argsort(sizes[members], kind="stable")
+        for start in range(0, len(members), _TILE_ROWS):
+            own = by_size[start : start + _TILE_ROWS]
+            local = np.full(len(sets), -1, np.int32)
+            local[members[own]] = np.arange(len(own))
+            inside = local[owner] >= 0
+            yield own, sizes[members[own]], local[owner[inside]], column[inside]
+
+    lefts, rights = list(tiles(rows)), list(tiles(columns))
+    found_r, found_c = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for left in lefts:
+        for right in rights:
+            r, c = _tile_overlaps(left[1:], right[1:], t)
+            found_r.append(left[0][r])
+            found_c.append(right[0][c])
+    found_r, found_c = np.concatenate(found_r), np.concatenate(found_c)
+    order = np.lexsort((found_c, found_r))
+    return found_r[order], found_c[order]
+
+
+def _tile_overlaps(left, right, t: Fraction) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the pairs that reach the threshold; either side has sizes and, ordered by column, the owners and columns of its shingles."""
+    num, den = t.numerator, t.denominator
+    small, large = np.minimum.outer(left[0], right[0]), np.maximum.outer(left[0], right[0])
+    alive = small * den >= num * large
+    need = -(-num * (small + large) // (num + den))
+    remain = [np.bincount(owner, minlength=len(sizes)) for sizes, owner, _ in (left, right)]
     found = np.zeros(alive.shape, np.float32)
-    for start in range(0, int(column[-1]) + 1 if len(column) else 0, _COLUMN_BLOCK):
-        alive &= found + np.minimum.outer(left[rows], left[columns]) >= need
-        r, c = np.flatnonzero(alive.any(1)), np.flatnonzero(alive.any(0))
-        if not len(r):
+    end = max((int(column[-1]) + 1 for _, _, column in (left, right) if len(column)), default=0)
+    for start in range(0, end, _COLUMN_BLOCK):
+        alive &= found + np.minimum.outer(*remain) >= need
+        picked = np.flatnonzero(alive.any(1)), np.flatnonzero(alive.any(0))
+        if not len(picked[0]):
             break
-        low, high = np.searchsorted(column, [start, start + _COLUMN_BLOCK])
-        block = np.zeros((len(sets), _COLUMN_BLOCK), np.float32)
-        block[owner[low:high], column[low:high] - start] = 1
-        left = left - np.bincount(owner[low:high], minlength=len(sets))
-        found[np.ix_(r, c)] += block[rows[r]] @ block[columns[c]].T
+        blocks = []
+        for side, (sizes, owner, column) in enumerate((left, right)):
+            low, high = np.searchsorted(column, [start, start + _COLUMN_BLOCK])
+            block = np.zeros((len(sizes), _COLUMN_BLOCK), np.float32)
+            block[owner[low:high], column[low:high] - start] = 1
+            remain[side] = remain[side] - np.bincount(owner[low:high], minlength=len(sizes))
+            blocks.append(block if len(picked[side]) == len(sizes) else block[picked[side]])
+        found[np.ix_(*picked)] += blocks[0] @ blocks[1].T
     alive &= found >= need
     return np.nonzero(alive)
 

@@ -4,6 +4,7 @@ import base64
 import collections
 import hashlib
 import re
+import tracemalloc
 import zlib
 from fractions import Fraction
 
@@ -103,6 +104,27 @@ def test_strips_of_a_large_block_find_all_links(spark, monkeypatch):
     assert collections.Counter(map(tuple, found)) == linked(rows, Fraction(4, 5), 3)
 
 
+def test_product_of_a_large_block_takes_the_memory_of_one_tile():
+    numbers = np.random.default_rng(5)
+    base = numbers.integers(0, 2**63, 60, dtype=np.uint64)
+    sets = []
+    for _ in range(1200):
+        own, other = base.copy(), numbers.random(60) < 0.25 * numbers.random()
+        own[other] = numbers.integers(0, 2**63, other.sum(), dtype=np.uint64)
+        sets.append(np.unique(own[: numbers.integers(40, 61)]))
+    for rows, columns in ((np.arange(1200), np.arange(1200)), (np.arange(0, 1200, 2), np.arange(1, 1200, 2)), (np.arange(3), np.arange(0))):
+        tracemalloc.start()
+        found = jaccard.overlaps(sets, rows, columns, Fraction(4, 5))
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert most < 50e6
+        both = np.array([[len(np.intersect1d(sets[r], sets[c], assume_unique=True)) for c in columns[:40]] for r in rows[-40:]]).reshape(len(rows[-40:]), -1)
+        total = np.add.outer([len(sets[r]) for r in rows[-40:]], [len(sets[c]) for c in columns[:40]])
+        linked_pairs = set(zip(*(x.tolist() for x in np.nonzero(5 * both >= 4 * (total - both))), strict=True)) if both.size else set()
+        first = len(rows) - len(rows[-40:])
+        assert {(r - first, c) for r, c in zip(*(x.tolist() for x in found), strict=True) if r >= first and c < 40} == linked_pairs
+
+
 def test_one_of_each_class_stays(spark, docs, empty):
     rows = jaccard.one_per_class(docs, Fraction(4, 5), 3)
     assert rows.columns == docs.columns
