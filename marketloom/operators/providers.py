@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from marketloom import fixed
 from marketloom.functions.numbers import clamp01, lookup, relative_diff
 from marketloom.functions.text import compare_form
-from marketloom.operators.hotkeys import explode_computed, first_by_key
+from marketloom.operators.hotkeys import dealt, explode_computed, first_by_key
 
 _CATEGORY = {name: kind for kind, names in fixed.FIELDS_BY_CATEGORY.items() for name in names}
 
@@ -55,17 +55,23 @@ def _filled(value: Column) -> Column:
 
 
 def meet(
-    records: DataFrame, canonical: str, fields: Sequence[str], whitelist: Sequence[str] = (), tolerances: dict | None = None
-) -> DataFrame:
+    records: DataFrame, canonical: str, fields: Sequence[str], whitelist: Sequence[str] = (), tolerances: dict | None = None,
+    rows_per_task: int | None = None,
+) -> DataFrame:
     """One row per comparison key on which all providers of a record meet.
 
     Rows are first reduced to one per key and provider, so the array gathered per key is as long as
     there are providers. The base is the canonical provider's row, or the first provider by name
     where that is missing. Empty whitelisted base fields are filled from the first supplement that has
     them. ``checks`` holds one entry per supplement and field both sides filled.
+
+    With ``rows_per_task`` the records are counted and dealt to tasks of about that many, in which all of a key is
+    gathered; else it is gathered in the session's number of shuffle partitions, whose sorts grow with the table.
     """
     free_text = [f for f in fields if category(f) == "generic"]
     prepared = records.withColumns({f"_form_{f}": compare_form(F.col(f).cast("string")) for f in free_text})
+    if rows_per_task:  # after the forms, as Spark forgets how rows are dealt when they pass through Python
+        prepared = dealt(prepared, "comparison_key", rows_per_task)
     once = first_by_key(prepared, ["comparison_key", "provider"], ["record_id"])
     cell = F.struct(*[F.col(c) for c in once.columns])
     by_provider = F.array_sort("_rows", lambda x, y: F.when(x["provider"] < y["provider"], -1).otherwise(1))

@@ -12,7 +12,7 @@ from marketloom.functions.numbers import lookup, round_half_up
 from marketloom.operators import normalize, providers
 from marketloom.operators.hotkeys import latest_by_key
 from marketloom.plans.registry import query, r
-from marketloom.plans import comparison
+from marketloom.plans import comparison, views
 from marketloom.plans.comparison import TYPES
 from marketloom.plans.views import cycle, cycle_sql
 from marketloom.session import scratch_root
@@ -58,7 +58,7 @@ checks as (
 
 
 def _met(v, whitelist=()):
-    return providers.meet(v.quotes(), "tushare", FIELDS, whitelist)
+    return providers.meet(v.quotes(), "tushare", FIELDS, whitelist, rows_per_task=3 * views.PART_ROWS)  # a part has up to three records
 
 
 # Comparing only against present canonical rows; the stand-in rows appear in the merge queries.

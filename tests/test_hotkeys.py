@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from marketloom.operators import demands, documents, hotkeys
 from marketloom.operators.hotkeys import asof_join, latest_by_key, mark_first, running_total, salted_join, weighted_median
 from marketloom.plans import comparison, views
+from marketloom.plans import providers as provider_plans
 
 KEYS = ["hot"] * 6 + ["a", "b", "c"]
 
@@ -139,3 +140,20 @@ def test_views_that_multiply_parts_make_them_in_many_tasks(spark, monkeypatch):
     assert wanted > 1
     for made in (v.quotes(), comparison.records(v)):
         assert made.rdd.getNumPartitions() == wanted
+
+
+def test_keys_on_which_providers_meet_are_gathered_in_as_many_tasks_as_their_rows_need(spark, monkeypatch):
+    monkeypatch.setattr(views, "PART_ROWS", 50)
+    v = views.Views(spark, "/root/testdata/sf0.001")
+    wanted = -(-v.quotes().count() // 150)
+    assert wanted > 1
+    plans = [provider_plans.provider_comparisons, provider_plans.provider_conflicts, provider_plans.merged_records, provider_plans.quality_scores]
+    for build in plans:
+        found = sorted(map(str, build(v).collect()))
+        spark.conf.set("spark.sql.shuffle.partitions", 1)
+        try:
+            alone = build(v)
+            assert alone.rdd.getNumPartitions() == wanted, build.__name__
+            assert sorted(map(str, alone.collect())) == found
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", 8)
