@@ -29,15 +29,22 @@ def infer_exchange(code: Column) -> Column:
 
 
 def normalize(raw: Column) -> Column:
-    """Canonical ``code.EXCHANGE``; null when the text is not a valid ticker."""
-    text = F.upper(F.translate(F.trim(raw.cast("string")), "_-", ".."))
+    """Canonical ``code.EXCHANGE``; null when the text is not a valid ticker.
+
+    Most texts are canonical already and pass after one match; the others are respelled step by step.
+    """
+    given = raw.cast("string")
+    text = F.upper(F.translate(F.trim(given), "_-", ".."))
     text = F.regexp_replace(text, r"^(SH|SZ|BJ|HK)\.?([0-9]+)$", "$2.$1")
     for exchange in (*A_SHARE_EXCHANGES, "HK"):
         aliases = [a for a, e in fixed.EXCHANGE_ALIASES.items() if e == exchange and a != exchange]
         text = F.regexp_replace(text, rf"^([0-9]+)\.(?:{'|'.join(aliases)})$", f"$1.{exchange}")
     for exchange in A_SHARE_EXCHANGES:
         text = F.regexp_replace(text, f"^({_owned(exchange)})$", f"$1.{exchange}")
-    return F.nullif(F.regexp_extract(text, f"^(?:{VALID})$", 0), F.lit(""))
+    # The only match of all, or null: to test a text for emptiness and return it would respell it twice.
+    respelled = F.get(F.regexp_extract_all(text, F.lit(f"^(?:{VALID})$"), F.lit(0)), F.lit(0))
+    # Not $, which also matches before a line break at the end.
+    return F.when(given.rlike(rf"^(?:{VALID})\z"), given).otherwise(respelled)
 
 
 def ticker_error(raw: Column) -> Column:

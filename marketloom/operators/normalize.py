@@ -274,8 +274,10 @@ def standardise(raw_rows: DataFrame, record_type: str) -> DataFrame:
     columns = {f.name: _read(f, F.col("provider")) for f in fields}
     if record_type not in WITHOUT_IDENTITY:
         members = ("normalized_ticker", "con_code", "stock_code", "ts_code")
+        named = raw_value(raw, *(members if record_type == "index_constituent" else TICKER_ALIASES))
+        raw_rows = raw_rows.withColumn("_named", named)
         texts |= {
-            "_ticker": tickers.normalize(raw_value(raw, *(members if record_type == "index_constituent" else TICKER_ALIASES))),
+            "_ticker": tickers.normalize(F.col("_named")),
             "_symbol": raw_value(raw, *SYMBOL_ALIASES),
             "_exchange": raw_value(raw, "exchange", "交易所"),
         }
@@ -291,7 +293,7 @@ def standardise(raw_rows: DataFrame, record_type: str) -> DataFrame:
             "asset_type": F.coalesce(raw_value(raw, "asset_type"), F.lit("stock")),
         }
         columns = {**identity, **columns}
-    rows = raw_rows.withColumns(texts).withColumns(columns).drop(*texts)
+    rows = raw_rows.withColumns(texts).withColumns(columns).drop("_named", *texts)
     return _derived(rows, record_type)
 
 

@@ -415,21 +415,26 @@ def _type_sql() -> str:
 )
 def canonical_record_types(v):
     """Every record type besides bars from one provider spelling, with totals per type."""
-    parts = None
+    # A type without records still has its row.
+    nothing = [F.lit(False).alias("kept"), F.lit(None).cast("decimal(18,2)").alias("value"), F.lit(None).cast("date").alias("day")]
+    parts = v.spark.range(1).select(F.explode(F.array(*map(F.lit, _SHOWN))).alias("record_type"), *nothing)
     for kind, (number, day) in _SHOWN.items():
         rows = normalize.standardise(_raw_of(v, kind), kind)
-        if kind not in normalize.WITHOUT_IDENTITY:
-            rows = rows.where("normalized_ticker is not null")
+        # Counted by condition: a filter is pushed below the projections and respells a ticker once per alias.
+        kept = F.lit(True) if kind in normalize.WITHOUT_IDENTITY else F.col("normalized_ticker").isNotNull()
         value = F.col(number).cast("int") if number == "is_open" else F.col(number).try_cast("double")
         when = F.to_date(F.col(day)) if day == "quote_time" else F.col(day)
         if day == "quote_time":  # local times before eight fall on the previous UTC day
             when = F.to_date(F.from_utc_timestamp(F.col(day), fixed.MARKET_TIMEZONE))
         if number in ("industry_name", "index_name"):
             value = F.lit(None).cast("double")
-        one = rows.select(F.lit(kind).alias("record_type"), value.cast("decimal(18,2)").alias("value"), when.cast("date").alias("day"))
-        parts = one if parts is None else parts.unionByName(one)
+        one = rows.select(
+            F.lit(kind).alias("record_type"), kept.alias("kept"), F.when(kept, value.cast("decimal(18,2)")).alias("value"),
+            F.when(kept, when.cast("date")).alias("day"),
+        )
+        parts = parts.unionByName(one)
     return parts.groupBy("record_type").agg(
-        F.count("*").alias("records"), F.sum("value").cast("double").alias("total"), F.count_distinct("day").alias("days")
+        F.count_if("kept").alias("records"), F.sum("value").cast("double").alias("total"), F.count_distinct("day").alias("days")
     )
 
 

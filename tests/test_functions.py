@@ -186,3 +186,14 @@ def test_request_key(one):
         F.lit("2026-01-01").cast("date"), none, none, F.lit("qfq"), empty, F.array(F.lit("b"), F.lit("a")),
     )
     assert one(key) == "m:trade_calendar:p:SSE,SZSE:20260101:none:none:qfq:none:a,b:v0.1"
+
+
+def test_canonical_tickers_are_told_without_respelling_them(spark):
+    from pyspark.sql import functions as F
+
+    raws = ["600000.SH", "600000.SH\n", "600000.SH\r\n", " 600000.sh ", "SH600000", "600000_XSHG", "600000-SSE", "600000", "430001.BJ", "00700.HK", "00700.HKEX",
+            "600000.SZ", "600000.SHX", "x600000.SH", "600000.SH\n600000.SH", "", None]
+    wanted = ["600000.SH", "600000.SH", "600000.SH", "600000.SH", "600000.SH", "600000.SH", "600000.SH", "600000.SH", "430001.BJ", "00700.HK", "00700.HK",
+              None, None, None, None, None, None]
+    rows = spark.createDataFrame(list(enumerate(raws)), "i int, t string").select("i", tickers.normalize(F.col("t")).alias("n"))
+    assert [r.n for r in rows.orderBy("i").collect()] == wanted

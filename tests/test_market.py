@@ -173,3 +173,14 @@ def test_lineage_is_complete(spark):
 def test_every_record_type_has_a_plan(spark, kind):
     raw = spark.sql("select 'tushare' as provider, 'x' as source_api, map('ts_code', '600519.SH') as raw, 'p' as raw_payload_id, 'r' as raw_payload_ref, 0L as raw_row_index")
     assert normalize.standardise(raw, kind).count() == 1
+
+
+def test_record_types_respell_no_ticker_in_a_filter_and_show_types_without_records(spark, tmp_path):
+    from marketloom.plans import Views, providers as plans
+
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    events.where("false").write.parquet(str(tmp_path / "events.parquet"))
+    empty = plans.canonical_record_types(Views(spark, str(tmp_path)))
+    # One cleaned raw row per type; a filter pushed below it would clean it again for every alias.
+    assert empty._jdf.queryExecution().optimizedPlan().toString().count("map_filter(") == len(plans._SHOWN)
+    assert sorted(map(tuple, empty.collect())) == sorted((kind, 0, None, 0) for kind in plans._SHOWN)
