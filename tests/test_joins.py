@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from marketloom.functions import text
-from marketloom.operators import cells, intervals, neighbours
+from marketloom.operators import cells, hotkeys, intervals, neighbours
 
 
 def signed(x):
@@ -118,6 +118,48 @@ def test_cut_intervals_are_never_broadcast(spark):
     assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
 
 
+def test_pairs_of_one_key_and_day_are_spread_over_tasks(spark):
+    """One group holds every pair, few bytes and many rows: its tasks must follow the pairs, whatever the bytes."""
+    one = "cast(id div 1000000 as int)"  # no constant, which the planner would know
+    a = spark.sql(f"select id as l, {one} as k, date_add(date '2024-01-05', {one}) as l_from, date_add(date '2024-01-09', {one}) as l_to from range(6000)")
+    b = spark.sql(f"select id as r, {one} as k, date_add(date '2024-01-03', cast(id % 5 as int)) as r_from, cast(null as date) as r_to from range(9000)")
+    found = intervals.overlap_join(a, b, ["k"], ("l_from", "l_to"), ("r_from", "r_to"))
+    tasks = found.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n"), F.sum(F.col("l") * F.col("r")).alias("sum")).collect()
+    assert sum(t["n"] for t in tasks) == 6000 * 9000 and sum(t["sum"] for t in tasks) == sum(range(6000)) * sum(range(9000))
+    assert max(t["n"] for t in tasks) <= 6000 * 9000 // 3
+
+
+@pytest.mark.parametrize("cut_rows", [1, 3])
+def test_cut_keys_meet_like_plain_ones(spark, monkeypatch, cut_rows):
+    monkeypatch.setattr(hotkeys, "CUT_ROWS", cut_rows)
+    monkeypatch.setattr(hotkeys, "TASK_PAIRS", 20)
+    a = spark.createDataFrame([(i, "hot" if i < 20 else f"k{i % 4}" if i % 5 else None, {i: i}) for i in range(40)], "l int, k string, m map<int,int>")
+    b = spark.createDataFrame([(i, "hot" if i < 15 else f"k{i % 5}" if i % 6 else None) for i in range(60)], "r int, k string")
+    x, y, on = hotkeys.dealt_by_pairs(a, b, ["k"])
+    assert len(on) == 3 and x.count() > 40  # some keys are cut and their rows copied
+    rows = [(r["l"], r["r"]) for r in x.join(y, on).collect()]
+    wanted = [(r["l"], r["r"]) for r in a.join(b, "k").collect()]
+    assert sorted(rows) == sorted(wanted) and len(wanted) > 300
+    none, _, on = hotkeys.dealt_by_pairs(a.limit(0), b, ["k"])
+    assert on == ["k"] and none.count() == 0
+
+
+def test_overlap_days_as_text_are_those_of_the_dates(spark):
+    """Days are spelled once per interval; nulls and the end of the calendar included."""
+    a = spark.sql("""select * from values (1, 'a', date '2023-01-05', date '2023-03-01'), (2, 'a', null, null), (3, 'a', date '2023-02-01', null),
+      (4, 'a', null, date '2023-02-10'), (5, 'a', date '2023-02-20', date '9999-12-31'), (6, 'a', date '0999-02-20', date '0999-03-20') as t(l, k, l_from, l_to)""")
+    b = spark.sql("""select * from values (1, 'a', date '2023-01-05', date '2023-01-05'), (2, 'a', null, date '2023-02-01'), (3, 'a', date '2023-03-01', null),
+      (4, 'a', null, null), (5, 'a', date '2023-05-31', date '9999-12-31') as t(r, k, r_from, r_to)""")
+    spans = ["k"], ("l_from", "l_to"), ("r_from", "r_to"), "year"
+    dates, texts = intervals.overlap_join(a, b, *spans), intervals.overlap_join(a, b, *spans, text=True)
+    columns = ["l", "r", *[F.col(c).cast("string").alias(c) for c in ("overlap_from", "overlap_to")]]
+    plain = a.join(b, "k").where("coalesce(greatest(l_from, r_from) <= least(l_to, r_to), true)")
+    plain = plain.select("l", "r", F.greatest("l_from", "r_from").cast("string"), F.least("l_to", "r_to").cast("string"))
+    assert collections.Counter(dates.select(columns).collect()) == collections.Counter(texts.select(columns).collect()) == collections.Counter(plain.collect())
+    assert dict(texts.dtypes)["overlap_from"] == "string" and dict(dates.dtypes)["overlap_to"] == "date"
+    assert dates.columns == texts.columns
+
+
 def test_counts_of_valid_intervals_match_all_pairs(spark):
     rng = random.Random(6)
     day = datetime.date(2023, 1, 1)
